@@ -14,7 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as cols
+from ..operators import files
 from ..operators import timeline as tl
+from ..sources import archive as arc
 from ..session import ensure_engine_conf
 from ..sources import text_parsers as tp
 from . import derived as d
@@ -65,3 +68,112 @@ def timeline_hourly(spark, sf_dir):
     hours = tl.hourly_buckets(tl.log_events(event_logs(spark, sf_dir)))
     return hours.select("collection_id", "hour", "event_count", ts_text("first_event").alias("first_event"),
                         "content", F.array_join("tags", ",").alias("tags"))
+
+
+def bodyfile(spark, sf_dir) -> DataFrame:
+    return tp.parse_bodyfile(d.bodyfile_lines(d.read_table(spark, sf_dir, "lineitem")))
+
+
+def processes(spark, sf_dir) -> DataFrame:
+    """Route each ps file to its parser by file name (SRC-8), then union the results."""
+    lines = d.process_lines(d.read_table(spark, sf_dir, "events"))
+    kind = arc.live_kind("source_file")
+    return (tp.parse_ps_aux(lines.where(kind == "ps_aux"))
+            .unionByName(tp.parse_ps_ef(lines.where(kind == "ps_ef")))
+            .unionByName(tp.parse_ps_generic(lines.where(kind == "ps_generic"))))
+
+
+def connections(spark, sf_dir) -> DataFrame:
+    return tp.parse_netstat(d.netstat_lines(d.read_table(spark, sf_dir, "lineitem")))
+
+
+def users(spark, sf_dir) -> DataFrame:
+    return tp.parse_passwd(d.passwd_lines(d.read_table(spark, sf_dir, "customer")))
+
+
+BODY_OUT = ["collection_id", "line_no", "md5", "name", "inode", "mode", "uid", "gid", "size",
+            "atime", "mtime", "ctime", "crtime"]
+
+
+@register("bodyfile_parse")
+def bodyfile_parse(spark, sf_dir):
+    """SRC-7, FIL-1..3, SCA-1..3: file-metadata lines -> typed rows with flags."""
+    bf = tp.with_bodyfile_flags(bodyfile(spark, sf_dir))
+    return bf.select(*BODY_OUT, "is_executable", "is_setuid", "is_directory",
+                     cols.base_name("name").alias("filename"), cols.parent_dir("name").alias("parent_dir"),
+                     cols.iso_text("mtime_ts").alias("mtime_iso"))
+
+
+BODY_GLOB = "/home/u*/.cache/f1[!0-4]*_[1-3]"
+
+
+@register("bodyfile_glob")
+def bodyfile_glob(spark, sf_dir):
+    """FIL-5: glob on the path."""
+    return files.filter_by_path(bodyfile(spark, sf_dir), BODY_GLOB).select("collection_id", "line_no", "name")
+
+
+TIME_RANGE = ("1995-01-01 00:00:00", "1996-12-31 23:59:59")
+
+
+@register("bodyfile_time_range")
+def bodyfile_time_range(spark, sf_dir):
+    """FIL-6: inclusive mtime range."""
+    bf = files.filter_by_timerange(bodyfile(spark, sf_dir), *TIME_RANGE, time_type="mtime")
+    return bf.select("collection_id", "line_no", "name", "mtime")
+
+
+@register("bodyfile_selections")
+def bodyfile_selections(spark, sf_dir):
+    """FIL-4 / FIL-9 / AGG-1: per collection counts of the bodyfile selections."""
+    bf = bodyfile(spark, sf_dir)
+    sets = {
+        "executables": files.executables(bf), "setuid": files.setuid_files(bf),
+        "directories": files.directories(bf), "with_hash": files.files_with_hash(bf),
+        "suspicious_locations": files.suspicious_locations(bf),
+    }
+    out = None
+    for name, df in sets.items():
+        part_ = df.groupBy("collection_id").agg(F.count(F.lit(1)).alias("n")).select(
+            "collection_id", F.lit(name).alias("selection"), "n")
+        out = part_ if out is None else out.unionByName(part_)
+    return out
+
+
+PROC_OUT = ["collection_id", "source_file", "line_no", "pid", "ppid", "user", "cpu", "mem", "vsz", "rss",
+            "tty", "stat", "start", "time", "command"]
+
+
+@register("process_parse")
+def process_parse(spark, sf_dir):
+    """SRC-8..11, SCA-4: ps aux / ps -ef / generic listings -> processes."""
+    return processes(spark, sf_dir).select(*PROC_OUT, cols.exe_name("command").alias("executable_name"))
+
+
+@register("netstat_parse")
+def netstat_parse(spark, sf_dir):
+    """SRC-13, SCA-5: netstat lines -> connections."""
+    return connections(spark, sf_dir).select("collection_id", "source_file", "line_no", *tp.CONNECTION_COLS)
+
+
+@register("passwd_parse")
+def passwd_parse(spark, sf_dir):
+    """SRC-16: account lines -> users."""
+    return users(spark, sf_dir).select("collection_id", "source_file", "line_no", "username", "uid", "gid",
+                                       "gecos", "home", "shell", "is_system_user", "has_valid_shell")
+
+
+@register("hash_classify")
+def hash_classify(spark, sf_dir):
+    """SRC-17, SCA-15: hash list lines -> (path, md5 | sha1 | sha256)."""
+    lines = d.hash_lines(d.read_table(spark, sf_dir, "documents"))
+    return tp.parse_hashes(lines).select("collection_id", "source_file", "line_no", "filepath", "md5", "sha1", "sha256")
+
+
+@register("artifact_categorise")
+def artifact_categorise(spark, sf_dir):
+    """SRC-4, SRC-8: member path -> category and live-response parser kind."""
+    paths = d.member_paths(d.read_table(spark, sf_dir, "pages"))
+    cat = arc.categorize_path("relative_path")
+    return paths.select("collection_id", "page_id", "relative_path", cat.alias("category"),
+                        F.when(cat == "live_response", arc.live_kind("relative_path")).alias("live_kind"))

@@ -16,7 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import fence
+
 N_HOSTS = 8
+LINE_COLS = ["collection_id", "source_file", "line_no", "line"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,12 +82,12 @@ def event_log_lines(events: DataFrame) -> DataFrame:
     pur = F.concat(F.date_format(ts + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd HH:mm:ss"), F.lit("+02:00 purchase order="),
                    eid, F.lit(" cents="), s(F.round(F.col("value") * 100).cast("bigint")))
     line = _case("event_type", {"error": err, "signup": sup, "click": clk, "view": view, "purchase": pur})
-    return events.select(
+    return fence(events.select(
         host_of("user_id").alias("collection_id"),
         _case("event_type", LOG_FILE_BY_EVENT).alias("source_file"),
         F.col("event_id").cast("bigint").alias("line_no"),
         line.alias("line"),
-    )
+    ))
 
 
 # ---------------------------------------------------------------------------
@@ -137,7 +140,7 @@ def process_lines(events: DataFrame) -> DataFrame:
         F.when(F.col("source_file") == PS_FILES[0], F.lit(PS_AUX_HEADER))
         .when(F.col("source_file") == PS_FILES[1], F.lit(PS_EF_HEADER))
         .otherwise(F.lit(PS_GENERIC_HEADER)).alias("line"))
-    return body.unionByName(heads)
+    return fence(body.unionByName(heads), LINE_COLS)
 
 
 # ---------------------------------------------------------------------------
@@ -175,7 +178,7 @@ def netstat_lines(lineitem: DataFrame) -> DataFrame:
         (ok * 8 + ln).cast("bigint").alias("line_no"),
         F.when(proto == "unix", unix).otherwise(inet).alias("line"),
     )
-    return _with_headers(body, NETSTAT_HEADER)
+    return fence(_with_headers(body, NETSTAT_HEADER), LINE_COLS)
 
 
 # ---------------------------------------------------------------------------
@@ -193,8 +196,8 @@ def passwd_lines(customer: DataFrame) -> DataFrame:
     fields = [name, F.lit("x"), uid, s("c_nationkey"), s("c_mktsegment"), F.concat(F.lit("/home/cust"), s(ck))]
     full = F.concat_ws(":", *fields, shell)
     line = F.when(ck % 37 == 0, F.concat_ws(":", *fields)).when(ck % 41 == 0, F.concat(F.lit("# "), full)).otherwise(full)
-    return customer.select(host_of("c_custkey").alias("collection_id"), F.lit(PASSWD_FILE).alias("source_file"),
-                           ck.cast("bigint").alias("line_no"), line.alias("line"))
+    return fence(customer.select(host_of("c_custkey").alias("collection_id"), F.lit(PASSWD_FILE).alias("source_file"),
+                                 ck.cast("bigint").alias("line_no"), line.alias("line")))
 
 
 # ---------------------------------------------------------------------------
@@ -221,8 +224,8 @@ def bodyfile_lines(lineitem: DataFrame) -> DataFrame:
     full = F.concat_ws("|", *head, s(F.round("l_extendedprice").cast("bigint")), s(mtime + ln * 3600), s(mtime),
                        s(mtime + 60), s(crtime))
     line = F.when(ln == 7, F.concat_ws("|", *head)).when((ok % 50 == 0) & (ln == 1), F.concat(F.lit("# "), full)).otherwise(full)
-    return lineitem.select(host_of("l_suppkey").alias("collection_id"), F.lit(BODYFILE_FILE).alias("source_file"),
-                           (ok * 8 + ln).cast("bigint").alias("line_no"), line.alias("line"))
+    return fence(lineitem.select(host_of("l_suppkey").alias("collection_id"), F.lit(BODYFILE_FILE).alias("source_file"),
+                                 (ok * 8 + ln).cast("bigint").alias("line_no"), line.alias("line")))
 
 
 # ---------------------------------------------------------------------------
@@ -237,8 +240,8 @@ def hash_lines(documents: DataFrame) -> DataFrame:
         F.col("lang") == "fr", F.sha2(t, 256)).otherwise(F.substring(F.md5(t), 1, 20))
     sep = F.when(F.col("doc_id") % 2 == 0, F.lit("|")).otherwise(F.lit("  "))
     path = F.concat(F.lit("/data/"), F.col("source"), F.lit("/doc "), s("doc_id"), F.lit(".txt"))
-    return documents.select(host_of("doc_id").alias("collection_id"), F.lit(HASH_FILE).alias("source_file"),
-                            F.col("doc_id").cast("bigint").alias("line_no"), F.concat(h, sep, path).alias("line"))
+    return fence(documents.select(host_of("doc_id").alias("collection_id"), F.lit(HASH_FILE).alias("source_file"),
+                                  F.col("doc_id").cast("bigint").alias("line_no"), F.concat(h, sep, path).alias("line")))
 
 
 # ---------------------------------------------------------------------------

@@ -87,3 +87,213 @@ SELECT collection_id, hour, event_count, strftime(first_t, '%Y-%m-%d %H:%M:%S.%f
        content, {tags_sql('content')} || CASE WHEN {tags_sql('content')} = '' THEN '' ELSE ',' END || 'timeline' AS tags
 FROM capped WHERE hn <= {rules.MAX_ROWS_PER_KIND}
 """
+
+
+def lst(values) -> str:
+    return "[" + ", ".join(q(v) if isinstance(v, str) else str(v) for v in values) + "]"
+
+
+# ---------------------------------------------------------------------------
+# File metadata from lineitem
+# ---------------------------------------------------------------------------
+_BODY_DIRS_SQL = ("['/usr/bin/', '/tmp/', '/home/u' || CAST(l_suppkey AS VARCHAR) || '/.cache/', '/var/tmp/', "
+                  "'/dev/shm/', '/opt/.hidden/', '/etc/', '/usr/sbin/']")
+_SETUID_NAMES = ["/usr/bin/sudo", "/usr/bin/passwd", "/usr/bin/su", "/usr/bin/ping", "/usr/bin/mount", "/usr/bin/umount"]
+_BODY_MODES = ["-rwxr-xr-x", "-rw-r--r--", "drwxr-xr-x", "-rwsr-xr-x", "-rw-------", "srwxrwxrwx", "-rwxr-sr-x"]
+
+BODY_EXPECTED = f"""
+SELECT {host('l_suppkey')} AS collection_id, l_orderkey * 8 + l_linenumber AS line_no,
+  CASE WHEN l_linenumber % 4 = 0 THEN '0' ELSE md5({vc('l_orderkey * 10 + l_linenumber')}) END AS md5,
+  nm AS name, {vc('l_orderkey * 10 + l_linenumber')} AS inode, md AS mode,
+  CAST(CASE WHEN l_orderkey % 97 = 0 THEN 0 ELSE l_suppkey END AS BIGINT) AS uid,
+  CAST(l_partkey % 100 AS BIGINT) AS gid,
+  CAST(CASE WHEN l_linenumber = 7 THEN 0 ELSE round(l_extendedprice) END AS BIGINT) AS size,
+  CAST(CASE WHEN l_linenumber = 7 THEN 0 ELSE mt + l_linenumber * 3600 END AS BIGINT) AS atime,
+  CAST(CASE WHEN l_linenumber = 7 THEN 0 ELSE mt END AS BIGINT) AS mtime,
+  CAST(CASE WHEN l_linenumber = 7 THEN 0 ELSE mt + 60 END AS BIGINT) AS ctime,
+  CAST(CASE WHEN l_linenumber = 7 OR l_linenumber % 3 = 0 THEN 0 WHEN l_linenumber % 3 = 1 THEN mt ELSE mt - 86400 END AS BIGINT) AS crtime
+FROM (
+  SELECT *, CAST(l_shipdate::DATE - DATE '1970-01-01' AS BIGINT) * 86400 + l_orderkey % 86400 AS mt,
+    CASE WHEN l_partkey % 97 = 0 THEN list_element({lst(_SETUID_NAMES)}, CAST(l_orderkey % 6 + 1 AS INTEGER))
+         ELSE list_element({_BODY_DIRS_SQL}, CAST(l_partkey % 8 + 1 AS INTEGER)) || 'f' || {vc('l_partkey')} || '_' || {vc('l_linenumber')} END AS nm,
+    list_element({lst(_BODY_MODES)}, CAST(l_orderkey % 7 + 1 AS INTEGER)) AS md
+  FROM lineitem
+) WHERE NOT (l_orderkey % 50 = 0 AND l_linenumber = 1)
+"""
+
+BODYFILE_PARSE = f"""
+SELECT *, contains(mode, 'x') AS is_executable, contains(lower(mode), 's') AS is_setuid,
+  starts_with(mode, 'd') AS is_directory,
+  regexp_extract(name, '[^/]*$') AS filename, regexp_replace(name, '/[^/]*$', '') AS parent_dir,
+  CASE WHEN mtime > 0 THEN strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(mtime), '%Y-%m-%dT%H:%M:%S') END AS mtime_iso
+FROM ({BODY_EXPECTED})
+"""
+
+BODYFILE_GLOB = f"""
+SELECT collection_id, line_no, name FROM ({BODY_EXPECTED})
+WHERE regexp_matches(name, '^/home/u.*/\\.cache/f1[^0-4].*_[1-3]$')
+"""
+
+BODYFILE_TIME_RANGE = f"""
+SELECT collection_id, line_no, name, mtime FROM ({BODY_EXPECTED})
+WHERE mtime > 0 AND mtime BETWEEN epoch(TIMESTAMP '1995-01-01 00:00:00') AND epoch(TIMESTAMP '1996-12-31 23:59:59')
+"""
+
+BODYFILE_SELECTIONS = f"""
+WITH b AS ({BODY_EXPECTED})
+SELECT collection_id, 'executables' AS selection, count(*) AS n FROM b
+  WHERE contains(mode, 'x') AND NOT starts_with(mode, 'd') GROUP BY 1
+UNION ALL SELECT collection_id, 'setuid', count(*) FROM b WHERE contains(lower(mode), 's') GROUP BY 1
+UNION ALL SELECT collection_id, 'directories', count(*) FROM b WHERE starts_with(mode, 'd') GROUP BY 1
+UNION ALL SELECT collection_id, 'with_hash', count(*) FROM b WHERE md5 NOT IN ('0', '') GROUP BY 1
+UNION ALL SELECT collection_id, 'suspicious_locations', count(*) FROM b
+  WHERE {contains_any('name', rules.SUSPICIOUS_LOCATION_MARKERS)} GROUP BY 1
+"""
+
+# ---------------------------------------------------------------------------
+# Processes from events
+# ---------------------------------------------------------------------------
+PROC_BASE = f"""
+SELECT *, user_id % 3 AS k,
+  CASE event_type
+    WHEN 'view' THEN '/usr/bin/f' || {vc('(event_id % 250) * 8')} || '_' || {vc('event_id % 7 + 1')} || ' --serve'
+    WHEN 'error' THEN '/tmp/.x/run' || {vc('user_id')} || '  --once'
+    WHEN 'click' THEN '/usr/bin/python3 -c exec(open(''/tmp/p' || {vc('event_id % 10')} || '.py'').read())'
+    WHEN 'purchase' THEN 'nc -lvp ' || {vc('event_id % 3 + 4444')}
+    ELSE 'bash -c echo ' || substr(md5({vc('event_id')}), 1, 12) || ' | base64 -d | sh' END AS cmd,
+  CASE WHEN user_id % 10 = 0 THEN 'root' ELSE 'u' || {vc('user_id')} END AS usr,
+  CASE WHEN event_id % 4 = 0 THEN '?' ELSE 'pts/' || {vc('event_id % 4')} END AS tty_,
+  strftime(ts, '%H:%M') AS start_, '0:' || lpad({vc('event_id % 60')}, 2, '0') AS time_
+FROM events
+"""
+
+PROC_EXPECTED = f"""
+WITH p AS ({PROC_BASE})
+SELECT {host('user_id')} AS collection_id, 'live_response/process/ps_auxwww.txt' AS source_file,
+  event_id + 1 AS line_no, event_id AS pid, CAST(NULL AS BIGINT) AS ppid, usr AS user,
+  ((event_id % 400) // 10 * 10 + event_id % 10) / 10.0 AS cpu,
+  ((user_id % 80) // 10 * 10 + user_id % 10) / 10.0 AS mem,
+  CAST((event_id * 37) % 900000 AS BIGINT) AS vsz, CAST((event_id * 11) % 90000 AS BIGINT) AS rss,
+  tty_ AS tty, 'Ss' AS stat, start_ AS start, time_ AS time, cmd AS command
+FROM p WHERE k = 0 AND event_id % 101 <> 0 AND event_id % 103 <> 0 AND event_id % 107 <> 0
+UNION ALL
+SELECT {host('user_id')}, 'live_response/process/ps_-ef.txt', event_id + 1, event_id,
+  CASE WHEN event_id % 5 = 0 THEN 1 ELSE event_id - 1 END, usr, NULL, NULL, NULL, NULL,
+  tty_, NULL, start_, time_, regexp_replace(cmd, ' +', ' ', 'g')
+FROM p WHERE k = 1 AND event_id % 103 <> 0
+UNION ALL
+SELECT {host('user_id')}, 'live_response/process/ps_-o_pid_args.txt', event_id + 1, event_id + 1,
+  NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, regexp_replace(cmd, ' +', ' ', 'g')
+FROM p WHERE k = 2
+"""
+
+PROCESS_PARSE = f"""
+SELECT *, regexp_extract(string_split(command, ' ')[1], '[^/]*$') AS executable_name FROM ({PROC_EXPECTED})
+"""
+
+# ---------------------------------------------------------------------------
+# Connections from lineitem
+# ---------------------------------------------------------------------------
+_PORTS = "[4444, 5555, 6666, 6667, 8080, 31337]"
+CONN_EXPECTED = f"""
+SELECT {host('l_suppkey')} AS collection_id, 'live_response/network/netstat_-tunap.txt' AS source_file,
+  l_orderkey * 8 + l_linenumber AS line_no, proto AS protocol,
+  CASE WHEN v6 AND l_orderkey % 5 = 0 THEN '::' WHEN v6 THEN 'fe80::' || {vc('l_suppkey % 100')}
+       ELSE '10.' || {vc('l_suppkey % 256')} || '.' || {vc('l_partkey % 256')} || '.' || {vc('l_orderkey % 256')} END AS local_address,
+  CAST(lport AS INTEGER) AS local_port,
+  CASE WHEN lis AND v6 THEN '::' WHEN lis THEN '0.0.0.0'
+       ELSE '172.16.' || {vc('l_partkey % 256')} || '.' || {vc('l_suppkey % 256')} END AS remote_address,
+  CAST(CASE WHEN lis THEN 0 ELSE rport END AS INTEGER) AS remote_port,
+  CASE WHEN starts_with(proto, 'tcp') THEN st WHEN l_orderkey % 9 = 0 THEN '-' END AS state,
+  CAST(CASE WHEN l_orderkey % 9 <> 0 THEN l_orderkey END AS INTEGER) AS pid,
+  CASE WHEN l_orderkey % 9 <> 0 THEN 'prog' || {vc('l_suppkey % 20')} END AS program
+FROM (
+  SELECT *, ends_with(proto, '6') AS v6, (NOT starts_with(proto, 'tcp') OR st = 'LISTEN') AS lis
+  FROM (
+    SELECT *, list_element(['tcp', 'tcp6', 'udp', 'udp6', 'unix', 'tcp'], CAST(l_linenumber % 6 + 1 AS INTEGER)) AS proto,
+      CASE WHEN l_partkey % 13 = 0 THEN list_element({_PORTS}, CAST(l_orderkey % 6 + 1 AS INTEGER))
+           ELSE (l_orderkey * 7 + l_partkey) % 65536 END AS lport,
+      CASE WHEN l_partkey % 11 = 0 THEN list_element({_PORTS}, CAST(l_suppkey % 6 + 1 AS INTEGER))
+           ELSE (l_orderkey + l_partkey * 3) % 65536 END AS rport,
+      list_element(['LISTEN', 'ESTABLISHED', 'TIME_WAIT', 'CLOSE_WAIT'], CAST(l_orderkey % 4 + 1 AS INTEGER)) AS st
+    FROM lineitem))
+WHERE proto <> 'unix'
+"""
+
+NETSTAT_PARSE = CONN_EXPECTED
+
+# ---------------------------------------------------------------------------
+# Users from customer
+# ---------------------------------------------------------------------------
+USER_EXPECTED = f"""
+SELECT {host('c_custkey')} AS collection_id, 'live_response/user/etc_passwd.txt' AS source_file,
+  c_custkey AS line_no,
+  CASE WHEN c_custkey = 0 THEN 'root' ELSE 'cust' || {vc('c_custkey')} END AS username,
+  CAST(CASE WHEN c_custkey % 43 = 0 OR c_custkey % 500 = 7 THEN 0 ELSE c_custkey % 2000 END AS BIGINT) AS uid,
+  CAST(c_nationkey AS BIGINT) AS gid, c_mktsegment AS gecos, '/home/cust' || {vc('c_custkey')} AS home,
+  list_element(['/bin/bash', '/usr/sbin/nologin', '/bin/false', '/bin/sh', '/bin/zsh'], CAST(c_nationkey % 5 + 1 AS INTEGER)) AS shell,
+  CASE WHEN c_custkey % 43 = 0 THEN false WHEN c_custkey % 500 = 7 THEN true ELSE c_custkey % 2000 < 1000 END AS is_system_user
+FROM customer WHERE c_custkey % 37 <> 0 AND c_custkey % 41 <> 0
+"""
+
+PASSWD_PARSE = f"""
+SELECT *, NOT (contains(shell, '/nologin') OR contains(shell, '/false')) AS has_valid_shell FROM ({USER_EXPECTED})
+"""
+
+HASH_CLASSIFY = f"""
+SELECT {host('doc_id')} AS collection_id, 'hash_executables/hash_executables.md5' AS source_file, doc_id AS line_no,
+  '/data/' || source || '/doc ' || {vc('doc_id')} || '.txt' AS filepath,
+  CASE WHEN lang = 'en' THEN md5(text) END AS md5,
+  CASE WHEN lang = 'de' THEN sha1(text) END AS sha1,
+  CASE WHEN lang = 'fr' THEN sha256(text) END AS sha256
+FROM documents
+"""
+
+# ---------------------------------------------------------------------------
+# Member paths from pages
+# ---------------------------------------------------------------------------
+_PATH_DIRS = ["bodyfile/", "live_response/process/", "live_response/network/", "hash_executables/",
+              "[root]/var/log/", "files/logs/", "[root]/etc/", "files/system/", "chkrootkit/", "misc/",
+              "files/applications/", "live_response/user/"]
+_PATH_SUFFIXES = [".txt", ".log", ".yaml", ".conf", "", ".md5", "_passwd", ".yml"]
+
+
+def _category_sql(p: str) -> str:
+    low = f"lower({p})"
+    yaml = f"(ends_with({low}, '.yaml') OR ends_with({low}, '.yml'))"
+    files_yaml = f"(contains({low}, 'files/') AND {yaml})"
+    return f"""CASE
+      WHEN {contains_any(low, rules.BODYFILE_PATH_MARKERS)} THEN 'bodyfile'
+      WHEN {contains_any(low, rules.LIVE_RESPONSE_PATH_MARKERS)} THEN 'live_response'
+      WHEN {contains_any(low, rules.HASH_PATH_MARKERS)} THEN 'hash'
+      WHEN {contains_any(low, rules.LOG_PATH_MARKERS)} THEN 'logs'
+      WHEN {files_yaml} AND {contains_any(low, rules.FILES_YAML_LOG_WORDS)} THEN 'logs'
+      WHEN {files_yaml} THEN 'live_response'
+      WHEN {contains_any(low, rules.CONFIG_PATH_MARKERS)} THEN 'config'
+      ELSE 'unknown' END"""
+
+
+def _live_kind_sql(p: str) -> str:
+    n = f"lower(regexp_extract({p}, '[^/]*$'))"
+    return f"""CASE
+      WHEN ends_with({n}, '.yaml') OR ends_with({n}, '.yml') THEN 'yaml'
+      WHEN contains({n}, 'ps_') OR starts_with({n}, 'ps') THEN
+        CASE WHEN contains({n}, 'aux') THEN 'ps_aux' WHEN contains({n}, 'ef') THEN 'ps_ef' ELSE 'ps_generic' END
+      WHEN contains({n}, 'netstat') OR contains({n}, 'ss_') THEN 'netstat'
+      WHEN contains({n}, 'passwd') OR contains({n}, 'user') THEN 'passwd'
+      ELSE 'raw' END"""
+
+
+ARTIFACT_CATEGORISE = f"""
+SELECT collection_id, page_id, relative_path, category,
+  CASE WHEN category = 'live_response' THEN {_live_kind_sql('relative_path')} END AS live_kind
+FROM (
+  SELECT *, {_category_sql('relative_path')} AS category
+  FROM (
+    SELECT {host('page_id')} AS collection_id, page_id,
+      'uac-node' || {vc('page_id % 8')} || '-linux-20240101000000/'
+        || list_element({lst(_PATH_DIRS)}, CAST(page_id % 12 + 1 AS INTEGER))
+        || regexp_extract(url, '//([^/?#]+)', 1)
+        || list_element({lst(_PATH_SUFFIXES)}, CAST(page_id % 8 + 1 AS INTEGER)) AS relative_path
+    FROM pages))
+"""
