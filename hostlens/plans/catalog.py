@@ -14,7 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions import columns as cols
+from ..operators import detectors as det
+from ..operators import enrich as en
 from ..operators import files
 from ..operators import timeline as tl
 from ..sources import archive as arc
@@ -177,3 +180,146 @@ def artifact_categorise(spark, sf_dir):
     cat = arc.categorize_path("relative_path")
     return paths.select("collection_id", "page_id", "relative_path", cat.alias("category"),
                         F.when(cat == "live_response", arc.live_kind("relative_path")).alias("live_kind"))
+
+
+def timeline(spark, sf_dir, sort: bool = True) -> DataFrame:
+    return tl.merge_timeline(tl.bodyfile_events(bodyfile(spark, sf_dir)), tl.log_events(event_logs(spark, sf_dir)),
+                             sort=sort)
+
+
+@register("timeline_union")
+def timeline_union(spark, sf_dir):
+    """TL-1..4: file-modified / file-created / log events merged and sorted."""
+    t = timeline(spark, sf_dir)
+    x = F.col("extra_data")
+    return t.select("collection_id", ts_text("timestamp").alias("ts"), "timestamp_desc", "source", "source_type",
+                    "message", "artifact_path", "hostname", "pid",
+                    F.try_element_at(x, F.lit("md5")).alias("extra_md5"),
+                    F.try_element_at(x, F.lit("size")).alias("extra_size"),
+                    F.try_element_at(x, F.lit("mode")).alias("extra_mode"))
+
+
+@register("timesketch_rows")
+def timesketch_rows(spark, sf_dir):
+    """SNK-1: Timesketch record (extra_data merged over the fixed keys), as columns."""
+    r = tl.timesketch_rows(timeline(spark, sf_dir, sort=False))
+    keys = ["datetime", "timestamp_desc", "message", "source_short", "source_long", "data_type", "md5", "size", "mode"]
+    return r.select("collection_id", *[F.try_element_at("record", F.lit(k)).alias(k) for k in keys])
+
+
+def anomaly_out(a: DataFrame) -> DataFrame:
+    """Flat anomaly columns for the checks (evidence: count and first raw text)."""
+    return a.select(
+        "collection_id", "anomaly_id", "anomaly_type", "severity", "score", "title", "description",
+        "source_artifact", "artifact_path", ts_text("timestamp").alias("ts"), "username", "process_name",
+        "mitre_technique", F.size("evidence").alias("evidence_count"),
+        F.get("evidence", 0)["raw_data"].alias("evidence_raw"),
+        F.array_join("investigation_steps", " | ").alias("steps"))
+
+
+@register("detect_process")
+def detect_process(spark, sf_dir):
+    """DET-P1..P3."""
+    return anomaly_out(det.detect_processes(processes(spark, sf_dir)))
+
+
+@register("detect_network")
+def detect_network(spark, sf_dir):
+    """DET-N1, N2."""
+    return anomaly_out(det.detect_network(connections(spark, sf_dir)))
+
+
+@register("detect_files")
+def detect_files(spark, sf_dir):
+    """DET-F1..F3 (F3: first 10 hidden executables per collection)."""
+    return anomaly_out(det.detect_files(bodyfile(spark, sf_dir)))
+
+
+@register("detect_users")
+def detect_users(spark, sf_dir):
+    """DET-U1, U2."""
+    return anomaly_out(det.detect_users(users(spark, sf_dir)))
+
+
+def all_anomalies(spark, sf_dir, threshold="low") -> DataFrame:
+    return det.detect_all(processes(spark, sf_dir), connections(spark, sf_dir), bodyfile(spark, sf_dir),
+                          users(spark, sf_dir), threshold=threshold)
+
+
+@register("anomalies_ranked")
+def anomalies_ranked(spark, sf_dir):
+    """DET-ALL, SET-1, FIL-12 (threshold 'high'), SRT-1."""
+    ranked = det.rank_anomalies(all_anomalies(spark, sf_dir, threshold="high"))
+    return anomaly_out(ranked).withColumn("severity_rank", cols.severity_rank("severity"))
+
+
+@register("anomaly_counts")
+def anomaly_counts(spark, sf_dir):
+    """AGG-2: zero-filled severity histogram with total, per collection."""
+    return det.severity_counts(all_anomalies(spark, sf_dir))
+
+
+@register("allowlist_anti")
+def allowlist_anti(spark, sf_dir):
+    """SET-4: setuid files not in the system allow-list (anti join, 6-row broadcast side)."""
+    allow = spark.createDataFrame([(p,) for p in rules.SYSTEM_SETUID_ALLOWLIST], "name string")
+    s = files.setuid_files(bodyfile(spark, sf_dir))
+    return s.join(F.broadcast(allow), "name", "left_anti").select("collection_id", "line_no", "name", "mode")
+
+
+@register("hidden_process_anti")
+def hidden_process_anti(spark, sf_dir):
+    """DET-X3: sockets whose pid is in no process listing of the collection."""
+    a = en.detect_hidden_processes(connections(spark, sf_dir), processes(spark, sf_dir))
+    return a.select("collection_id", "anomaly_id", "anomaly_type", "title", "process_name",
+                    F.col("ord")["n"].alias("line_no"))
+
+
+@register("process_binary_join")
+def process_binary_join(spark, sf_dir):
+    """JOIN-1 / JOIN-2 / DET-X1: binary path, existence and md5 per process."""
+    p = en.with_binary_info(processes(spark, sf_dir), bodyfile(spark, sf_dir))
+    return p.select("collection_id", "source_file", "line_no", "pid", "binary_path", "binary_exists", "binary_hash")
+
+
+@register("deleted_binaries")
+def deleted_binaries(spark, sf_dir):
+    """DET-X1: anomalies for processes whose absolute binary is not in the file listing."""
+    p = en.with_binary_info(processes(spark, sf_dir), bodyfile(spark, sf_dir))
+    a = en.detect_deleted_binaries(p)
+    return a.select("collection_id", "anomaly_id", "anomaly_type", "severity", "title", "artifact_path", "username")
+
+
+@register("process_conn_join")
+def process_conn_join(spark, sf_dir):
+    """JOIN-3: processes with their sockets (left join on collection, pid)."""
+    j = en.process_connections(processes(spark, sf_dir), connections(spark, sf_dir))
+    return j.select("collection_id", "source_file", "line_no", "pid", "conn_line_no", "protocol", "local_port",
+                    "remote_address", "remote_port", "state")
+
+
+@register("process_parent")
+def process_parent(spark, sf_dir):
+    """JOIN-4: parent command of each process by ppid."""
+    j = en.with_parent(processes(spark, sf_dir))
+    return j.select("collection_id", "source_file", "line_no", "pid", "ppid", "parent_command")
+
+
+PIVOT_SECONDS = 300
+
+
+@register("events_around_pivot")
+def events_around_pivot(spark, sf_dir):
+    """JOIN-6: events of the same user within 5 minutes of each 'error' event."""
+    ev = d.read_table(spark, sf_dir, "events")
+    return en.events_around(ev.where(F.col("event_type") == "error"), ev, "user_id", "ts", PIVOT_SECONDS,
+                            "event_id", "event_id")
+
+
+@register("login_burst")
+def login_burst(spark, sf_dir):
+    """DET-X5: 'signup' events preceded by >= 3 'error' events of the same user within a day."""
+    ev = d.read_table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    out = en.failures_before(ev, "user_id", "ts", et == "error", et == "signup")
+    return out.select("user_id", "event_id", "failures", ts_text("ts").alias("ts"))

@@ -297,3 +297,224 @@ FROM (
         || list_element({lst(_PATH_SUFFIXES)}, CAST(page_id % 8 + 1 AS INTEGER)) AS relative_path
     FROM pages))
 """
+
+
+def ts_sql(expr: str) -> str:
+    return f"strftime({expr}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+def epoch_ts(expr: str) -> str:
+    return f"(TIMESTAMP '1970-01-01 00:00:00' + to_seconds({expr}))"
+
+
+# ---------------------------------------------------------------------------
+# Timeline
+# ---------------------------------------------------------------------------
+TIMELINE_EXPECTED = f"""
+SELECT collection_id, {epoch_ts('mtime')} AS t, 'File Modified' AS timestamp_desc, 'bodyfile' AS source,
+  'filesystem' AS source_type, 'File modified: ' || name AS message, name AS artifact_path,
+  CAST(NULL AS VARCHAR) AS hostname, CAST(NULL AS BIGINT) AS pid,
+  md5 AS extra_md5, {vc('size')} AS extra_size, mode AS extra_mode
+FROM ({BODY_EXPECTED}) WHERE mtime > 0
+UNION ALL
+SELECT collection_id, {epoch_ts('crtime')}, 'File Created', 'bodyfile', 'filesystem', 'File created: ' || name, name,
+  NULL, NULL, NULL, NULL, NULL
+FROM ({BODY_EXPECTED}) WHERE crtime > 0 AND (mtime <= 0 OR crtime <> mtime)
+UNION ALL
+SELECT collection_id, ts_parsed, 'Log Entry', regexp_extract(source_file, '[^/]*$'), 'log', message, source_file,
+  hostname, pid, NULL, NULL, NULL
+FROM ({LOG_EXPECTED}) WHERE ts_parsed IS NOT NULL
+"""
+
+TIMELINE_UNION = f"""
+SELECT collection_id, {ts_sql('t')} AS ts, timestamp_desc, source, source_type, message, artifact_path, hostname, pid,
+  extra_md5, extra_size, extra_mode
+FROM ({TIMELINE_EXPECTED})
+"""
+
+TIMESKETCH_ROWS = f"""
+SELECT collection_id,
+  CASE WHEN microsecond(t) % 1000000 = 0 THEN strftime(t, '%Y-%m-%dT%H:%M:%S') ELSE strftime(t, '%Y-%m-%dT%H:%M:%S.%f') END AS datetime,
+  timestamp_desc, message, source_type AS source_short, source AS source_long, 'uac:' || source_type AS data_type,
+  extra_md5 AS md5, extra_size AS size, extra_mode AS mode
+FROM ({TIMELINE_EXPECTED})
+"""
+
+# ---------------------------------------------------------------------------
+# Detectors
+# ---------------------------------------------------------------------------
+_ANOM_COLS = ("collection_id, anomaly_id, anomaly_type, severity, score, title, description, source_artifact, "
+              "artifact_path, ts, username, process_name, mitre_technique, evidence_count, evidence_raw, steps")
+
+PROC_DETECT = f"""
+WITH e AS (SELECT *, regexp_extract(string_split(command, ' ')[1], '[^/]*$') AS exe,
+                  string_split(command, ' ')[1] AS tok FROM ({PROC_EXPECTED}))
+SELECT collection_id, 'proc_' || {vc('pid')} || '_suspicious_path' AS anomaly_id, 'suspicious_process' AS anomaly_type,
+  'high' AS severity, CAST(0.8 AS DOUBLE) AS score, 'Process running from suspicious location' AS title,
+  'Process PID ' || {vc('pid')} || ' is running from a temporary or suspicious directory' AS description,
+  'process_list' AS source_artifact, CAST(NULL AS VARCHAR) AS artifact_path, CAST(NULL AS VARCHAR) AS ts,
+  user AS username, exe AS process_name, CAST(NULL AS VARCHAR) AS mitre_technique, 1 AS evidence_count,
+  'PID: ' || {vc('pid')} || ', User: ' || coalesce(user, 'None') || ', Command: ' || command AS evidence_raw,
+  'Check if binary exists: ls -la ' || tok || ' | Check process tree: pstree -p ' || {vc('pid')}
+    || ' | Check open files: lsof -p ' || {vc('pid')} AS steps
+FROM e WHERE command <> '' AND {contains_any('command', rules.PROCESS_TEMP_DIRS)}
+UNION ALL
+SELECT collection_id, 'proc_' || {vc('pid')} || '_known_suspicious', 'suspicious_process', 'critical', CAST(0.95 AS DOUBLE),
+  'Known suspicious tool detected: ' || exe, 'Process ' || exe || ' is commonly used in attacks', 'process_list',
+  NULL, NULL, user, exe, 'T1059', 0, NULL, ''
+FROM e WHERE lower(exe) IN {tuple(rules.SUSPICIOUS_TOOL_NAMES)}
+UNION ALL
+SELECT collection_id, 'proc_' || {vc('pid')} || '_encoded_cmd', 'suspicious_process', 'high', CAST(0.85 AS DOUBLE),
+  'Process with potential encoded/obfuscated command', 'Command line contains encoding or shell execution patterns',
+  'process_list', NULL, NULL, NULL, exe, NULL, 1, substr(command, 1, 200), ''
+FROM e WHERE command <> '' AND {contains_any('lower(command)', rules.ENCODED_COMMAND_MARKERS)}
+"""
+
+DETECT_PROCESS = PROC_DETECT
+
+_PORT_LABEL = "CASE " + " ".join(f"WHEN {{c}} = {p} THEN {q(l)}" for p, l in rules.SUSPICIOUS_PORTS.items()) + " END"
+_PORT_LIST = "(" + ", ".join(str(p) for p in rules.SUSPICIOUS_PORTS) + ")"
+
+NET_DETECT = f"""
+SELECT collection_id, 'net_' || {vc('local_port')} || '_' || {vc('remote_port')} AS anomaly_id,
+  'unusual_network' AS anomaly_type, 'high' AS severity, CAST(0.85 AS DOUBLE) AS score,
+  'Connection to suspicious port ' || {vc('remote_port')} AS title,
+  'Connection to port ' || {vc('remote_port')} || ' (' || {_PORT_LABEL.format(c='remote_port')} || ')' AS description,
+  'network_connections' AS source_artifact, CAST(NULL AS VARCHAR) AS artifact_path, CAST(NULL AS VARCHAR) AS ts,
+  CAST(NULL AS VARCHAR) AS username, CAST(NULL AS VARCHAR) AS process_name, 'T1571' AS mitre_technique,
+  1 AS evidence_count,
+  protocol || ' ' || local_address || ':' || {vc('local_port')} || ' -> ' || remote_address || ':' || {vc('remote_port')}
+    AS evidence_raw, '' AS steps
+FROM ({CONN_EXPECTED}) WHERE remote_port <> 0 AND remote_port IN {_PORT_LIST}
+UNION ALL
+SELECT collection_id, 'net_listen_' || {vc('local_port')}, 'persistence_mechanism', 'critical', CAST(0.9 AS DOUBLE),
+  'Suspicious service listening on port ' || {vc('local_port')}, 'Service listening on known malicious port',
+  'network_connections', NULL, NULL, NULL, program, NULL, 0, NULL, ''
+FROM ({CONN_EXPECTED}) WHERE upper(state) = 'LISTEN' AND local_port IN {_PORT_LIST}
+"""
+
+DETECT_NETWORK = NET_DETECT
+
+FILE_DETECT = f"""
+WITH b AS (SELECT *, regexp_extract(name, '[^/]*$') AS fname,
+                  CASE WHEN mtime > 0 THEN {ts_sql(epoch_ts('mtime'))} END AS mts FROM ({BODY_EXPECTED}))
+SELECT collection_id, 'fs_suid_' || inode AS anomaly_id, 'privilege_escalation' AS anomaly_type, 'high' AS severity,
+  CAST(0.8 AS DOUBLE) AS score, 'Non-standard SUID binary: ' || fname AS title,
+  'SUID binary found at unexpected location: ' || name AS description, 'bodyfile' AS source_artifact,
+  name AS artifact_path, mts AS ts, CAST(NULL AS VARCHAR) AS username, CAST(NULL AS VARCHAR) AS process_name,
+  'T1548.001' AS mitre_technique, 1 AS evidence_count,
+  'Mode: ' || mode || ', Size: ' || {vc('size')} || ', Owner: ' || {vc('uid')} AS evidence_raw,
+  'Check file: ls -la ' || name || ' | Check file type: file ' || name || ' | Check strings: strings ' || name
+    || ' | head -50' AS steps
+FROM b WHERE contains(lower(mode), 's') AND name NOT IN {tuple(rules.SYSTEM_SETUID_ALLOWLIST)}
+UNION ALL
+SELECT collection_id, 'fs_tmpexec_' || inode, 'suspicious_process', 'medium', CAST(0.7 AS DOUBLE), 'Executable in temporary directory',
+  'Executable found in world-writable directory', 'bodyfile', name, mts, NULL, NULL, NULL, 0, NULL, ''
+FROM b WHERE contains(mode, 'x') AND NOT starts_with(mode, 'd') AND {contains_any('name', rules.FILE_TEMP_DIRS)}
+UNION ALL
+SELECT collection_id, 'fs_hidden_' || inode, 'hidden_file', 'medium', CAST(0.6 AS DOUBLE), 'Hidden executable: ' || fname,
+  'Hidden executable file found at ' || name, 'bodyfile', name, NULL, NULL, NULL, NULL, 0, NULL, ''
+FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY line_no) AS rn FROM b
+      WHERE contains(name, '/.') AND NOT {contains_any('name', rules.HIDDEN_PATH_EXCLUDES)} AND contains(mode, 'x'))
+WHERE rn <= {rules.HIDDEN_FILES_PER_COLLECTION}
+"""
+
+DETECT_FILES = FILE_DETECT
+
+USER_DETECT = f"""
+WITH u AS (SELECT *, NOT (contains(shell, '/nologin') OR contains(shell, '/false')) AS valid_shell FROM ({USER_EXPECTED}))
+SELECT collection_id, 'user_' || username || '_system_shell' AS anomaly_id, 'suspicious_user' AS anomaly_type,
+  'medium' AS severity, CAST(0.6 AS DOUBLE) AS score, 'System account with login shell: ' || username AS title,
+  'System user ' || username || ' (UID ' || {vc('uid')} || ') has a valid login shell' AS description,
+  'passwd' AS source_artifact, CAST(NULL AS VARCHAR) AS artifact_path, CAST(NULL AS VARCHAR) AS ts,
+  username, CAST(NULL AS VARCHAR) AS process_name, CAST(NULL AS VARCHAR) AS mitre_technique, 0 AS evidence_count,
+  CAST(NULL AS VARCHAR) AS evidence_raw, '' AS steps
+FROM u WHERE is_system_user AND valid_shell AND uid <> 0
+UNION ALL
+SELECT collection_id, 'user_' || username || '_uid0', 'privilege_escalation', 'critical', CAST(0.95 AS DOUBLE),
+  'Non-root user with UID 0: ' || username, 'User ' || username || ' has UID 0, equivalent to root privileges',
+  'passwd', NULL, NULL, username, NULL, 'T1136', 0, NULL, ''
+FROM u WHERE uid = 0 AND username <> 'root'
+"""
+
+DETECT_USERS = USER_DETECT
+
+ALL_DETECT = f"""
+SELECT {_ANOM_COLS} FROM ({PROC_DETECT}) UNION ALL SELECT {_ANOM_COLS} FROM ({NET_DETECT})
+UNION ALL SELECT {_ANOM_COLS} FROM ({FILE_DETECT}) UNION ALL SELECT {_ANOM_COLS} FROM ({USER_DETECT})
+"""
+
+ANOMALIES_RANKED = f"""
+SELECT *, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END
+  AS severity_rank
+FROM ({ALL_DETECT}) WHERE severity IN ('high', 'critical')
+"""
+
+ANOMALY_COUNTS = f"""
+SELECT collection_id, count(*) FILTER (WHERE severity = 'critical') AS critical,
+  count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium,
+  count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'info') AS info,
+  count(*) AS total
+FROM ({ALL_DETECT}) GROUP BY collection_id
+"""
+
+ALLOWLIST_ANTI = f"""
+SELECT collection_id, line_no, name, mode FROM ({BODY_EXPECTED})
+WHERE contains(lower(mode), 's') AND name NOT IN {tuple(rules.SYSTEM_SETUID_ALLOWLIST)}
+"""
+
+HIDDEN_PROCESS_ANTI = f"""
+SELECT c.collection_id, 'net_hidden_' || {vc('c.pid')} AS anomaly_id, 'rootkit_indicator' AS anomaly_type,
+  'Connection owned by unlisted PID ' || {vc('c.pid')} AS title, c.program AS process_name, c.line_no
+FROM ({CONN_EXPECTED}) c
+WHERE c.pid IS NOT NULL AND NOT EXISTS (
+  SELECT 1 FROM ({PROC_EXPECTED}) p WHERE p.collection_id = c.collection_id AND p.pid = c.pid)
+"""
+
+_BIN = f"""
+WITH p AS (SELECT *, CASE WHEN starts_with(string_split(command, ' ')[1], '/') THEN string_split(command, ' ')[1] END
+                  AS binary_path FROM ({PROC_EXPECTED})),
+bk AS (SELECT collection_id, name, min(CASE WHEN md5 NOT IN ('0', '') THEN md5 END) AS h
+       FROM ({BODY_EXPECTED}) GROUP BY collection_id, name)
+SELECT p.*, CASE WHEN p.binary_path IS NOT NULL THEN bk.name IS NOT NULL END AS binary_exists, bk.h AS binary_hash
+FROM p LEFT JOIN bk ON p.collection_id = bk.collection_id AND p.binary_path = bk.name
+"""
+
+PROCESS_BINARY_JOIN = f"""
+SELECT collection_id, source_file, line_no, pid, binary_path, binary_exists, binary_hash FROM ({_BIN})
+"""
+
+DELETED_BINARIES = f"""
+SELECT collection_id, 'proc_' || {vc('pid')} || '_deleted_binary' AS anomaly_id, 'deleted_binary' AS anomaly_type,
+  'high' AS severity, 'Binary not on disk: ' || binary_path AS title, binary_path AS artifact_path, user AS username
+FROM ({_BIN}) WHERE binary_exists = false
+"""
+
+PROCESS_CONN_JOIN = f"""
+SELECT p.collection_id, p.source_file, p.line_no, p.pid, c.line_no AS conn_line_no, c.protocol, c.local_port,
+  c.remote_address, c.remote_port, c.state
+FROM ({PROC_EXPECTED}) p LEFT JOIN ({CONN_EXPECTED}) c ON p.collection_id = c.collection_id AND p.pid = c.pid
+"""
+
+PROCESS_PARENT = f"""
+WITH p AS ({PROC_EXPECTED}),
+par AS (SELECT collection_id, pid, first(command ORDER BY source_file, line_no) AS parent_command
+        FROM p WHERE pid IS NOT NULL GROUP BY collection_id, pid)
+SELECT p.collection_id, p.source_file, p.line_no, p.pid, p.ppid, par.parent_command
+FROM p LEFT JOIN par ON p.collection_id = par.collection_id AND p.ppid = par.pid
+"""
+
+EVENTS_AROUND_PIVOT = """
+SELECT a.user_id, a.event_id AS pivot_id, b.event_id, epoch_us(b.ts) - epoch_us(a.ts) AS delta_us
+FROM events a JOIN events b ON a.user_id = b.user_id
+  AND b.ts BETWEEN a.ts - INTERVAL 300 SECOND AND a.ts + INTERVAL 300 SECOND AND b.event_id <> a.event_id
+WHERE a.event_type = 'error'
+"""
+
+LOGIN_BURST = """
+SELECT s.user_id, s.event_id, count(*) AS failures, strftime(s.ts, '%Y-%m-%d %H:%M:%S.%f') AS ts
+FROM events s JOIN events e ON e.user_id = s.user_id AND e.event_type = 'error'
+  AND e.ts >= s.ts - INTERVAL 1 DAY AND e.ts < s.ts
+WHERE s.event_type = 'signup'
+GROUP BY s.user_id, s.event_id, s.ts HAVING count(*) >= 3
+"""
