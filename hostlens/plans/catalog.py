@@ -11,11 +11,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import columns as cols
+from ..functions import text as txt
+from ..operators import chunks as ch
+from ..operators import ioc
+from ..operators import prompts as pr
+from ..operators import retrieval as ret
 from ..operators import detectors as det
 from ..operators import enrich as en
 from ..operators import files
@@ -323,3 +328,175 @@ def login_burst(spark, sf_dir):
     et = F.col("event_type")
     out = en.failures_before(ev, "user_id", "ts", et == "error", et == "signup")
     return out.select("user_id", "event_id", "failures", ts_text("ts").alias("ts"))
+
+
+@register("security_tags")
+def security_tags_q(spark, sf_dir):
+    """TAG-1: security tags of each document (keyword substrings, rule order)."""
+    docs = d.read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.array_join(txt.security_tags("text"), ",").alias("tags"))
+
+
+@register("chunk_documents")
+def chunk_documents(spark, sf_dir):
+    """CHK-1, CHK-8, SCA-11: overlapping 1500/200 split of whole documents, repeatable ids."""
+    docs = d.read_table(spark, sf_dir, "documents")
+    ch = docs.select("doc_id", F.posexplode(txt.split_chunks("text")).alias("ordinal", "content"))
+    return ch.select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"),
+                     txt.chunk_id(F.lit("doc"), F.col("content"), F.col("ordinal")).alias("chunk_id"),
+                     F.length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("content_md5"))
+
+
+def label_queries(spark, sf_dir):
+    """Query vectors derived from the table: per label the centroid (variant 0)
+    and the centroids of three folds of the label's vectors (variants 1..3)."""
+    emb = d.read_table(spark, sf_dir, "embeddings")
+    whole = ret.centroids(emb, ["label"]).withColumn("variant", F.lit(0))
+    folds = ret.centroids(emb.withColumn("variant", (F.col("vec_id") % 3 + 1).cast("int")), ["label", "variant"])
+    return emb, whole.unionByName(folds)
+
+
+@register("vector_topk")
+def vector_topk(spark, sf_dir):
+    """RET-3 (+FIL-14 scope): 5 nearest vectors to each label centroid within the label."""
+    emb, qs = label_queries(spark, sf_dir)
+    hits = ret.knn(emb, qs.where(F.col("variant") == 0), "label", k=rules.HITS_PER_QUERY, id_col="vec_id",
+                   query_cols=["label", "variant"])
+    return hits.select("label", F.col("rank").cast("bigint").alias("rank"), "vec_id",
+                       F.round("distance", 6).alias("distance"), F.round("score", 4).alias("score"))
+
+
+def _doc_hits(spark, sf_dir, k, variants):
+    emb, qs = label_queries(spark, sf_dir)
+    hits = ret.knn(emb, qs.where(F.col("variant").isin(variants)), "label", k=k, id_col="vec_id",
+                   query_cols=["label", "variant"])
+    docs = d.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source", "lang")
+    return hits.join(docs, "vec_id")
+
+
+@register("context_pack")
+def context_pack(spark, sf_dir):
+    """RET-4, WIN-2: top-10 documents per label centroid packed into a 4000-token context."""
+    hits = _doc_hits(spark, sf_dir, rules.HITS_FOR_CONTEXT, [0])
+    packed = ret.pack_context(hits, ["label"], "text", "source", "lang", ["rank"], rules.CONTEXT_TOKEN_BUDGET)
+    return packed.select("label", "n_used", "tokens_used", "context")
+
+
+@register("multi_query_dedup")
+def multi_query_dedup(spark, sf_dir):
+    """RET-5, SET-3, SRT-3: question + 3 variants, 5 hits each, content-hash dedup
+    (first hit wins), merged by score."""
+    hits = _doc_hits(spark, sf_dir, rules.HITS_PER_QUERY, [0, 1, 2, 3])
+    uniq = ret.dedup_hits(hits, ["label"], "text", ["variant", "rank"])
+    return uniq.select("label", "variant", F.col("rank").cast("bigint").alias("rank"), "vec_id",
+                       F.round("score", 4).alias("score"), F.md5("text").alias("content_md5"))
+
+
+@register("ioc_extract")
+def ioc_extract(spark, sf_dir):
+    """IOC-1: indicators in document texts and page URLs, counted per (kind, value)."""
+    docs = ioc.extract_iocs(d.read_table(spark, sf_dir, "documents"), "text", "doc_id",
+                            ["email", "ipv4", "hash", "path"])
+    pages = ioc.extract_iocs(d.read_table(spark, sf_dir, "pages"), "url", "page_id", ["url"])
+    return ioc.ioc_summary(docs.unionByName(pages))
+
+
+def synthetic_answers(spark, sf_dir) -> DataFrame:
+    """Markdown answers written from assistant turns (headings around the turn text)."""
+    conv = d.read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    answer = F.concat(
+        F.lit("# Findings\n## Executive Summary\n"), F.col("text"),
+        F.lit("\n## Immediate Actions\n1. Isolate host "), F.col("conv_id").cast("string"),
+        F.lit("\n2) Collect memory of turn "), F.col("turn").cast("string"),
+        F.lit("\n\n- Rotate keys\n## Notes\nReviewed."))
+    return conv.select("conv_id", "turn", answer.alias("answer"))
+
+
+@register("answer_sections")
+def answer_sections(spark, sf_dir):
+    """PRM-3: executive summary text and action list cut from Markdown answers."""
+    a = synthetic_answers(spark, sf_dir)
+    summary = pr.extract_section("answer", "Executive Summary")
+    actions = pr.action_items(pr.extract_section("answer", "Immediate"))
+    return a.select("conv_id", "turn", summary.alias("summary"), F.array_join(actions, " | ").alias("actions"))
+
+
+@register("prompt_table")
+def prompt_table_q(spark, sf_dir):
+    """PRM-1: query prompts from the packed per-label contexts."""
+    ctx = context_pack(spark, sf_dir)
+    question = F.concat(F.lit("Which records are closest to label "), F.col("label").cast("string"), F.lit("?"))
+    return pr.prompt_table(ctx.withColumn("question", question), "query", ["label"],
+                           query=F.col("question"), context=F.col("context"))
+
+
+@register("followup_questions")
+def followup_questions(spark, sf_dir):
+    """PRM-4: follow-up suggestions for each user turn."""
+    conv = d.read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return conv.select("conv_id", "turn", F.array_join(pr.followups("text"), " | ").alias("suggestions"))
+
+
+@register("top_cpu")
+def top_cpu(spark, sf_dir):
+    """SRT-2, FIL-10: top 50 processes by cpu (> 10) and by mem (> 5) per collection."""
+    p = processes(spark, sf_dir)
+    out = None
+    for name, col, limit in (("high_cpu", "cpu", 10), ("high_mem", "mem", 5)):
+        w = Window.partitionBy("collection_id").orderBy(F.col(col).desc(), "source_file", "line_no")
+        g = (p.where(F.col(col) > limit).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 50)
+             .select("collection_id", F.lit(name).alias("grp"), F.col("rank").cast("bigint").alias("rank"), "pid",
+                     F.col(col).alias("value")))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+@register("collection_summary")
+def collection_summary(spark, sf_dir):
+    """AGG-1 / COMPOSE-1 counts: per collection, rows of every artifact table."""
+    bf = bodyfile(spark, sf_dir)
+    parts = [
+        bf.groupBy("collection_id").agg(
+            F.count(F.lit(1)).alias("total_files"),
+            F.count_if(F.col("mode").contains("x") & ~F.col("mode").startswith("d")).alias("executable_files"),
+            F.count_if(F.lower("mode").contains("s")).alias("setuid_files")),
+        processes(spark, sf_dir).groupBy("collection_id").agg(F.count(F.lit(1)).alias("processes")),
+        connections(spark, sf_dir).groupBy("collection_id").agg(F.count(F.lit(1)).alias("network_connections")),
+        users(spark, sf_dir).groupBy("collection_id").agg(F.count(F.lit(1)).alias("users")),
+        event_logs(spark, sf_dir).groupBy("collection_id").agg(
+            F.count(F.lit(1)).alias("log_entries"), F.count_if(F.col("timestamp").isNotNull()).alias("_log_events")),
+        bf.groupBy("collection_id").agg(
+            (F.count_if(F.col("mtime") > 0)
+             + F.count_if((F.col("crtime") > 0) & ((F.col("mtime") <= 0) | (F.col("crtime") != F.col("mtime")))))
+            .alias("_file_events")),
+    ]
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.join(p_, "collection_id", "full_outer")
+    cols_ = ["total_files", "executable_files", "setuid_files", "processes", "network_connections", "users",
+             "log_entries"]
+    return out.select("collection_id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cols_],
+                      (F.coalesce("_log_events", F.lit(0)) + F.coalesce("_file_events", F.lit(0))).alias("timeline_events"))
+
+
+@register("logs_by_source")
+def logs_by_source(spark, sf_dir):
+    """AGG-4: per log file, entry count and the first 500 entries as text."""
+    return tl.logs_by_file(event_logs(spark, sf_dir)).select("collection_id", "source", "entry_count", "content")
+
+
+@register("artifact_chunks")
+def artifact_chunks(spark, sf_dir):
+    """CHK-2..8, TAG-1, SET-2: every chunk producer over the derived collections."""
+    logs = event_logs(spark, sf_dir)
+    parts = [
+        ch.file_chunks(bodyfile(spark, sf_dir)),
+        ch.process_chunks(processes(spark, sf_dir)),
+        ch.network_chunks(connections(spark, sf_dir)),
+        ch.user_chunks(users(spark, sf_dir)),
+        ch.timeline_chunks(tl.hourly_buckets(tl.log_events(logs))),
+        ch.log_chunks(tl.logs_by_file(logs)),
+    ]
+    c = ch.all_chunks(*parts)
+    return c.select("collection_id", "kind_rank", "group_rank", "chunk_id", "ordinal", "artifact_type", "source",
+                    F.length("content").alias("n_chars"), F.array_join("tags", ",").alias("tags"))

@@ -518,3 +518,247 @@ FROM events s JOIN events e ON e.user_id = s.user_id AND e.event_type = 'error'
 WHERE s.event_type = 'signup'
 GROUP BY s.user_id, s.event_id, s.ts HAVING count(*) >= 3
 """
+
+
+# ---------------------------------------------------------------------------
+# Documents: tags and chunks
+# ---------------------------------------------------------------------------
+SECURITY_TAGS = f"SELECT doc_id, {tags_sql('text')} AS tags FROM documents"
+
+_WS = r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def py_strip_sql(expr: str) -> str:
+    return f"regexp_replace({expr}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _last_pos(text: str, s: str, ch: str, size: int) -> str:
+    p = f"strpos(reverse(substr({text}, {s} + 1, {size})), {ch})"
+    return f"(CASE WHEN {p} > 0 THEN {s} + {size} - {p} ELSE -1 END)"
+
+
+def _chunk_end(text: str, n: str, s: str, size: int = rules.CHUNK_SIZE) -> str:
+    half = size // 2
+    nl = _last_pos(text, s, "chr(10)", size)
+    sp = _last_pos(text, s, "' '", size)
+    return (f"(CASE WHEN {s} + {size} >= {n} THEN {s} + {size} WHEN {nl} > {s} + {half} THEN {nl} + 1 "
+            f"WHEN {sp} > {s} + {half} THEN {sp} + 1 ELSE {s} + {size} END)")
+
+
+def chunks_sql(source: str, id_col: str, text_col: str, size: int = rules.CHUNK_SIZE,
+               overlap: int = rules.CHUNK_OVERLAP) -> str:
+    """(id, ordinal, content) of the overlapping split of ``text_col`` (recursive CTE)."""
+    return f"""
+WITH RECURSIVE d AS (SELECT {id_col} AS id, {text_col} AS text, length({text_col}) AS n FROM ({source})),
+w(id, s, e) AS (
+  SELECT id, 0, {_chunk_end('text', 'n', '0', size)} FROM d WHERE n > {size}
+  UNION ALL
+  SELECT w.id, w.e - {overlap}, {_chunk_end('d.text', 'd.n', f'(w.e - {overlap})', size)}
+  FROM w JOIN d ON w.id = d.id WHERE w.e - {overlap} < d.n
+),
+pieces AS (
+  SELECT w.id, w.s, {py_strip_sql('substr(d.text, w.s + 1, w.e - w.s)')} AS content, false AS short
+  FROM w JOIN d ON w.id = d.id
+  UNION ALL SELECT id, 0, text, true FROM d WHERE n <= {size}
+)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS BIGINT) AS ordinal, content
+FROM pieces WHERE short OR content <> ''
+"""
+
+
+CHUNK_DOCUMENTS = f"""
+SELECT id AS doc_id, ordinal, 'doc_' || substr(md5(content), 1, 8) || '_' || {vc('ordinal')} AS chunk_id,
+  CAST(length(content) AS BIGINT) AS n_chars, md5(content) AS content_md5
+FROM ({chunks_sql('SELECT * FROM documents', 'doc_id', 'text')})
+"""
+
+# ---------------------------------------------------------------------------
+# Retrieval on embeddings
+# ---------------------------------------------------------------------------
+_CENTROIDS = """
+WITH u AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+whole AS (SELECT label, 0 AS variant, i, avg(CAST(v AS DOUBLE)) AS m FROM u GROUP BY label, i),
+folds AS (SELECT label, CAST(vec_id % 3 + 1 AS INTEGER) AS variant, i, avg(CAST(v AS DOUBLE)) AS m FROM u
+          GROUP BY label, vec_id % 3 + 1, i),
+c AS (SELECT label, variant, list(m ORDER BY i) AS q FROM (SELECT * FROM whole UNION ALL SELECT * FROM folds)
+      GROUP BY label, variant)
+"""
+
+
+def _hits_sql(k: int, variants: str) -> str:
+    return f"""{_CENTROIDS},
+dist AS (
+  SELECT c.label, c.variant, e.vec_id,
+    list_reduce(list_transform(range(1, len(e.embedding) + 1),
+                               lambda i: (CAST(e.embedding[i] AS DOUBLE) - c.q[i]) * (CAST(e.embedding[i] AS DOUBLE) - c.q[i])),
+                lambda a, b: a + b) AS distance
+  FROM c JOIN embeddings e ON e.label = c.label WHERE c.variant IN ({variants})
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY label, variant ORDER BY distance, vec_id) AS rnk FROM dist)
+SELECT label, variant, rnk, vec_id, distance, greatest(0.0, 1 - distance) AS score FROM ranked WHERE rnk <= {k}
+"""
+
+
+VECTOR_TOPK = f"""
+SELECT label, CAST(rnk AS BIGINT) AS rank, vec_id, round(distance, 6) AS distance, round(score, 4) AS score
+FROM ({_hits_sql(rules.HITS_PER_QUERY, '0')})
+"""
+
+_CTX_HITS = f"""
+SELECT h.*, d.text, d.source, d.lang FROM ({_hits_sql(rules.HITS_FOR_CONTEXT, '0')}) h
+JOIN documents d ON d.doc_id = h.vec_id
+"""
+
+CONTEXT_PACK = f"""
+WITH t AS (SELECT *, CAST(floor(length(text) / 4) AS BIGINT) AS tok FROM ({_CTX_HITS})),
+r AS (SELECT *, sum(tok) OVER (PARTITION BY label ORDER BY rnk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+      FROM t)
+SELECT label, count(*) AS n_used, sum(tok) AS tokens_used,
+  string_agg('--- Source: ' || coalesce(source, 'unknown') || ' (' || coalesce(lang, 'unknown') || ') [relevance: '
+             || CAST(CAST(CAST(score AS DECIMAL(20, 4)) AS DECIMAL(20, 2)) AS VARCHAR) || '] ---' || chr(10) || text
+             || chr(10), chr(10) ORDER BY rnk) AS context
+FROM r WHERE run <= {rules.CONTEXT_TOKEN_BUDGET} GROUP BY label
+"""
+
+MULTI_QUERY_DEDUP = f"""
+WITH h AS (SELECT h.*, d.text FROM ({_hits_sql(rules.HITS_PER_QUERY, '0, 1, 2, 3')}) h JOIN documents d ON d.doc_id = h.vec_id),
+f AS (SELECT *, row_number() OVER (PARTITION BY label, md5(text) ORDER BY variant, rnk) AS first_seen FROM h)
+SELECT label, variant, CAST(rnk AS BIGINT) AS rank, vec_id, round(score, 4) AS score, md5(text) AS content_md5
+FROM f WHERE first_seen = 1
+"""
+
+# ---------------------------------------------------------------------------
+# Indicators
+# ---------------------------------------------------------------------------
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_IPV4 = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
+_HASH = r"[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32}"
+_URL = r"https?://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+"
+_PATH = r"/(?:etc|tmp|var|usr|home|root|dev|opt|bin|sbin)/[A-Za-z0-9._/-]+"
+_DOMAIN = r"^https?://([A-Za-z0-9.-]+)"
+
+IOC_EXTRACT = f"""
+WITH m AS (
+  SELECT 'email' AS kind, unnest(regexp_extract_all(text, '{_EMAIL}')) AS value, doc_id AS id FROM documents
+  UNION ALL SELECT 'ipv4', unnest(regexp_extract_all(text, '{_IPV4}')), doc_id FROM documents
+  UNION ALL SELECT CASE length(v) WHEN 64 THEN 'sha256' WHEN 40 THEN 'sha1' ELSE 'md5' END, lower(v), id
+    FROM (SELECT unnest(regexp_extract_all(text, '{_HASH}')) AS v, doc_id AS id FROM documents)
+  UNION ALL SELECT 'path', unnest(regexp_extract_all(text, '{_PATH}')), doc_id FROM documents
+  UNION ALL SELECT 'url', unnest(regexp_extract_all(url, '{_URL}')), page_id FROM pages
+  UNION ALL SELECT 'domain', lower(regexp_extract(v, '{_DOMAIN}', 1)), id
+    FROM (SELECT unnest(regexp_extract_all(url, '{_URL}')) AS v, page_id AS id FROM pages)
+)
+SELECT kind, value, count(*) AS occurrences, min(id) AS first_id, max(id) AS last_id
+FROM m WHERE value <> '' GROUP BY kind, value
+"""
+
+# ---------------------------------------------------------------------------
+# Answers and prompts
+# ---------------------------------------------------------------------------
+_ANSWERS = f"""
+SELECT conv_id, turn, '# Findings' || chr(10) || '## Executive Summary' || chr(10) || text || chr(10)
+  || '## Immediate Actions' || chr(10) || '1. Isolate host ' || {vc('conv_id')} || chr(10)
+  || '2) Collect memory of turn ' || {vc('turn')} || chr(10) || chr(10) || '- Rotate keys' || chr(10)
+  || '## Notes' || chr(10) || 'Reviewed.' AS answer
+FROM conversations WHERE role = 'assistant'
+"""
+
+
+def _section_sql(name: str) -> str:
+    low = name.lower()
+    return f"""
+l AS (SELECT conv_id, turn, unnest(string_split(answer, chr(10))) AS line,
+             generate_subscripts(string_split(answer, chr(10)), 1) AS i FROM a),
+f AS (SELECT *, contains(lower(line), '{low}') AND contains(line, '#') AS head FROM l),
+st AS (SELECT conv_id, turn, min(i) FILTER (WHERE head) AS h FROM f GROUP BY conv_id, turn),
+en AS (SELECT f.conv_id, f.turn, min(f.i) FILTER (WHERE f.i > st.h AND starts_with(f.line, '#') AND NOT f.head) AS e
+       FROM f JOIN st ON f.conv_id = st.conv_id AND f.turn = st.turn GROUP BY f.conv_id, f.turn),
+sec AS (SELECT st.conv_id, st.turn,
+          CASE WHEN st.h IS NULL THEN '' ELSE {py_strip_sql("coalesce(string_agg(f.line, chr(10) ORDER BY f.i) FILTER (WHERE f.i > st.h AND (en.e IS NULL OR f.i < en.e) AND NOT f.head), '')")} END AS body
+        FROM st JOIN en ON st.conv_id = en.conv_id AND st.turn = en.turn
+        JOIN f ON f.conv_id = st.conv_id AND f.turn = st.turn
+        GROUP BY st.conv_id, st.turn, st.h)"""
+
+
+ANSWER_SECTIONS = f"""
+WITH a AS ({_ANSWERS}),
+s1 AS (WITH {_section_sql('Executive Summary')} SELECT * FROM sec),
+s2 AS (WITH {_section_sql('Immediate')} SELECT * FROM sec)
+SELECT s1.conv_id, s1.turn, s1.body AS summary,
+  array_to_string(list_transform(
+    list_filter(list_transform(string_split(s2.body, chr(10)), lambda x: {py_strip_sql('x')}),
+                lambda x: x <> '' AND NOT starts_with(x, '#')),
+    lambda x: regexp_replace(x, '^[0-9.\\-) ]+', '')), ' | ') AS actions
+FROM s1 JOIN s2 ON s1.conv_id = s2.conv_id AND s1.turn = s2.turn
+"""
+
+
+def _prompt_sql() -> str:
+    from ..operators.prompts import TEMPLATES
+    return q(TEMPLATES["query"])
+
+
+PROMPT_TABLE = f"""
+SELECT label, 'query' AS template,
+  replace(replace({_prompt_sql()}, '{{query}}', 'Which records are closest to label ' || {vc('label')} || '?'),
+          '{{context}}', context) AS prompt
+FROM ({CONTEXT_PACK})
+"""
+
+
+def _followups_sql(col: str) -> str:
+    low = f"lower({col})"
+    parts = []
+    for words, sugg in rules.FOLLOWUP_SUGGESTIONS:
+        cond = " OR ".join(f"contains({low}, {q(w)})" for w in words)
+        parts.append(f"WHEN {cond} THEN {q(' | '.join(sugg))}")
+    return "CASE " + " ".join(parts) + f" ELSE {q(' | '.join(rules.FOLLOWUP_DEFAULT))} END"
+
+
+FOLLOWUP_QUESTIONS = f"""
+SELECT conv_id, turn, {_followups_sql('text')} AS suggestions FROM conversations WHERE role = 'user'
+"""
+
+# ---------------------------------------------------------------------------
+# Process ranking, summary, per-file logs
+# ---------------------------------------------------------------------------
+TOP_CPU = f"""
+WITH p AS ({PROC_EXPECTED})
+SELECT collection_id, grp, CAST(rank AS BIGINT) AS rank, pid, value FROM (
+  SELECT collection_id, 'high_cpu' AS grp, pid, cpu AS value,
+    row_number() OVER (PARTITION BY collection_id ORDER BY cpu DESC, source_file, line_no) AS rank FROM p WHERE cpu > 10
+  UNION ALL
+  SELECT collection_id, 'high_mem', pid, mem,
+    row_number() OVER (PARTITION BY collection_id ORDER BY mem DESC, source_file, line_no) FROM p WHERE mem > 5
+) WHERE rank <= 50
+"""
+
+COLLECTION_SUMMARY = f"""
+WITH b AS (SELECT collection_id, count(*) AS total_files,
+             count(*) FILTER (WHERE contains(mode, 'x') AND NOT starts_with(mode, 'd')) AS executable_files,
+             count(*) FILTER (WHERE contains(lower(mode), 's')) AS setuid_files,
+             count(*) FILTER (WHERE mtime > 0) + count(*) FILTER (WHERE crtime > 0 AND (mtime <= 0 OR crtime <> mtime)) AS fe
+           FROM ({BODY_EXPECTED}) GROUP BY collection_id),
+p AS (SELECT collection_id, count(*) AS processes FROM ({PROC_EXPECTED}) GROUP BY collection_id),
+c AS (SELECT collection_id, count(*) AS network_connections FROM ({CONN_EXPECTED}) GROUP BY collection_id),
+u AS (SELECT collection_id, count(*) AS users FROM ({USER_EXPECTED}) GROUP BY collection_id),
+l AS (SELECT collection_id, count(*) AS log_entries, count(ts_parsed) AS le FROM ({LOG_EXPECTED}) GROUP BY collection_id)
+SELECT coalesce(b.collection_id, p.collection_id, c.collection_id, u.collection_id, l.collection_id) AS collection_id,
+  coalesce(total_files, 0) AS total_files, coalesce(executable_files, 0) AS executable_files,
+  coalesce(setuid_files, 0) AS setuid_files, coalesce(processes, 0) AS processes,
+  coalesce(network_connections, 0) AS network_connections, coalesce(users, 0) AS users,
+  coalesce(log_entries, 0) AS log_entries, coalesce(le, 0) + coalesce(fe, 0) AS timeline_events
+FROM b FULL JOIN p USING (collection_id) FULL JOIN c USING (collection_id) FULL JOIN u USING (collection_id)
+  FULL JOIN l USING (collection_id)
+"""
+
+LOGS_BY_SOURCE = f"""
+WITH g AS (SELECT collection_id, regexp_extract(source_file, '[^/]*$') AS source, source_file, line_no,
+             CASE WHEN ts_parsed IS NOT NULL THEN '[' || strftime(ts_parsed, '%Y-%m-%d %H:%M:%S') || '] '
+                  ELSE '[Unknown Time] ' END || message || chr(10) AS line FROM ({LOG_EXPECTED})),
+r AS (SELECT *, row_number() OVER (PARTITION BY collection_id, source ORDER BY source_file, line_no) AS rn FROM g)
+SELECT collection_id, source, count(*) AS entry_count,
+  '# Log File: ' || source || chr(10) || chr(10) || string_agg(line, '' ORDER BY source_file, line_no) FILTER (WHERE rn <= 500)
+    AS content
+FROM r GROUP BY collection_id, source
+"""
