@@ -24,9 +24,20 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same set as literal characters, for ``btrim`` (no regex on the hot path).
+PY_SPACE_CHARS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                  + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(c) -> Column:
-    """Python ``str.strip()`` with no arguments."""
-    return F.regexp_replace(col_(c), PY_STRIP_REGEX, "")
+    """Python ``str.strip()`` with no arguments (character-set trim, no regex)."""
+    return F.btrim(col_(c), F.lit(PY_SPACE_CHARS))
+
+
+def is_digits(c) -> Column:
+    """``str.isdigit()`` for ASCII digits: non-empty and only 0-9 (no regex)."""
+    c = col_(c)
+    return (F.length(c) > 0) & (F.length(F.translate(c, "0123456789", "")) == 0)
 
 
 def py_split_ws(c, max_parts: int = -1) -> Column:
@@ -48,7 +59,7 @@ def digits_or(c, default) -> Column:
     """``int(x) if x.isdigit() else default`` (ASCII digits)."""
     c = col_(c)
     default_col = default if isinstance(default, Column) else F.lit(default)
-    return F.when(c.rlike(r"^[0-9]+$"), c.try_cast("bigint")).otherwise(default_col.cast("bigint"))
+    return F.when(is_digits(c), c.try_cast("bigint")).otherwise(default_col.cast("bigint"))
 
 
 def epoch_to_ts(c) -> Column:
@@ -68,8 +79,9 @@ def iso_text(ts) -> Column:
 
 def base_name(path) -> Column:
     """``pathlib.Path(p).name``: last component, trailing slashes ignored."""
-    trimmed = F.regexp_replace(col_(path), "/+$", "")
-    return F.regexp_extract(trimmed, r"([^/]*)$", 1)
+    p = col_(path)
+    trimmed = F.when(p.endswith("/"), F.regexp_replace(p, "/+$", "")).otherwise(p)
+    return F.substring_index(trimmed, "/", -1)
 
 
 def parent_dir(path) -> Column:
@@ -129,27 +141,35 @@ def title_case(c) -> Column:
     return F.regexp_replace(F.initcap(F.regexp_replace(c, "([^A-Za-z])", "$1 ")), "([^A-Za-z]) ", "$1")
 
 
+def _split_last_colon(s: Column):
+    """(head, tail) around the last ':' using string functions only."""
+    tail = F.substring_index(s, ":", -1)
+    head = F.substring(s, F.lit(1), F.length(s) - F.length(tail) - 1)
+    return head, tail
+
+
 def addr_port_text(c) -> Column:
     """Address/port split used for netstat text lines.
 
-    '' or '*:*' -> ('*', 0); '[v6]:n' -> (v6, n); otherwise split at the last
-    ':' (non-digit port -> 0); no ':' -> (text, 0).
+    '' or '*:*' -> ('*', 0); '[v6]:n...' -> (v6, n); otherwise split at the last
+    ':' (non-digit port -> 0); no ':' -> (text, 0).  Only the bracket form
+    needs a regex, and it is evaluated only for values starting with '['.
     """
     s = col_(c)
-    br_addr = F.regexp_extract(s, r"^\[([^\]]+)\]:([0-9]+)", 1)
-    br_port = F.regexp_extract(s, r"^\[([^\]]+)\]:([0-9]+)", 2)
-    head = F.regexp_extract(s, r"^(.*):([^:]*)$", 1)
-    tail = F.regexp_extract(s, r"^(.*):([^:]*)$", 2)
+    head, tail = _split_last_colon(s)
+    bracket = r"^\[([^\]]+)\]:([0-9]+)"
+    is_br = s.startswith("[") & s.rlike(bracket)
+    star = s.isNull() | (s == "") | (s == "*:*")
     addr = (
-        F.when(s.isNull() | (s == "") | (s == "*:*"), F.lit("*"))
-        .when(s.startswith("[") & (br_port != ""), br_addr)
+        F.when(star, F.lit("*"))
+        .when(is_br, F.regexp_extract(s, bracket, 1))
         .when(s.contains(":"), head)
         .otherwise(s)
     )
     port = (
-        F.when(s.isNull() | (s == "") | (s == "*:*"), F.lit(0))
-        .when(s.startswith("[") & (br_port != ""), br_port.try_cast("int"))
-        .when(s.contains(":"), F.when(tail.rlike("^[0-9]+$"), tail.try_cast("int")).otherwise(F.lit(0)))
+        F.when(star, F.lit(0))
+        .when(is_br, F.regexp_extract(s, bracket, 2).try_cast("int"))
+        .when(s.contains(":") & is_digits(tail), tail.try_cast("int"))
         .otherwise(F.lit(0))
     )
     return F.struct(addr.alias("address"), port.cast("int").alias("port"))
@@ -158,10 +178,9 @@ def addr_port_text(c) -> Column:
 def addr_port_plain(c) -> Column:
     """Address/port split used for YAML text output: last ':' only."""
     s = col_(c)
-    head = F.regexp_extract(s, r"^(.*):([^:]*)$", 1)
-    tail = F.regexp_extract(s, r"^(.*):([^:]*)$", 2)
+    head, tail = _split_last_colon(s)
     addr = F.when(s.contains(":"), head).otherwise(s)
-    port = F.when(s.contains(":") & tail.rlike("^[0-9]+$"), tail.try_cast("int")).otherwise(F.lit(0))
+    port = F.when(s.contains(":") & is_digits(tail), tail.try_cast("int")).otherwise(F.lit(0))
     return F.struct(addr.alias("address"), port.cast("int").alias("port"))
 
 

@@ -35,9 +35,12 @@ def s(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
-def _with_headers(body: DataFrame, header_text: str) -> DataFrame:
-    heads = body.select("collection_id", "source_file").distinct().select(
-        "collection_id", "source_file", F.lit(0).cast("bigint").alias("line_no"), F.lit(header_text).alias("line"))
+def _with_headers(body: DataFrame, base: DataFrame, host_key: str, source_file: Column, header: Column) -> DataFrame:
+    """Add one header line per (collection, file), computed from the base table's
+    key column alone (a tiny distinct), not from the built lines."""
+    heads = (base.select(host_of(host_key).alias("collection_id"), source_file.alias("source_file"),
+                         header.alias("line")).distinct()
+             .select("collection_id", "source_file", F.lit(0).cast("bigint").alias("line_no"), "line"))
     return body.unionByName(heads)
 
 
@@ -135,12 +138,10 @@ def process_lines(events: DataFrame) -> DataFrame:
         (e + 1).cast("bigint").alias("line_no"),
         F.when(kind == 0, aux).when(kind == 1, ef).otherwise(generic).alias("line"),
     )
-    heads = body.select("collection_id", "source_file").distinct().select(
-        "collection_id", "source_file", F.lit(0).cast("bigint").alias("line_no"),
-        F.when(F.col("source_file") == PS_FILES[0], F.lit(PS_AUX_HEADER))
-        .when(F.col("source_file") == PS_FILES[1], F.lit(PS_EF_HEADER))
-        .otherwise(F.lit(PS_GENERIC_HEADER)).alias("line"))
-    return fence(body.unionByName(heads), LINE_COLS)
+    header = F.when(kind == 0, F.lit(PS_AUX_HEADER)).when(kind == 1, F.lit(PS_EF_HEADER)).otherwise(
+        F.lit(PS_GENERIC_HEADER))
+    file_ = F.element_at(F.array(*[F.lit(f) for f in PS_FILES]), (kind + 1).cast("int"))
+    return fence(_with_headers(body, events, "user_id", file_, header), LINE_COLS)
 
 
 # ---------------------------------------------------------------------------
@@ -178,7 +179,7 @@ def netstat_lines(lineitem: DataFrame) -> DataFrame:
         (ok * 8 + ln).cast("bigint").alias("line_no"),
         F.when(proto == "unix", unix).otherwise(inet).alias("line"),
     )
-    return fence(_with_headers(body, NETSTAT_HEADER), LINE_COLS)
+    return fence(_with_headers(body, lineitem, "l_suppkey", F.lit(NETSTAT_FILE), F.lit(NETSTAT_HEADER)), LINE_COLS)
 
 
 # ---------------------------------------------------------------------------
