@@ -500,3 +500,19 @@ def artifact_chunks(spark, sf_dir):
     c = ch.all_chunks(*parts)
     return c.select("collection_id", "kind_rank", "group_rank", "chunk_id", "ordinal", "artifact_type", "source",
                     F.length("content").alias("n_chars"), F.array_join("tags", ",").alias("tags"))
+
+
+@register("stream_hourly")
+def stream_hourly(spark, sf_dir):
+    """STR-1 + STR-2: the events table replayed as a stream, parsed as log lines,
+    counted per (collection, hour) with a watermark; equals the batch counts."""
+    from ..streaming import streams as sm
+
+    schema = d.read_table(spark, sf_dir, "events").schema
+    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+          .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    logs = sm.parsed_logs(d.event_log_lines(ev), reference_year=REFERENCE_YEAR)
+    counts = sm.hourly_counts(logs)
+    out = sm.run_available_now(counts, name="stream_hourly")
+    final = sm.latest_rows(spark, out, ["collection_id", "window_start"])
+    return final.select("collection_id", ts_text("window_start").alias("hour_start"), "event_count")

@@ -762,3 +762,10 @@ SELECT collection_id, source, count(*) AS entry_count,
     AS content
 FROM r GROUP BY collection_id, source
 """
+
+
+STREAM_HOURLY = f"""
+SELECT collection_id, strftime(date_trunc('hour', ts_parsed), '%Y-%m-%d %H:%M:%S.%f') AS hour_start,
+  count(*) AS event_count
+FROM ({LOG_EXPECTED}) WHERE ts_parsed IS NOT NULL GROUP BY collection_id, date_trunc('hour', ts_parsed)
+"""
