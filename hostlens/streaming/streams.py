@@ -25,7 +25,7 @@ def log_line_stream(spark: SparkSession, directory: str, glob: str = "*", collec
     file order like the batch reader.
     """
     raw = (spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", glob)
-           .load(directory))
+           .option("recursiveFileLookup", "true").load(directory))
     path = F.col("_metadata.file_path")
     cid = F.lit(collection_id) if collection_id else F.regexp_extract(path, r"/([^/]+)/[^/]*$", 1)
     return raw.select(cid.alias("collection_id"), path.alias("source_file"),
@@ -68,15 +68,17 @@ def run_available_now(df: DataFrame, out_dir: str | None = None, name: str = "st
 
     Update-mode micro-batches are appended with their batch id to a Parquet
     folder under the session's checkpoint directory (shared storage on a
-    cluster); ``latest_rows`` folds them into the final table.  Restarting the
-    query with the same folders resumes from its checkpoint (exactly-once per
-    batch id).
+    cluster); ``latest_rows`` folds them into the final table.  Given the same
+    ``out_dir`` again, the query resumes from its checkpoint next to it and
+    only processes new input.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    run = uuid.uuid4().hex[:12]
-    out_dir = out_dir or f"{base}/{name}-{run}/out"
-    ckpt = f"{base}/{name}-{run}/checkpoint"
+    if out_dir is None:
+        run = uuid.uuid4().hex[:12]
+        out_dir, ckpt = f"{base}/{name}-{run}/out", f"{base}/{name}-{run}/checkpoint"
+    else:
+        ckpt = out_dir.rstrip("/") + ".checkpoint"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(out_dir)
@@ -84,6 +86,9 @@ def run_available_now(df: DataFrame, out_dir: str | None = None, name: str = "st
     q = (df.writeStream.outputMode("update").foreachBatch(write_batch)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
+    # schema-only append so the folder exists even when no batch carried rows
+    empty = spark.createDataFrame([], df.schema).withColumn("_batch_id", F.lit(None).cast("bigint"))
+    empty.write.mode("append").parquet(out_dir)
     return out_dir
 
 
