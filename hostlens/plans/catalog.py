@@ -455,20 +455,19 @@ def top_cpu(spark, sf_dir):
 def collection_summary(spark, sf_dir):
     """AGG-1 / COMPOSE-1 counts: per collection, rows of every artifact table."""
     bf = bodyfile(spark, sf_dir)
+    file_events = (F.count_if(F.col("mtime") > 0)
+                   + F.count_if((F.col("crtime") > 0) & ((F.col("mtime") <= 0) | (F.col("crtime") != F.col("mtime")))))
     parts = [
         bf.groupBy("collection_id").agg(
             F.count(F.lit(1)).alias("total_files"),
             F.count_if(F.col("mode").contains("x") & ~F.col("mode").startswith("d")).alias("executable_files"),
-            F.count_if(F.lower("mode").contains("s")).alias("setuid_files")),
+            F.count_if(F.lower("mode").contains("s")).alias("setuid_files"),
+            file_events.alias("_file_events")),
         processes(spark, sf_dir).groupBy("collection_id").agg(F.count(F.lit(1)).alias("processes")),
         connections(spark, sf_dir).groupBy("collection_id").agg(F.count(F.lit(1)).alias("network_connections")),
         users(spark, sf_dir).groupBy("collection_id").agg(F.count(F.lit(1)).alias("users")),
         event_logs(spark, sf_dir).groupBy("collection_id").agg(
             F.count(F.lit(1)).alias("log_entries"), F.count_if(F.col("timestamp").isNotNull()).alias("_log_events")),
-        bf.groupBy("collection_id").agg(
-            (F.count_if(F.col("mtime") > 0)
-             + F.count_if((F.col("crtime") > 0) & ((F.col("mtime") <= 0) | (F.col("crtime") != F.col("mtime")))))
-            .alias("_file_events")),
     ]
     out = parts[0]
     for p_ in parts[1:]:

@@ -40,14 +40,27 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_engine_conf(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
+# Arrow batches for the Python helpers (text split, YAML decode): rows of whole
+# documents can be large, so batches are bounded by rows and bytes unless the
+# cluster configuration says otherwise.
+ARROW_BATCH_DEFAULTS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+}
+
+
 def ensure_engine_conf(spark: SparkSession) -> None:
-    """Pin the session clock to UTC; keep every other setting as given."""
+    """Pin the session clock to UTC; bound Arrow batches when unset; keep every other setting."""
     if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for k, v in ARROW_BATCH_DEFAULTS.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

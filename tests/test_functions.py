@@ -50,6 +50,9 @@ def test_chunk_split_matches_model(spark):
     small = {r.id: list(r.c) for r in df.select("id", TX.split_chunks("t", 100, 20).alias("c")).collect()}
     for i, t in enumerate(texts):
         assert small[i] == chunk_model(t, 100, 20), i
+    fold = {r.id: list(r.c) for r in df.select("id", TX.split_chunks("t", method="fold").alias("c")).collect()}
+    for i, t in enumerate(texts):
+        assert fold[i] == chunk_model(t), i
 
 
 def test_security_tags(spark):
