@@ -247,3 +247,23 @@ def anomaly_rows(anomalies: DataFrame) -> DataFrame:
         "description", "source_artifact", "artifact_path", F.size("evidence").alias("evidence_count"),
         "timestamp", "username", "process_name", "mitre_technique", "investigation_steps",
     )
+
+
+DEFAULT_ENABLED = ["suspicious_process", "unusual_network", "privilege_escalation", "hidden_file", "suspicious_user",
+                   "persistence_mechanism", "deleted_binary", "suspicious_cron", "rootkit_indicator",
+                   "unauthorized_access"]
+
+
+def apply_detector_config(anomalies: DataFrame, enabled: list[str] | None = None, score_threshold: float = 0.7,
+                          weights: dict[str, float] | None = None) -> DataFrame:
+    """DET-X6: keep enabled anomaly types whose weighted score reaches the threshold.
+
+    ``weights`` (type -> factor, default 1.0) is a literal map, so the config is
+    applied in the same narrow stage as the detectors -- no join.
+    """
+    enabled = enabled or DEFAULT_ENABLED
+    w = F.lit(1.0)
+    if weights:
+        w = F.coalesce(F.element_at(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]),
+                                    F.col("anomaly_type")), F.lit(1.0))
+    return anomalies.where(F.col("anomaly_type").isin(enabled) & (F.col("score") * w >= score_threshold))

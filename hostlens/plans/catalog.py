@@ -26,7 +26,7 @@ from ..operators import enrich as en
 from ..operators import files
 from ..operators import timeline as tl
 from ..sources import archive as arc
-from ..session import ensure_engine_conf
+from ..session import ensure_engine_conf, materialize
 from ..sources import text_parsers as tp
 from . import derived as d
 
@@ -188,8 +188,12 @@ def artifact_categorise(spark, sf_dir):
 
 
 def timeline(spark, sf_dir, sort: bool = True) -> DataFrame:
-    return tl.merge_timeline(tl.bodyfile_events(bodyfile(spark, sf_dir)), tl.log_events(event_logs(spark, sf_dir)),
-                             sort=sort)
+    merged = tl.merge_timeline(tl.bodyfile_events(bodyfile(spark, sf_dir)), tl.log_events(event_logs(spark, sf_dir)),
+                               sort=False)
+    if not sort:
+        return merged
+    # checkpoint first: the range sort samples its input, which would re-run the parse
+    return materialize(merged).orderBy("collection_id", *tl.ORDER_COLS)
 
 
 @register("timeline_union")
@@ -254,7 +258,7 @@ def all_anomalies(spark, sf_dir, threshold="low") -> DataFrame:
 @register("anomalies_ranked")
 def anomalies_ranked(spark, sf_dir):
     """DET-ALL, SET-1, FIL-12 (threshold 'high'), SRT-1."""
-    ranked = det.rank_anomalies(all_anomalies(spark, sf_dir, threshold="high"))
+    ranked = det.rank_anomalies(materialize(all_anomalies(spark, sf_dir, threshold="high")))
     return anomaly_out(ranked).withColumn("severity_rank", cols.severity_rank("severity"))
 
 
@@ -515,3 +519,42 @@ def stream_hourly(spark, sf_dir):
     out = sm.run_available_now(counts, name="stream_hourly")
     final = sm.latest_rows(spark, out, ["collection_id", "window_start"])
     return final.select("collection_id", ts_text("window_start").alias("hour_start"), "event_count")
+
+
+@register("suspicious_cron")
+def suspicious_cron(spark, sf_dir):
+    """DET-X2: cron log lines running temp-dir scripts or shell/encoding tricks."""
+    a = en.detect_suspicious_cron(event_logs(spark, sf_dir))
+    return a.select("collection_id", "anomaly_id", "anomaly_type", "severity", "description", "artifact_path")
+
+
+@register("privilege_changes")
+def privilege_changes(spark, sf_dir):
+    """DET-X4: sudo / su log lines switching to root."""
+    a = en.detect_privilege_changes(event_logs(spark, sf_dir))
+    return a.select("collection_id", "anomaly_id", "anomaly_type", "severity", "description", "artifact_path")
+
+
+DETECTOR_WEIGHTS = {"suspicious_user": 1.5, "hidden_file": 0.5}
+
+
+@register("detector_config")
+def detector_config(spark, sf_dir):
+    """DET-X6: enabled types, weighted score threshold 0.7; counts per (collection, type)."""
+    a = det.apply_detector_config(all_anomalies(spark, sf_dir), score_threshold=0.7, weights=DETECTOR_WEIGHTS)
+    return a.groupBy("collection_id", "anomaly_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("host_summary_chunks")
+def host_summary_chunks(spark, sf_dir):
+    """COMPOSE-2: one overview chunk per derived host (counts, setuid, missing binaries, listeners)."""
+    ev = d.read_table(spark, sf_dir, "events")
+    colls = ev.groupBy(d.host_of("user_id").alias("collection_id")).agg(F.max("ts").cast("timestamp").alias("collection_time"))
+    colls = colls.select("collection_id", F.col("collection_id").alias("hostname"), F.lit("linux").alias("os_type"),
+                         "collection_time")
+    bf, pr_ = bodyfile(spark, sf_dir), processes(spark, sf_dir)
+    logs = event_logs(spark, sf_dir)
+    tl_ = tl.merge_timeline(tl.bodyfile_events(bf), tl.log_events(logs), sort=False)
+    c = ch.summary_chunks(colls, bf, pr_, connections(spark, sf_dir), users(spark, sf_dir), logs, tl_,
+                          en.with_binary_info(pr_, bf))
+    return c.select("collection_id", "chunk_id", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))

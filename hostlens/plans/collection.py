@@ -120,3 +120,13 @@ def write_tables(tables: dict[str, DataFrame], out_dir: str, mode: str = "overwr
 
 def read_tables(spark: SparkSession, out_dir: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{out_dir.rstrip('/')}/{n}") for n in (names or TABLES)}
+
+
+CATEGORY_TABLES = {"bodyfile": "bodyfile", "process": "processes", "network": "connections", "user": "users",
+                   "hash": "hashes", "log": "logs"}
+
+
+def artifacts_by_category(tables: dict[str, DataFrame], category: str) -> DataFrame | None:
+    """FIL-16: the table holding one artifact category (None for other categories)."""
+    name = CATEGORY_TABLES.get(category)
+    return tables.get(name) if name else None

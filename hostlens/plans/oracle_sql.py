@@ -769,3 +769,31 @@ SELECT collection_id, strftime(date_trunc('hour', ts_parsed), '%Y-%m-%d %H:%M:%S
   count(*) AS event_count
 FROM ({LOG_EXPECTED}) WHERE ts_parsed IS NOT NULL GROUP BY collection_id, date_trunc('hour', ts_parsed)
 """
+
+
+_CRON_MARKERS = ["/tmp/", "/var/tmp/", "/dev/shm/", "/dev/mqueue/", "base64", "| bash", "| sh", "eval ", "exec("]
+
+SUSPICIOUS_CRON = f"""
+SELECT collection_id, 'log_' || {vc('line_no')} || '_suspicious_cron' AS anomaly_id, 'suspicious_cron' AS anomaly_type,
+  'high' AS severity, substr(message, 1, 200) AS description, source_file AS artifact_path
+FROM ({LOG_EXPECTED})
+WHERE contains(lower(coalesce(process, '')), 'cron') AND {contains_any("lower(coalesce(message, ''))", _CRON_MARKERS)}
+"""
+
+PRIVILEGE_CHANGES = f"""
+SELECT collection_id, 'log_' || {vc('line_no')} || '_priv_change' AS anomaly_id, 'privilege_escalation' AS anomaly_type,
+  'medium' AS severity, substr(message, 1, 200) AS description, source_file AS artifact_path
+FROM ({LOG_EXPECTED})
+WHERE (lower(coalesce(process, '')) = 'sudo' AND contains(coalesce(message, ''), 'USER=root'))
+   OR (lower(coalesce(process, '')) = 'su' AND contains(lower(coalesce(message, '')), 'root'))
+"""
+
+_ENABLED = ["suspicious_process", "unusual_network", "privilege_escalation", "hidden_file", "suspicious_user",
+            "persistence_mechanism", "deleted_binary", "suspicious_cron", "rootkit_indicator", "unauthorized_access"]
+
+DETECTOR_CONFIG = f"""
+SELECT collection_id, anomaly_type, count(*) AS n FROM ({ALL_DETECT})
+WHERE anomaly_type IN {tuple(_ENABLED)}
+  AND score * CASE anomaly_type WHEN 'suspicious_user' THEN 1.5 WHEN 'hidden_file' THEN 0.5 ELSE 1.0 END >= 0.7
+GROUP BY collection_id, anomaly_type
+"""

@@ -33,6 +33,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in ENGINE_DEFAULTS.items():
         builder = builder.config(k, v)
@@ -78,3 +79,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut lineage: eager ``checkpoint()`` into the shared ``spark.checkpoint.dir``.
+
+    Used before a global sort of an expensive plan: the sort's range sampling
+    and its shuffle then read the checkpoint instead of recomputing the whole
+    upstream twice.  Survives executor loss (reliable storage, not local).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -187,16 +187,18 @@ def structured_data(tables: dict[str, DataFrame]) -> DataFrame:
                               "state", "pid", "program"),
                     100, ["source_file", "line_no"], ["protocol", "local", "remote", "state", "pid", "program"])
     setuid = first_n(fl.setuid_files(bf).select("collection_id", "source_file", "line_no", F.lit("setuid").alias("type"),
-                                                F.col("name").alias("path"), "mode", "size"),
-                     50, ["source_file", "line_no"], ["type", "path", "mode", "size"])
+                                                F.col("name").alias("path"), "mode", "size",
+                                                F.lit(None).cast("string").alias("mtime")),
+                     50, ["source_file", "line_no"], ["type", "path", "mode", "size", "mtime"])
     ex = fl.executables(bf)
     w = Window.partitionBy("collection_id").orderBy("source_file", "line_no")
     tmp_ex = (ex.withColumn("_e", F.row_number().over(w)).where(F.col("_e") <= 200)
               .where(F.array_contains(F.array(*[F.col("name").contains(p) for p in rules.FILE_TEMP_DIRS]), True)))
     tmp_ex = first_n(tmp_ex.select("collection_id", "source_file", "line_no",
                                    F.lit("executable_unusual_location").alias("type"), F.col("name").alias("path"), "mode",
+                                   F.lit(None).cast("bigint").alias("size"),
                                    iso_text(F.when(F.col("mtime") > 0, F.timestamp_seconds("mtime"))).alias("mtime")),
-                     200, ["source_file", "line_no"], ["type", "path", "mode", "mtime"])
+                     200, ["source_file", "line_no"], ["type", "path", "mode", "size", "mtime"])
     users = us.groupBy("collection_id").agg(F.array_sort(F.collect_list(F.struct(
         "source_file", "line_no", "username", "uid", "shell", "home", F.col("is_system_user").alias("is_system"),
         "has_valid_shell"))).alias("items"))
@@ -223,3 +225,72 @@ def markdown_export(chunks: DataFrame, hostnames: DataFrame, n: int = 50) -> Dat
     head = hostnames.select("collection_id", F.lit(0).alias("seq"), F.concat(
         F.lit("# Forensic export: "), F.coalesce("hostname", F.lit("Unknown")), F.lit("\n\n")).alias("text"))
     return head.unionByName(body)
+
+
+def incident_report_rows(collections: DataFrame, anomalies: DataFrame, iocs: DataFrame | None = None,
+                         answers: DataFrame | None = None, confidence: str = "medium") -> DataFrame:
+    """SNK-8 incident report as ordered rows ``(collection_id, seq, text)``.
+
+    ``answers`` (collection_id, summary, actions array) come from the answer
+    post-processing (PRM-3); ``iocs`` (collection_id, kind, value) are listed
+    at most 20 per kind; techniques are the distinct MITRE ids of the anomalies.
+    """
+    head = collections.select("collection_id", F.lit(0).alias("seq"), F.concat(
+        F.lit("# Incident Report: Forensic Analysis: "), F.coalesce("hostname", F.lit("Unknown Host")),
+        F.lit("\n\n## Executive Summary\n\n")).alias("text"))
+    parts = [head]
+    if answers is not None:
+        parts.append(answers.select("collection_id", F.lit(1).alias("seq"),
+                                    F.concat(F.coalesce("summary", F.lit("")), F.lit("\n\n")).alias("text")))
+        acts = answers.where(F.size("actions") > 0).select("collection_id", F.lit(7).alias("seq"), F.concat(
+            F.lit("## Immediate Actions Required\n\n"),
+            F.array_join(F.transform("actions", lambda a, i: F.concat((i + 1).cast("string"), F.lit(". "), a, F.lit("\n"))), ""),
+            F.lit("\n")).alias("text"))
+        parts.append(acts)
+    parts.append(collections.where(F.col("collection_time").isNotNull()).select(
+        "collection_id", F.lit(2).alias("seq"),
+        F.concat(F.lit("## Timeline\n\n**Start:** "), iso_text("collection_time"), F.lit("\n\n")).alias("text")))
+    parts.append(collections.where(F.col("hostname").isNotNull()).select(
+        "collection_id", F.lit(3).alias("seq"),
+        F.concat(F.lit("## Impact\n\n**Affected Hosts:** "), F.col("hostname"), F.lit("\n\n")).alias("text")))
+    if iocs is not None:
+        w = Window.partitionBy("collection_id", "kind").orderBy("value")
+        top = iocs.select("collection_id", "kind", "value").distinct().withColumn("_n", F.row_number().over(w)).where(
+            F.col("_n") <= 20)
+        per_kind = top.groupBy("collection_id", "kind").agg(F.array_sort(F.collect_list(F.struct("_n", "value"))).alias("_v"))
+        kinds = per_kind.groupBy("collection_id").agg(F.array_sort(F.collect_list(F.struct(
+            "kind", F.concat(F.lit("### "), F.col("kind"), F.lit("\n"),
+                             F.array_join(F.transform("_v", lambda x: F.concat(F.lit("- `"), x["value"], F.lit("`\n"))), ""),
+                             F.lit("\n")).alias("t")))).alias("_k"))
+        parts.append(kinds.select("collection_id", F.lit(4).alias("seq"), F.concat(
+            F.lit("## Indicators of Compromise (IOCs)\n\n"), F.array_join(F.transform("_k", lambda x: x["t"]), "")).alias("text")))
+    tech = anomalies.where(F.col("mitre_technique").isNotNull()).groupBy("collection_id").agg(
+        F.array_sort(F.collect_set("mitre_technique")).alias("_t"))
+    parts.append(tech.select("collection_id", F.lit(6).alias("seq"), F.concat(
+        F.lit("## MITRE ATT&CK Techniques\n\n"), F.array_join(F.transform("_t", lambda t: F.concat(F.lit("- "), t, F.lit("\n"))), ""),
+        F.lit("\n")).alias("text")))
+    parts.append(collections.select("collection_id", F.lit(9).alias("seq"),
+                                    F.lit(f"---\n*Confidence Level: {confidence}*\n").alias("text")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def query_result_markdown(results: DataFrame) -> DataFrame:
+    """SNK-8 query result: ``(query_id, query, answer, confidence, evidence array, suggestions array)``
+    -> Markdown text per query (at most 10 evidence items)."""
+    conf = F.format_string("%.2f", F.col("confidence"))
+    ev = F.array_join(F.transform(F.slice("evidence", 1, 10), lambda e: F.concat(
+        F.lit("**"), e["artifact_type"], F.lit("**"),
+        F.when(e["artifact_path"].isNotNull(), F.concat(F.lit(" (`"), e["artifact_path"], F.lit("`)"))).otherwise(F.lit("")),
+        F.lit("\n"), F.when(e["raw_data"].isNotNull(), F.concat(F.lit("```\n"), F.substring(e["raw_data"], 1, 500),
+                                                              F.when(F.length(e["raw_data"]) > 500, F.lit("...")).otherwise(F.lit("")),
+                                                              F.lit("\n```\n"))).otherwise(F.lit("")), F.lit("\n"))), "")
+    sugg = F.array_join(F.transform("suggestions", lambda q: F.concat(F.lit("- "), q, F.lit("\n"))), "")
+    md = F.concat(
+        F.lit("## Query: "), F.col("query"), F.lit("\n\n**Confidence:** "), conf, F.lit("\n\n### Answer\n\n"),
+        F.col("answer"), F.lit("\n\n"),
+        F.when(F.size("evidence") > 0, F.concat(F.lit("### Supporting Evidence\n\n"), ev)).otherwise(F.lit("")),
+        F.when(F.size("suggestions") > 0, F.concat(F.lit("### Suggested Follow-up Queries\n\n"), sugg)).otherwise(F.lit("")))
+    return results.select("query_id", md.alias("markdown"))

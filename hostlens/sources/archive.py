@@ -95,16 +95,23 @@ def _unpack(path: str, data: bytes) -> Iterator[tuple]:
             yield (path, cid, name.rstrip("/"), int(m.size), m.isdir(), content, err)
 
 
+# Output Arrow batches are cut by bytes as well as rows, so one archive with
+# many large members never forms a single huge batch in the Python worker.
+BATCH_MAX_ROWS = 256
+BATCH_MAX_BYTES = 64 * 1024 * 1024
+
+
 def _unpack_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cols = [f.name for f in MEMBER_SCHEMA.fields]
     for pdf in batches:
-        rows = []
+        rows, size = [], 0
         for path, data in zip(pdf["path"], pdf["content"]):
             for row in _unpack(path, bytes(data)):
                 rows.append(row)
-                if len(rows) >= 256:
+                size += len(row[5]) if row[5] is not None else 0
+                if len(rows) >= BATCH_MAX_ROWS or size >= BATCH_MAX_BYTES:
                     yield pd.DataFrame(rows, columns=cols)
-                    rows = []
+                    rows, size = [], 0
         if rows:
             yield pd.DataFrame(rows, columns=cols)
 
@@ -271,3 +278,23 @@ def collections_from_members(files: DataFrame, log_lines: DataFrame | None = Non
         F.coalesce("log_os", "dir_os").alias("os_type"),
         "collection_time",
     )
+
+
+def read_text_lines(spark: SparkSession, path: str, glob: str | None = None,
+                    collection_id: str | None = None) -> DataFrame:
+    """SRC-3 for large flat files: splittable ``text`` source, one row per line.
+
+    ``line_no`` is an order key inside each file: it is 0 for the first line
+    (so header rules apply) and increases with the line position, but it is
+    not contiguous across input splits.  The per-file minimum is a small
+    aggregate (one row per file) joined back.
+    """
+    reader = spark.read.format("text").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    raw = reader.load(path).select(F.col("_metadata.file_path").alias("source_file"),
+                                   F.monotonically_increasing_id().alias("_k"), F.col("value").alias("line"))
+    first = raw.groupBy("source_file").agg(F.min("_k").alias("_k0"))
+    cid = F.lit(collection_id) if collection_id else F.regexp_extract("source_file", r"/([^/]+)/[^/]*$", 1)
+    return raw.join(first, "source_file").select(cid.alias("collection_id"), "source_file",
+                                                 (F.col("_k") - F.col("_k0")).alias("line_no"), "line")

@@ -49,8 +49,14 @@ def hourly_counts(events: DataFrame, ts_col: str = "timestamp", keys: list[str]
 
 
 def dedup_anomalies(anomalies: DataFrame, ts_col: str = "detected_at", horizon: str = "1 hour") -> DataFrame:
-    """STR-4: drop repeats of (collection, anomaly id) seen within the watermark horizon."""
-    return anomalies.withWatermark(ts_col, horizon).dropDuplicatesWithinWatermark(["collection_id", "anomaly_id"])
+    """STR-4: drop repeats of (collection, anomaly id) seen within the watermark horizon.
+
+    On a batch frame (all data known) this is a plain ``dropDuplicates``.
+    """
+    keys = ["collection_id", "anomaly_id"]
+    if not anomalies.isStreaming:
+        return anomalies.dropDuplicates(keys)
+    return anomalies.withWatermark(ts_col, horizon).dropDuplicatesWithinWatermark(keys)
 
 
 def failure_bursts(events: DataFrame, key: str, ts_col: str, is_failure, min_failures: int = 3,
