@@ -17,7 +17,9 @@ from .. import rules
 # record/unit separators and the Unicode space characters).
 _PY_SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 PY_STRIP_REGEX = rf"^[{_PY_SPACE}]+|[{_PY_SPACE}]+$"
-PY_BLANKS_REGEX = rf"[{_PY_SPACE}]+"
+# Java's Unicode whitespace class (?U)\s is White_Space, i.e. Python's set minus
+# the four separators \x1c-\x1f, which are added; much faster than listing ranges.
+PY_BLANKS_REGEX = r"(?U)[\s\x1c-\x1f]+"
 
 
 def col_(c) -> Column:
