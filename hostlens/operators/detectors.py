@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.columns import contains_any, exe_name, fill, first_token, severity_rank, base_name
+from ..functions.columns import base_name, contains_any, exe_name, fence, fill, first_token, severity_rank
 
 T = rules.DETECTOR_TEXT
 
@@ -162,17 +162,19 @@ def detect_files(bodyfile: DataFrame, hidden_limit: int = rules.HIDDEN_FILES_PER
               score=0.7, title=f2["title"], description=f2["description"], source_artifact="bodyfile",
               artifact_path=name, timestamp=mts),
     ]
-    main = _explode(bodyfile, cands, 2, line_first=False)
-
     hidden_cond = name.contains(rules.HIDDEN_PATH_MARKER) & ~contains_any(name, rules.HIDDEN_PATH_EXCLUDES) & is_exec
-    w = Window.partitionBy("collection_id").orderBy("source_file", "line_no")
-    hidden_rows = bodyfile.where(hidden_cond).withColumn("_rn", F.row_number().over(w)).where(
-        F.col("_rn") <= hidden_limit)
-    hidden = _explode(hidden_rows, [
-        _cand(2, F.lit(True), anomaly_id=fill(f3["id"], inode=F.col("inode")), anomaly_type="hidden_file",
+    cands.append(
+        _cand(2, hidden_cond, anomaly_id=fill(f3["id"], inode=F.col("inode")), anomaly_type="hidden_file",
               severity="medium", score=0.6, title=fill(f3["title"], filename=fname),
-              description=fill(f3["description"], name=name), source_artifact="bodyfile", artifact_path=name),
-    ], 2, line_first=False)
+              description=fill(f3["description"], name=name), source_artifact="bodyfile", artifact_path=name))
+    # One scan of the bodyfile.  The candidates are spread by (collection, line)
+    # once; the unlimited rules and the "first N hidden files" rule both read
+    # that same shuffle (the exchange is reused), instead of parsing twice.
+    spread = fence(_explode(bodyfile, cands, 2, line_first=False).repartition("collection_id", F.col("ord.n")))
+    main = spread.where(F.col("ord.r0") != 2)
+    w = Window.partitionBy("collection_id").orderBy(F.col("ord.f"), F.col("ord.n"))
+    hidden = (spread.where(F.col("ord.r0") == 2).withColumn("_rn", F.row_number().over(w))
+              .where(F.col("_rn") <= hidden_limit).drop("_rn"))
     return main.unionByName(hidden)
 
 
