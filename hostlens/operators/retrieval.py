@@ -144,3 +144,19 @@ def embed_with(df: DataFrame, text_col: str, embed_fn, dim: int, out_col: str =
             yield pdf
 
     return df.mapInPandas(run, schema)
+
+
+def write_store(chunks: DataFrame, path: str, mode: str = "append") -> None:
+    """RET-1: add chunk rows (with their embedding column) to a Parquet store
+    partitioned by collection; a failed task is retried by Spark, never lost."""
+    chunks.write.mode(mode).partitionBy("collection_id").parquet(path)
+
+
+def store_count(spark, path: str) -> int:
+    """RET-6: number of stored chunks (a metadata-light count over the store)."""
+    return spark.read.parquet(path).count()
+
+
+def clear_store(spark, path: str, schema) -> None:
+    """RET-6: empty the store (overwrite with no rows, schema kept)."""
+    spark.createDataFrame([], schema).write.mode("overwrite").partitionBy("collection_id").parquet(path)

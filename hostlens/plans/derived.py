@@ -56,6 +56,14 @@ LOG_FILE_BY_EVENT = {
 }
 
 
+def lineitem_line_no() -> Column:
+    """Line number of a lineitem-derived line: file order by (orderkey, linenumber),
+    ties (the table repeats those pairs) broken by part and supplier key."""
+    ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
+    return (((ok * 8 + ln) * 2097152 + F.pmod(F.col("l_partkey"), F.lit(2097152))) * 1024
+            + F.pmod(F.col("l_suppkey"), F.lit(1024))).cast("bigint")
+
+
 def _case(col: str, mapping: dict, default=None) -> Column:
     out = None
     for k, v in mapping.items():
@@ -176,7 +184,7 @@ def netstat_lines(lineitem: DataFrame) -> DataFrame:
     body = lineitem.select(
         host_of("l_suppkey").alias("collection_id"),
         F.lit(NETSTAT_FILE).alias("source_file"),
-        (ok * 8 + ln).cast("bigint").alias("line_no"),
+        lineitem_line_no().alias("line_no"),
         F.when(proto == "unix", unix).otherwise(inet).alias("line"),
     )
     return fence(_with_headers(body, lineitem, "l_suppkey", F.lit(NETSTAT_FILE), F.lit(NETSTAT_HEADER)), LINE_COLS)
@@ -226,7 +234,7 @@ def bodyfile_lines(lineitem: DataFrame) -> DataFrame:
                        s(mtime + 60), s(crtime))
     line = F.when(ln == 7, F.concat_ws("|", *head)).when((ok % 50 == 0) & (ln == 1), F.concat(F.lit("# "), full)).otherwise(full)
     return fence(lineitem.select(host_of("l_suppkey").alias("collection_id"), F.lit(BODYFILE_FILE).alias("source_file"),
-                                 (ok * 8 + ln).cast("bigint").alias("line_no"), line.alias("line")))
+                                 lineitem_line_no().alias("line_no"), line.alias("line")))
 
 
 # ---------------------------------------------------------------------------

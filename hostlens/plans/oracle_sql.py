@@ -102,7 +102,7 @@ _SETUID_NAMES = ["/usr/bin/sudo", "/usr/bin/passwd", "/usr/bin/su", "/usr/bin/pi
 _BODY_MODES = ["-rwxr-xr-x", "-rw-r--r--", "drwxr-xr-x", "-rwsr-xr-x", "-rw-------", "srwxrwxrwx", "-rwxr-sr-x"]
 
 BODY_EXPECTED = f"""
-SELECT {host('l_suppkey')} AS collection_id, l_orderkey * 8 + l_linenumber AS line_no,
+SELECT {host('l_suppkey')} AS collection_id, ((l_orderkey * 8 + l_linenumber) * 2097152 + l_partkey % 2097152) * 1024 + l_suppkey % 1024 AS line_no,
   CASE WHEN l_linenumber % 4 = 0 THEN '0' ELSE md5({vc('l_orderkey * 10 + l_linenumber')}) END AS md5,
   nm AS name, {vc('l_orderkey * 10 + l_linenumber')} AS inode, md AS mode,
   CAST(CASE WHEN l_orderkey % 97 = 0 THEN 0 ELSE l_suppkey END AS BIGINT) AS uid,
@@ -197,7 +197,7 @@ SELECT *, regexp_extract(string_split(command, ' ')[1], '[^/]*$') AS executable_
 _PORTS = "[4444, 5555, 6666, 6667, 8080, 31337]"
 CONN_EXPECTED = f"""
 SELECT {host('l_suppkey')} AS collection_id, 'live_response/network/netstat_-tunap.txt' AS source_file,
-  l_orderkey * 8 + l_linenumber AS line_no, proto AS protocol,
+  ((l_orderkey * 8 + l_linenumber) * 2097152 + l_partkey % 2097152) * 1024 + l_suppkey % 1024 AS line_no, proto AS protocol,
   CASE WHEN v6 AND l_orderkey % 5 = 0 THEN '::' WHEN v6 THEN 'fe80::' || {vc('l_suppkey % 100')}
        ELSE '10.' || {vc('l_suppkey % 256')} || '.' || {vc('l_partkey % 256')} || '.' || {vc('l_orderkey % 256')} END AS local_address,
   CAST(lport AS INTEGER) AS local_port,
@@ -797,3 +797,186 @@ WHERE anomaly_type IN {tuple(_ENABLED)}
   AND score * CASE anomaly_type WHEN 'suspicious_user' THEN 1.5 WHEN 'hidden_file' THEN 0.5 ELSE 1.0 END >= 0.7
 GROUP BY collection_id, anomaly_type
 """
+
+
+def _iso_sql(t: str) -> str:
+    return (f"CASE WHEN {t} IS NULL THEN NULL WHEN microsecond({t}) % 1000000 = 0 "
+            f"THEN strftime({t}, '%Y-%m-%dT%H:%M:%S') ELSE strftime({t}, '%Y-%m-%dT%H:%M:%S.%f') END")
+
+
+HOST_SUMMARY_CHUNKS = f"""
+WITH hosts AS (SELECT {host('user_id')} AS collection_id, max(ts) AS ct FROM events GROUP BY 1),
+b AS ({BODY_EXPECTED}), p AS ({PROC_EXPECTED}), c AS ({CONN_EXPECTED}), u AS ({USER_EXPECTED}),
+l AS ({LOG_EXPECTED}), bin AS ({_BIN}),
+cnt AS (
+  SELECT h.collection_id,
+    (SELECT count(*) FROM b WHERE b.collection_id = h.collection_id) AS n_files,
+    (SELECT count(*) FROM b WHERE b.collection_id = h.collection_id AND contains(mode, 'x') AND NOT starts_with(mode, 'd')) AS n_exec,
+    (SELECT count(*) FROM b WHERE b.collection_id = h.collection_id AND contains(lower(mode), 's')) AS n_suid,
+    (SELECT count(*) FROM p WHERE p.collection_id = h.collection_id) AS n_proc,
+    (SELECT count(*) FROM c WHERE c.collection_id = h.collection_id) AS n_conn,
+    (SELECT count(*) FROM u WHERE u.collection_id = h.collection_id) AS n_users,
+    (SELECT count(*) FROM l WHERE l.collection_id = h.collection_id) AS n_logs,
+    (SELECT count(*) FROM l WHERE l.collection_id = h.collection_id AND ts_parsed IS NOT NULL)
+      + (SELECT count(*) FILTER (WHERE mtime > 0) + count(*) FILTER (WHERE crtime > 0 AND (mtime <= 0 OR crtime <> mtime))
+         FROM b WHERE b.collection_id = h.collection_id) AS n_events
+  FROM hosts h
+),
+suid AS (SELECT collection_id, string_agg('- ' || name || ' (' || mode || ')' || chr(10), '' ORDER BY line_no) AS t
+         FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY line_no) AS rn FROM b
+               WHERE contains(lower(mode), 's')) WHERE rn <= 10 GROUP BY collection_id),
+nobin AS (SELECT collection_id, string_agg('- PID ' || {vc('pid')} || ': ' || substr(coalesce(command, ''), 1, 50) || chr(10), ''
+                                       ORDER BY source_file, line_no) AS t
+          FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY source_file, line_no) AS rn FROM bin
+                WHERE binary_exists = false) WHERE rn <= 10 GROUP BY collection_id),
+lis AS (SELECT collection_id, string_agg('- ' || protocol || ' ' || local_address || ':' || {vc('local_port')}
+                 || CASE WHEN coalesce(program, '') <> '' THEN ' (' || program || ')' ELSE '' END || chr(10), ''
+                 ORDER BY line_no) AS t
+        FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY line_no) AS rn FROM c
+              WHERE upper(state) = 'LISTEN') WHERE rn <= 15 GROUP BY collection_id),
+txt AS (
+  SELECT h.collection_id,
+    '# System Analysis Summary' || chr(10) || chr(10) || '## System Information' || chr(10)
+    || '- Hostname: ' || h.collection_id || chr(10) || '- OS Type: linux' || chr(10)
+    || '- Collection Time: ' || {_iso_sql('h.ct')} || chr(10) || chr(10) || '## Artifact Counts' || chr(10)
+    || '- Total Files: ' || {vc('n_files')} || chr(10) || '- Executable Files: ' || {vc('n_exec')} || chr(10)
+    || '- SUID/SGID Files: ' || {vc('n_suid')} || chr(10) || '- Running Processes: ' || {vc('n_proc')} || chr(10)
+    || '- Network Connections: ' || {vc('n_conn')} || chr(10) || '- User Accounts: ' || {vc('n_users')} || chr(10)
+    || '- Log Entries: ' || {vc('n_logs')} || chr(10) || '- Timeline Events: ' || {vc('n_events')} || chr(10) || chr(10)
+    || '## Key Findings Preview' || chr(10)
+    || coalesce(chr(10) || '### SUID/SGID Files (Potential Privilege Escalation)' || chr(10) || suid.t, '')
+    || coalesce(chr(10) || '### Processes Without Binary on Disk' || chr(10) || nobin.t, '')
+    || coalesce(chr(10) || '### Listening Services' || chr(10) || lis.t, '') AS content
+  FROM hosts h JOIN cnt USING (collection_id) LEFT JOIN suid USING (collection_id)
+    LEFT JOIN nobin USING (collection_id) LEFT JOIN lis USING (collection_id)
+)
+SELECT collection_id, 'summary_' || substr(md5(content), 1, 8) || '_0' AS chunk_id,
+  CAST(length(content) AS INTEGER) AS n_chars, md5(content) AS content_md5
+FROM txt
+"""
+
+
+def _tags_with(content: str, extra: str) -> str:
+    """Security tags of ``content`` then the producer's extra tags, comma-joined."""
+    return f"concat_ws(',', NULLIF({tags_sql(content)}, ''), {extra})"
+
+
+_FILE_BLOCKS = f"""
+SELECT collection_id, grp, grank, count(*) AS n,
+  '# Bodyfile Analysis: ' || CASE grp WHEN 'executables' THEN 'Executables' WHEN 'setuid' THEN 'Setuid'
+                                     ELSE 'Suspicious_Locations' END || chr(10)
+  || string_agg(line, '' ORDER BY line_no) FILTER (WHERE rn <= {rules.MAX_ROWS_PER_KIND}) AS text
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY collection_id, grp ORDER BY line_no) AS rn FROM (
+    SELECT b.*, g.grp, g.grank,
+      '- ' || name || chr(10) || '  Mode: ' || mode || ', Size: ' || {vc('size')} || ', UID: ' || {vc('uid')}
+      || ', GID: ' || {vc('gid')} || chr(10)
+      || CASE WHEN md5 NOT IN ('', '0') THEN '  MD5: ' || md5 || chr(10) ELSE '' END
+      || CASE WHEN mtime > 0 THEN '  Modified: ' || strftime({epoch_ts('mtime')}, '%Y-%m-%dT%H:%M:%S') || chr(10)
+              ELSE '' END AS line
+    FROM ({BODY_EXPECTED}) b,
+      (VALUES ('executables', 0), ('setuid', 1), ('suspicious_locations', 2)) g(grp, grank)
+    WHERE (g.grp = 'executables' AND contains(mode, 'x') AND NOT starts_with(mode, 'd'))
+       OR (g.grp = 'setuid' AND contains(lower(mode), 's'))
+       OR (g.grp = 'suspicious_locations' AND {contains_any('name', rules.SUSPICIOUS_LOCATION_MARKERS)})))
+GROUP BY collection_id, grp, grank
+"""
+
+_PROC_BLOCKS = f"""
+SELECT collection_id, grp, grank, least(count(*), max(cap)) AS n,
+  '# Running Processes: ' || CASE grp WHEN 'all' THEN 'All' WHEN 'root' THEN 'Root' WHEN 'high_cpu' THEN 'High Cpu'
+                                     ELSE 'High Mem' END || chr(10) || chr(10)
+  || string_agg(line, '' ORDER BY k, source_file, line_no) FILTER (WHERE rn <= cap) AS text
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY collection_id, grp ORDER BY k, source_file, line_no) AS rn FROM (
+    SELECT p.*, g.grp, g.grank, g.cap,
+      CASE g.grp WHEN 'high_cpu' THEN -cpu WHEN 'high_mem' THEN -mem ELSE 0.0 END AS k,
+      'PID: ' || {vc('pid')}
+      || CASE WHEN ppid IS NOT NULL AND ppid <> 0 THEN ', PPID: ' || {vc('ppid')} ELSE '' END
+      || CASE WHEN coalesce(user, '') <> '' THEN ', User: ' || user ELSE '' END
+      || CASE WHEN cpu IS NOT NULL AND cpu <> 0 THEN ', CPU: ' || {vc('cpu')} || '%' ELSE '' END
+      || CASE WHEN mem IS NOT NULL AND mem <> 0 THEN ', MEM: ' || {vc('mem')} || '%' ELSE '' END
+      || chr(10) || 'Command: ' || coalesce(command, '') || chr(10) || chr(10) AS line
+    FROM ({PROC_EXPECTED}) p,
+      (VALUES ('all', 0, {rules.MAX_ROWS_PER_KIND}), ('root', 1, 200), ('high_cpu', 2, 50), ('high_mem', 3, 50)) g(grp, grank, cap)
+    WHERE g.grp = 'all' OR (g.grp = 'root' AND user = 'root') OR (g.grp = 'high_cpu' AND cpu > 10)
+       OR (g.grp = 'high_mem' AND mem > 5)))
+GROUP BY collection_id, grp, grank
+"""
+
+_NET_BLOCKS = f"""
+SELECT collection_id, grp, grank, CASE WHEN grp = 'all' THEN least(count(*), {rules.MAX_ROWS_PER_KIND}) ELSE count(*) END AS n,
+  '# Network Connections: ' || CASE grp WHEN 'listening' THEN 'Listening' WHEN 'established' THEN 'Established'
+                                       ELSE 'All' END || chr(10) || chr(10)
+  || string_agg(line, '' ORDER BY line_no) FILTER (WHERE rn <= 500) AS text
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY collection_id, grp ORDER BY line_no) AS rn FROM (
+    SELECT c.*, g.grp, g.grank,
+      upper(protocol) || ' ' || local_address || ':' || {vc('local_port')}
+      || CASE WHEN coalesce(remote_address, '') <> '' THEN ' -> ' || remote_address || ':' || coalesce({vc('remote_port')}, 'None') ELSE '' END
+      || CASE WHEN coalesce(state, '') <> '' THEN ' [' || state || ']' ELSE '' END
+      || CASE WHEN pid IS NOT NULL AND pid <> 0 THEN ' PID:' || {vc('pid')} ELSE '' END
+      || CASE WHEN coalesce(program, '') <> '' THEN ' (' || program || ')' ELSE '' END || chr(10) AS line
+    FROM ({CONN_EXPECTED}) c, (VALUES ('listening', 0), ('established', 1), ('all', 2)) g(grp, grank)
+    WHERE g.grp = 'all' OR (g.grp = 'listening' AND upper(state) = 'LISTEN')
+       OR (g.grp = 'established' AND upper(state) = 'ESTABLISHED')))
+GROUP BY collection_id, grp, grank
+"""
+
+_USER_BLOCKS = f"""
+SELECT collection_id, 'users' AS grp, 0 AS grank, count(*) AS n,
+  '# User Accounts' || chr(10) || chr(10) || '## Regular Users' || chr(10)
+  || coalesce(string_agg(CASE WHEN NOT is_system_user THEN entry
+                              || CASE WHEN NOT valid THEN '  ⚠️ No valid login shell' || chr(10) ELSE '' END END,
+                         '' ORDER BY line_no), '')
+  || chr(10) || '## System Users with Valid Shells' || chr(10)
+  || coalesce(string_agg(CASE WHEN is_system_user AND valid THEN entry END, '' ORDER BY line_no), '')
+  || chr(10) || chr(10) || 'Keywords: list of users, usernames, user accounts, login accounts, system users, /etc/passwd content'
+  AS text
+FROM (SELECT *, NOT (contains(shell, '/nologin') OR contains(shell, '/false')) AS valid,
+        '- ' || username || ' (UID: ' || {vc('uid')} || ')' || chr(10) || '  Home: ' || coalesce(home, 'None')
+        || ', Shell: ' || coalesce(shell, 'None') || chr(10) AS entry
+      FROM ({USER_EXPECTED}))
+GROUP BY collection_id
+"""
+
+
+def _split_blocks(blocks: str) -> str:
+    """Chunks of block texts: (collection_id, grp, grank, n, ordinal, content)."""
+    return f"""
+WITH blk AS (SELECT *, row_number() OVER (ORDER BY collection_id, grp) AS bid FROM ({blocks})),
+pcs AS ({chunks_sql('SELECT bid, text FROM blk', 'bid', 'text')})
+SELECT blk.collection_id, blk.grp, blk.grank, blk.n, pcs.ordinal, pcs.content
+FROM blk JOIN pcs ON pcs.id = blk.bid
+"""
+
+
+def _chunk_rows(kind_rank: int, artifact: str, source: str, prefix: str, extra: str, body: str) -> str:
+    return f"""
+SELECT collection_id, CAST({kind_rank} AS INTEGER) AS kind_rank, CAST(grank AS INTEGER) AS group_rank,
+  {prefix} || '_' || substr(md5(content), 1, 8) || '_' || {vc('ordinal')} AS chunk_id,
+  CAST(ordinal AS INTEGER) AS ordinal, '{artifact}' AS artifact_type, {source} AS source,
+  CAST(length(content) AS INTEGER) AS n_chars, {_tags_with('content', extra)} AS tags
+FROM ({body})
+"""
+
+
+_LOG_FILE_TEXT = LOGS_BY_SOURCE
+
+ARTIFACT_CHUNKS = " UNION ALL ".join([
+    _chunk_rows(0, "bodyfile", "'bodyfile.txt'", "'bodyfile_' || grp", "grp", _split_blocks(_FILE_BLOCKS)),
+    _chunk_rows(1, "process", "'ps_output'", "'proc_' || grp", "'process', grp", _split_blocks(_PROC_BLOCKS)),
+    _chunk_rows(2, "network", "'netstat_output'", "'net_' || grp", "'network', grp", _split_blocks(_NET_BLOCKS)),
+    _chunk_rows(3, "user", "'passwd'", "'users'", "'user', 'account', 'passwd'",
+                f"SELECT collection_id, grank, 0 AS ordinal, text AS content FROM ({_USER_BLOCKS})"),
+    _chunk_rows(4, "timeline", "'timeline'", "'timeline_' || hour", "'timeline'",
+                f"SELECT collection_id, hour, 0 AS grank, 0 AS ordinal, content FROM ({TIMELINE_HOURLY})"),
+    _chunk_rows(5, "log", "source", "'log_' || source", "'log', replace(source, '.', '_')", f"""
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY source, ordinal) AS cn FROM (
+    SELECT blk.collection_id, blk.source, 0 AS grank, pcs.ordinal, pcs.content
+    FROM (SELECT *, row_number() OVER (ORDER BY collection_id, source) AS bid FROM ({_LOG_FILE_TEXT})) blk
+    JOIN ({chunks_sql(f"SELECT row_number() OVER (ORDER BY collection_id, source) AS bid, content FROM ({_LOG_FILE_TEXT})", 'bid', 'content')}) pcs
+      ON pcs.id = blk.bid))
+WHERE cn <= {rules.MAX_ROWS_PER_KIND}"""),
+])
