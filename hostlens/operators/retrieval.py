@@ -153,8 +153,12 @@ def write_store(chunks: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def store_count(spark, path: str) -> int:
-    """RET-6: number of stored chunks (a metadata-light count over the store)."""
-    return spark.read.parquet(path).count()
+    """RET-6: number of stored chunks (a metadata-light count over the store); 0 when empty."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(path).count()
+    except AnalysisException:  # an emptied store holds no data files
+        return 0
 
 
 def clear_store(spark, path: str, schema) -> None:
