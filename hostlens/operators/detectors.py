@@ -87,8 +87,12 @@ def _explode(df: DataFrame, cands: list[Column], group_rank: int, line_first: bo
 
 def detect_processes(processes: DataFrame) -> DataFrame:
     """DET-P1..P3 over ``processes``."""
-    cmd = F.coalesce(F.col("command"), F.lit(""))
-    exe = exe_name(cmd)
+    # executable name and first token feed several rules and texts: compute once (fenced)
+    cmd0 = F.coalesce(F.col("command"), F.lit(""))
+    processes = fence(processes.select("collection_id", "source_file", "line_no", "pid", "user",
+                                       cmd0.alias("_cmd"), exe_name(cmd0).alias("_exe"),
+                                       first_token(cmd0).alias("_tok")))
+    cmd, exe, tok = F.col("_cmd"), F.col("_exe"), F.col("_tok")
     pid = F.col("pid")
     p1, p2, p3 = T["proc_suspicious_path"], T["proc_known_suspicious"], T["proc_encoded_cmd"]
     cands = [
@@ -98,7 +102,7 @@ def detect_processes(processes: DataFrame) -> DataFrame:
               evidence=_evidence("process", fill(p1["evidence"], pid=pid, user=F.col("user"), command=cmd),
                                  explanation=p1["explanation"]),
               process_name=exe, username=F.col("user"),
-              steps=F.array(*[fill(s, first_token=first_token(cmd), pid=pid) for s in p1["steps"]])),
+              steps=F.array(*[fill(s, first_token=tok, pid=pid) for s in p1["steps"]])),
         _cand(1, F.lower(exe).isin(rules.SUSPICIOUS_TOOL_NAMES),
               anomaly_id=fill(p2["id"], pid=pid), anomaly_type="suspicious_process", severity="critical", score=0.95,
               title=fill(p2["title"], exe=exe), description=fill(p2["description"], exe=exe),

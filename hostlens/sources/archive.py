@@ -212,9 +212,13 @@ def inventory_totals(files: DataFrame) -> DataFrame:
 
 
 def artifact_paths(files: DataFrame) -> DataFrame:
-    """SRC-23: member paths per (collection, category), sorted."""
-    return files.where(~F.col("is_directory")).groupBy("collection_id", "category").agg(
-        F.sort_array(F.collect_list("relative_path")).alias("paths"))
+    """SRC-23: member paths by (collection, category), as sorted rows.
+
+    Kept as rows rather than one list per kind, so an archive with millions of
+    members never becomes a single array cell.
+    """
+    return (files.where(~F.col("is_directory")).select("collection_id", "category", "relative_path")
+            .orderBy("collection_id", "category", "relative_path"))
 
 
 # ---------------------------------------------------------------------------

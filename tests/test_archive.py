@@ -90,6 +90,15 @@ def test_members_and_categories(spark, tables):
     assert tot[ROOT][0] == n_files and tot["second-copy"][0] == n_files
 
 
+def test_artifact_paths(tables):
+    rows = arc.artifact_paths(tables["artifact_files"]).where(F.col("collection_id") == ROOT).collect()
+    by_cat = {}
+    for r in rows:
+        by_cat.setdefault(r.category, []).append(r.relative_path.split("/", 1)[-1])
+    assert by_cat["bodyfile"] == ["bodyfile/bodyfile.txt"]
+    assert by_cat["logs"] == sorted(by_cat["logs"]) and "[root]/var/log/auth.log" in by_cat["logs"]
+
+
 def test_collection_metadata(tables):
     meta = {r.collection_id: r for r in tables["collections"].collect()}
     m = meta[ROOT]
