@@ -56,9 +56,12 @@ ARROW_BATCH_DEFAULTS = {
 
 
 def ensure_engine_conf(spark: SparkSession) -> None:
-    """Pin the session clock to UTC; bound Arrow batches when unset; keep every other setting."""
+    """Pin the session clock to UTC; bound Arrow batches and let later map keys win
+    (record merges like Timesketch rows) when unset; keep every other setting."""
     if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get("spark.sql.mapKeyDedupPolicy", None) is None:
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     for k, v in ARROW_BATCH_DEFAULTS.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
