@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions.columns import first_token
 from .detectors import ANOMALY_COLS, EVIDENCE_TYPE
 
@@ -187,7 +188,9 @@ def detect_hidden_processes(connections: DataFrame, processes: DataFrame) -> Dat
                     source_artifact="network_connections", process_name=F.col("program"))
 
 
-SUSPICIOUS_CRON_MARKERS = ["/tmp/", "/var/tmp/", "/dev/shm/", "/dev/mqueue/", "base64", "| bash", "| sh", "eval ", "exec("]
+# cron rule (declared, not computed, by the reference): the process-path and
+# encoded-command markers of the process detectors, applied to cron log lines
+SUSPICIOUS_CRON_MARKERS = rules.PROCESS_TEMP_DIRS + rules.ENCODED_COMMAND_MARKERS
 
 
 def detect_suspicious_cron(logs: DataFrame) -> DataFrame:

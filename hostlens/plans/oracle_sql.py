@@ -771,7 +771,7 @@ FROM ({LOG_EXPECTED}) WHERE ts_parsed IS NOT NULL GROUP BY collection_id, date_t
 """
 
 
-_CRON_MARKERS = ["/tmp/", "/var/tmp/", "/dev/shm/", "/dev/mqueue/", "base64", "| bash", "| sh", "eval ", "exec("]
+_CRON_MARKERS = rules.PROCESS_TEMP_DIRS + rules.ENCODED_COMMAND_MARKERS
 
 SUSPICIOUS_CRON = f"""
 SELECT collection_id, 'log_' || {vc('line_no')} || '_suspicious_cron' AS anomaly_id, 'suspicious_cron' AS anomaly_type,
@@ -962,6 +962,13 @@ FROM ({body})
 
 
 _LOG_FILE_TEXT = LOGS_BY_SOURCE
+_LOG_FILE_ORDER = f"""
+SELECT collection_id, source,
+  CAST(row_number() OVER (PARTITION BY collection_id ORDER BY ff, fl) - 1 AS INTEGER) AS grank
+FROM (SELECT collection_id, regexp_extract(source_file, '[^/]*$') AS source,
+        first(source_file ORDER BY source_file, line_no) AS ff, first(line_no ORDER BY source_file, line_no) AS fl
+      FROM ({LOG_EXPECTED}) GROUP BY 1, 2)
+"""
 
 ARTIFACT_CHUNKS = " UNION ALL ".join([
     _chunk_rows(0, "bodyfile", "'bodyfile.txt'", "'bodyfile_' || grp", "grp", _split_blocks(_FILE_BLOCKS)),
@@ -973,9 +980,10 @@ ARTIFACT_CHUNKS = " UNION ALL ".join([
                 f"SELECT collection_id, hour, 0 AS grank, 0 AS ordinal, content FROM ({TIMELINE_HOURLY})"),
     _chunk_rows(5, "log", "source", "'log_' || source", "'log', replace(source, '.', '_')", f"""
 SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY source, ordinal) AS cn FROM (
-    SELECT blk.collection_id, blk.source, 0 AS grank, pcs.ordinal, pcs.content
-    FROM (SELECT *, row_number() OVER (ORDER BY collection_id, source) AS bid FROM ({_LOG_FILE_TEXT})) blk
+  SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY grank, ordinal) AS cn FROM (
+    SELECT blk.collection_id, blk.source, blk.grank, pcs.ordinal, pcs.content
+    FROM (SELECT t.*, o.grank, row_number() OVER (ORDER BY t.collection_id, t.source) AS bid FROM ({_LOG_FILE_TEXT}) t
+          JOIN ({_LOG_FILE_ORDER}) o ON o.collection_id = t.collection_id AND o.source = t.source) blk
     JOIN ({chunks_sql(f"SELECT row_number() OVER (ORDER BY collection_id, source) AS bid, content FROM ({_LOG_FILE_TEXT})", 'bid', 'content')}) pcs
       ON pcs.id = blk.bid))
 WHERE cn <= {rules.MAX_ROWS_PER_KIND}"""),
