@@ -56,34 +56,24 @@ def pack_context(hits: DataFrame, query_cols: list[str], text_col: str, source_c
     them into one context text with a source header per hit.
 
     The group per query is bounded by the retrieval depth, so the ordered
-    collect is small.
+    collect is small.  ``order_cols`` may hold descending sort columns.
     """
-    w = Window.partitionBy(*query_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    t = hits.withColumn("_tok", token_estimate(text_col)).withColumn("_run", F.sum("_tok").over(w))
+    order = Window.partitionBy(*query_cols).orderBy(*order_cols)
+    t = (hits.withColumn("_tok", token_estimate(text_col))
+         .withColumn("_pos", F.row_number().over(order))
+         .withColumn("_run", F.sum("_tok").over(order.rowsBetween(Window.unboundedPreceding, 0))))
     kept = t.where(F.col("_run") <= budget)
     score2 = F.col("score").cast("decimal(20,4)").cast("decimal(20,2)").cast("string")
     part = F.concat(F.lit("--- Source: "), F.coalesce(F.col(source_col), F.lit("unknown")), F.lit(" ("),
                     F.coalesce(F.col(type_col), F.lit("unknown")), F.lit(") [relevance: "), score2,
                     F.lit("] ---\n"), F.col(text_col), F.lit("\n"))
-    order_struct = F.struct(*[c if isinstance(c, Column) else F.col(c) for c in _plain(order_cols)])
     agg = kept.groupBy(*query_cols).agg(
         F.count(F.lit(1)).alias("n_used"), F.sum("_tok").alias("tokens_used"),
-        F.array_sort(F.collect_list(F.struct(order_struct.alias("o"), part.alias("p")))).alias("_parts"))
+        F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("o"), part.alias("p")))).alias("_parts"))
     return agg.select(*query_cols, "n_used", "tokens_used",
                       F.array_join(F.transform("_parts", lambda x: x["p"]), "\n").alias("context"))
 
 
-def _plain(order_cols):
-    """Order columns as plain ascending expressions for the struct sort key."""
-    out = []
-    for c in order_cols:
-        if isinstance(c, str):
-            out.append(F.col(c))
-        else:
-            out.append(c)
-    return out
-
-
 def dedup_hits(hits: DataFrame, group_cols: list[str], text_col: str, order_cols: list) -> DataFrame:
     """SET-3: drop hits whose text md5 was already seen earlier in the group (first hit wins)."""
     w = Window.partitionBy(*group_cols, F.md5(F.col(text_col))).orderBy(*order_cols)
