@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.columns import token_estimate
+from ..functions.columns import fill, token_estimate
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -64,9 +64,9 @@ def pack_context(hits: DataFrame, query_cols: list[str], text_col: str, source_c
          .withColumn("_run", F.sum("_tok").over(order.rowsBetween(Window.unboundedPreceding, 0))))
     kept = t.where(F.col("_run") <= budget)
     score2 = F.col("score").cast("decimal(20,4)").cast("decimal(20,2)").cast("string")
-    part = F.concat(F.lit("--- Source: "), F.coalesce(F.col(source_col), F.lit("unknown")), F.lit(" ("),
-                    F.coalesce(F.col(type_col), F.lit("unknown")), F.lit(") [relevance: "), score2,
-                    F.lit("] ---\n"), F.col(text_col), F.lit("\n"))
+    header = fill(rules.FORMATS["context_header"], source=F.coalesce(F.col(source_col), F.lit("unknown")),
+                  artifact_type=F.coalesce(F.col(type_col), F.lit("unknown")), score=score2)
+    part = F.concat(header, F.col(text_col), F.lit("\n"))
     agg = kept.groupBy(*query_cols).agg(
         F.count(F.lit(1)).alias("n_used"), F.sum("_tok").alias("tokens_used"),
         F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("o"), part.alias("p")))).alias("_parts"))

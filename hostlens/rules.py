@@ -201,6 +201,32 @@ DETECTOR_TEXT = {
 }
 HIDDEN_FILES_PER_COLLECTION = 10
 
+# Text formats of chunks and reports (headings, section titles, footers).
+FORMATS = {
+    "bodyfile_header": "# Bodyfile Analysis: {title}\n",
+    "bodyfile_titles": {"executables": "Executables", "setuid": "Setuid",
+                        "suspicious_locations": "Suspicious_Locations"},
+    "process_header": "# Running Processes: {title}\n\n",
+    "process_titles": {"all": "All", "root": "Root", "high_cpu": "High Cpu", "high_mem": "High Mem"},
+    "network_header": "# Network Connections: {title}\n\n",
+    "network_titles": {"listening": "Listening", "established": "Established", "all": "All"},
+    "users_header": "# User Accounts\n\n## Regular Users\n",
+    "users_system_header": "\n## System Users with Valid Shells\n",
+    "users_no_shell": "  ⚠️ No valid login shell\n",
+    "users_keywords": ("\n\nKeywords: list of users, usernames, user accounts, login accounts, system users, "
+                       "/etc/passwd content"),
+    "timeline_header": "# Timeline Events: {hour}\n\n",
+    "log_header": "# Log File: {source}\n\n",
+    "log_unknown_time": "[Unknown Time] ",
+    "summary_setuid_title": "\n### SUID/SGID Files (Potential Privilege Escalation)\n",
+    "summary_nobin_title": "\n### Processes Without Binary on Disk\n",
+    "summary_listen_title": "\n### Listening Services\n",
+    "report_header": "# Anomaly Detection Report\n\n",
+    "report_sections": {"critical": "## 🔴 Critical Anomalies\n\n", "high": "## 🟠 High Severity Anomalies\n\n",
+                        "medium": "## 🟡 Medium Severity Anomalies\n\n"},
+    "context_header": "--- Source: {source} ({artifact_type}) [relevance: {score}] ---\n",
+}
+
 # ---------------------------------------------------------------------------
 # End of fixed values.
 # ---------------------------------------------------------------------------

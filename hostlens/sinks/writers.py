@@ -102,7 +102,7 @@ def anomaly_report_rows(anomalies: DataFrame, counts: DataFrame, hostnames: Data
     else:
         c = c.withColumn("hostname", F.lit(None).cast("string"))
     header = F.concat(
-        F.lit("# Anomaly Detection Report\n\n**Source:** `"), F.col("collection_id"), F.lit("`\n"),
+        F.lit(rules.FORMATS["report_header"]), F.lit("**Source:** `"), F.col("collection_id"), F.lit("`\n"),
         F.when(F.col("hostname").isNotNull(), F.concat(F.lit("**Hostname:** "), F.col("hostname"), F.lit("\n"))).otherwise(F.lit("")),
         F.lit("\n## Summary\n\n| Severity | Count |\n|----------|-------|\n"),
         F.lit("| 🔴 Critical | "), F.col("critical").cast("string"), F.lit(" |\n"),
@@ -114,8 +114,7 @@ def anomaly_report_rows(anomalies: DataFrame, counts: DataFrame, hostnames: Data
     )
     head_rows = c.select("collection_id", F.lit(0).alias("part"), F.lit(0).alias("sev"), F.lit(0.0).alias("neg_score"),
                          F.lit(None).cast("struct<g:int,r0:int,f:string,n:bigint,r:int>").alias("ord"), header.alias("text"))
-    titles = {"critical": "## 🔴 Critical Anomalies\n\n", "high": "## 🟠 High Severity Anomalies\n\n",
-              "medium": "## 🟡 Medium Severity Anomalies\n\n"}
+    titles = rules.FORMATS["report_sections"]
     shown = anomaly_markdown(anomalies.where(F.col("severity").isin(*titles)))
     body = shown.select("collection_id", F.lit(2).alias("part"), (-severity_rank("severity")).alias("sev"),
                         (-F.col("score")).alias("neg_score"), "ord", F.col("markdown").alias("text"))
