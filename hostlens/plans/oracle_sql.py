@@ -26,6 +26,31 @@ def contains_any(col: str, needles: list[str]) -> str:
     return "(" + " OR ".join(f"contains({col}, {q(n)})" for n in needles) + ")"
 
 
+_FIELD = __import__("re").compile(r"\{([A-Za-z_][A-Za-z0-9_]*)\}")
+
+
+def tmpl(template: str, **exprs: str) -> str:
+    """SQL text of a ``{field}`` template from ``rules`` (fields are SQL expressions;
+    NULL prints as 'None' like the report texts)."""
+    out, pos = [], 0
+    for m in _FIELD.finditer(template):
+        if m.start() > pos:
+            out.append(q(template[pos:m.start()]))
+        out.append(f"coalesce(CAST({exprs[m.group(1)]} AS VARCHAR), 'None')")
+        pos = m.end()
+    if pos < len(template):
+        out.append(q(template[pos:]))
+    return "(" + " || ".join(out or ["''"]) + ")"
+
+
+T = rules.DETECTOR_TEXT
+FMT = rules.FORMATS
+
+
+def case_map(col: str, mapping: dict) -> str:
+    return "CASE " + col + " " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in mapping.items()) + " END"
+
+
 def tags_sql(text_col: str) -> str:
     low = f"lower({text_col})"
     parts = [f"CASE WHEN {contains_any(low, words)} THEN {q(tag)} END" for tag, words in rules.SECURITY_TAGS.items()]
@@ -76,7 +101,7 @@ WITH ev AS (
   SELECT *, row_number() OVER (PARTITION BY collection_id, hour ORDER BY t, source_file, line_no) AS rn FROM ev
 ), agg AS (
   SELECT collection_id, hour, count(*) AS event_count, min(t) AS first_t,
-    '# Timeline Events: ' || hour || chr(10) || chr(10) ||
+    {tmpl(FMT['timeline_header'], hour='hour')} ||
     string_agg(CASE WHEN rn <= 100 THEN '[' || strftime(t, '%H:%M:%S') || '] [log] ' || substr(message, 1, 200)
                || chr(10) || '  Source: ' || source_file || chr(10) END, '' ORDER BY t, source_file, line_no) AS content
   FROM ranked GROUP BY collection_id, hour
@@ -349,23 +374,22 @@ _ANOM_COLS = ("collection_id, anomaly_id, anomaly_type, severity, score, title,
 PROC_DETECT = f"""
 WITH e AS (SELECT *, regexp_extract(string_split(command, ' ')[1], '[^/]*$') AS exe,
                   string_split(command, ' ')[1] AS tok FROM ({PROC_EXPECTED}))
-SELECT collection_id, 'proc_' || {vc('pid')} || '_suspicious_path' AS anomaly_id, 'suspicious_process' AS anomaly_type,
-  'high' AS severity, CAST(0.8 AS DOUBLE) AS score, 'Process running from suspicious location' AS title,
-  'Process PID ' || {vc('pid')} || ' is running from a temporary or suspicious directory' AS description,
+SELECT collection_id, {tmpl(T['proc_suspicious_path']['id'], pid='pid')} AS anomaly_id, 'suspicious_process' AS anomaly_type,
+  'high' AS severity, CAST(0.8 AS DOUBLE) AS score, {tmpl(T['proc_suspicious_path']['title'])} AS title,
+  {tmpl(T['proc_suspicious_path']['description'], pid='pid')} AS description,
   'process_list' AS source_artifact, CAST(NULL AS VARCHAR) AS artifact_path, CAST(NULL AS VARCHAR) AS ts,
   user AS username, exe AS process_name, CAST(NULL AS VARCHAR) AS mitre_technique, 1 AS evidence_count,
-  'PID: ' || {vc('pid')} || ', User: ' || coalesce(user, 'None') || ', Command: ' || command AS evidence_raw,
-  'Check if binary exists: ls -la ' || tok || ' | Check process tree: pstree -p ' || {vc('pid')}
-    || ' | Check open files: lsof -p ' || {vc('pid')} AS steps
+  {tmpl(T['proc_suspicious_path']['evidence'], pid='pid', user='user', command='command')} AS evidence_raw,
+  {' || \' | \' || '.join(tmpl(x, first_token='tok', pid='pid') for x in T['proc_suspicious_path']['steps'])} AS steps
 FROM e WHERE command <> '' AND {contains_any('command', rules.PROCESS_TEMP_DIRS)}
 UNION ALL
-SELECT collection_id, 'proc_' || {vc('pid')} || '_known_suspicious', 'suspicious_process', 'critical', CAST(0.95 AS DOUBLE),
-  'Known suspicious tool detected: ' || exe, 'Process ' || exe || ' is commonly used in attacks', 'process_list',
+SELECT collection_id, {tmpl(T['proc_known_suspicious']['id'], pid='pid')}, 'suspicious_process', 'critical', CAST(0.95 AS DOUBLE),
+  {tmpl(T['proc_known_suspicious']['title'], exe='exe')}, {tmpl(T['proc_known_suspicious']['description'], exe='exe')}, 'process_list',
   NULL, NULL, user, exe, 'T1059', 0, NULL, ''
 FROM e WHERE lower(exe) IN {tuple(rules.SUSPICIOUS_TOOL_NAMES)}
 UNION ALL
-SELECT collection_id, 'proc_' || {vc('pid')} || '_encoded_cmd', 'suspicious_process', 'high', CAST(0.85 AS DOUBLE),
-  'Process with potential encoded/obfuscated command', 'Command line contains encoding or shell execution patterns',
+SELECT collection_id, {tmpl(T['proc_encoded_cmd']['id'], pid='pid')}, 'suspicious_process', 'high', CAST(0.85 AS DOUBLE),
+  {tmpl(T['proc_encoded_cmd']['title'])}, {tmpl(T['proc_encoded_cmd']['description'])},
   'process_list', NULL, NULL, NULL, exe, NULL, 1, substr(command, 1, 200), ''
 FROM e WHERE command <> '' AND {contains_any('lower(command)', rules.ENCODED_COMMAND_MARKERS)}
 """
@@ -376,19 +400,19 @@ _PORT_LABEL = "CASE " + " ".join(f"WHEN {{c}} = {p} THEN {q(l)}" for p, l in rul
 _PORT_LIST = "(" + ", ".join(str(p) for p in rules.SUSPICIOUS_PORTS) + ")"
 
 NET_DETECT = f"""
-SELECT collection_id, 'net_' || {vc('local_port')} || '_' || {vc('remote_port')} AS anomaly_id,
+SELECT collection_id, {tmpl(T['net_port']['id'], local_port='local_port', remote_port='remote_port')} AS anomaly_id,
   'unusual_network' AS anomaly_type, 'high' AS severity, CAST(0.85 AS DOUBLE) AS score,
-  'Connection to suspicious port ' || {vc('remote_port')} AS title,
-  'Connection to port ' || {vc('remote_port')} || ' (' || {_PORT_LABEL.format(c='remote_port')} || ')' AS description,
+  {tmpl(T['net_port']['title'], remote_port='remote_port')} AS title,
+  {tmpl(T['net_port']['description'], remote_port='remote_port', label=_PORT_LABEL.format(c='remote_port'))} AS description,
   'network_connections' AS source_artifact, CAST(NULL AS VARCHAR) AS artifact_path, CAST(NULL AS VARCHAR) AS ts,
   CAST(NULL AS VARCHAR) AS username, CAST(NULL AS VARCHAR) AS process_name, 'T1571' AS mitre_technique,
   1 AS evidence_count,
-  protocol || ' ' || local_address || ':' || {vc('local_port')} || ' -> ' || remote_address || ':' || {vc('remote_port')}
-    AS evidence_raw, '' AS steps
+  {tmpl(T['net_port']['evidence'], protocol='protocol', local_address='local_address', local_port='local_port',
+         remote_address='remote_address', remote_port='remote_port')} AS evidence_raw, '' AS steps
 FROM ({CONN_EXPECTED}) WHERE remote_port <> 0 AND remote_port IN {_PORT_LIST}
 UNION ALL
-SELECT collection_id, 'net_listen_' || {vc('local_port')}, 'persistence_mechanism', 'critical', CAST(0.9 AS DOUBLE),
-  'Suspicious service listening on port ' || {vc('local_port')}, 'Service listening on known malicious port',
+SELECT collection_id, {tmpl(T['net_listen']['id'], local_port='local_port')}, 'persistence_mechanism', 'critical', CAST(0.9 AS DOUBLE),
+  {tmpl(T['net_listen']['title'], local_port='local_port')}, {tmpl(T['net_listen']['description'])},
   'network_connections', NULL, NULL, NULL, program, NULL, 0, NULL, ''
 FROM ({CONN_EXPECTED}) WHERE upper(state) = 'LISTEN' AND local_port IN {_PORT_LIST}
 """
@@ -398,22 +422,22 @@ DETECT_NETWORK = NET_DETECT
 FILE_DETECT = f"""
 WITH b AS (SELECT *, regexp_extract(name, '[^/]*$') AS fname,
                   CASE WHEN mtime > 0 THEN {ts_sql(epoch_ts('mtime'))} END AS mts FROM ({BODY_EXPECTED}))
-SELECT collection_id, 'fs_suid_' || inode AS anomaly_id, 'privilege_escalation' AS anomaly_type, 'high' AS severity,
-  CAST(0.8 AS DOUBLE) AS score, 'Non-standard SUID binary: ' || fname AS title,
-  'SUID binary found at unexpected location: ' || name AS description, 'bodyfile' AS source_artifact,
+SELECT collection_id, {tmpl(T['fs_suid']['id'], inode='inode')} AS anomaly_id, 'privilege_escalation' AS anomaly_type, 'high' AS severity,
+  CAST(0.8 AS DOUBLE) AS score, {tmpl(T['fs_suid']['title'], filename='fname')} AS title,
+  {tmpl(T['fs_suid']['description'], name='name')} AS description, 'bodyfile' AS source_artifact,
   name AS artifact_path, mts AS ts, CAST(NULL AS VARCHAR) AS username, CAST(NULL AS VARCHAR) AS process_name,
   'T1548.001' AS mitre_technique, 1 AS evidence_count,
-  'Mode: ' || mode || ', Size: ' || {vc('size')} || ', Owner: ' || {vc('uid')} AS evidence_raw,
-  'Check file: ls -la ' || name || ' | Check file type: file ' || name || ' | Check strings: strings ' || name
-    || ' | head -50' AS steps
+  {tmpl(T['fs_suid']['evidence'], mode='mode', size='size', uid='uid')} AS evidence_raw,
+  {' || \' | \' || '.join(tmpl(x, name='name') for x in T['fs_suid']['steps'])} AS steps
 FROM b WHERE contains(lower(mode), 's') AND name NOT IN {tuple(rules.SYSTEM_SETUID_ALLOWLIST)}
 UNION ALL
-SELECT collection_id, 'fs_tmpexec_' || inode, 'suspicious_process', 'medium', CAST(0.7 AS DOUBLE), 'Executable in temporary directory',
-  'Executable found in world-writable directory', 'bodyfile', name, mts, NULL, NULL, NULL, 0, NULL, ''
+SELECT collection_id, {tmpl(T['fs_tmpexec']['id'], inode='inode')}, 'suspicious_process', 'medium', CAST(0.7 AS DOUBLE),
+  {tmpl(T['fs_tmpexec']['title'])}, {tmpl(T['fs_tmpexec']['description'])}, 'bodyfile', name, mts, NULL, NULL, NULL, 0, NULL, ''
 FROM b WHERE contains(mode, 'x') AND NOT starts_with(mode, 'd') AND {contains_any('name', rules.FILE_TEMP_DIRS)}
 UNION ALL
-SELECT collection_id, 'fs_hidden_' || inode, 'hidden_file', 'medium', CAST(0.6 AS DOUBLE), 'Hidden executable: ' || fname,
-  'Hidden executable file found at ' || name, 'bodyfile', name, NULL, NULL, NULL, NULL, 0, NULL, ''
+SELECT collection_id, {tmpl(T['fs_hidden']['id'], inode='inode')}, 'hidden_file', 'medium', CAST(0.6 AS DOUBLE),
+  {tmpl(T['fs_hidden']['title'], filename='fname')}, {tmpl(T['fs_hidden']['description'], name='name')},
+  'bodyfile', name, NULL, NULL, NULL, NULL, 0, NULL, ''
 FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY line_no) AS rn FROM b
       WHERE contains(name, '/.') AND NOT {contains_any('name', rules.HIDDEN_PATH_EXCLUDES)} AND contains(mode, 'x'))
 WHERE rn <= {rules.HIDDEN_FILES_PER_COLLECTION}
@@ -423,16 +447,16 @@ DETECT_FILES = FILE_DETECT
 
 USER_DETECT = f"""
 WITH u AS (SELECT *, NOT (contains(shell, '/nologin') OR contains(shell, '/false')) AS valid_shell FROM ({USER_EXPECTED}))
-SELECT collection_id, 'user_' || username || '_system_shell' AS anomaly_id, 'suspicious_user' AS anomaly_type,
-  'medium' AS severity, CAST(0.6 AS DOUBLE) AS score, 'System account with login shell: ' || username AS title,
-  'System user ' || username || ' (UID ' || {vc('uid')} || ') has a valid login shell' AS description,
+SELECT collection_id, {tmpl(T['user_system_shell']['id'], username='username')} AS anomaly_id, 'suspicious_user' AS anomaly_type,
+  'medium' AS severity, CAST(0.6 AS DOUBLE) AS score, {tmpl(T['user_system_shell']['title'], username='username')} AS title,
+  {tmpl(T['user_system_shell']['description'], username='username', uid='uid')} AS description,
   'passwd' AS source_artifact, CAST(NULL AS VARCHAR) AS artifact_path, CAST(NULL AS VARCHAR) AS ts,
   username, CAST(NULL AS VARCHAR) AS process_name, CAST(NULL AS VARCHAR) AS mitre_technique, 0 AS evidence_count,
   CAST(NULL AS VARCHAR) AS evidence_raw, '' AS steps
 FROM u WHERE is_system_user AND valid_shell AND uid <> 0
 UNION ALL
-SELECT collection_id, 'user_' || username || '_uid0', 'privilege_escalation', 'critical', CAST(0.95 AS DOUBLE),
-  'Non-root user with UID 0: ' || username, 'User ' || username || ' has UID 0, equivalent to root privileges',
+SELECT collection_id, {tmpl(T['user_uid0']['id'], username='username')}, 'privilege_escalation', 'critical', CAST(0.95 AS DOUBLE),
+  {tmpl(T['user_uid0']['title'], username='username')}, {tmpl(T['user_uid0']['description'], username='username')},
   'passwd', NULL, NULL, username, NULL, 'T1136', 0, NULL, ''
 FROM u WHERE uid = 0 AND username <> 'root'
 """
@@ -755,10 +779,10 @@ FROM b FULL JOIN p USING (collection_id) FULL JOIN c USING (collection_id) FULL
 LOGS_BY_SOURCE = f"""
 WITH g AS (SELECT collection_id, regexp_extract(source_file, '[^/]*$') AS source, source_file, line_no,
              CASE WHEN ts_parsed IS NOT NULL THEN '[' || strftime(ts_parsed, '%Y-%m-%d %H:%M:%S') || '] '
-                  ELSE '[Unknown Time] ' END || message || chr(10) AS line FROM ({LOG_EXPECTED})),
+                  ELSE {q(FMT['log_unknown_time'])} END || message || chr(10) AS line FROM ({LOG_EXPECTED})),
 r AS (SELECT *, row_number() OVER (PARTITION BY collection_id, source ORDER BY source_file, line_no) AS rn FROM g)
 SELECT collection_id, source, count(*) AS entry_count,
-  '# Log File: ' || source || chr(10) || chr(10) || string_agg(line, '' ORDER BY source_file, line_no) FILTER (WHERE rn <= 500)
+  {tmpl(FMT['log_header'], source='source')} || string_agg(line, '' ORDER BY source_file, line_no) FILTER (WHERE rn <= 500)
     AS content
 FROM r GROUP BY collection_id, source
 """
@@ -844,9 +868,9 @@ txt AS (
     || '- Network Connections: ' || {vc('n_conn')} || chr(10) || '- User Accounts: ' || {vc('n_users')} || chr(10)
     || '- Log Entries: ' || {vc('n_logs')} || chr(10) || '- Timeline Events: ' || {vc('n_events')} || chr(10) || chr(10)
     || '## Key Findings Preview' || chr(10)
-    || coalesce(chr(10) || '### SUID/SGID Files (Potential Privilege Escalation)' || chr(10) || suid.t, '')
-    || coalesce(chr(10) || '### Processes Without Binary on Disk' || chr(10) || nobin.t, '')
-    || coalesce(chr(10) || '### Listening Services' || chr(10) || lis.t, '') AS content
+    || coalesce({q(FMT['summary_setuid_title'])} || suid.t, '')
+    || coalesce({q(FMT['summary_nobin_title'])} || nobin.t, '')
+    || coalesce({q(FMT['summary_listen_title'])} || lis.t, '') AS content
   FROM hosts h JOIN cnt USING (collection_id) LEFT JOIN suid USING (collection_id)
     LEFT JOIN nobin USING (collection_id) LEFT JOIN lis USING (collection_id)
 )
@@ -863,8 +887,7 @@ def _tags_with(content: str, extra: str) -> str:
 
 _FILE_BLOCKS = f"""
 SELECT collection_id, grp, grank, count(*) AS n,
-  '# Bodyfile Analysis: ' || CASE grp WHEN 'executables' THEN 'Executables' WHEN 'setuid' THEN 'Setuid'
-                                     ELSE 'Suspicious_Locations' END || chr(10)
+  {tmpl(FMT['bodyfile_header'], title=case_map('grp', FMT['bodyfile_titles']))}
   || string_agg(line, '' ORDER BY line_no) FILTER (WHERE rn <= {rules.MAX_ROWS_PER_KIND}) AS text
 FROM (
   SELECT *, row_number() OVER (PARTITION BY collection_id, grp ORDER BY line_no) AS rn FROM (
@@ -884,8 +907,7 @@ GROUP BY collection_id, grp, grank
 
 _PROC_BLOCKS = f"""
 SELECT collection_id, grp, grank, least(count(*), max(cap)) AS n,
-  '# Running Processes: ' || CASE grp WHEN 'all' THEN 'All' WHEN 'root' THEN 'Root' WHEN 'high_cpu' THEN 'High Cpu'
-                                     ELSE 'High Mem' END || chr(10) || chr(10)
+  {tmpl(FMT['process_header'], title=case_map('grp', FMT['process_titles']))}
   || string_agg(line, '' ORDER BY k, source_file, line_no) FILTER (WHERE rn <= cap) AS text
 FROM (
   SELECT *, row_number() OVER (PARTITION BY collection_id, grp ORDER BY k, source_file, line_no) AS rn FROM (
@@ -906,8 +928,7 @@ GROUP BY collection_id, grp, grank
 
 _NET_BLOCKS = f"""
 SELECT collection_id, grp, grank, CASE WHEN grp = 'all' THEN least(count(*), {rules.MAX_ROWS_PER_KIND}) ELSE count(*) END AS n,
-  '# Network Connections: ' || CASE grp WHEN 'listening' THEN 'Listening' WHEN 'established' THEN 'Established'
-                                       ELSE 'All' END || chr(10) || chr(10)
+  {tmpl(FMT['network_header'], title=case_map('grp', FMT['network_titles']))}
   || string_agg(line, '' ORDER BY line_no) FILTER (WHERE rn <= 500) AS text
 FROM (
   SELECT *, row_number() OVER (PARTITION BY collection_id, grp ORDER BY line_no) AS rn FROM (
@@ -925,13 +946,13 @@ GROUP BY collection_id, grp, grank
 
 _USER_BLOCKS = f"""
 SELECT collection_id, 'users' AS grp, 0 AS grank, count(*) AS n,
-  '# User Accounts' || chr(10) || chr(10) || '## Regular Users' || chr(10)
+  {q(FMT['users_header'])}
   || coalesce(string_agg(CASE WHEN NOT is_system_user THEN entry
-                              || CASE WHEN NOT valid THEN '  ⚠️ No valid login shell' || chr(10) ELSE '' END END,
+                              || CASE WHEN NOT valid THEN {q(FMT['users_no_shell'])} ELSE '' END END,
                          '' ORDER BY line_no), '')
-  || chr(10) || '## System Users with Valid Shells' || chr(10)
+  || {q(FMT['users_system_header'])}
   || coalesce(string_agg(CASE WHEN is_system_user AND valid THEN entry END, '' ORDER BY line_no), '')
-  || chr(10) || chr(10) || 'Keywords: list of users, usernames, user accounts, login accounts, system users, /etc/passwd content'
+  || {q(FMT['users_keywords'])}
   AS text
 FROM (SELECT *, NOT (contains(shell, '/nologin') OR contains(shell, '/false')) AS valid,
         '- ' || username || ' (UID: ' || {vc('uid')} || ')' || chr(10) || '  Home: ' || coalesce(home, 'None')
