@@ -89,8 +89,10 @@ def base_name(path) -> Column:
 def parent_dir(path) -> Column:
     """``str(pathlib.Path(p).parent)``: '.' for a bare name, '/' for top level."""
     p = col_(path)
-    trimmed = F.when(p.rlike("^/+$"), F.lit("/")).otherwise(F.regexp_replace(p, "/+$", ""))
-    head = F.regexp_replace(trimmed, "/[^/]*$", "")
+    # regexes only for the rare trailing-slash case; the rest is string functions
+    trimmed = F.when(~p.endswith("/"), p).when(p.rlike("^/+$"), F.lit("/")).otherwise(F.regexp_replace(p, "/+$", ""))
+    last = F.substring_index(trimmed, "/", -1)
+    head = F.substring(trimmed, F.lit(1), F.length(trimmed) - F.length(last) - 1)
     return (
         F.when(trimmed == "/", F.lit("/"))
         .when(~trimmed.contains("/"), F.lit("."))
