@@ -154,3 +154,30 @@ def store_count(spark, path: str) -> int:
 def clear_store(spark, path: str, schema) -> None:
     """RET-6: empty the store (overwrite with no rows, schema kept)."""
     spark.createDataFrame([], schema).write.mode("overwrite").partitionBy("collection_id").parquet(path)
+
+
+def approx_knn(corpus: DataFrame, queries: DataFrame, scope: str, k: int = rules.HITS_PER_QUERY,
+               id_col: str = "id", query_id: str = "query_id", vec_col: str = "embedding",
+               bucket_length: float = 2.0, num_tables: int = 4, max_distance: float = 4.0) -> DataFrame:
+    """RET-3 approximate mode: Euclidean LSH candidates, then exact distance and top-k.
+
+    ``BucketedRandomProjectionLSH.approxSimilarityJoin`` joins on hash buckets
+    (an equi-join per hash table), so candidates are pairs that share a bucket
+    and lie within ``max_distance`` -- never the full cross product.  Recall
+    depends on ``bucket_length`` / ``num_tables``; use ``knn`` when exact
+    results are required.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    c = corpus.select(scope, id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v"))
+    q = queries.select(F.col(scope).alias("_qscope"), query_id, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v"))
+    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
+                                        numHashTables=num_tables, seed=7).fit(c)
+    pairs = model.approxSimilarityJoin(c, q, max_distance, distCol="_d")
+    cand = pairs.select(F.col(f"datasetA.{scope}").alias(scope), F.col(f"datasetA.{id_col}").alias(id_col),
+                        F.col(f"datasetB._qscope").alias("_qscope"), F.col(f"datasetB.{query_id}").alias(query_id),
+                        (F.col("_d") * F.col("_d")).alias("distance")).where(F.col(scope) == F.col("_qscope"))
+    w = Window.partitionBy(scope, query_id).orderBy("distance", id_col)
+    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_qscope")
+    return top.withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("distance")))

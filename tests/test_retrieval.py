@@ -69,3 +69,16 @@ def test_sections_prompts_followups(spark):
     assert list(r.acts) == ["Isolate", "Patch", "Rotate"]
     assert r.f[0] == "Show failed SSH login attempts"
     assert r.p == "Q: why ssh? C: ctx U: {unknown}"
+
+
+def test_approx_knn_agrees_on_clear_neighbours(spark):
+    import random
+    rng = random.Random(5)
+    rows = [("s", i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(200)]
+    corpus = spark.createDataFrame(rows, "scope string, id long, embedding array<double>")
+    q = spark.createDataFrame([("s", "q", rows[17][2])], "scope string, query_id string, embedding array<double>")
+    exact = ret.knn(corpus, q, "scope", k=3, id_col="id", query_cols=["scope", "query_id"])
+    approx = ret.approx_knn(corpus, q, "scope", k=3, id_col="id", bucket_length=4.0, num_tables=6, max_distance=3.0)
+    e = [r.id for r in exact.orderBy("rank").collect()]
+    a = [r.id for r in approx.orderBy("rank").collect()]
+    assert a[0] == e[0] == 17 and set(a) <= set(r[1] for r in rows)
