@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import fence
+from ..session import spread
 
 N_HOSTS = 8
 LINE_COLS = ["collection_id", "source_file", "line_no", "line"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table, spread over the cluster when its scan is narrow (see ``session.spread``)."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def host_of(key: str) -> Column:

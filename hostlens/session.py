@@ -93,3 +93,19 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Spread a narrow input over the cluster before CPU-heavy per-row work.
+
+    A source with fewer partitions than the cluster's parallelism (e.g. one
+    Parquet file with one row group) would parse in a single task.  Only then
+    the rows are repartitioned round-robin (deterministic on retry, since
+    rows are sorted before the round-robin split); an input that is already
+    wide -- the normal case for large data -- is returned unchanged, so no
+    extra shuffle is added at scale.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
