@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..operators import timeline as tl
-from ..session import ensure_engine_conf
+from ..session import ensure_engine_conf, spread
 from ..sources import archive as arc
 from ..sources import structured as st
 from ..sources import text_parsers as tp
@@ -38,7 +38,8 @@ def parse_members(members: DataFrame, reference_year=None, max_log_entries: int
     rows per collection in file order (off by default).
     """
     files = arc.catalog_members(members)
-    lines = arc.member_lines(files.where(F.col("category").isin("bodyfile", "live_response", "hash", "logs")))
+    # a few large archives would otherwise parse their lines in a few tasks
+    lines = spread(arc.member_lines(files.where(F.col("category").isin("bodyfile", "live_response", "hash", "logs"))))
     collections = arc.collections_from_members(files, arc.member_lines(
         files.where(F.lower("relative_path").contains("uac.log"))))
 
