@@ -133,19 +133,18 @@ def bodyfile_time_range(spark, sf_dir):
 
 @register("bodyfile_selections")
 def bodyfile_selections(spark, sf_dir):
-    """FIL-4 / FIL-9 / AGG-1: per collection counts of the bodyfile selections."""
+    """FIL-4 / FIL-9 / AGG-1: per collection counts of the bodyfile selections (one scan)."""
     bf = bodyfile(spark, sf_dir)
-    sets = {
-        "executables": files.executables(bf), "setuid": files.setuid_files(bf),
-        "directories": files.directories(bf), "with_hash": files.files_with_hash(bf),
-        "suspicious_locations": files.suspicious_locations(bf),
+    mode, name = F.col("mode"), F.col("name")
+    sel = {
+        "executables": files.is_executable() & ~files.is_directory(), "setuid": files.is_setuid(),
+        "directories": files.is_directory(), "with_hash": ~F.col("md5").isin("0", ""),
+        "suspicious_locations": cols.contains_any(name, rules.SUSPICIOUS_LOCATION_MARKERS),
     }
-    out = None
-    for name, df in sets.items():
-        part_ = df.groupBy("collection_id").agg(F.count(F.lit(1)).alias("n")).select(
-            "collection_id", F.lit(name).alias("selection"), "n")
-        out = part_ if out is None else out.unionByName(part_)
-    return out
+    agg = bf.groupBy("collection_id").agg(*[F.count_if(c).alias(k) for k, c in sel.items()])
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("selection"), F.col(k).alias("n")) for k in sel]))
+    return agg.select("collection_id", pairs.alias("p")).select(
+        "collection_id", F.col("p.selection").alias("selection"), F.col("p.n").alias("n")).where(F.col("n") > 0)
 
 
 PROC_OUT = ["collection_id", "source_file", "line_no", "pid", "ppid", "user", "cpu", "mem", "vsz", "rss",
@@ -554,7 +553,6 @@ def host_summary_chunks(spark, sf_dir):
                          "collection_time")
     bf, pr_ = bodyfile(spark, sf_dir), processes(spark, sf_dir)
     logs = event_logs(spark, sf_dir)
-    tl_ = tl.merge_timeline(tl.bodyfile_events(bf), tl.log_events(logs), sort=False)
-    c = ch.summary_chunks(colls, bf, pr_, connections(spark, sf_dir), users(spark, sf_dir), logs, tl_,
+    c = ch.summary_chunks(colls, bf, pr_, connections(spark, sf_dir), users(spark, sf_dir), logs, None,
                           en.with_binary_info(pr_, bf))
     return c.select("collection_id", "chunk_id", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
