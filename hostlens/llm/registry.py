@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_orc
+from . import bpe, token_orc, warc
 from .common import shared_folder, table
 
 
@@ -27,5 +27,24 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op5_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, folder = table(spark, sf_dir, "pages"), shared_folder(spark, "op7")
+    directory = warc.build_index(warc.write_archives(pages, folder), folder)
+    keys = pages.select(warc.url_key(F.col("url")).alias("key"))
+    return warc.fetch(warc.lookup(keys, directory), with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
+), f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN f.first_id IS NULL OR f.first_id = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first_id <> p.page_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
+"""
+
+
+QUERIES = {f.__name__: f for f in (op2_token_orc, op5_byte_bpe, op7_warc)}
+ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL}
