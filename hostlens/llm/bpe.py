@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .chunked import ChunkedEncoder
-from .common import set_column, with_field, worker_cache
+from .chunked import MAX_CHUNKS, ChunkedEncoder
+from .common import set_column, slices, with_field, worker_cache
 
 NONE = np.int32(2**31 - 1)  # "no such pair"
 LONG_PIECE = 256  # rows of more bytes are merged one by one
@@ -95,10 +95,8 @@ class Codec:
         self.byte_id = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.byte_id < 0).any():
             raise ValueError("the vocabulary lacks some single bytes")
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
         self.chunked = ChunkedEncoder(self._learn)
+        self.pieces: dict[str, bytes] = {}
 
     def _rank_matrix(self, ids: np.ndarray) -> np.ndarray:
         left, right = ids[:, :-1], ids[:, 1:]
@@ -107,18 +105,16 @@ class Codec:
         out[real] = self.pairs.rank(left[real], right[real])
         return out
 
-    def _merge_rows(self, ids: np.ndarray) -> list[np.ndarray]:
-        """Final ids of each row of a padded (-1) matrix."""
-        done: list[np.ndarray | None] = [None] * len(ids)
+    def _merge_rows(self, ids: np.ndarray) -> list[bytes]:
+        """Final ids (as bytes) of each row of a padded (-1) matrix."""
+        done = np.full(ids.shape, -1, np.int32)
         at, rank = np.arange(len(ids)), self._rank_matrix(ids)
         while len(at):
             best = rank.argmin(axis=1)
             least = rank[np.arange(len(at)), best]
             over = least == NONE
             if over.any():
-                lens = (ids[over] >= 0).sum(axis=1)
-                for row, line, n in zip(at[over], ids[over], lens):
-                    done[row] = line[:n].copy()
+                done[at[over], :ids.shape[1]] = ids[over]
                 at, ids, rank, best, least = at[~over], ids[~over], rank[~over], best[~over], least[~over]
                 if not len(at):
                     break
@@ -141,7 +137,10 @@ class Codec:
                 real = b >= 0
                 new[real] = self.pairs.rank(a[real], b[real])
                 rank[r, c] = new
-        return done
+        real = done >= 0
+        ends = (real.sum(axis=1).cumsum() * 4).tolist()
+        flat = done[real].tobytes()
+        return [flat[i:j] for i, j in zip([0, *ends], ends)]
 
     def _merge_long(self, ids: np.ndarray) -> np.ndarray:
         """One long row.  A round merges every non-overlapping least pair, left to right, if no pair
@@ -172,26 +171,24 @@ class Codec:
             rank = self.pairs.rank(ids[:-1], ids[1:])
         return ids
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each pre-token."""
-        out: list[np.ndarray | None] = [None] * len(pieces)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (int32, as bytes) of each pre-token."""
+        out = [b""] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
             rank = self.ranks.get(piece)
             if rank is not None:
-                out[i] = np.array([rank], np.int32)
+                out[i] = rank.to_bytes(4, "little")
             elif len(piece) > LONG_PIECE:
-                out[i] = self._merge_long(self.byte_id[np.frombuffer(piece, np.uint8)])
+                out[i] = self._merge_long(self.byte_id[np.frombuffer(piece, np.uint8)]).tobytes()
             elif piece:
                 buckets.setdefault((len(piece) - 1).bit_length(), []).append(i)
-            else:
-                out[i] = np.zeros(0, np.int32)
         for bits, rows in buckets.items():
-            for k in range(0, len(rows), 1 << 15):
-                part = rows[k:k + (1 << 15)]
-                width = 1 << bits
-                flat = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in part), np.uint8).reshape(len(part), width)
-                ids = self.byte_id[flat]
+            width = 1 << bits
+            for k in range(0, len(rows), 1 << 14):
+                part = rows[k:k + (1 << 14)]
+                flat = np.frombuffer(b"".join([pieces[i].ljust(width, b"\0") for i in part]), np.uint8)
+                ids = self.byte_id[flat.reshape(len(part), width)]
                 lens = np.array([len(pieces[i]) for i in part])
                 ids[np.arange(width) >= lens[:, None]] = -1
                 for i, line in zip(part, self._merge_rows(ids)):
@@ -199,10 +196,13 @@ class Codec:
         return out
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
-        split = [[p.encode() for p in self.split(c)] for c in chunks]
-        pieces = list({p for ps in split for p in ps})
-        ids = {p: v.tobytes() for p, v in zip(pieces, self.encode_pieces(pieces))}
-        return [b"".join([ids[p] for p in ps]) for ps in split]
+        known = self.pieces
+        if len(known) > MAX_CHUNKS:
+            known.clear()
+        split = list(map(self.split, chunks))
+        fresh = list(set().union(*split).difference(known))
+        known.update(zip(fresh, self.encode_pieces([p.encode() for p in fresh])))
+        return [known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps)) for ps in split]
 
     def encode_texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, in order."""
@@ -217,6 +217,16 @@ def _codec(ranks: dict[bytes, int], pattern: str, key: tuple) -> Codec:
     return cache[key]
 
 
+def _tokens(ranks: dict[bytes, int], key: tuple) -> list[bytes]:
+    cache = worker_cache("bpe_tokens")
+    if key not in cache:
+        cache.clear()
+        cache[key] = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            cache[key][rank] = token
+    return cache[key]
+
+
 def _shipped(df: DataFrame, path: str, pattern: str):
     ranks = read_ranks(path)  # a vocabulary file: fixed size
     return df.sparkSession.sparkContext.broadcast(ranks), (path, pattern, len(ranks))
@@ -228,7 +238,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
     def run(batches):
         codec = _codec(ranks.value, pattern, key)
-        for batch in batches:
+        for batch in slices(batches, text_col):
             ids = codec.encode_texts(batch.column(text_col).to_pylist())
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
@@ -243,10 +253,9 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", o
     ranks, key = _shipped(df, ranks_path, pattern)
 
     def run(batches):
-        tokens = _codec(ranks.value, pattern, key).tokens
-        for batch in batches:
-            col = batch.column(ids_col)
-            out = [b"".join([tokens[i] for i in row]) if row else b"" for row in _id_rows(col)]
+        tokens = _tokens(ranks.value, key)
+        for batch in slices(batches, ids_col):
+            out = [b"".join([tokens[i] for i in row]) if row else b"" for row in _id_rows(batch.column(ids_col))]
             yield set_column(batch, out_col, pa.array(out, pa.binary()))
 
     return df.mapInArrow(run, with_field(df.schema, out_col, T.BinaryType()))

@@ -13,8 +13,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-MAX_CHUNKS = 300_000  # distinct chunks kept per worker; the store starts anew beyond it
-GROUP_BYTES = 4 << 20  # characters of text worked on at a time
+MAX_CHUNKS = 300_000  # distinct chunks kept per worker; beyond it the store starts anew
+GROUP_BYTES = 2 << 20  # characters of text worked on at a time
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -38,9 +38,10 @@ class ChunkedEncoder:
         return out
 
     def _encode(self, part: list[list[str]]) -> list[np.ndarray]:
-        if len(self.known) > MAX_CHUNKS:
-            self.known.clear()
-        unseen = set().union(*(p[1:] for p in part)).difference(self.known)
+        met = set().union(*[p[1:] for p in part])
+        if len(self.known) > MAX_CHUNKS:  # start anew with what this group of texts needs
+            self.known = {c: self.known[c] for c in met if c in self.known}
+        unseen = met.difference(self.known)
         # chunks that are empty or have white space at an end are never kept: their texts are cut more carefully
         unseen = [c for c in unseen if c and not (c[0].isspace() or c[-1].isspace())]
         self.known.update(zip(unseen, self.learn([" " + c for c in unseen])))

@@ -68,6 +68,18 @@ def row_groups(offsets: np.ndarray, most: int):
         first = min(end, n)
 
 
+def slices(batches, column: str, most: int = 4 << 20):
+    """Record batches cut into pieces whose ``column`` holds about ``most`` bytes each."""
+    for batch in batches:
+        col = batch.column(batch.schema.names.index(column))
+        if pa.types.is_list(col.type):
+            offsets = col.offsets.to_numpy().astype(np.int64) * 4
+        else:
+            offsets = binary_view(col)[1]
+        for first, end in row_groups(offsets, most):
+            yield batch.slice(first, end - first)
+
+
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
