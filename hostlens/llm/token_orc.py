@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunked import ChunkedEncoder
-from .common import worker_cache
+from .common import slices, worker_cache
 
 SCHEMA = "doc_id bigint, n_tokens bigint, file_no int, file_start bigint, ids array<int>"
 
@@ -67,18 +67,16 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
     def run(batches):
         encoder, start = _encoder(vocabulary.value, key), 0
         end = np.array([end_id], np.int32)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 500):  # output batches of bounded size
-                part = batch.slice(first, 500)
-                ids = encoder.encode(part.column("text").to_pylist())
-                n = np.array([len(x) + 1 for x in ids], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(n)])
-                flat = np.concatenate([a for x in ids for a in (x, end)])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n), part.column("file_no"), pa.array(start + offsets[:-1]),
-                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))],
-                    ["doc_id", "n_tokens", "file_no", "file_start", "ids"])
-                start += int(offsets[-1])
+        for part in slices(batches, "text"):
+            ids = encoder.encode(part.column("text").to_pylist())
+            n = np.array([len(x) + 1 for x in ids], np.int64)
+            offsets = np.concatenate([[0], np.cumsum(n)])
+            flat = np.concatenate([a for x in ids for a in (x, end)])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(n), part.column("file_no"), pa.array(start + offsets[:-1]),
+                 pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))],
+                ["doc_id", "n_tokens", "file_no", "file_start", "ids"])
+            start += int(offsets[-1])
 
     (rows.mapInArrow(run, SCHEMA).write
      .option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id")
