@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_orc, warc
+from . import bpe, ctph, token_orc, warc
 from .common import shared_folder, table
 
 
@@ -46,5 +46,9 @@ FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
 """
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op5_byte_bpe, op7_warc)}
+def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.with_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_orc, op5_byte_bpe, op7_warc, op10_piecewise_hash)}
 ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL}
