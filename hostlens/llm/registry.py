@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctph, token_orc, warc
+from . import bpe, ctph, decontaminate, token_orc, warc
 from .common import shared_folder, table
 
 
@@ -27,6 +27,36 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, list_slice(w, i, i + 9) AS win
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(i) WHERE len(w) > 0
+), lens AS (SELECT DISTINCT len(win) AS n FROM win),
+spot AS (
+  SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS win
+  FROM d, lens, unnest(range(1, len(w) - n + 2)) AS r(i) WHERE len(w) >= n
+), hit AS (SELECT doc_id, i, n, item_id FROM spot JOIN win USING (win)),
+pos AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, unnest(range(0, n)) AS r(k) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, folder = table(spark, sf_dir, "pages"), shared_folder(spark, "op7")
     directory = warc.build_index(warc.write_archives(pages, folder), folder)
@@ -50,5 +80,5 @@ def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op5_byte_bpe, op7_warc, op10_piecewise_hash)}
-ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op2_token_orc, op5_byte_bpe, op6_decontaminate, op7_warc, op10_piecewise_hash)}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL}
