@@ -21,8 +21,8 @@ BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 class ChunkedEncoder:
     """``learn`` gives the ids (as int32 bytes) of each of a list of strings."""
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]]):
-        self.learn = learn
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int = MAX_CHUNKS):
+        self.learn, self.most = learn, most
         self.known: dict[str, bytes] = {}  # chunk without its leading space -> ids with it
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -39,7 +39,7 @@ class ChunkedEncoder:
 
     def _encode(self, part: list[list[str]]) -> list[np.ndarray]:
         met = set().union(*[p[1:] for p in part])
-        if len(self.known) > MAX_CHUNKS:  # start anew with what this group of texts needs
+        if len(self.known) > self.most:  # start anew with what this group of texts needs
             self.known = {c: self.known[c] for c in met if c in self.known}
         unseen = met.difference(self.known)
         # chunks that are empty or have white space at an end are never kept: their texts are cut more carefully

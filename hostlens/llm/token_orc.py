@@ -20,6 +20,7 @@ ones named like an output, do not matter; an empty table gives no files' rows.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,18 @@ def _encoder(vocabulary: str, key: str) -> ChunkedEncoder:
         tokenizer = Tokenizer.from_str(vocabulary)
         tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
 
+        if hasattr(tokenizer.model, "_resize_cache"):
+            tokenizer.model._resize_cache(0)  # chunks come once each: the library's own cache only costs time
+
         def learn(chunks: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-            return [np.array(e.ids, np.int32).tobytes() for e in found]
+            out: list[bytes] = []
+            for k in range(0, len(chunks), 5000):
+                found = tokenizer.encode_batch_fast(chunks[k:k + 5000], add_special_tokens=False)
+                out += [array("i", e.ids).tobytes() for e in found]
+            return out
 
         cache.clear()
-        cache[key] = ChunkedEncoder(learn)
+        cache[key] = ChunkedEncoder(learn, most=700_000)
     return cache[key]
 
 
