@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctph, decontaminate, token_orc, warc
+from . import bpe, ctph, decontaminate, langid, token_orc, warc
 from .common import shared_folder, table
 
 
@@ -17,6 +17,13 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = langid.train(docs)
+    return langid.predict(docs.select("doc_id", "text"), net).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,5 +87,5 @@ def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op5_byte_bpe, op6_decontaminate, op7_warc, op10_piecewise_hash)}
+QUERIES = {f.__name__: f for f in (op2_token_orc, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_warc, op10_piecewise_hash)}
 ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL}
