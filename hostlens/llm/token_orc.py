@@ -19,6 +19,7 @@ ones named like an output, do not matter; an empty table gives no files' rows.
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 
@@ -33,6 +34,16 @@ from .common import slices, worker_cache
 SCHEMA = "doc_id bigint, n_tokens bigint, file_no int, file_start bigint, ids array<int>"
 
 
+MOST_WORDS = 300_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 itself, the rest from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in own)
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(others)}}
+
+
 def _encoder(vocabulary: str, key: str) -> ChunkedEncoder:
     cache = worker_cache("token_orc")
     if key not in cache:
@@ -44,16 +55,47 @@ def _encoder(vocabulary: str, key: str) -> ChunkedEncoder:
 
         if hasattr(tokenizer.model, "_resize_cache"):
             tokenizer.model._resize_cache(0)  # chunks come once each: the library's own cache only costs time
-
-        def learn(chunks: list[str]) -> list[bytes]:
+        spec = json.loads(vocabulary)
+        before = spec.get("pre_tokenizer") or {}
+        # byte-level words: letters after the space, and marks after letters, are pre-tokens of their own
+        by_letters = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+                      and spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
+        letter = _byte_letters()
+        words: dict[str, bytes] = {}
+        marks = {m: array("i", tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", ".", ",", "!", "?")}
+
+        def whole(chunks: list[str]) -> list[bytes]:
             out: list[bytes] = []
             for k in range(0, len(chunks), 5000):
                 found = tokenizer.encode_batch_fast(chunks[k:k + 5000], add_special_tokens=False)
                 out += [array("i", e.ids).tobytes() for e in found]
             return out
 
+        def word(text: str) -> bytes:
+            """Ids of a space and letters, straight from the library's merge model."""
+            found = words.get(text)
+            if found is None:
+                mapped = text if text.isascii() else text.encode().decode("latin-1").translate(letter)
+                found = words[text] = array("i", [t.id for t in tokenizer.model.tokenize(letter[32] + mapped)]).tobytes()
+            return found
+
+        def learn(chunks: list[str]) -> list[bytes]:
+            if len(words) > MOST_WORDS:
+                words.clear()
+            out: list[bytes | None] = []
+            for c in chunks:
+                mark = c[-1:] if c[-1:] in marks else ""
+                core = c[1:len(c) - len(mark)]
+                # letters up to U+024F are letters in every library's tables
+                plain = by_letters and c[:1] == " " and core.isalpha() and (core.isascii() or max(core) < "\u0250")
+                out.append(word(core) + marks[mark] if plain else None)
+            rest = [i for i, x in enumerate(out) if x is None]
+            for i, x in zip(rest, whole([chunks[i] for i in rest])):
+                out[i] = x
+            return out
+
         cache.clear()
-        cache[key] = ChunkedEncoder(learn, most=700_000)
+        cache[key] = ChunkedEncoder(learn, most=1_000_000)
     return cache[key]
 
 
