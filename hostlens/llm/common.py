@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
@@ -101,3 +102,74 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
         out = np.minimum(out[:-step], out[step:])
         have += step
     return out
+
+
+SPACES = np.zeros(256, bool)
+SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+_BASE = 0x9E3779B97F4A7C15 | 1
+_SPAN = 1 << 14
+
+
+def _powers() -> np.ndarray:
+    cache = worker_cache("powers")
+    if "p" not in cache:
+        steps = np.full(_SPAN, np.uint64(_BASE))
+        steps[0] = 1
+        cache["p"] = np.multiply.accumulate(steps)
+    return cache["p"]
+
+
+def hashed_words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs without ASCII white space) of concatenated rows: first byte, end, row, 64-bit hash."""
+    space = SPACES[raw]
+    edge = np.ones(len(raw) + 1, bool)  # a word may start here: after white space or at a row's start
+    edge[1:] = space
+    edge[starts] = True
+    first = np.flatnonzero(edge[:-1] & ~space)
+    if not len(first):
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.uint64)
+    stop = np.append(space, True)
+    stop[starts[1:]] = True
+    ends = np.flatnonzero(stop)
+    end = ends[np.searchsorted(ends, first, side="right")]
+    row = np.searchsorted(starts, first, side="right") - 1
+    power = _powers()
+    length = end - first
+    within = np.arange(len(raw), dtype=np.int64) - np.repeat(np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [len(raw)]])))
+    value = (raw.astype(np.uint64) + np.uint64(1)) * power[within & (_SPAN - 1)]
+    far = within >= _SPAN  # only in words of more than 16 KB
+    if far.any():
+        at = np.flatnonzero(far & ~space)
+        value[at] *= mix64((within[at] >> 14).astype(np.uint64)) | np.uint64(1)
+    value[space] = 0
+    total = np.add.reduceat(value, first)
+    return first, end, row, mix64(total ^ (length.astype(np.uint64) << np.uint64(48)))
+
+
+def bit_table(hashes: DataFrame, bits: int):
+    """A literal column with a table of ``bits`` bits, two of them set for each 64-bit hash in column ``h``."""
+    both = hashes.select(F.explode(F.array(*_probes(F.col("h"), bits))).alias("b"))
+    words = both.groupBy((F.shiftright("b", 6)).alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("b").bitwiseAND(F.lit(63))).cast("int"))).alias("v"))
+    out = [0] * (bits // 64)
+    for r in words.collect():  # at most bits / 64 rows
+        out[r["at"]] = r["v"]
+    return F.split(F.lit(",".join(map(str, out))), ",").cast("array<bigint>")
+
+
+def _probes(h, bits: int):
+    return [F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)).cast("int"), h.bitwiseAND(F.lit(bits - 1)).cast("int")]
+
+
+def may_contain(table, h, bits: int):
+    """Whether ``h`` may be one of the hashes of ``bit_table``."""
+    one = [F.call_function("bit_get", F.get(table, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1 for b in _probes(h, bits)]
+    return one[0] & one[1]
+
+
+def table_bits(count: int, most: int = 1 << 24) -> int:
+    """Bits for a table of ``count`` hashes: 32 to 64 each, 2 MB at most."""
+    return min(most, 1 << max(16, (32 * count).bit_length()))

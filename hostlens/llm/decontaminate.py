@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import bit_table, may_contain, saved, table_bits
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,31 +55,11 @@ def _windows(items: DataFrame, id_col: str, text_col: str, window: int) -> tuple
     return pairs.select("win").distinct(), pairs
 
 
-def _bits(hashes: DataFrame, bits: int) -> list[int]:
-    """Bit table (as 64-bit words) with two bits set for each hash; ``bits`` / 64 numbers at most."""
-    both = hashes.select(F.explode(F.array(*_probes(F.col("h"), bits))).alias("b"))
-    words = both.groupBy((F.shiftright("b", 6)).alias("at")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("b").bitwiseAND(F.lit(63))).cast("int"))).alias("v"))
-    out = [0] * (bits // 64)
-    for r in words.collect():
-        out[r["at"]] = r["v"]
-    return out
-
-
-def _probes(h: Column, bits: int) -> list[Column]:
-    return [F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)).cast("int"), h.bitwiseAND(F.lit(bits - 1)).cast("int")]
-
-
-def _hits(docs: DataFrame, size: int, table: Column, bits: int, reach: int) -> Column:
+def _hits(size: int, table: Column, bits: int, reach: int) -> Column:
     """(pos, h, words around) where the shingle of ``size`` words may be an item's.  Needs columns w, hs, n."""
     shingles = f"s{size}"
 
-    def maybe(i):
-        h = F.get(shingles, i)
-        one = [F.call_function("bit_get", F.get(table, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1 for b in _probes(h, bits)]
-        return one[0] & one[1]
-
-    return F.transform(F.filter(F.sequence(F.lit(0), F.col("n") - size), maybe), lambda i: F.struct(
+    return F.transform(F.filter(F.sequence(F.lit(0), F.col("n") - size), lambda i: may_contain(table, F.get(shingles, i), bits)), lambda i: F.struct(
         i.alias("pos"), F.lit(size).alias("size"), F.get(shingles, i).alias("h"),
         F.slice("w", F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + size).alias("around")))
 
@@ -104,11 +84,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
                        F.transform("w", lambda w: F.xxhash64(w)).alias("hs"))
     found = []
     for q, part in zip(sizes, parts):
-        many = part.select("h").distinct().count()
-        bits = min(MOST_BITS, 1 << max(16, (32 * many).bit_length()))
-        table = F.split(F.lit(",".join(map(str, _bits(part.select("h").distinct(), bits)))), ",").cast("array<bigint>")
+        distinct = part.select("h").distinct()
+        bits = table_bits(distinct.count(), MOST_BITS)
+        table = bit_table(distinct, bits)
         base = base.withColumn(f"s{q}", F.transform("hs", lambda h, i: _shingle(F.col("hs"), i, q)))
-        found.append(F.when(F.col("n") >= q, _hits(base, q, table, bits, window)))
+        found.append(F.when(F.col("n") >= q, _hits(q, table, bits, window)))
     empty = F.array().cast("array<struct<pos:int,size:int,h:bigint,around:array<string>>>")
     hits = F.concat(*[F.coalesce(f, empty) for f in found]) if found else empty
     base = saved(base.select("row", "doc_id", "n_words", hits.alias("hits")), "hits")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctph, decontaminate, langid, token_orc, warc
+from . import bpe, ctph, decontaminate, langid, partenum, token_orc, warc
 from .common import shared_folder, table
 
 
@@ -83,9 +83,29 @@ FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
 """
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.similar_components(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + 2) AS g FROM w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS r(i) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+c(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(c.b) FROM c WHERE c.a = d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_warc, op10_piecewise_hash)}
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op2_token_orc, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_warc, op9_jaccard_join, op10_piecewise_hash)}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op9_jaccard_join": OP9_SQL}
