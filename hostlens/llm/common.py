@@ -94,12 +94,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every ``width`` consecutive entries, by doubling."""
+def sliding_min(x: np.ndarray, width: int, least=np.minimum) -> np.ndarray:
+    """Minimum (or, with ``np.maximum``, maximum) of every ``width`` consecutive entries, by doubling."""
     have, out = 1, x
     while have < width:
         step = min(have, width - have)
-        out = np.minimum(out[:-step], out[step:])
+        out = least(out[:-step], out[step:])
         have += step
     return out
 
@@ -149,15 +149,30 @@ def hashed_words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return first, end, row, mix64(total ^ (length.astype(np.uint64) << np.uint64(48)))
 
 
-def bit_table(hashes: DataFrame, bits: int):
-    """A literal column with a table of ``bits`` bits, two of them set for each 64-bit hash in column ``h``."""
+def bit_words(hashes: DataFrame, bits: int) -> list[int]:
+    """A table of ``bits`` bits as signed 64-bit words, two bits set for each 64-bit hash in column ``h``."""
     both = hashes.select(F.explode(F.array(*_probes(F.col("h"), bits))).alias("b"))
     words = both.groupBy((F.shiftright("b", 6)).alias("at")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("b").bitwiseAND(F.lit(63))).cast("int"))).alias("v"))
     out = [0] * (bits // 64)
     for r in words.collect():  # at most bits / 64 rows
         out[r["at"]] = r["v"]
-    return F.split(F.lit(",".join(map(str, out))), ",").cast("array<bigint>")
+    return out
+
+
+def bit_table(hashes: DataFrame, bits: int):
+    """The table of ``bit_words`` as a literal column."""
+    return F.split(F.lit(",".join(map(str, bit_words(hashes, bits)))), ",").cast("array<bigint>")
+
+
+def in_bits(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """``may_contain`` on vectors: words as uint64, h as uint64."""
+    mask = np.uint64(len(words) * 64 - 1)
+    out = np.ones(len(h), bool)
+    for probe in (h >> np.uint64(32), h):
+        b = probe & mask
+        out &= (words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+    return out
 
 
 def _probes(h, bits: int):

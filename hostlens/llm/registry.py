@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctph, decontaminate, langid, partenum, token_orc, warc
+from . import bpe, ctph, decontaminate, langid, partenum, substring_sa, superkmer, token_orc, warc
 from .common import shared_folder, table
 
 
@@ -17,6 +17,29 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.remove_later_windows(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP3_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, list_slice(w, i, i + 19) AS g FROM w, unnest(range(1, len(w) - 18)) AS r(i) WHERE len(w) >= 20
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) WHERE k > 1
+), gone AS (SELECT DISTINCT doc_id, i + j AS p FROM later, unnest(range(0, 20)) AS r(j)),
+words AS (SELECT doc_id, p, w[p] AS word FROM w, unnest(range(1, len(w) + 1)) AS r(p)),
+kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS k, count(*) AS n
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p WHERE gone.p IS NULL GROUP BY words.doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.k, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = langid.train(docs)
@@ -83,6 +106,11 @@ FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
 """
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_sa.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.similar_components(table(spark, sf_dir, "documents"))
 
@@ -107,5 +135,5 @@ def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_warc, op9_jaccard_join, op10_piecewise_hash)}
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op9_jaccard_join": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op2_token_orc, op3_superkmer, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_warc, op8_suffix_array, op9_jaccard_join, op10_piecewise_hash)}
+ORACLE_SQL: dict[str, str] = {"op3_superkmer": OP3_SQL, "op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op9_jaccard_join": OP9_SQL}
