@@ -1,8 +1,22 @@
 """Corpus cleaning pipeline: language ID, near duplicates, repeated substrings, benchmark leaks, token ids.
 
 ``STAGES`` lists (name, function); each function takes ``(spark, docs, sf_dir)``
-and returns the documents that it keeps, with the columns of ``documents`` (the
-last: the token ids and digests of what is left).
+and returns the documents that it keeps, with the columns of ``documents``.  The
+last returns the token ids of what is left.
+
+1. ``language``: documents without a letter, and those whose best language gets
+   under half of the probability, go.
+2. ``near_duplicates``: of each group of documents linked by word shingles (five
+   words, similarity of at least 0.8) the one of least id stays.  Rows without
+   an id join no group and stay; of rows that share an id one stays.
+3. ``repeated_substrings``: bytes of strings of 200 bytes that occur again
+   anywhere go (a passage of 50 words has more); bytes of characters cut in two
+   go with them.
+4. ``benchmark``: documents in which a window of a benchmark item occurs go.
+5. ``tokens``: byte-level BPE ids, decoded again to check the round trip.
+
+Null texts, empty tables and repeated rows pass through as the operators define;
+columns beyond those of ``documents`` are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -11,12 +25,48 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe
+from hostlens.llm import bpe, decontaminate, langid, partenum, substring_sa
 from hostlens.llm.common import saved, table
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MIN_SCORE = 0.5
+SHINGLE, PERCENT = 5, 80
+REPEAT_BYTES = 200
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    found = langid.predict(docs, langid.train(docs))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = partenum.similar_components(docs, size=SHINGLE, percent=PERCENT)
+    least = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(least, "doc_id", "left_semi")
+    one = kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
+    return one.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = substring_sa.remove_repeats(docs, window=REPEAT_BYTES).where("n_removed > 0")
+    cut = cut.select(F.col("doc_id").alias("cut_id"), F.col("digest").alias("cut_digest"), "kept").dropDuplicates(["cut_id", "cut_digest"])
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    both = docs.select(*COLUMNS).join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (digest == F.col("cut_digest")), "left")
+    whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(whole)
+    return both.withColumn("text", text).withColumn(
+        "n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))).select(*COLUMNS)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    leaks = found.select(F.col("doc_id").alias("leak_id"), "text_hash").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("leak_id")) & (F.xxhash64("text") == F.col("text_hash"))
+    return docs.select(*COLUMNS).join(leaks, same, "left_anti")
+
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text that is left, checked by decoding them again."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
     back = bpe.decode(ids, path, public_tokenizers.PATTERN)
@@ -24,7 +74,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                        (F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("round_trip"))
 
 
-STAGES = [("tokens", tokens)]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_substrings", repeated_substrings),
+          ("benchmark", benchmark), ("tokens", tokens)]
 ORACLE_SQL = None  # language ID is a trained network: no SQL
 
 

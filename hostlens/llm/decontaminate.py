@@ -66,8 +66,8 @@ def _hits(size: int, table: Column, bits: int, reach: int) -> Column:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated; and the hit ``spans``
-    (start, end; in words) and ``items`` (sorted ids as strings) themselves."""
+    """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated; the hit ``spans`` (start, end;
+    in words) and ``items`` (sorted ids as strings) themselves; and ``text_hash``, the text's xxhash64."""
     spark = docs.sparkSession
     wins, pairs = _windows(items, item_col, item_text_col, window)
     pairs = saved(pairs, "windows")  # the benchmark's windows: small beside the documents
@@ -79,8 +79,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
             i.alias("off"), _shingle(F.col("hs"), i, q).alias("h")))).alias("x")).select("win", "size", "x.off", "x.h") for q in sizes]
 
     # 1. one pass over the texts
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), word_list(F.col(text_col)).alias("w"))
-    base = base.select("row", "doc_id", "w", F.size("w").cast("bigint").alias("n_words"), F.size("w").alias("n"),
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"),
+                       word_list(F.col(text_col)).alias("w"))
+    base = base.select("row", "doc_id", "text_hash", "w", F.size("w").cast("bigint").alias("n_words"), F.size("w").alias("n"),
                        F.transform("w", lambda w: F.xxhash64(w)).alias("hs"))
     found = []
     for q, part in zip(sizes, parts):
@@ -91,7 +92,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
         found.append(F.when(F.col("n") >= q, _hits(q, table, bits, window)))
     empty = F.array().cast("array<struct<pos:int,size:int,h:bigint,around:array<string>>>")
     hits = F.concat(*[F.coalesce(f, empty) for f in found]) if found else empty
-    base = saved(base.select("row", "doc_id", "n_words", hits.alias("hits")), "hits")
+    base = saved(base.select("row", "doc_id", "text_hash", "n_words", hits.alias("hits")), "hits")
 
     # 2. the rarest shingle of each window, by its frequency in the documents
     hit = base.select("row", "n_words", F.explode("hits").alias("x")).select("row", "n_words", "x.*")
@@ -125,8 +126,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
              .select("row", texts.alias("item")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items")))
     none = F.array().cast("array<string>")
     out = base.drop("hits").join(spans, "row", "left").join(names, "row", "left")
-    out = out.select("doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+    out = out.select("doc_id", "text_hash", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
                      F.coalesce("items", none).alias("items"))
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
-                      F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans", "items")
+                      F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans", "items", "text_hash")

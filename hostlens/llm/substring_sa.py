@@ -112,7 +112,8 @@ RESULT = "doc_id bigint, tie bigint, n_removed bigint, n_spans bigint, kept bina
 
 
 def remove_repeats(df: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (binary; null: the whole text)."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, ``kept`` (binary; null: the whole text), and
+    ``digest``, the text's hexadecimal SHA-256."""
     spark = df.sparkSession
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
                      F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -145,4 +146,4 @@ def remove_repeats(df: DataFrame, window: int = 400, id_col: str = "doc_id", tex
     kept = F.when(whole, F.lit(b"")).when(some, F.col("kept"))
     return out.select("doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).when(some, F.col("n_removed")).otherwise(F.lit(0)).alias("n_removed"),
                       F.when(whole, F.lit(1)).when(some, F.col("n_spans")).otherwise(F.lit(0)).cast("bigint").alias("n_spans"),
-                      F.when(whole | some, F.sha2(kept, 256)).otherwise(F.col("digest")).alias("kept_sha256"), kept.alias("kept"))
+                      F.when(whole | some, F.sha2(kept, 256)).otherwise(F.col("digest")).alias("kept_sha256"), kept.alias("kept"), "digest")
