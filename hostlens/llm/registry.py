@@ -6,10 +6,45 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctph, decontaminate, langid, partenum, substring_sa, superkmer, token_orc, warc
+from . import bpe, ctph, decontaminate, langid, lm_score, partenum, substring_sa, superkmer, token_orc, warc
 from .common import shared_folder, table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_score.scores(table(spark, sf_dir, "documents"), targets).select(
+        "doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
+OP1_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w,
+         doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS own
+  FROM documents
+), tok AS (SELECT doc_id, own, i, w[i] AS w FROM d, unnest(range(1, len(w) + 1)) AS r(i)),
+n AS (SELECT count(*) AS b, count(*) FILTER (own) AS t FROM tok),
+voc AS (SELECT w FROM tok GROUP BY w HAVING count(*) >= 3e-5 * (SELECT b FROM n)),
+size AS (SELECT count(*) + 1 AS v FROM voc),
+num AS (SELECT doc_id, own, i, coalesce(voc.w, '') AS w FROM tok LEFT JOIN voc USING (w)),
+one AS (
+  SELECT w, (count(*) + 1.0::DOUBLE) / (n.b + v) AS pb, (count(*) FILTER (own) + 1.0::DOUBLE) / (n.t + v) AS pt
+  FROM num, n, size GROUP BY w, n.b, n.t, v
+), two AS (SELECT a.doc_id, a.own, a.i, p.w AS v, a.w FROM num a JOIN num p ON p.doc_id = a.doc_id AND p.i = a.i - 1),
+pair AS (SELECT v, w, count(*) AS b, count(*) FILTER (own) AS t FROM two GROUP BY v, w HAVING count(*) >= 1e-6 * (SELECT count(*) FROM two)),
+ctx AS (SELECT v, sum(b) AS b, sum(t) AS t FROM pair GROUP BY v),
+loss AS (
+  SELECT num.doc_id,
+         -ln((coalesce(pair.b, 0) + 100 * pb) / (coalesce(ctx.b, 0) + 100)) AS lb,
+         -ln((coalesce(pair.t, 0) + 100 * pt) / (coalesce(ctx.t, 0) + 100)) AS lt
+  FROM num JOIN one USING (w) LEFT JOIN two USING (doc_id, i) LEFT JOIN pair ON pair.v = two.v AND pair.w = two.w LEFT JOIN ctx ON ctx.v = two.v
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(avg(lt), 6) AS target_loss, round(avg(lb), 6) AS background_loss,
+       round(avg(lt) - avg(lb), 6) AS score
+FROM d LEFT JOIN loss ON loss.doc_id = d.doc_id GROUP BY d.doc_id, len(d.w)
+"""
+
+
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "op2")
     token_orc.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
@@ -135,5 +170,5 @@ def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op3_superkmer, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_warc, op8_suffix_array, op9_jaccard_join, op10_piecewise_hash)}
-ORACLE_SQL: dict[str, str] = {"op3_superkmer": OP3_SQL, "op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op9_jaccard_join": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_token_orc, op3_superkmer, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_warc, op8_suffix_array, op9_jaccard_join, op10_piecewise_hash)}
+ORACLE_SQL: dict[str, str] = {"op1_lm_score": OP1_SQL, "op3_superkmer": OP3_SQL, "op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op9_jaccard_join": OP9_SQL}
