@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .chunked import MAX_CHUNKS, ChunkedEncoder
-from .common import set_column, slices, with_field, worker_cache
+from .common import binary_view, set_column, slices, with_field, worker_cache
 
 NONE = np.int32(2**31 - 1)  # "no such pair"
 LONG_PIECE = 256  # rows of more bytes are merged one by one
@@ -239,11 +239,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     def run(batches):
         codec = _codec(ranks.value, pattern, key)
         for batch in slices(batches, text_col):
-            ids = codec.encode_texts(batch.column(text_col).to_pylist())
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield set_column(batch, out_col, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+            flat, offsets = codec.chunked.encode_rows(*binary_view(batch.column(batch.schema.names.index(text_col))))
+            yield set_column(batch, out_col, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)))
 
     return df.mapInArrow(run, with_field(df.schema, out_col, T.ArrayType(T.IntegerType())))
 

@@ -1,21 +1,48 @@
 """Whole-text encoding through distinct space-delimited chunks.
 
-A space between two non-space characters starts a new pre-token in byte-level
-split patterns, so a text's ids are the ids of its chunks in order.  Each
-worker encodes a distinct chunk once; texts in which a space stands at an end
-or beside other white space are cut only at the spaces that qualify.
+A space between two characters that are not white space starts a new pre-token
+in byte-level split patterns, so a text's ids are the ids of its chunks in
+order.  Texts lie end to end in one byte vector: chunk ends are found, chunks
+are hashed (128 bits) and grouped as vectors, each distinct chunk of a group of
+texts is looked up or encoded once, and the ids are put together by index.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import numpy as np
 
+from .common import mix64, span_sums
+
 MAX_CHUNKS = 300_000  # distinct chunks kept per worker; beyond it the store starts anew
-GROUP_BYTES = 2 << 20  # characters of text worked on at a time
-BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
+LONGEST_KEPT = 64  # bytes of a chunk that is worth keeping
+GROUP_BYTES = 4 << 20
+
+
+def _boundaries(raw: np.ndarray) -> np.ndarray:
+    """Places of spaces that surely stand between two characters other than white space.
+
+    Bytes up to 0x20 count as white space, as do all characters that share their first two bytes with
+    some white space beyond ASCII."""
+    n = len(raw)
+    at = np.flatnonzero(raw == 0x20)
+    at = at[(at > 0) & (at < n - 1)]
+    before, after = raw[at - 1], raw[at + 1]
+    ok = (before > 0x20) & (after > 0x20)
+    at, before, after = at[ok], before[ok], after[ok]
+    wide = (before >= 0x80) | (after >= 0x80)
+    if wide.any():
+        w = at[wide]
+
+        def blank(a, b):  # two bytes that may begin white space
+            return ((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & (b == 0x9A)) | (
+                (a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80))
+
+        bad = blank(raw[w + 1], raw[np.minimum(w + 2, n - 1)]) | blank(raw[np.maximum(w - 2, 0)], raw[w - 1]) | blank(
+            raw[np.maximum(w - 3, 0)], raw[np.maximum(w - 2, 0)])
+        at = np.delete(at, np.flatnonzero(wide)[bad])
+    return at
 
 
 class ChunkedEncoder:
@@ -23,7 +50,42 @@ class ChunkedEncoder:
 
     def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int = MAX_CHUNKS):
         self.learn, self.most = learn, most
-        self.known: dict[str, bytes] = {}  # chunk without its leading space -> ids with it
+        self.known: dict[bytes, bytes] = {}
+
+    def encode_rows(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows laid end to end, and the rows' offsets into them."""
+        if not len(raw):
+            return np.zeros(0, np.int32), np.zeros(len(starts), np.int64)
+        begins = np.zeros(len(raw), bool)
+        begins[starts[:-1][np.diff(starts) > 0]] = True
+        begins[_boundaries(raw)] = True
+        first = np.flatnonzero(begins)
+        end = np.append(first[1:], len(raw))
+        one, two = span_sums(raw, first)
+        one = mix64(one ^ ((end - first).astype(np.uint64) << np.uint64(40)))
+        order = np.argsort(one, kind="stable")
+        a, b = one[order], two[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))  # unequal chunks of one hash only split a group
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        shown = order[new]
+        data = raw.tobytes()
+        chunks = [data[i:j] for i, j in zip(first[shown].tolist(), end[shown].tolist())]
+        ids = list(map(self.known.get, chunks))
+        if len(self.known) > self.most:  # start anew with what these texts need
+            self.known = {c: v for c, v in zip(chunks, ids) if v is not None}
+        unseen = [i for i, v in enumerate(ids) if v is None]
+        for i, v in zip(unseen, self.learn([chunks[i].decode() for i in unseen])):
+            ids[i] = v
+            if len(chunks[i]) <= LONGEST_KEPT:
+                self.known[chunks[i]] = v
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        begin = np.cumsum(size) - size
+        n = size[group]
+        total = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.arange(total[-1]) + np.repeat(begin[group] - total[:-1], n)]
+        return out, total[np.searchsorted(first, starts)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -31,35 +93,10 @@ class ChunkedEncoder:
         while k < len(texts):
             part, size = [], 0
             while k < len(texts) and (not part or size < GROUP_BYTES):
-                part.append((texts[k] or "").split(" "))
-                size += len(texts[k] or "")
+                part.append((texts[k] or "").encode())
+                size += len(part[-1])
                 k += 1
-            out += self._encode(part)
-        return out
-
-    def _encode(self, part: list[list[str]]) -> list[np.ndarray]:
-        met = set().union(*[p[1:] for p in part])
-        if len(self.known) > self.most:  # start anew with what this group of texts needs
-            self.known = {c: self.known[c] for c in met if c in self.known}
-        unseen = met.difference(self.known)
-        # chunks that are empty or have white space at an end are never kept: their texts are cut more carefully
-        unseen = [c for c in unseen if c and not (c[0].isspace() or c[-1].isspace())]
-        self.known.update(zip(unseen, self.learn([" " + c for c in unseen])))
-        rest, heads, plain = [], [], []
-        for p in part:
-            try:
-                rest.append(b"".join(map(self.known.__getitem__, p[1:])))
-                ok = not p[0] or not p[0][-1].isspace()
-            except KeyError:
-                rest.append(b"")
-                ok = False
-            plain.append(ok and not (p[0] == "" and len(p) > 1))
-            heads.append(p[0] if plain[-1] else " ".join(p))
-        whole = [BOUNDARY.split(h) for h in heads]  # plain texts: their first chunk alone
-        fresh = list({w for ws in whole for w in (ws[0], *(" " + x for x in ws[1:]))})
-        ids = dict(zip(fresh, self.learn(fresh)))
-        out = []
-        for ws, tail, ok in zip(whole, rest, plain):
-            first = b"".join([ids[ws[0]], *(ids[" " + x] for x in ws[1:])])
-            out.append(np.frombuffer(first + tail if ok else first, np.int32))
+            starts = np.concatenate([[0], np.cumsum([len(p) for p in part])])
+            flat, offsets = self.encode_rows(np.frombuffer(b"".join(part), np.uint8), starts)
+            out += [flat[i:j] for i, j in zip(offsets[:-1], offsets[1:])]
         return out

@@ -121,6 +121,20 @@ def _powers() -> np.ndarray:
     return cache["p"]
 
 
+def span_sums(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two polynomial sums of the bytes of each span; spans begin at ``first`` and cover ``raw``."""
+    power = _powers()
+    within = np.arange(len(raw), dtype=np.int64) - np.repeat(first, np.diff(np.append(first, len(raw))))
+    factor = power[within & (_SPAN - 1)]
+    far = within >= _SPAN  # only in spans of more than 16 KB
+    if far.any():
+        at = np.flatnonzero(far)
+        factor[at] *= mix64((within[at] >> 14).astype(np.uint64)) | np.uint64(1)
+    value = (raw.astype(np.uint64) + np.uint64(1)) * factor
+    other = (value ^ (value >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.add.reduceat(value, first), np.add.reduceat(other, first)
+
+
 def hashed_words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs without ASCII white space) of concatenated rows: first byte, end, row, 64-bit hash."""
     space = SPACES[raw]

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 
 import numpy as np
@@ -29,12 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunked import ChunkedEncoder
-from .common import slices, worker_cache
+from .common import binary_view, slices, worker_cache
 
 SCHEMA = "doc_id bigint, n_tokens bigint, file_no int, file_start bigint, ids array<int>"
 
 
 MOST_WORDS = 300_000
+# a space, letters, marks; perhaps a line end and the same again.  Each part is a pre-token of its own: letters up
+# to U+024F are letters in every library's tables, an apostrophe might start a contraction and is left out
+LETTERS, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"[!-&(-/:-@\[-`{-~]*"
+PLAIN = re.compile(f" ({LETTERS})({MARKS})(?:\n({LETTERS})({MARKS}))?").fullmatch
 
 
 def _byte_letters() -> dict[int, str]:
@@ -57,12 +62,12 @@ def _encoder(vocabulary: str, key: str) -> ChunkedEncoder:
             tokenizer.model._resize_cache(0)  # chunks come once each: the library's own cache only costs time
         spec = json.loads(vocabulary)
         before = spec.get("pre_tokenizer") or {}
-        # byte-level words: letters after the space, and marks after letters, are pre-tokens of their own
+        # the pre-tokens of byte-level words are known
         by_letters = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
                       and spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
         letter = _byte_letters()
         words: dict[str, bytes] = {}
-        marks = {m: array("i", tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", ".", ",", "!", "?")}
+        marks: dict[str, bytes] = {}
 
         def whole(chunks: list[str]) -> list[bytes]:
             out: list[bytes] = []
@@ -72,11 +77,19 @@ def _encoder(vocabulary: str, key: str) -> ChunkedEncoder:
             return out
 
         def word(text: str) -> bytes:
-            """Ids of a space and letters, straight from the library's merge model."""
+            """Ids of letters, perhaps after a space, straight from the library's merge model."""
             found = words.get(text)
             if found is None:
-                mapped = text if text.isascii() else text.encode().decode("latin-1").translate(letter)
-                found = words[text] = array("i", [t.id for t in tokenizer.model.tokenize(letter[32] + mapped)]).tobytes()
+                mapped = text.encode().decode("latin-1").translate(letter)
+                found = words[text] = array("i", [t.id for t in tokenizer.model.tokenize(mapped)]).tobytes()
+            return found
+
+        def mark(text: str) -> bytes:
+            found = marks.get(text)
+            if found is None:
+                if len(marks) > MOST_WORDS:
+                    marks.clear()
+                found = marks[text] = whole([text])[0]
             return found
 
         def learn(chunks: list[str]) -> list[bytes]:
@@ -84,18 +97,22 @@ def _encoder(vocabulary: str, key: str) -> ChunkedEncoder:
                 words.clear()
             out: list[bytes | None] = []
             for c in chunks:
-                mark = c[-1:] if c[-1:] in marks else ""
-                core = c[1:len(c) - len(mark)]
-                # letters up to U+024F are letters in every library's tables
-                plain = by_letters and c[:1] == " " and core.isalpha() and (core.isascii() or max(core) < "\u0250")
-                out.append(word(core) + marks[mark] if plain else None)
+                found = None
+                if by_letters and (m := PLAIN(c)):
+                    core, after, core2, after2 = m.groups()
+                    found = word(" " + core)
+                    if after:
+                        found += mark(after)
+                    if core2:
+                        found += mark("\n") + word(core2) + (mark(after2) if after2 else b"")
+                out.append(found)
             rest = [i for i, x in enumerate(out) if x is None]
             for i, x in zip(rest, whole([chunks[i] for i in rest])):
                 out[i] = x
             return out
 
         cache.clear()
-        cache[key] = ChunkedEncoder(learn, most=1_000_000)
+        cache[key] = ChunkedEncoder(learn, most=800_000)
     return cache[key]
 
 
@@ -115,12 +132,11 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
 
     def run(batches):
         encoder, start = _encoder(vocabulary.value, key), 0
-        end = np.array([end_id], np.int32)
         for part in slices(batches, "text"):
-            ids = encoder.encode(part.column("text").to_pylist())
-            n = np.array([len(x) + 1 for x in ids], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            flat = np.concatenate([a for x in ids for a in (x, end)])
+            flat, offsets = encoder.encode_rows(*binary_view(part.column("text")))
+            flat = np.insert(flat, offsets[1:], end_id)
+            offsets = offsets + np.arange(len(offsets))  # with the end ids
+            n = np.diff(offsets)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(n), part.column("file_no"), pa.array(start + offsets[:-1]),
                  pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))],
@@ -128,7 +144,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
             start += int(offsets[-1])
 
     (rows.mapInArrow(run, SCHEMA).write
-     .option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id")
+     .option("compression", "snappy").option("orc.bloom.filter.columns", "doc_id")
      .option("orc.row.index.stride", row_index_stride).option("orc.stripe.size", stripe_bytes)
      .orc(folder))
 

@@ -39,6 +39,16 @@ def test_matrix_merge_equals_tiktoken(tik):
     assert [x.tolist() for x in codec.encode_texts(texts)] == [tik.encode_ordinary(t or "") for t in texts]
 
 
+def test_every_character_beside_spaces(tik):
+    """Chunk boundaries agree with both libraries for all kinds of white space, letters and marks."""
+    codec = bpe.Codec(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    texts = [f"a {c} b{c}{c} c{c} .{c}" for c in map(chr, [*range(0x3100), *range(0xFE00, 0x10000)])]
+    assert [x.tolist() for x in codec.encode_texts(texts)] == [tik.encode_ordinary(t) for t in texts]
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = token_orc._encoder(f.read(), "test")
+    assert [x.tolist() + [0] for x in encoder.encode(texts)] == _library(texts)
+
+
 def test_encode_decode_frame(spark, tik):
     """Nulls, empty and long texts, repeated rows, an extra column of the output's name."""
     path = P.path("byte_bpe_multi_50k.tiktoken")
