@@ -31,8 +31,12 @@ _REGISTRY: dict[str, callable] = {}
 
 
 def register_detector(name: str, fn) -> None:
-    """Add a user detector: ``fn(tables: dict[str, DataFrame]) -> anomalies frame``."""
-    _REGISTRY[name] = fn
+    """Add a user detector: ``fn(tables: dict[str, DataFrame]) -> anomalies frame``; ``detect_all`` runs it
+    with the tables it was given.  ``None`` takes the detector out again."""
+    if fn is None:
+        _REGISTRY.pop(name, None)
+    else:
+        _REGISTRY[name] = fn
 
 
 def _lit(v, t="string"):
@@ -110,7 +114,7 @@ def detect_processes(processes: DataFrame) -> DataFrame:
         _cand(2, (cmd != "") & contains_any(F.lower(cmd), rules.ENCODED_COMMAND_MARKERS),
               anomaly_id=fill(p3["id"], pid=pid), anomaly_type="suspicious_process", severity="high", score=0.85,
               title=p3["title"], description=p3["description"], source_artifact="process_list",
-              evidence=_evidence("process", F.substring(cmd, 1, 200), explanation=p3["explanation"]),
+              evidence=_evidence("process", cmd, explanation=p3["explanation"]),
               process_name=exe),
     ]
     return _explode(processes, cands, 0)
@@ -145,8 +149,9 @@ def detect_network(conns: DataFrame) -> DataFrame:
     return _explode(conns, cands, 1)
 
 
-def detect_files(bodyfile: DataFrame, hidden_limit: int = rules.HIDDEN_FILES_PER_COLLECTION) -> DataFrame:
-    """DET-F1..F3 over ``bodyfile``; F3 keeps the first ``hidden_limit`` rows per collection."""
+def detect_files(bodyfile: DataFrame, hidden_limit: int | None = None) -> DataFrame:
+    """DET-F1..F3 over ``bodyfile``: one narrow pass.  With ``hidden_limit``, F3 keeps only the first
+    rows per collection."""
     name, mode = F.col("name"), F.col("mode")
     is_exec = mode.contains("x")
     is_dir = mode.startswith("d")
@@ -171,15 +176,13 @@ def detect_files(bodyfile: DataFrame, hidden_limit: int = rules.HIDDEN_FILES_PER
         _cand(2, hidden_cond, anomaly_id=fill(f3["id"], inode=F.col("inode")), anomaly_type="hidden_file",
               severity="medium", score=0.6, title=fill(f3["title"], filename=fname),
               description=fill(f3["description"], name=name), source_artifact="bodyfile", artifact_path=name))
-    # One scan of the bodyfile.  The candidates are spread by (collection, line)
-    # once; the unlimited rules and the "first N hidden files" rule both read
-    # that same shuffle (the exchange is reused), instead of parsing twice.
-    spread = fence(_explode(bodyfile, cands, 2, line_first=False).repartition("collection_id", F.col("ord.n")))
-    main = spread.where(F.col("ord.r0") != 2)
+    found = _explode(bodyfile, cands, 2, line_first=False)
+    if hidden_limit is None:
+        return found
     w = Window.partitionBy("collection_id").orderBy(F.col("ord.f"), F.col("ord.n"))
-    hidden = (spread.where(F.col("ord.r0") == 2).withColumn("_rn", F.row_number().over(w))
-              .where(F.col("_rn") <= hidden_limit).drop("_rn"))
-    return main.unionByName(hidden)
+    first = (found.where(F.col("ord.r0") == 2).withColumn("_rn", F.row_number().over(w))
+             .where(F.col("_rn") <= hidden_limit).drop("_rn"))
+    return found.where(F.col("ord.r0") != 2).unionByName(first)
 
 
 def detect_users(users: DataFrame) -> DataFrame:
@@ -215,6 +218,8 @@ def detect_all(processes=None, connections=None, bodyfile=None, users=None, extr
     if users is not None:
         parts.append(detect_users(users))
     parts.extend(extra or [])
+    tables = {"processes": processes, "connections": connections, "bodyfile": bodyfile, "users": users}
+    parts.extend(fn({k: t for k, t in tables.items() if t is not None}) for fn in _REGISTRY.values())
     out = parts[0].select(*ANOMALY_COLS)
     for p in parts[1:]:
         out = out.unionByName(p.select(*ANOMALY_COLS))

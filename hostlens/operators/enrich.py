@@ -201,7 +201,7 @@ def detect_suspicious_cron(logs: DataFrame) -> DataFrame:
                     & contains_any(msg, SUSPICIOUS_CRON_MARKERS))
     return _anomaly(df, anomaly_id=F.concat(F.lit("log_"), F.col("line_no").cast("string"), F.lit("_suspicious_cron")),
                     anomaly_type="suspicious_cron", severity="high", score=0.8,
-                    title=F.lit("Suspicious scheduled command"), description=F.substring("message", 1, 200),
+                    title=F.lit("Suspicious scheduled command"), description=F.col("message"),
                     source_artifact="logs", artifact_path=F.col("source_file"))
 
 
@@ -212,5 +212,5 @@ def detect_privilege_changes(logs: DataFrame) -> DataFrame:
     df = logs.where(((proc == "sudo") & msg.contains("USER=root")) | ((proc == "su") & F.lower(msg).contains("root")))
     return _anomaly(df, anomaly_id=F.concat(F.lit("log_"), F.col("line_no").cast("string"), F.lit("_priv_change")),
                     anomaly_type="privilege_escalation", severity="medium", score=0.65,
-                    title=F.lit("Switch to root"), description=F.substring("message", 1, 200),
+                    title=F.lit("Switch to root"), description=F.col("message"),
                     source_artifact="logs", artifact_path=F.col("source_file"))

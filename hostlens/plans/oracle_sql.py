@@ -100,17 +100,15 @@ WITH ev AS (
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY collection_id, hour ORDER BY t, source_file, line_no) AS rn FROM ev
 ), agg AS (
-  SELECT collection_id, hour, count(*) AS event_count, min(t) AS first_t,
+  SELECT collection_id, hour, (rn - 1) // {rules.SEGMENT_ROWS} AS segment,
     {tmpl(FMT['timeline_header'], hour='hour')} ||
-    string_agg(CASE WHEN rn <= 100 THEN '[' || strftime(t, '%H:%M:%S') || '] [log] ' || substr(message, 1, 200)
-               || chr(10) || '  Source: ' || source_file || chr(10) END, '' ORDER BY t, source_file, line_no) AS content
-  FROM ranked GROUP BY collection_id, hour
-), capped AS (
-  SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY hour) AS hn FROM agg
-)
-SELECT collection_id, hour, event_count, strftime(first_t, '%Y-%m-%d %H:%M:%S.%f') AS first_event,
+    string_agg('[' || strftime(t, '%H:%M:%S') || '] [log] ' || message
+               || chr(10) || '  Source: ' || source_file || chr(10), '' ORDER BY t, source_file, line_no) AS content
+  FROM ranked GROUP BY collection_id, hour, segment
+), cnt AS (SELECT collection_id, hour, count(*) AS event_count, min(t) AS first_t FROM ev GROUP BY collection_id, hour)
+SELECT collection_id, hour, CAST(segment AS INTEGER) AS segment, event_count, strftime(first_t, '%Y-%m-%d %H:%M:%S.%f') AS first_event,
        content, {tags_sql('content')} || CASE WHEN {tags_sql('content')} = '' THEN '' ELSE ',' END || 'timeline' AS tags
-FROM capped WHERE hn <= {rules.MAX_ROWS_PER_KIND}
+FROM agg JOIN cnt USING (collection_id, hour)
 """
 
 
@@ -390,7 +388,7 @@ FROM e WHERE lower(exe) IN {tuple(rules.SUSPICIOUS_TOOL_NAMES)}
 UNION ALL
 SELECT collection_id, {tmpl(T['proc_encoded_cmd']['id'], pid='pid')}, 'suspicious_process', 'high', CAST(0.85 AS DOUBLE),
   {tmpl(T['proc_encoded_cmd']['title'])}, {tmpl(T['proc_encoded_cmd']['description'])},
-  'process_list', NULL, NULL, NULL, exe, NULL, 1, substr(command, 1, 200), ''
+  'process_list', NULL, NULL, NULL, exe, NULL, 1, command, ''
 FROM e WHERE command <> '' AND {contains_any('lower(command)', rules.ENCODED_COMMAND_MARKERS)}
 """
 
@@ -438,9 +436,7 @@ UNION ALL
 SELECT collection_id, {tmpl(T['fs_hidden']['id'], inode='inode')}, 'hidden_file', 'medium', CAST(0.6 AS DOUBLE),
   {tmpl(T['fs_hidden']['title'], filename='fname')}, {tmpl(T['fs_hidden']['description'], name='name')},
   'bodyfile', name, NULL, NULL, NULL, NULL, 0, NULL, ''
-FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY line_no) AS rn FROM b
-      WHERE contains(name, '/.') AND NOT {contains_any('name', rules.HIDDEN_PATH_EXCLUDES)} AND contains(mode, 'x'))
-WHERE rn <= {rules.HIDDEN_FILES_PER_COLLECTION}
+FROM b WHERE contains(name, '/.') AND NOT {contains_any('name', rules.HIDDEN_PATH_EXCLUDES)} AND contains(mode, 'x')
 """
 
 DETECT_FILES = FILE_DETECT
@@ -781,10 +777,9 @@ WITH g AS (SELECT collection_id, regexp_extract(source_file, '[^/]*$') AS source
              CASE WHEN ts_parsed IS NOT NULL THEN '[' || strftime(ts_parsed, '%Y-%m-%d %H:%M:%S') || '] '
                   ELSE {q(FMT['log_unknown_time'])} END || message || chr(10) AS line FROM ({LOG_EXPECTED})),
 r AS (SELECT *, row_number() OVER (PARTITION BY collection_id, source ORDER BY source_file, line_no) AS rn FROM g)
-SELECT collection_id, source, count(*) AS entry_count,
-  {tmpl(FMT['log_header'], source='source')} || string_agg(line, '' ORDER BY source_file, line_no) FILTER (WHERE rn <= 500)
-    AS content
-FROM r GROUP BY collection_id, source
+SELECT collection_id, source, CAST((rn - 1) // {rules.SEGMENT_ROWS} AS INTEGER) AS segment, any_value(total) AS entry_count,
+  {tmpl(FMT['log_header'], source='source')} || string_agg(line, '' ORDER BY source_file, line_no) AS content
+FROM (SELECT *, count(*) OVER (PARTITION BY collection_id, source) AS total FROM r) GROUP BY collection_id, source, (rn - 1) // {rules.SEGMENT_ROWS}
 """
 
 
@@ -799,14 +794,14 @@ _CRON_MARKERS = rules.PROCESS_TEMP_DIRS + rules.ENCODED_COMMAND_MARKERS
 
 SUSPICIOUS_CRON = f"""
 SELECT collection_id, 'log_' || {vc('line_no')} || '_suspicious_cron' AS anomaly_id, 'suspicious_cron' AS anomaly_type,
-  'high' AS severity, substr(message, 1, 200) AS description, source_file AS artifact_path
+  'high' AS severity, message AS description, source_file AS artifact_path
 FROM ({LOG_EXPECTED})
 WHERE contains(lower(coalesce(process, '')), 'cron') AND {contains_any("lower(coalesce(message, ''))", _CRON_MARKERS)}
 """
 
 PRIVILEGE_CHANGES = f"""
 SELECT collection_id, 'log_' || {vc('line_no')} || '_priv_change' AS anomaly_id, 'privilege_escalation' AS anomaly_type,
-  'medium' AS severity, substr(message, 1, 200) AS description, source_file AS artifact_path
+  'medium' AS severity, message AS description, source_file AS artifact_path
 FROM ({LOG_EXPECTED})
 WHERE (lower(coalesce(process, '')) = 'sudo' AND contains(coalesce(message, ''), 'USER=root'))
    OR (lower(coalesce(process, '')) = 'su' AND contains(lower(coalesce(message, '')), 'root'))
@@ -849,7 +844,7 @@ cnt AS (
 suid AS (SELECT collection_id, string_agg('- ' || name || ' (' || mode || ')' || chr(10), '' ORDER BY line_no) AS t
          FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY line_no) AS rn FROM b
                WHERE contains(lower(mode), 's')) WHERE rn <= 10 GROUP BY collection_id),
-nobin AS (SELECT collection_id, string_agg('- PID ' || {vc('pid')} || ': ' || substr(coalesce(command, ''), 1, 50) || chr(10), ''
+nobin AS (SELECT collection_id, string_agg('- PID ' || {vc('pid')} || ': ' || coalesce(command, '') || chr(10), ''
                                        ORDER BY source_file, line_no) AS t
           FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY source_file, line_no) AS rn FROM bin
                 WHERE binary_exists = false) WHERE rn <= 10 GROUP BY collection_id),
@@ -886,11 +881,12 @@ def _tags_with(content: str, extra: str) -> str:
 
 
 _FILE_BLOCKS = f"""
-SELECT collection_id, grp, grank, count(*) AS n,
+SELECT collection_id, grp, grank, (rn - 1) // {rules.SEGMENT_ROWS} AS segment, any_value(total) AS n,
   {tmpl(FMT['bodyfile_header'], title=case_map('grp', FMT['bodyfile_titles']))}
-  || string_agg(line, '' ORDER BY line_no) FILTER (WHERE rn <= {rules.MAX_ROWS_PER_KIND}) AS text
+  || string_agg(line, '' ORDER BY line_no) AS text
 FROM (
-  SELECT *, row_number() OVER (PARTITION BY collection_id, grp ORDER BY line_no) AS rn FROM (
+  SELECT *, row_number() OVER (PARTITION BY collection_id, grp ORDER BY line_no) AS rn,
+    count(*) OVER (PARTITION BY collection_id, grp) AS total FROM (
     SELECT b.*, g.grp, g.grank,
       '- ' || name || chr(10) || '  Mode: ' || mode || ', Size: ' || {vc('size')} || ', UID: ' || {vc('uid')}
       || ', GID: ' || {vc('gid')} || chr(10)
@@ -902,16 +898,17 @@ FROM (
     WHERE (g.grp = 'executables' AND contains(mode, 'x') AND NOT starts_with(mode, 'd'))
        OR (g.grp = 'setuid' AND contains(lower(mode), 's'))
        OR (g.grp = 'suspicious_locations' AND {contains_any('name', rules.SUSPICIOUS_LOCATION_MARKERS)})))
-GROUP BY collection_id, grp, grank
+GROUP BY collection_id, grp, grank, segment
 """
 
 _PROC_BLOCKS = f"""
-SELECT collection_id, grp, grank, least(count(*), max(cap)) AS n,
+SELECT collection_id, grp, grank, (rn - 1) // {rules.SEGMENT_ROWS} AS segment, any_value(total) AS n,
   {tmpl(FMT['process_header'], title=case_map('grp', FMT['process_titles']))}
-  || string_agg(line, '' ORDER BY k, source_file, line_no) FILTER (WHERE rn <= cap) AS text
+  || string_agg(line, '' ORDER BY k, source_file, line_no) AS text
 FROM (
-  SELECT *, row_number() OVER (PARTITION BY collection_id, grp ORDER BY k, source_file, line_no) AS rn FROM (
-    SELECT p.*, g.grp, g.grank, g.cap,
+  SELECT *, row_number() OVER (PARTITION BY collection_id, grp ORDER BY k, source_file, line_no) AS rn,
+    count(*) OVER (PARTITION BY collection_id, grp) AS total FROM (
+    SELECT p.*, g.grp, g.grank,
       CASE g.grp WHEN 'high_cpu' THEN -cpu WHEN 'high_mem' THEN -mem ELSE 0.0 END AS k,
       'PID: ' || {vc('pid')}
       || CASE WHEN ppid IS NOT NULL AND ppid <> 0 THEN ', PPID: ' || {vc('ppid')} ELSE '' END
@@ -920,18 +917,19 @@ FROM (
       || CASE WHEN mem IS NOT NULL AND mem <> 0 THEN ', MEM: ' || {vc('mem')} || '%' ELSE '' END
       || chr(10) || 'Command: ' || coalesce(command, '') || chr(10) || chr(10) AS line
     FROM ({PROC_EXPECTED}) p,
-      (VALUES ('all', 0, {rules.MAX_ROWS_PER_KIND}), ('root', 1, 200), ('high_cpu', 2, 50), ('high_mem', 3, 50)) g(grp, grank, cap)
+      (VALUES ('all', 0), ('root', 1), ('high_cpu', 2), ('high_mem', 3)) g(grp, grank)
     WHERE g.grp = 'all' OR (g.grp = 'root' AND user = 'root') OR (g.grp = 'high_cpu' AND cpu > 10)
        OR (g.grp = 'high_mem' AND mem > 5)))
-GROUP BY collection_id, grp, grank
+GROUP BY collection_id, grp, grank, segment
 """
 
 _NET_BLOCKS = f"""
-SELECT collection_id, grp, grank, CASE WHEN grp = 'all' THEN least(count(*), {rules.MAX_ROWS_PER_KIND}) ELSE count(*) END AS n,
+SELECT collection_id, grp, grank, (rn - 1) // {rules.SEGMENT_ROWS} AS segment, any_value(total) AS n,
   {tmpl(FMT['network_header'], title=case_map('grp', FMT['network_titles']))}
-  || string_agg(line, '' ORDER BY line_no) FILTER (WHERE rn <= 500) AS text
+  || string_agg(line, '' ORDER BY line_no) AS text
 FROM (
-  SELECT *, row_number() OVER (PARTITION BY collection_id, grp ORDER BY line_no) AS rn FROM (
+  SELECT *, row_number() OVER (PARTITION BY collection_id, grp ORDER BY line_no) AS rn,
+    count(*) OVER (PARTITION BY collection_id, grp) AS total FROM (
     SELECT c.*, g.grp, g.grank,
       upper(protocol) || ' ' || local_address || ':' || {vc('local_port')}
       || CASE WHEN coalesce(remote_address, '') <> '' THEN ' -> ' || remote_address || ':' || coalesce({vc('remote_port')}, 'None') ELSE '' END
@@ -941,11 +939,11 @@ FROM (
     FROM ({CONN_EXPECTED}) c, (VALUES ('listening', 0), ('established', 1), ('all', 2)) g(grp, grank)
     WHERE g.grp = 'all' OR (g.grp = 'listening' AND upper(state) = 'LISTEN')
        OR (g.grp = 'established' AND upper(state) = 'ESTABLISHED')))
-GROUP BY collection_id, grp, grank
+GROUP BY collection_id, grp, grank, segment
 """
 
 _USER_BLOCKS = f"""
-SELECT collection_id, 'users' AS grp, 0 AS grank, count(*) AS n,
+SELECT collection_id, 'users' AS grp, 0 AS grank, segment, count(*) AS n,
   {q(FMT['users_header'])}
   || coalesce(string_agg(CASE WHEN NOT is_system_user THEN entry
                               || CASE WHEN NOT valid THEN {q(FMT['users_no_shell'])} ELSE '' END END,
@@ -956,18 +954,19 @@ SELECT collection_id, 'users' AS grp, 0 AS grank, count(*) AS n,
   AS text
 FROM (SELECT *, NOT (contains(shell, '/nologin') OR contains(shell, '/false')) AS valid,
         '- ' || username || ' (UID: ' || {vc('uid')} || ')' || chr(10) || '  Home: ' || coalesce(home, 'None')
-        || ', Shell: ' || coalesce(shell, 'None') || chr(10) AS entry
+        || ', Shell: ' || coalesce(shell, 'None') || chr(10) AS entry,
+        (row_number() OVER (PARTITION BY collection_id ORDER BY source_file, line_no) - 1) // {rules.SEGMENT_ROWS} AS segment
       FROM ({USER_EXPECTED}))
-GROUP BY collection_id
+GROUP BY collection_id, segment
 """
 
 
 def _split_blocks(blocks: str) -> str:
     """Chunks of block texts: (collection_id, grp, grank, n, ordinal, content)."""
     return f"""
-WITH blk AS (SELECT *, row_number() OVER (ORDER BY collection_id, grp) AS bid FROM ({blocks})),
+WITH blk AS (SELECT *, row_number() OVER (ORDER BY collection_id, grp, segment) AS bid FROM ({blocks})),
 pcs AS ({chunks_sql('SELECT bid, text FROM blk', 'bid', 'text')})
-SELECT blk.collection_id, blk.grp, blk.grank, blk.n, pcs.ordinal, pcs.content
+SELECT blk.collection_id, blk.grp, blk.grank, blk.segment, blk.n, pcs.ordinal, pcs.content
 FROM blk JOIN pcs ON pcs.id = blk.bid
 """
 
@@ -975,7 +974,7 @@ FROM blk JOIN pcs ON pcs.id = blk.bid
 def _chunk_rows(kind_rank: int, artifact: str, source: str, prefix: str, extra: str, body: str) -> str:
     return f"""
 SELECT collection_id, CAST({kind_rank} AS INTEGER) AS kind_rank, CAST(grank AS INTEGER) AS group_rank,
-  {prefix} || '_' || substr(md5(content), 1, 8) || '_' || {vc('ordinal')} AS chunk_id,
+  CAST(segment AS INTEGER) AS segment, {prefix} || '_' || substr(md5(content), 1, 8) || '_' || {vc('ordinal')} AS chunk_id,
   CAST(ordinal AS INTEGER) AS ordinal, '{artifact}' AS artifact_type, {source} AS source,
   CAST(length(content) AS INTEGER) AS n_chars, {_tags_with('content', extra)} AS tags
 FROM ({body})
@@ -996,16 +995,13 @@ ARTIFACT_CHUNKS = " UNION ALL ".join([
     _chunk_rows(1, "process", "'ps_output'", "'proc_' || grp", "'process', grp", _split_blocks(_PROC_BLOCKS)),
     _chunk_rows(2, "network", "'netstat_output'", "'net_' || grp", "'network', grp", _split_blocks(_NET_BLOCKS)),
     _chunk_rows(3, "user", "'passwd'", "'users'", "'user', 'account', 'passwd'",
-                f"SELECT collection_id, grank, 0 AS ordinal, text AS content FROM ({_USER_BLOCKS})"),
+                f"SELECT collection_id, grank, segment, 0 AS ordinal, text AS content FROM ({_USER_BLOCKS})"),
     _chunk_rows(4, "timeline", "'timeline'", "'timeline_' || hour", "'timeline'",
-                f"SELECT collection_id, hour, 0 AS grank, 0 AS ordinal, content FROM ({TIMELINE_HOURLY})"),
+                f"SELECT collection_id, hour, 0 AS grank, segment, 0 AS ordinal, content FROM ({TIMELINE_HOURLY})"),
     _chunk_rows(5, "log", "source", "'log_' || source", "'log', replace(source, '.', '_')", f"""
-SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY grank, ordinal) AS cn FROM (
-    SELECT blk.collection_id, blk.source, blk.grank, pcs.ordinal, pcs.content
-    FROM (SELECT t.*, o.grank, row_number() OVER (ORDER BY t.collection_id, t.source) AS bid FROM ({_LOG_FILE_TEXT}) t
-          JOIN ({_LOG_FILE_ORDER}) o ON o.collection_id = t.collection_id AND o.source = t.source) blk
-    JOIN ({chunks_sql(f"SELECT row_number() OVER (ORDER BY collection_id, source) AS bid, content FROM ({_LOG_FILE_TEXT})", 'bid', 'content')}) pcs
-      ON pcs.id = blk.bid))
-WHERE cn <= {rules.MAX_ROWS_PER_KIND}"""),
+SELECT blk.collection_id, blk.source, blk.grank, blk.segment, pcs.ordinal, pcs.content
+FROM (SELECT t.*, o.grank, row_number() OVER (ORDER BY t.collection_id, t.source, t.segment) AS bid FROM ({_LOG_FILE_TEXT}) t
+      JOIN ({_LOG_FILE_ORDER}) o ON o.collection_id = t.collection_id AND o.source = t.source) blk
+JOIN ({chunks_sql(f"SELECT row_number() OVER (ORDER BY collection_id, source, segment) AS bid, content FROM ({_LOG_FILE_TEXT})", 'bid', 'content')}) pcs
+  ON pcs.id = blk.bid"""),
 ])

@@ -106,13 +106,11 @@ SEVERITY_MARK = {
 # Chunking and retrieval defaults.
 CHUNK_SIZE = 1500
 CHUNK_OVERLAP = 200
-MAX_ROWS_PER_KIND = 1000
 CONTEXT_TOKEN_BUDGET = 4000
 SUMMARY_TOKEN_BUDGET = 3000
 CHARS_PER_TOKEN = 4
 HITS_PER_QUERY = 5
 HITS_FOR_CONTEXT = 10
-RAW_OUTPUT_MAX_CHARS = 50000
 
 # Follow-up suggestions keyed by words of the question (first group that matches).
 FOLLOWUP_SUGGESTIONS = [
@@ -199,7 +197,11 @@ DETECTOR_TEXT = {
         "description": "User {username} has UID 0, equivalent to root privileges",
     },
 }
-HIDDEN_FILES_PER_COLLECTION = 10
+
+# Which log lines parse, and into what: syslog lines (time, host, process, pid, message) and lines that
+# begin with an ISO time.
+SYSLOG_PATTERN = r"^(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+?)(?:\[(\d+)\])?\s*:\s*(.*)$"
+ISO_PATTERN = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)\s+(.*)$"
 
 # Text formats of chunks and reports (headings, section titles, footers).
 FORMATS = {
@@ -231,6 +233,9 @@ FORMATS = {
 # End of fixed values.
 # ---------------------------------------------------------------------------
 
+# Rows of one text block; a longer group makes several blocks.
+SEGMENT_ROWS = 1000
+
 
 def severity_rank(severity: str) -> int:
     return SEVERITY_ORDER.index(severity)

@@ -216,7 +216,7 @@ def structured_data(tables: dict[str, DataFrame]) -> DataFrame:
 
 def markdown_export(chunks: DataFrame, hostnames: DataFrame, n: int = 50) -> DataFrame:
     """SNK-4: per collection a header and the first ``n`` chunks (producer order), as ordered rows."""
-    w = Window.partitionBy("collection_id").orderBy("kind_rank", "group_rank", "ordinal", "chunk_id")
+    w = Window.partitionBy("collection_id").orderBy("kind_rank", "group_rank", "segment", "ordinal", "chunk_id")
     first = chunks.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
     body = first.select("collection_id", F.col("_n").alias("seq"), F.concat(
         F.lit("## "), F.col("artifact_type"), F.lit(" — "), F.col("source"), F.lit("\n\n"), F.col("content"),
