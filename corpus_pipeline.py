@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens.llm import bpe, decontaminate, langid, partenum, substring_sa
-from hostlens.llm.common import saved, table
+from hostlens.llm.common import bit_table, may_contain, saved, table, table_bits
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_SCORE = 0.5
@@ -41,11 +41,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = partenum.similar_components(docs, size=SHINGLE, percent=PERCENT)
-    least = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(least, "doc_id", "left_semi")
-    one = kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
-    return one.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    docs = docs.select(*COLUMNS)
+    groups = saved(partenum.similar_components(docs, size=SHINGLE, percent=PERCENT, pieces=2), "groups")
+    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("least"))
+    odd = saved(ids.where("rows > 1 or doc_id <> least"), "odd")  # not the only row of its group's least id
+    # texts that are surely not among them need no shuffle
+    bits = table_bits(odd.count())
+    maybe = F.coalesce(may_contain(bit_table(odd.select(F.xxhash64("doc_id").alias("h")), bits), F.xxhash64("doc_id"), bits), F.lit(False))
+    maybe = maybe & F.col("doc_id").isNotNull()
+    some = docs.where(maybe).join(odd.select("doc_id", "least"), "doc_id", "left")
+    some = some.where(F.col("least").isNull() | (F.col("least") == F.col("doc_id"))).select(*COLUMNS)
+    one = some.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
+    return docs.where(~maybe).unionByName(one)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

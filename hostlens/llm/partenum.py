@@ -3,9 +3,13 @@
 Sets fall into bands of sizes; two sets of at least the wanted similarity lie
 in one band or in adjacent ones and differ in at most ``k`` elements, ``k``
 known for each pair of bands.  The feature domain (64-bit shingle hashes) is cut
-into ``n1 = k // 2 + 1`` parts, each into three; some part then holds at most
-one difference, so two of its three pieces agree: a signature stands for
-(bands, part, two of three pieces, their elements), and similar sets share one.
+into ``k // 2 + 1 + g`` parts, each into ``pieces``; more than ``g`` parts then
+hold at most one difference, so all but one of their pieces agree: a signature
+stands for (bands, part, all pieces but one, their elements), and similar sets
+share one.  Signatures without elements would bring unlike sets together.  ``g``
+is chosen so that few sets have more than ``g`` parts with such a signature; a
+set with at most ``g`` shares another one with each similar set, so only the
+others give their empty signatures too.
 
 1. Equal sets are one class, named by its least id; only classes are joined.
 2. Sets of a signature are joined to the least of them (not to each other), the
@@ -79,32 +83,58 @@ def bands(most: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(first), last, 2 * last * (100 - percent) // (100 + percent)
 
 
-def signatures(shingle: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _spare(first: np.ndarray, differ: np.ndarray, pieces: int) -> np.ndarray:
+    """``g`` for each pair of bands, from the sizes of the lower one."""
+    out = []
+    for j, k in enumerate(differ.tolist()):
+        size, g = float(first[max(j - 1, 0)]), 0
+        while g < k // 2:
+            parts = k // 2 + 1 + g
+            weak = parts * pieces * np.exp(-size / parts * (pieces - 1) / pieces)
+            if g >= weak + 3 * np.sqrt(weak):
+                break
+            g += 1
+        out.append(g)
+    return np.array(out)
+
+
+def signatures(shingle: np.ndarray, offsets: np.ndarray, percent: int, pieces: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(signature, row) of each set, for its band with the one before and with the one after."""
     size = np.diff(offsets)
     first, _, differ = bands(int(size.max(initial=1)), percent)
+    first = np.append(first, first[-1] * 2)[:len(differ)]
+    spare = _spare(first, differ, pieces)
     band = np.searchsorted(first, size, side="right") - 1
     row = np.repeat(np.arange(len(size)), size)
     spread = mix64(shingle ^ np.uint64(0x5851F42D4C957F2D))
     value = mix64(shingle ^ np.uint64(0x14057B7EF767814F))
-    piece = (spread & np.uint64(0xFFFFFFFF)) * np.uint64(3) >> np.uint64(32)
+    piece = ((spread & np.uint64(0xFFFFFFFF)) * np.uint64(pieces) >> np.uint64(32)).astype(np.int64)
     sigs, rows = [], []
     for join in (0, 1):  # with the band before; with the band after
         b = band + join
         k = np.where(size > 0, differ[b], 0)
-        parts = np.where(k > 0, k // 2 + 1, 0)  # no difference allowed: equal sets, one class already
+        parts = np.where(k > 0, k // 2 + 1 + spare[b], 0)  # no difference allowed: equal sets, one class already
         base = np.concatenate([[0], np.cumsum(parts)])
         use = parts[row] > 0
         part = ((spread[use] >> np.uint64(32)) * parts[row[use]].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        cell = np.zeros((int(base[-1]), 3), np.uint64)
-        np.add.at(cell.reshape(-1), (base[row[use]] + part) * 3 + piece[use].astype(np.int64), value[use])
+        at = (base[row[use]] + part) * pieces + piece[use]
+        cell = np.zeros(int(base[-1]) * pieces, np.uint64)
+        np.add.at(cell, at, value[use])
+        cell = cell.reshape(-1, pieces)
+        held = np.bincount(at, minlength=cell.size).reshape(-1, pieces)
         owner = np.repeat(np.arange(len(size)), parts)
         number = np.arange(int(base[-1])) - base[owner]
-        key = mix64((b[owner].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64) * np.uint64(4))
-        for left_out in range(3):
-            x, y = (cell[:, q] for q in range(3) if q != left_out)
-            sigs.append(mix64(mix64(x ^ key) + mix64(y ^ np.uint64(0x2545F4914F6CDD1D)) * np.uint64(3) + key + np.uint64(left_out)).view(np.int64))
-            rows.append(owner)
+        key = mix64((b[owner].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64) * np.uint64(pieces + 1))
+        left = held.sum(axis=1, keepdims=True) - held  # elements of all pieces but one
+        weak = np.bincount(owner, weights=(left == 0).any(axis=1), minlength=len(size))
+        many = weak > spare[b]
+        mixed = mix64(cell ^ np.arange(1, pieces + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) + np.arange(pieces, dtype=np.uint64)
+        together = mixed.sum(axis=1, dtype=np.uint64)
+        for q in range(pieces):
+            give = (left[:, q] > 0) | many[owner]
+            sig = mix64(mix64(together - mixed[:, q] + np.uint64(q * 0x9E3779B97F4A7C15 % 2**64)) + key)
+            sigs.append(sig[give].view(np.int64))
+            rows.append(owner[give])
     return np.concatenate(sigs), np.concatenate(rows)
 
 
@@ -120,7 +150,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint")
 
 
-def _candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _candidates(docs: DataFrame, size: int, percent: int, pieces: int) -> DataFrame:
     """(a, b): each document with the least one of a signature they share.
 
     Equal sets of a slice go once, and a slice's sharers of a signature are linked there: only their
@@ -131,7 +161,7 @@ def _candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
             batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             shingle, offsets = shingle_sets(*binary_view(batch.column(1)), size)
-            sig, row = signatures(shingle, offsets, percent)
+            sig, row = signatures(shingle, offsets, percent, pieces)
             k1, k2 = _set_keys(shingle, offsets)
             order = np.lexsort((ids, k2, k1))
             same = np.zeros(len(ids), bool)
@@ -144,16 +174,12 @@ def _candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
             at = np.flatnonzero(lead)
             near = np.stack([who[~lead], np.repeat(who[at], np.diff(np.append(at, len(sig))))[~lead]])
             near = np.unique(near[:, near[0] != near[1]], axis=1)  # linked within the slice
-            none = pa.nulls(near.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(sig[lead]), none]), pa.array(np.concatenate([who[lead], near[0]])),
-                                              pa.concat_arrays([pa.nulls(int(lead.sum()), pa.int64()), pa.array(near[1])])], ["sig", "a", "b"])
+            own = mix64(mix64(near[0].view(np.uint64)) + near[1].view(np.uint64)).view(np.int64)  # a signature of the pair's own
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[lead], own, own])),
+                                              pa.array(np.concatenate([who[lead], near[0], near[1]]))], ["sig", "a"])
 
-    found = docs.mapInArrow(run, "sig bigint, a bigint, b bigint")
-    # links within a slice carry no signature: they are dealt out by their ids instead
-    by = F.coalesce("sig", F.xxhash64("a", "b"))
-    found = found.select(by.alias("sig"), "a", "b", F.col("sig").isNull().alias("done"))
-    least = F.expr("min(a) over (partition by sig, done)")
-    return found.select("a", F.when(F.col("done"), F.col("b")).otherwise(least).alias("b")).where("a <> b").distinct()
+    found = docs.mapInArrow(run, "sig bigint, a bigint")
+    return found.select("a", F.expr("min(a) over (partition by sig)").alias("b")).where("a <> b").distinct()
 
 
 def _block_links(percent: int):
@@ -193,14 +219,17 @@ def _block_links(percent: int):
     return run
 
 
-def similar_components(df: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: components of ``100 * |A n B| >= percent * |A u B|``."""
+def similar_components(df: DataFrame, size: int = 3, percent: int = 90, pieces: int = 3, id_col: str = "doc_id",
+                       text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: components of ``100 * |A n B| >= percent * |A u B|``.
+
+    Fewer ``pieces`` make fewer signatures of fewer elements each, which suits lower similarities."""
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = saved(_sets(docs, size), "sets")
     classes = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     named = saved(sets.join(saved(classes, "classes"), ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "named")
     reps = named.where("doc_id is not null and n > 0").select("doc_id", "rep").distinct()
-    near = (_candidates(docs, size, percent).join(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a")
+    near = (_candidates(docs, size, percent, pieces).join(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a")
             .join(reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     families = saved(connected_components(near), "families")
     wanted = families.select(F.xxhash64("node").alias("h"))

@@ -17,7 +17,7 @@ def words_of(text):
     return (text or "").encode().translate(LOW).split()
 
 
-def model(docs, size=3, percent=90):
+def model(docs, size=3, percent=90, pieces=3):
     """Components by comparing all sets; rows of one id are one node."""
     sets = []
     for _, t in docs:
@@ -84,24 +84,26 @@ def test_edge_cases(spark):
             (11, "x y z x y z x y z"), (12, "É a b"), (13, "é a b"), (14, long), (15, long + " "), (16, long + "w"), (None, "a b c"), (None, "none"),
             (20, "q r s t"), (20, "k l m n o"), (21, "k l m n o"), (19, "q r s t"), (22, "dup"), (22, "dup"), (23, "a b c")]
     _check(spark, docs)
-    _check(spark, docs + [(30 + i, "u v w x y z " * 3 + str(i)) for i in range(5)], size=2, percent=60)
+    _check(spark, docs + [(30 + i, "u v w x y z " * 3 + str(i)) for i in range(5)], size=2, percent=60, pieces=2)
 
 
 def test_empty_table(spark):
     _check(spark, [])
 
 
-def test_signatures_meet_for_similar_sets():
+@pytest.mark.parametrize("pieces", [2, 3, 4])
+@pytest.mark.parametrize("percent", [90, 80])
+def test_signatures_meet_for_similar_sets(pieces, percent):
     """Every pair at the limit shares a signature, over all sizes of small bands and random larger ones."""
-    rng = np.random.default_rng(1)
+    rng = np.random.default_rng(pieces)
     for n in [*range(1, 60), 100, 333, 800]:
-        for m in range(n, n * 100 // 90 + 1):
-            both = -(-90 * (n + m) // 190)
+        for m in range(n, n * 100 // percent + 1):
+            both = -(-percent * (n + m) // (100 + percent))
             if both > n:
                 continue
             pool = rng.integers(0, 2**63, n + m - both).astype(np.uint64)
             a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n:]]))
-            sig, row = partenum.signatures(np.concatenate([a, b]), np.array([0, n, n + m]), 90)
+            sig, row = partenum.signatures(np.concatenate([a, b]), np.array([0, n, n + m]), percent, pieces)
             if n != both or m != both:
                 assert set(sig[row == 0]) & set(sig[row == 1]), (n, m, both)
 
