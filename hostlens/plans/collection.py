@@ -12,17 +12,20 @@ pruned columns instead of re-parsing text.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import rules
 from ..operators import timeline as tl
-from ..session import ensure_engine_conf, spread
+from ..session import ensure_engine_conf
 from ..sources import archive as arc
 from ..sources import structured as st
 from ..sources import text_parsers as tp
 
-TABLES = ["collections", "artifact_files", "bodyfile", "processes", "connections", "users", "hashes", "logs",
+TABLES = ["collections", "errors", "artifact_files", "bodyfile", "processes", "connections", "users", "hashes", "logs",
           "raw_outputs", "timeline"]
 
 
@@ -38,8 +41,7 @@ def parse_members(members: DataFrame, reference_year=None, max_log_entries: int
     rows per collection in file order (off by default).
     """
     files = arc.catalog_members(members)
-    # a few large archives would otherwise parse their lines in a few tasks
-    lines = spread(arc.member_lines(files.where(F.col("category").isin("bodyfile", "live_response", "hash", "logs"))))
+    lines = arc.member_lines(files.where(F.col("category").isin("bodyfile", "live_response", "hash", "logs")))
     collections = arc.collections_from_members(files, arc.member_lines(
         files.where(F.lower("relative_path").contains("uac.log"))))
 
@@ -57,7 +59,7 @@ def parse_members(members: DataFrame, reference_year=None, max_log_entries: int
     connections = (tp.parse_netstat(live.where((kind == "netstat") & name.contains("netstat")))
                    .unionByName(tp.parse_ss(live.where((kind == "netstat") & ~name.contains("netstat")))))
     users = tp.parse_passwd(live.where(kind == "passwd"))
-    hashes = tp.parse_hashes(lines.where((F.col("category") == "hash") & ~_is_yaml()))
+    hashes = tp.parse_hashes(lines.where(F.col("category") == "hash"))
 
     log_lines = lines.where((F.col("category") == "logs") & ~_is_yaml()
                             & ~F.lower("source_file").rlike(
@@ -82,14 +84,14 @@ def parse_members(members: DataFrame, reference_year=None, max_log_entries: int
     raw_text = files.where((F.col("category") == "live_response") & (F.col("live_kind") == "raw")
                            & F.col("content").isNotNull()).select(
         "collection_id", F.col("relative_path").alias("path"),
-        F.substring(F.regexp_replace(F.decode("content", "UTF-8"), "�", ""), 1, rules.RAW_OUTPUT_MAX_CHARS)
-        .alias("content"))
-    raw_outputs = raw_text.unionByName(st.yaml_raw_outputs(records))
+        arc.text_of(F.col("content")).alias("content"), F.col("part").cast("int").alias("part"))
+    raw_outputs = raw_text.unionByName(st.yaml_raw_outputs(records).withColumn("part", F.lit(0)))
 
     timeline = tl.merge_timeline(tl.bodyfile_events(bodyfile), tl.log_events(logs), sort=False)
     return {
         "collections": collections,
-        "artifact_files": files.drop("content"),
+        "errors": arc.archive_errors(members),
+        "artifact_files": files.where(F.col("part") == 0).drop("content", "part", "first_line"),
         "bodyfile": bodyfile,
         "processes": processes,
         "connections": connections,
@@ -113,14 +115,41 @@ def parse_directory(spark: SparkSession, root: str, collection_id: str | None =
     return parse_members(arc.scan_directory(spark, root, collection_id), **kw)
 
 
+def load_archives(spark: SparkSession, path: str, out_dir: str, glob: str | None = None, **kw) -> dict[str, DataFrame]:
+    """A full load: archives are unpacked once into ``out_dir/members`` (by category, on shared storage), all
+    tables are parsed from there and written; the written tables.
+
+    Parsers of one category read only its members' columns; what a lost executor held is read again from
+    the members, not unpacked again."""
+    ensure_engine_conf(spark)
+    members = f"{out_dir.rstrip('/')}/members"
+    unpacked = arc.scan_archives(spark, path, glob)
+    unpacked.withColumn("category", arc.categorize_path("relative_path")).write.mode("overwrite").partitionBy("category").parquet(members)
+    stored = spark.read.parquet(members).select(*arc.MEMBER_SCHEMA.names)
+    write_tables(parse_members(stored, **kw), out_dir)
+    return read_tables(spark, out_dir)
+
+
 def write_tables(tables: dict[str, DataFrame], out_dir: str, mode: str = "overwrite") -> None:
-    """Write each table as Parquet partitioned by ``collection_id`` (RET-1 style store)."""
+    """Write each table as Parquet partitioned by ``collection_id`` (RET-1 style store).
+
+    Rows are rebalanced by collection first: a host's rows meet in a few files, a large host's are split."""
     for name, df in tables.items():
-        df.write.mode(mode).partitionBy("collection_id").parquet(f"{out_dir.rstrip('/')}/{name}")
+        even = df.sparkSession.sql("SELECT /*+ REBALANCE(collection_id) */ * FROM {df}", df=df)
+        even.write.mode(mode).partitionBy("collection_id").parquet(f"{out_dir.rstrip('/')}/{name}")
+        # an empty table has no file to tell its columns
+        df.sparkSession.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(
+            f"{out_dir.rstrip('/')}/schemas/{name}")
 
 
 def read_tables(spark: SparkSession, out_dir: str, names: list[str] | None = None) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{out_dir.rstrip('/')}/{n}") for n in (names or TABLES)}
+    """Tables of ``write_tables``, empty ones included."""
+    root = out_dir.rstrip("/")
+
+    def schema(name):
+        return T.StructType.fromJson(json.loads(spark.read.text(f"{root}/schemas/{name}").first()["value"]))
+
+    return {n: spark.read.schema(schema(n)).parquet(f"{root}/{n}") for n in (names or TABLES)}
 
 
 CATEGORY_TABLES = {"bodyfile": "bodyfile", "process": "processes", "network": "connections", "user": "users",

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -32,67 +33,80 @@ MEMBER_SCHEMA = T.StructType([
     T.StructField("is_directory", T.BooleanType()),
     T.StructField("content", T.BinaryType()),
     T.StructField("error", T.StringType()),
+    T.StructField("part", T.IntegerType()),
+    T.StructField("first_line", T.LongType()),
 ])
 
-# Members larger than this are listed with NULL content and a flag, since a
-# binary cell cannot hold them.
-MAX_MEMBER_BYTES = 1_500_000_000
+# A member's bytes come in parts of about this size, cut after a line end, so a
+# member of any size is read whole in bounded cells.  YAML members are documents
+# and stay in one part.
+PART_BYTES = 32 * 1024 * 1024
 
 
-def collection_id_of(archive_path: str) -> str:
-    name = posixpath.basename(archive_path.rstrip("/"))
-    low = name.lower()
-    for suf in (".tar.gz", ".tgz", ".tar", ".zip", ".gz"):
-        if low.endswith(suf):
-            return name[: -len(suf)]
-    return name
+ARCHIVE_SUFFIXES = (".tar.gz", ".tgz", ".tar", ".zip", ".gz")
+
+
+def collection_id_of(archive_path: str, root: str = "") -> str:
+    """Collection id of an archive: its path below ``root`` without the suffix, so that archives of one
+    name in different folders stay apart (folders joined by ``__``)."""
+    path, root = (re.sub(r"^file:/*", "/", x.rstrip("/")) for x in (archive_path, root))
+    name = path[len(root):].strip("/") if root and path.startswith(root + "/") else posixpath.basename(path)
+    for suf in ARCHIVE_SUFFIXES:
+        if name.lower().endswith(suf):
+            name = name[: -len(suf)]
+            break
+    return name.replace("/", "__")
 
 
 def _safe_member(name: str) -> bool:
     return not name.startswith("/") and ".." not in name
 
 
-def _unpack(path: str, data: bytes) -> Iterator[tuple]:
-    cid = collection_id_of(path)
-    buf = io.BytesIO(data)
-    if zipfile.is_zipfile(buf):
-        buf.seek(0)
-        with zipfile.ZipFile(buf) as zf:
-            for info in zf.infolist():
-                if not _safe_member(info.filename):
-                    continue
-                is_dir = info.is_dir()
-                try:
-                    content = None if is_dir or info.file_size > MAX_MEMBER_BYTES else zf.read(info)
-                    err = None if is_dir or content is not None else "member too large"
-                except Exception as exc:  # a bad member is skipped, not fatal
-                    content, err = None, f"read failed: {exc}"
-                yield (path, cid, info.filename.rstrip("/"), int(info.file_size), is_dir, content, err)
-        return
-    buf.seek(0)
+def _parts(stream, whole: bool) -> Iterator[tuple[bytes, int, int]]:
+    """(bytes, part, number of its first line) of a member, cut after line ends."""
+    part, line, rest = 0, 0, b""
+    while True:
+        data = stream.read(-1 if whole else PART_BYTES)
+        block = rest + data
+        cut = len(block) if whole or not data else block.rfind(b"\n") + 1
+        if cut or (not data and not part):
+            yield block[:cut], part, line
+            line += block.count(b"\n", 0, cut)
+            part += 1
+        rest = block[cut:]
+        if whole or not data:
+            return
+
+
+def _unpack(path: str, data: bytes, cid: str) -> Iterator[tuple]:
+    """Members read so far, then a row with ``error`` where an archive or a member cannot be read on."""
+    def member(name, size, is_dir, open_):
+        name = name.rstrip("/")
+        if is_dir:
+            yield (path, cid, name, size, True, None, None, 0, 0)
+            return
+        part = 0
+        try:
+            stream = open_()
+            whole = name.lower().endswith((".yaml", ".yml"))
+            for block, part, line in _parts(stream, whole) if stream is not None else ():
+                yield (path, cid, name, size, False, block, None, part, line)
+        except Exception as exc:  # the rest of this member is lost, the archive goes on
+            yield (path, cid, name, size, False, None, f"read failed: {exc}", part, None)
+
     try:
-        tf = tarfile.open(fileobj=buf, mode="r:*")
-    except tarfile.TarError as exc:
-        yield (path, cid, None, None, None, None, f"not an archive: {exc}")
-        return
-    with tf:
-        for m in tf:
-            name = m.name
-            if not _safe_member(name):
-                continue
-            if not (m.isfile() or m.isdir()):
-                continue
-            content, err = None, None
-            if m.isfile():
-                if m.size > MAX_MEMBER_BYTES:
-                    err = "member too large"
-                else:
-                    try:
-                        f = tf.extractfile(m)
-                        content = f.read() if f is not None else None
-                    except Exception as exc:
-                        err = f"read failed: {exc}"
-            yield (path, cid, name.rstrip("/"), int(m.size), m.isdir(), content, err)
+        if zipfile.is_zipfile(io.BytesIO(data)):
+            with zipfile.ZipFile(io.BytesIO(data)) as zf:
+                for info in zf.infolist():
+                    if _safe_member(info.filename):
+                        yield from member(info.filename, int(info.file_size), info.is_dir(), lambda i=info: zf.open(i))
+            return
+        with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as tf:
+            for m in tf:
+                if _safe_member(m.name) and (m.isfile() or m.isdir()):
+                    yield from member(m.name, int(m.size), m.isdir(), lambda m=m: tf.extractfile(m))
+    except Exception as exc:  # truncated or not an archive: what came before stays
+        yield (path, cid, None, None, None, None, f"archive cannot be read on: {exc}", None, None)
 
 
 # Output Arrow batches are cut by bytes as well as rows, so one archive with
@@ -103,33 +117,48 @@ BATCH_MAX_BYTES = 64 * 1024 * 1024
 
 def _unpack_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cols = [f.name for f in MEMBER_SCHEMA.fields]
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=cols).astype({"size": "Int64", "part": "Int32", "first_line": "Int64", "is_directory": "boolean"})
+
     for pdf in batches:
         rows, size = [], 0
-        for path, data in zip(pdf["path"], pdf["content"]):
-            for row in _unpack(path, bytes(data)):
+        for path, data, cid in zip(pdf["path"], pdf["content"], pdf["cid"]):
+            for row in _unpack(path, bytes(data), cid):
                 rows.append(row)
                 size += len(row[5]) if row[5] is not None else 0
                 if len(rows) >= BATCH_MAX_ROWS or size >= BATCH_MAX_BYTES:
-                    yield pd.DataFrame(rows, columns=cols)
+                    yield frame(rows)
                     rows, size = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=cols)
+            yield frame(rows)
 
 
 def scan_archives(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """SRC-1 / SRC-24: archive members of every archive under ``path``.
 
     One task per archive file (``binaryFile`` keeps each file whole); members
-    come out as rows with their bytes.  Members with absolute paths or '..'
-    are skipped; unreadable members keep a row with ``error`` set.
+    come out as rows with their bytes, long ones in several parts.  Members with
+    absolute paths or '..' are skipped.  A member that cannot be read keeps a row
+    with ``error``; an archive that cannot be read (on) keeps one without a path,
+    after the members before the damage (see ``archive_errors``).
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path)
     files = files.where(F.lower("path").rlike(r"\.(tar\.gz|tgz|tar|zip|gz)$"))
-    return files.select("path", "content").mapInPandas(_unpack_batches, MEMBER_SCHEMA).where(
-        F.col("relative_path").isNotNull())
+    root = re.sub(r"^file:/*", "/", path.rstrip("/"))
+    plain = F.regexp_replace("path", "^file:/*", "/")
+    below = F.when(plain.startswith(root + "/"), F.expr(f"substring(regexp_replace(path, '^file:/*', '/'), {len(root) + 2})")
+                   ).otherwise(F.substring_index(plain, "/", -1))
+    cid = F.regexp_replace(F.regexp_replace(below, r"(?i)\.(tar\.gz|tgz|tar|zip|gz)$", ""), "/", "__")
+    return files.select("path", "content", cid.alias("cid")).mapInPandas(_unpack_batches, MEMBER_SCHEMA)
+
+
+def archive_errors(members: DataFrame) -> DataFrame:
+    """Archives and members that could not be read, in whole or in part."""
+    return members.where(F.col("error").isNotNull()).select("archive_path", "collection_id", "relative_path", "part", "error")
 
 
 def scan_directory(spark: SparkSession, root: str, collection_id: str | None = None) -> DataFrame:
@@ -141,7 +170,7 @@ def scan_directory(spark: SparkSession, root: str, collection_id: str | None = N
     return files.select(
         F.lit(root).alias("archive_path"), cid.alias("collection_id"), rel.alias("relative_path"),
         F.col("length").alias("size"), F.lit(False).alias("is_directory"), "content",
-        F.lit(None).cast("string").alias("error"))
+        F.lit(None).cast("string").alias("error"), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("first_line"))
 
 
 def _re_escape(text: str) -> str:
@@ -184,9 +213,9 @@ def live_kind(path) -> Column:
 
 
 def catalog_members(members: DataFrame) -> DataFrame:
-    """``artifact_files``: members with file name, parent, category and parser kind."""
+    """``artifact_files``: members with file name, parent, category and parser kind (a row per part)."""
     rp = F.col("relative_path")
-    return members.select(
+    return members.where(rp.isNotNull()).select(
         "*",
         base_name(rp).alias("filename"),
         parent_dir(rp).alias("parent_dir"),
@@ -195,9 +224,15 @@ def catalog_members(members: DataFrame) -> DataFrame:
     )
 
 
+def _listed(files: DataFrame) -> DataFrame:
+    """One row per file."""
+    files = files.where(~F.col("is_directory"))
+    return files.where(F.col("part") == 0) if "part" in files.columns else files
+
+
 def filter_members(files: DataFrame, category: str | None = None, pattern: str | None = None) -> DataFrame:
     """SRC-2 listing: optional category and file-name glob (applied to all categories)."""
-    out = files.where(~F.col("is_directory"))
+    out = _listed(files)
     if category:
         out = out.where(F.col("category") == category)
     if pattern:
@@ -207,7 +242,7 @@ def filter_members(files: DataFrame, category: str | None = None, pattern: str |
 
 def inventory_totals(files: DataFrame) -> DataFrame:
     """SRC-6: file count and bytes per collection (directories excluded)."""
-    return files.where(~F.col("is_directory")).groupBy("collection_id").agg(
+    return _listed(files).groupBy("collection_id").agg(
         F.count(F.lit(1)).alias("total_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"))
 
 
@@ -217,26 +252,33 @@ def artifact_paths(files: DataFrame) -> DataFrame:
     Kept as rows rather than one list per kind, so an archive with millions of
     members never becomes a single array cell.
     """
-    return (files.where(~F.col("is_directory")).select("collection_id", "category", "relative_path")
+    return (_listed(files).select("collection_id", "category", "relative_path")
             .orderBy("collection_id", "category", "relative_path"))
 
 
 # ---------------------------------------------------------------------------
 # SRC-3 lines of members
 # ---------------------------------------------------------------------------
+def text_of(content: Column) -> Column:
+    """UTF-8 text of bytes; invalid bytes are dropped, a U+FFFD that was there stays."""
+    raw, kept = content.cast("string"), "\ufdd0"  # a noncharacter stands in for it meanwhile
+    fixed = F.replace(F.make_valid_utf8(F.replace(raw, F.lit("\ufffd"), F.lit(kept))), F.lit("\ufffd"), F.lit(""))
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(fixed, F.lit(kept), F.lit("\ufffd")))
+
+
 def member_lines(files: DataFrame) -> DataFrame:
-    """Lines of text members: UTF-8 decode (bad bytes dropped), split on '\\n',
-    trailing '\\r' removed; ``line_no`` is 0-based within the file."""
-    text = F.regexp_replace(F.decode(F.col("content"), "UTF-8"), "�", "")
-    arr = F.split(text, "\n", -1)
+    """Lines of text members: UTF-8 (bad bytes dropped), split on '\\n', trailing '\\r' removed;
+    ``line_no`` is 0-based within the file, over all its parts."""
+    arr = F.split(text_of(F.col("content")), "\n", -1)
     # a final newline does not start another line
     arr = F.when(F.element_at(arr, -1) == "", F.slice(arr, 1, F.greatest(F.size(arr) - 1, F.lit(0)))).otherwise(arr)
+    first = F.coalesce("first_line", F.lit(0)) if "first_line" in files.columns else F.lit(0)
     exploded = files.where(F.col("content").isNotNull()).select(
-        "collection_id", F.col("relative_path").alias("source_file"),
+        "collection_id", F.col("relative_path").alias("source_file"), first.cast("bigint").alias("_first"),
         *[c for c in ["category", "live_kind"] if c in files.columns],
         F.posexplode(arr).alias("line_no", "line"))
     return exploded.withColumn("line", F.regexp_replace("line", "\r$", "")).withColumn(
-        "line_no", F.col("line_no").cast("bigint"))
+        "line_no", F.col("line_no") + F.col("_first")).drop("_first")
 
 
 # ---------------------------------------------------------------------------
@@ -259,7 +301,9 @@ def collections_from_members(files: DataFrame, log_lines: DataFrame | None = Non
         F.when(m[1] != "", m[1]).otherwise(F.get(parts, 2)).alias("dir_os"),
         F.try_to_timestamp(F.when(m[2] != "", m[2]).otherwise(F.element_at(parts, -1)), F.lit("yyyyMMddHHmmss"))
         .alias("collection_time"),
-    ).groupBy("collection_id").agg(
+    )
+    # every input has a row, also without such a folder
+    meta = files.select("collection_id").distinct().join(meta, "collection_id", "left").groupBy("collection_id").agg(
         F.min("dir_host").alias("dir_host"), F.min("dir_os").alias("dir_os"),
         F.min("collection_time").alias("collection_time"))
     if log_lines is None:

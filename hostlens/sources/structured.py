@@ -65,7 +65,7 @@ def _records_of(cid: str, path: str, text: str) -> Iterator[tuple]:
                         yield (cid, path, d, i, OUTPUT_STR, item, None, None)
             raw_src = output
             if output:
-                yield (cid, path, d, 0, NETWORK_RAW, str(output)[: rules.RAW_OUTPUT_MAX_CHARS], None, None)
+                yield (cid, path, d, 0, NETWORK_RAW, str(output), None, None)
         else:
             raw_src = doc
             if isinstance(doc, list):
@@ -78,7 +78,7 @@ def _records_of(cid: str, path: str, text: str) -> Iterator[tuple]:
                 yield (cid, path, d, 0, DOC_TEXT, doc, None, None)
         if raw_src:
             raw = raw_src if isinstance(raw_src, str) else yaml.dump(raw_src, default_flow_style=False)
-            yield (cid, path, d, 0, RAW, raw[: rules.RAW_OUTPUT_MAX_CHARS], None, None)
+            yield (cid, path, d, 0, RAW, raw, None, None)
 
 
 def _yaml_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
