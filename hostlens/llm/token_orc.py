@@ -35,7 +35,7 @@ from .common import binary_view, slices, worker_cache
 SCHEMA = "doc_id bigint, n_tokens bigint, file_no int, file_start bigint, ids array<int>"
 
 
-MOST_WORDS = 300_000
+MOST_WORDS = 400_000
 # a space, letters, marks; perhaps a line end and the same again.  Each part is a pre-token of its own: letters up
 # to U+024F are letters in every library's tables, an apostrophe might start a contraction and is left out
 LETTERS, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"[!-&(-/:-@\[-`{-~]*"
@@ -112,7 +112,7 @@ def _encoder(vocabulary: str, key: str) -> ChunkedEncoder:
             return out
 
         cache.clear()
-        cache[key] = ChunkedEncoder(learn, most=800_000)
+        cache[key] = ChunkedEncoder(learn, most=1_200_000)
     return cache[key]
 
 
@@ -132,7 +132,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
 
     def run(batches):
         encoder, start = _encoder(vocabulary.value, key), 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 3 << 20):
             flat, offsets = encoder.encode_rows(*binary_view(part.column("text")))
             flat = np.insert(flat, offsets[1:], end_id)
             offsets = offsets + np.arange(len(offsets))  # with the end ids
