@@ -30,6 +30,9 @@ def centroids(vectors: DataFrame, keys: list[str], vec_col: str = "embedding") -
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_m"))), lambda x: x["_m"]).alias(vec_col))
 
 
+CORPUS_SALTS = 16
+
+
 def knn(corpus: DataFrame, queries: DataFrame, scope: str, k: int = rules.HITS_PER_QUERY,
         id_col: str = "id", vec_col: str = "embedding", query_cols: list[str] | None = None) -> DataFrame:
     """RET-3: exact k nearest corpus rows per query within the same ``scope``.
@@ -37,15 +40,22 @@ def knn(corpus: DataFrame, queries: DataFrame, scope: str, k: int = rules.HITS_P
     Distance is squared L2 (the store's default metric); ``score`` is
     ``max(0, 1 - distance)``.  Ties break on the corpus id.  ``query_cols``
     identify a query (default: every query column but the vector).
+
+    The corpus is dealt by (scope, salt of its id), so a large scope is searched
+    by many tasks, each with a copy of the scope's queries; the top k of each
+    salt are merged.  The corpus is never the broadcast side.
     """
     qcols = query_cols or [c for c in queries.columns if c not in (vec_col,)]
-    q = queries.select(*qcols, F.col(vec_col).alias("_q"))
-    c = corpus.select(scope, id_col, F.col(vec_col).alias("_c"))
-    j = q.join(c, scope)
-    dist = squared_l2(F.col("_c"), F.col("_q"))
-    scored = j.select(*qcols, id_col, dist.alias("distance"))
+    salts = F.sequence(F.lit(0), F.lit(CORPUS_SALTS - 1))
+    q = queries.select(*qcols, F.col(vec_col).alias("_q"), F.explode(salts).alias("_salt"))
+    salt = F.pmod(F.xxhash64(id_col), F.lit(CORPUS_SALTS)).cast("int")
+    c = corpus.select(scope, id_col, F.col(vec_col).alias("_c"), salt.alias("_salt")).hint("merge")
+    j = c.join(q, [scope, "_salt"])
+    scored = j.select(*qcols, "_salt", id_col, squared_l2(F.col("_c"), F.col("_q")).alias("distance"))
+    part = Window.partitionBy(*qcols, "_salt").orderBy("distance", id_col)
+    some = scored.withColumn("_near", F.row_number().over(part)).where(F.col("_near") <= k).drop("_near", "_salt")
     w = Window.partitionBy(*qcols).orderBy("distance", id_col)
-    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = some.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("distance")))
 
 

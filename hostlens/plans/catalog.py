@@ -170,11 +170,14 @@ def passwd_parse(spark, sf_dir):
                                        "gecos", "home", "shell", "is_system_user", "has_valid_shell")
 
 
+def hashes(spark, sf_dir) -> DataFrame:
+    return tp.parse_hashes(d.hash_lines(d.read_table(spark, sf_dir, "documents")))
+
+
 @register("hash_classify")
 def hash_classify(spark, sf_dir):
     """SRC-17, SCA-15: hash list lines -> (path, md5 | sha1 | sha256)."""
-    lines = d.hash_lines(d.read_table(spark, sf_dir, "documents"))
-    return tp.parse_hashes(lines).select("collection_id", "source_file", "line_no", "filepath", "md5", "sha1", "sha256")
+    return hashes(spark, sf_dir).select("collection_id", "source_file", "line_no", "filepath", "md5", "sha1", "sha256")
 
 
 @register("artifact_categorise")
@@ -390,17 +393,21 @@ def multi_query_dedup(spark, sf_dir):
     (first hit wins), merged by score."""
     hits = _doc_hits(spark, sf_dir, rules.HITS_PER_QUERY, [0, 1, 2, 3])
     uniq = ret.dedup_hits(hits, ["label"], "text", ["variant", "rank"])
-    return uniq.select("label", "variant", F.col("rank").cast("bigint").alias("rank"), "vec_id",
+    order = Window.partitionBy("label").orderBy(F.col("distance"), "variant", "rank")
+    uniq = uniq.withColumn("place", F.row_number().over(order).cast("bigint"))
+    return uniq.select("label", "place", "variant", F.col("rank").cast("bigint").alias("rank"), "vec_id",
                        F.round("score", 4).alias("score"), F.md5("text").alias("content_md5"))
 
 
 @register("ioc_extract")
 def ioc_extract(spark, sf_dir):
-    """IOC-1: indicators in document texts and page URLs, counted per (kind, value)."""
-    docs = ioc.extract_iocs(d.read_table(spark, sf_dir, "documents"), "text", "doc_id",
-                            ["email", "ipv4", "hash", "path"])
-    pages = ioc.extract_iocs(d.read_table(spark, sf_dir, "pages"), "url", "page_id", ["url"])
-    return ioc.ioc_summary(docs.unionByName(pages))
+    """IOC-1: every kind of indicator in document texts, page URLs and HTML and conversations, counted per
+    (kind, value)."""
+    docs = ioc.extract_iocs(d.read_table(spark, sf_dir, "documents"), "text", "doc_id")
+    pages = d.read_table(spark, sf_dir, "pages").select("page_id", F.concat_ws("\n", "url", "html").alias("text"))
+    turns = d.read_table(spark, sf_dir, "conversations")
+    found = docs.unionByName(ioc.extract_iocs(pages, "text", "page_id")).unionByName(ioc.extract_iocs(turns, "text", "conv_id"))
+    return ioc.ioc_summary(found)
 
 
 def synthetic_answers(spark, sf_dir) -> DataFrame:
@@ -455,29 +462,13 @@ def top_cpu(spark, sf_dir):
 
 @register("collection_summary")
 def collection_summary(spark, sf_dir):
-    """AGG-1 / COMPOSE-1 counts: per collection, rows of every artifact table."""
-    bf = bodyfile(spark, sf_dir)
-    file_events = (F.count_if(F.col("mtime") > 0)
-                   + F.count_if((F.col("crtime") > 0) & ((F.col("mtime") <= 0) | (F.col("crtime") != F.col("mtime")))))
-    parts = [
-        bf.groupBy("collection_id").agg(
-            F.count(F.lit(1)).alias("total_files"),
-            F.count_if(F.col("mode").contains("x") & ~F.col("mode").startswith("d")).alias("executable_files"),
-            F.count_if(F.lower("mode").contains("s")).alias("setuid_files"),
-            file_events.alias("_file_events")),
-        processes(spark, sf_dir).groupBy("collection_id").agg(F.count(F.lit(1)).alias("processes")),
-        connections(spark, sf_dir).groupBy("collection_id").agg(F.count(F.lit(1)).alias("network_connections")),
-        users(spark, sf_dir).groupBy("collection_id").agg(F.count(F.lit(1)).alias("users")),
-        event_logs(spark, sf_dir).groupBy("collection_id").agg(
-            F.count(F.lit(1)).alias("log_entries"), F.count_if(F.col("timestamp").isNotNull()).alias("_log_events")),
-    ]
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.join(p_, "collection_id", "full_outer")
-    cols_ = ["total_files", "executable_files", "setuid_files", "processes", "network_connections", "users",
-             "log_entries"]
-    return out.select("collection_id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cols_],
-                      (F.coalesce("_log_events", F.lit(0)) + F.coalesce("_file_events", F.lit(0))).alias("timeline_events"))
+    """AGG-1 / COMPOSE-1 counts: per collection, all nine counts of the structured document."""
+    from ..sinks import writers
+
+    tables = {"bodyfile": bodyfile(spark, sf_dir), "processes": processes(spark, sf_dir), "connections": connections(spark, sf_dir),
+              "users": users(spark, sf_dir), "hashes": hashes(spark, sf_dir), "logs": event_logs(spark, sf_dir)}
+    tables["collections"] = spark.createDataFrame([], "collection_id string")
+    return writers.summary_counts(tables)
 
 
 @register("logs_by_source")
@@ -506,14 +497,14 @@ def artifact_chunks(spark, sf_dir):
 @register("stream_hourly")
 def stream_hourly(spark, sf_dir):
     """STR-1 + STR-2: the events table replayed as a stream, parsed as log lines,
-    counted per (collection, hour) with a watermark; equals the batch counts."""
+    counted per (collection, hour); equals the batch counts."""
     from ..streaming import streams as sm
 
     schema = d.read_table(spark, sf_dir, "events").schema
-    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-          .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    # the pattern meets a table kept as one file and one kept as a folder of part files
+    ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir.rstrip('/')}/events.parquet*")
     logs = sm.parsed_logs(d.event_log_lines(ev), reference_year=REFERENCE_YEAR)
-    counts = sm.hourly_counts(logs)
+    counts = sm.hourly_counts(logs, watermark=None)  # a replay: no row is late
     out = sm.run_available_now(counts, name="stream_hourly")
     final = sm.latest_rows(spark, out, ["collection_id", "window_start"])
     return final.select("collection_id", ts_text("window_start").alias("hour_start"), "event_count")

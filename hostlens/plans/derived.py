@@ -17,15 +17,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import fence
-from ..session import spread
 
 N_HOSTS = 8
 LINE_COLS = ["collection_id", "source_file", "line_no", "line"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the cluster when its scan is narrow (see ``session.spread``)."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A driver table.  The single-file ones are read by one task, so in a local session (tests, the bench)
+    the rows of this fixture layer are dealt to all cores; on a cluster they are left as they are."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def host_of(key: str) -> Column:

@@ -643,30 +643,39 @@ FROM r WHERE run <= {rules.CONTEXT_TOKEN_BUDGET} GROUP BY label
 MULTI_QUERY_DEDUP = f"""
 WITH h AS (SELECT h.*, d.text FROM ({_hits_sql(rules.HITS_PER_QUERY, '0, 1, 2, 3')}) h JOIN documents d ON d.doc_id = h.vec_id),
 f AS (SELECT *, row_number() OVER (PARTITION BY label, md5(text) ORDER BY variant, rnk) AS first_seen FROM h)
-SELECT label, variant, CAST(rnk AS BIGINT) AS rank, vec_id, round(score, 4) AS score, md5(text) AS content_md5
+SELECT label, row_number() OVER (PARTITION BY label ORDER BY distance, variant, rnk) AS place, variant,
+  CAST(rnk AS BIGINT) AS rank, vec_id, round(score, 4) AS score, md5(text) AS content_md5
 FROM f WHERE first_seen = 1
 """
 
 # ---------------------------------------------------------------------------
 # Indicators
 # ---------------------------------------------------------------------------
-_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-_IPV4 = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
-_HASH = r"[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32}"
-_URL = r"https?://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+"
-_PATH = r"/(?:etc|tmp|var|usr|home|root|dev|opt|bin|sbin)/[A-Za-z0-9._/-]+"
-_DOMAIN = r"^https?://([A-Za-z0-9.-]+)"
+from ..operators import ioc as _ioc  # noqa: E402  (the patterns; the matching below is DuckDB's own)
+
+_P = {k: v.replace("'", "''") for k, v in _ioc.IOC_PATTERNS.items()}
+
+
+def _found(kind: str) -> str:
+    return f"SELECT unnest(regexp_extract_all(text, '{_P[kind]}')) AS v, id FROM t"
+
 
 IOC_EXTRACT = f"""
-WITH m AS (
-  SELECT 'email' AS kind, unnest(regexp_extract_all(text, '{_EMAIL}')) AS value, doc_id AS id FROM documents
-  UNION ALL SELECT 'ipv4', unnest(regexp_extract_all(text, '{_IPV4}')), doc_id FROM documents
+WITH t AS (
+  SELECT doc_id AS id, text FROM documents
+  UNION ALL SELECT page_id, concat_ws(chr(10), url, html) FROM pages
+  UNION ALL SELECT conv_id, text FROM conversations
+), m AS (
+  SELECT 'email' AS kind, v AS value, id FROM ({_found('email')})
+  UNION ALL SELECT 'ipv4', rtrim(v, '.'), id FROM ({_found('ipv4')}) WHERE regexp_matches(rtrim(v, '.'), '{_ioc.IPV4_WHOLE}')
   UNION ALL SELECT CASE length(v) WHEN 64 THEN 'sha256' WHEN 40 THEN 'sha1' ELSE 'md5' END, lower(v), id
-    FROM (SELECT unnest(regexp_extract_all(text, '{_HASH}')) AS v, doc_id AS id FROM documents)
-  UNION ALL SELECT 'path', unnest(regexp_extract_all(text, '{_PATH}')), doc_id FROM documents
-  UNION ALL SELECT 'url', unnest(regexp_extract_all(url, '{_URL}')), page_id FROM pages
-  UNION ALL SELECT 'domain', lower(regexp_extract(v, '{_DOMAIN}', 1)), id
-    FROM (SELECT unnest(regexp_extract_all(url, '{_URL}')) AS v, page_id AS id FROM pages)
+    FROM ({_found('hash')}) WHERE regexp_matches(v, '{_ioc.HASH_WHOLE}')
+  UNION ALL SELECT 'path', v, id FROM ({_found('path')})
+  UNION ALL SELECT 'url', v, id FROM ({_found('url')})
+  UNION ALL SELECT 'domain', lower(regexp_extract(v, '{_ioc.DOMAIN_FROM_URL}', 1)), id FROM ({_found('url')})
+  UNION ALL SELECT 'user', regexp_extract(v, '{_ioc.NAME_AFTER['user']}', 1), id FROM ({_found('user')})
+  UNION ALL SELECT 'command', regexp_extract(v, '{_ioc.NAME_AFTER['command']}', 1), id FROM ({_found('command')})
+  UNION ALL SELECT 'cron', v, id FROM ({_found('cron')})
 )
 SELECT kind, value, count(*) AS occurrences, min(id) AS first_id, max(id) AS last_id
 FROM m WHERE value <> '' GROUP BY kind, value
@@ -762,14 +771,15 @@ WITH b AS (SELECT collection_id, count(*) AS total_files,
 p AS (SELECT collection_id, count(*) AS processes FROM ({PROC_EXPECTED}) GROUP BY collection_id),
 c AS (SELECT collection_id, count(*) AS network_connections FROM ({CONN_EXPECTED}) GROUP BY collection_id),
 u AS (SELECT collection_id, count(*) AS users FROM ({USER_EXPECTED}) GROUP BY collection_id),
-l AS (SELECT collection_id, count(*) AS log_entries, count(ts_parsed) AS le FROM ({LOG_EXPECTED}) GROUP BY collection_id)
-SELECT coalesce(b.collection_id, p.collection_id, c.collection_id, u.collection_id, l.collection_id) AS collection_id,
+l AS (SELECT collection_id, count(*) AS log_entries, count(ts_parsed) AS le FROM ({LOG_EXPECTED}) GROUP BY collection_id),
+h AS (SELECT collection_id, count(*) AS hash_entries FROM ({HASH_CLASSIFY}) GROUP BY collection_id)
+SELECT collection_id, coalesce(hash_entries, 0) AS hash_entries,
   coalesce(total_files, 0) AS total_files, coalesce(executable_files, 0) AS executable_files,
   coalesce(setuid_files, 0) AS setuid_files, coalesce(processes, 0) AS processes,
   coalesce(network_connections, 0) AS network_connections, coalesce(users, 0) AS users,
   coalesce(log_entries, 0) AS log_entries, coalesce(le, 0) + coalesce(fe, 0) AS timeline_events
 FROM b FULL JOIN p USING (collection_id) FULL JOIN c USING (collection_id) FULL JOIN u USING (collection_id)
-  FULL JOIN l USING (collection_id)
+  FULL JOIN l USING (collection_id) FULL JOIN h USING (collection_id)
 """
 
 LOGS_BY_SOURCE = f"""

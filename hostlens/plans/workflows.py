@@ -109,8 +109,9 @@ def query_prompts(store: DataFrame, questions: DataFrame, embed_queries, budget:
     corpus = store.select("collection_id", F.col("chunk_id").alias("id"), "embedding")
     hits = ret.knn(corpus, qv.select("collection_id", "query_id", "variant_no", "embedding"), "collection_id", k=k,
                    id_col="id", query_cols=["collection_id", "query_id", "variant_no"])
-    docs = store.select(F.col("chunk_id").alias("id"), "content", "source", "artifact_type")
-    joined = hits.join(docs, "id")
+    # chunk ids repeat across hosts: the collection is part of the key
+    docs = store.select("collection_id", F.col("chunk_id").alias("id"), "content", "source", "artifact_type")
+    joined = hits.join(docs, ["collection_id", "id"])
     uniq = ret.dedup_hits(joined, ["collection_id", "query_id"], "content", ["variant_no", "rank"])
     packed = ret.pack_context(uniq, ["collection_id", "query_id"], "content", "source", "artifact_type",
                               [F.col("score").desc(), "variant_no", "rank"], budget)
@@ -120,7 +121,7 @@ def query_prompts(store: DataFrame, questions: DataFrame, embed_queries, budget:
 
 
 def timeline_view(tables: dict[str, DataFrame], external_csv: DataFrame | None = None, start=None, end=None,
-                  max_events: int = 20000) -> DataFrame:
+                  max_events: int | None = None) -> DataFrame:
     """``timeline``: external super-timeline where a collection has one, else the
     internal timeline (TL-5), inclusive range filter (FIL-7), plot rows (SNK-9)."""
     internal = tables["timeline"]
@@ -130,7 +131,7 @@ def timeline_view(tables: dict[str, DataFrame], external_csv: DataFrame | None =
 
 def export(tables: dict[str, DataFrame], fmt: str, path: str) -> None:
     """``export``: jsonl (Timesketch timeline), json (structured summary), csv
-    (bodyfile with ISO times) or markdown (header + first 50 chunks)."""
+    (bodyfile with ISO times) or markdown (header + chunks)."""
     if fmt == "jsonl":
         w.write_timesketch_jsonl(tables["timeline"], path)
     elif fmt == "json":

@@ -68,44 +68,21 @@ def ensure_engine_conf(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting points at shared storage and is used as is.  Only
-    when it is unset (local tests) a fresh scratch folder is created.
+    On a cluster the setting points at shared storage and is used as is; unset,
+    it is an error, since a folder of one machine would lose what others write.
+    Only a local master (tests, the bench) gets a scratch folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set; name a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="hostlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
-
-
-def materialize(df):
-    """Cut lineage: eager ``checkpoint()`` into the shared ``spark.checkpoint.dir``.
-
-    Used before a global sort of an expensive plan: the sort's range sampling
-    and its shuffle then read the checkpoint instead of recomputing the whole
-    upstream twice.  Survives executor loss (reliable storage, not local).
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spread(df, min_partitions: int | None = None):
-    """Spread a narrow input over the cluster before CPU-heavy per-row work.
-
-    A source with fewer partitions than the cluster's parallelism (e.g. one
-    Parquet file with one row group) would parse in a single task.  Only then
-    the rows are repartitioned round-robin (deterministic on retry, since
-    rows are sorted before the round-robin split); an input that is already
-    wide -- the normal case for large data -- is returned unchanged, so no
-    extra shuffle is added at scale.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df

@@ -53,17 +53,19 @@ def write_anomalies_csv(anomalies: DataFrame, path: str, mode: str = "overwrite"
     anomalies_csv_frame(anomalies).write.mode(mode).option("header", "true").partitionBy("collection_id").csv(path)
 
 
-def _evidence_md() -> F.Column:
+def _evidence_md(items: int | None = None, chars: int | None = None) -> F.Column:
+    """All evidence as Markdown; ``items`` and ``chars`` shorten the list and the raw texts."""
     def one(e):
         head = F.concat(F.lit("**"), e["artifact_type"], F.lit("**"),
                         F.when(e["artifact_path"].isNotNull(), F.concat(F.lit(" (`"), e["artifact_path"], F.lit("`)")))
                         .otherwise(F.lit("")), F.lit("\n"))
         expl = F.when(e["explanation"].isNotNull(), F.concat(F.lit("- "), e["explanation"], F.lit("\n"))).otherwise(F.lit(""))
+        text = e["raw_data"] if chars is None else F.concat(
+            F.substring(e["raw_data"], 1, chars), F.when(F.length(e["raw_data"]) > chars, F.lit("...")).otherwise(F.lit("")))
         raw = F.when(e["raw_data"].isNotNull() & (e["raw_data"] != ""), F.concat(
-            F.lit("```\n"), F.substring(e["raw_data"], 1, 500),
-            F.when(F.length(e["raw_data"]) > 500, F.lit("...")).otherwise(F.lit("")), F.lit("\n```\n"))).otherwise(F.lit(""))
+            F.lit("```\n"), text, F.lit("\n```\n"))).otherwise(F.lit(""))
         return F.concat(head, expl, raw, F.lit("\n"))
-    return F.array_join(F.transform(F.slice("evidence", 1, 5), one), "")
+    return F.array_join(F.transform("evidence" if items is None else F.slice("evidence", 1, items), one), "")
 
 
 def anomaly_markdown(anomalies: DataFrame) -> DataFrame:
@@ -137,11 +139,15 @@ def write_report(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     ordered.select("collection_id", "text").write.mode(mode).partitionBy("collection_id").text(path)
 
 
-def timeline_plot_table(timeline: DataFrame, max_events: int = 20000) -> DataFrame:
-    """SNK-9: first ``max_events`` events per collection in time order, message cut to 200."""
-    w = Window.partitionBy("collection_id").orderBy(*tl.ORDER_COLS)
-    return (timeline.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_events)
-            .select("collection_id", "timestamp", "source_type", "source", F.substring("message", 1, 200).alias("message")))
+def timeline_plot_table(timeline: DataFrame, max_events: int | None = None, message_chars: int | None = None) -> DataFrame:
+    """SNK-9: the plot's columns for every event; ``max_events`` per collection in time order and
+    ``message_chars`` thin the plot when asked for."""
+    t = timeline
+    if max_events is not None:
+        w = Window.partitionBy("collection_id").orderBy(*tl.ORDER_COLS)
+        t = t.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_events)
+    message = F.col("message") if message_chars is None else F.substring("message", 1, message_chars)
+    return t.select("collection_id", "timestamp", "source_type", "source", message.alias("message"))
 
 
 def parse_summary(tables: dict[str, DataFrame]) -> DataFrame:
@@ -161,74 +167,100 @@ def sample_rows(df: DataFrame, order_cols: list[str], n: int = 10) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def structured_data(tables: dict[str, DataFrame]) -> DataFrame:
-    """COMPOSE-1: per collection the structured summary used for prompts (as JSON text).
-
-    Lists are capped as in the reference (100 processes / connections in
-    listing order, 50 setuid files, temp-dir executables among the first 200
-    executables), so each document stays small whatever the collection size.
-    """
+def summary_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """The nine counts of the structured document, one row per collection: a row per artifact reduced to
+    (collection, kind) flags, all kinds in one union and one conditional aggregate."""
+    mode = F.col("mode")
+    flags = {
+        "bodyfile": {"executable_files": mode.contains("x") & ~mode.startswith("d"), "setuid_files": F.lower(mode).contains("s"),
+                     "total_files": F.lit(True)},
+        "processes": {"processes": F.lit(True)}, "connections": {"network_connections": F.lit(True)},
+        "users": {"users": F.lit(True)}, "hashes": {"hash_entries": F.lit(True)}, "logs": {"log_entries": F.lit(True)},
+    }
+    names = [n for kind in flags.values() for n in kind]
+    mtime, crtime = F.col("mtime"), F.col("crtime")
+    events = {"bodyfile": F.when(mtime > 0, 1).otherwise(0) + F.when((crtime > 0) & ((mtime <= 0) | (crtime != mtime)), 1).otherwise(0),
+              "logs": F.col("timestamp").isNotNull().cast("int")}
+    out = tables["collections"].select("collection_id", *[F.lit(0).alias(n) for n in names], F.lit(0).alias("timeline_events"))
+    for table, kinds in flags.items():
+        if tables.get(table) is not None:
+            out = out.unionByName(tables[table].select(
+                "collection_id", *[kinds.get(n, F.lit(False)).cast("int").alias(n) for n in names],
+                events.get(table, F.lit(0)).cast("int").alias("timeline_events")))
+    return out.groupBy("collection_id").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in [*names, "timeline_events"]])
+
+
+def structured_data(tables: dict[str, DataFrame], limit: int | None = None, command_chars: int | None = None) -> DataFrame:
+    """COMPOSE-1: per collection the structured document (as JSON text): metadata, the summary counts and the
+    host's processes, sockets, accounts and suspicious files.
+
+    One host's lists are one value by the document's definition; ``limit`` and ``command_chars`` shorten them
+    when asked for.  Empty lists and unknown fields stay in the document."""
     from ..operators import files as fl
 
-    def first_n(df, n, order, cols):
-        w = Window.partitionBy("collection_id").orderBy(*order)
-        r = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
-        return r.groupBy("collection_id").agg(F.array_sort(F.collect_list(F.struct("_n", *cols))).alias("items"))
+    def listed(df, cols):
+        w = Window.partitionBy("collection_id").orderBy("source_file", "line_no")
+        r = df.withColumn("_n", F.row_number().over(w))
+        r = r if limit is None else r.where(F.col("_n") <= limit)
+        agg = r.groupBy("collection_id").agg(F.array_sort(F.collect_list(F.struct("_n", F.struct(*cols).alias("v")))).alias("items"))
+        return agg.select("collection_id", F.transform("items", lambda x: x["v"]).alias("items"))
+
+    def file_items(df, kind, size, mtime):
+        return df.select("collection_id", "source_file", "line_no", F.lit(kind).alias("type"), F.col("name").alias("path"), "mode",
+                         size.alias("size"), mtime.alias("mtime"))
 
     bf, pr, cn, us = tables["bodyfile"], tables["processes"], tables["connections"], tables["users"]
-    procs = first_n(pr.select("collection_id", "source_file", "line_no", "pid", "ppid", "user",
-                              F.substring(F.coalesce("command", F.lit("")), 1, 200).alias("command"), "cpu", "mem"),
-                    100, ["source_file", "line_no"], ["pid", "ppid", "user", "command", "cpu", "mem"])
-    conns = first_n(cn.select("collection_id", "source_file", "line_no", "protocol",
-                              F.concat_ws(":", "local_address", F.col("local_port").cast("string")).alias("local"),
-                              F.when(F.coalesce("remote_address", F.lit("")) != "",
-                                     F.concat_ws(":", "remote_address", F.col("remote_port").cast("string"))).alias("remote"),
-                              "state", "pid", "program"),
-                    100, ["source_file", "line_no"], ["protocol", "local", "remote", "state", "pid", "program"])
-    setuid = first_n(fl.setuid_files(bf).select("collection_id", "source_file", "line_no", F.lit("setuid").alias("type"),
-                                                F.col("name").alias("path"), "mode", "size",
-                                                F.lit(None).cast("string").alias("mtime")),
-                     50, ["source_file", "line_no"], ["type", "path", "mode", "size", "mtime"])
-    ex = fl.executables(bf)
-    w = Window.partitionBy("collection_id").orderBy("source_file", "line_no")
-    tmp_ex = (ex.withColumn("_e", F.row_number().over(w)).where(F.col("_e") <= 200)
-              .where(F.array_contains(F.array(*[F.col("name").contains(p) for p in rules.FILE_TEMP_DIRS]), True)))
-    tmp_ex = first_n(tmp_ex.select("collection_id", "source_file", "line_no",
-                                   F.lit("executable_unusual_location").alias("type"), F.col("name").alias("path"), "mode",
-                                   F.lit(None).cast("bigint").alias("size"),
-                                   iso_text(F.when(F.col("mtime") > 0, F.timestamp_seconds("mtime"))).alias("mtime")),
-                     200, ["source_file", "line_no"], ["type", "path", "mode", "size", "mtime"])
-    users = us.groupBy("collection_id").agg(F.array_sort(F.collect_list(F.struct(
-        "source_file", "line_no", "username", "uid", "shell", "home", F.col("is_system_user").alias("is_system"),
-        "has_valid_shell"))).alias("items"))
-    meta = tables["collections"]
-    doc = (meta.join(procs.withColumnRenamed("items", "processes"), "collection_id", "left")
-           .join(conns.withColumnRenamed("items", "network"), "collection_id", "left")
-           .join(users.withColumnRenamed("items", "users"), "collection_id", "left")
-           .join(setuid.withColumnRenamed("items", "setuid"), "collection_id", "left")
-           .join(tmp_ex.withColumnRenamed("items", "tmp_exec"), "collection_id", "left"))
+    command = F.coalesce("command", F.lit(""))
+    command = command if command_chars is None else F.substring(command, 1, command_chars)
+    procs = listed(pr.withColumn("command", command), ["pid", "ppid", "user", "command", "cpu", "mem"])
+    conns = listed(cn.select("collection_id", "source_file", "line_no", "protocol",
+                             F.concat_ws(":", "local_address", F.col("local_port").cast("string")).alias("local"),
+                             F.when(F.coalesce("remote_address", F.lit("")) != "",
+                                    F.concat_ws(":", "remote_address", F.col("remote_port").cast("string"))).alias("remote"),
+                             "state", "pid", "program"),
+                   ["protocol", "local", "remote", "state", "pid", "program"])
+    kind = ["type", "path", "mode", "size", "mtime"]
+    setuid = listed(file_items(fl.setuid_files(bf), "setuid", F.col("size"), F.lit(None).cast("string")), kind)
+    in_temp = F.array_contains(F.array(*[F.col("name").contains(p) for p in rules.FILE_TEMP_DIRS]), True)
+    tmp_ex = listed(file_items(fl.executables(bf).where(in_temp), "executable_unusual_location", F.lit(None).cast("bigint"),
+                               iso_text(F.when(F.col("mtime") > 0, F.timestamp_seconds("mtime")))), kind)
+    users = listed(us.withColumn("is_system", F.col("is_system_user")), ["username", "uid", "shell", "home", "is_system", "has_valid_shell"])
+    doc = tables["collections"]
+    for name, part in (("processes", procs), ("network", conns), ("users", users), ("setuid", setuid), ("tmp_exec", tmp_ex)):
+        doc = doc.join(part.withColumnRenamed("items", name), "collection_id", "left")
+    counts = summary_counts(tables)
+    counts = counts.select("collection_id", F.struct(*[c for c in counts.columns if c != "collection_id"]).alias("summary"))
+    doc = doc.join(counts, "collection_id", "left")
+
+    def whole(name):
+        return F.coalesce(name, F.array().cast(doc.schema[name].dataType)).alias(name)
+
     return doc.select("collection_id", F.to_json(F.struct(
         F.struct("hostname", "os_type", iso_text("collection_time").alias("collection_time")).alias("metadata"),
-        F.col("processes"), F.col("network"), F.col("users"),
-        F.concat(F.coalesce("setuid", F.array()), F.coalesce("tmp_exec", F.array())).alias("suspicious_files"),
-    )).alias("json"))
+        F.col("summary"), whole("processes"), whole("network"), whole("users"),
+        F.concat(whole("setuid"), whole("tmp_exec")).alias("suspicious_files"),
+    ), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def markdown_export(chunks: DataFrame, hostnames: DataFrame, n: int = 50) -> DataFrame:
-    """SNK-4: per collection a header and the first ``n`` chunks (producer order), as ordered rows."""
+def markdown_export(chunks: DataFrame, hostnames: DataFrame, n: int | None = None) -> DataFrame:
+    """SNK-4: per collection a header and its chunks (producer order; with ``n`` the first), as ordered rows."""
     w = Window.partitionBy("collection_id").orderBy("kind_rank", "group_rank", "segment", "ordinal", "chunk_id")
-    first = chunks.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
-    body = first.select("collection_id", F.col("_n").alias("seq"), F.concat(
+    body = chunks.withColumn("_n", F.row_number().over(w))
+    body = body if n is None else body.where(F.col("_n") <= n)
+    body = body.select("collection_id", F.col("_n").alias("seq"), F.concat(
         F.lit("## "), F.col("artifact_type"), F.lit(" — "), F.col("source"), F.lit("\n\n"), F.col("content"),
         F.lit("\n\n")).alias("text"))
+    taken = (F.when(F.col("collection_time").isNotNull(), F.concat(F.lit("**Collection Time:** "), iso_text("collection_time"), F.lit("\n\n")))
+             .otherwise(F.lit("")) if "collection_time" in hostnames.columns else F.lit(""))
     head = hostnames.select("collection_id", F.lit(0).alias("seq"), F.concat(
-        F.lit("# Forensic export: "), F.coalesce("hostname", F.lit("Unknown")), F.lit("\n\n")).alias("text"))
+        F.lit("# Forensic export: "), F.coalesce("hostname", F.lit("Unknown")), F.lit("\n\n**Source:** "), F.col("collection_id"),
+        F.lit("\n\n"), taken).alias("text"))
     return head.unionByName(body)
 
 
 def incident_report_rows(collections: DataFrame, anomalies: DataFrame, iocs: DataFrame | None = None,
                          answers: DataFrame | None = None, confidence: str = "medium") -> DataFrame:
-    """SNK-8 incident report as ordered rows ``(collection_id, seq, text)``.
+    """SNK-8 incident report as ordered rows ``(collection_id, seq, sub, text)``.
 
     ``answers`` (collection_id, summary, actions array) come from the answer
     post-processing (PRM-3); ``iocs`` (collection_id, kind, value) are listed
@@ -253,16 +285,12 @@ def incident_report_rows(collections: DataFrame, anomalies: DataFrame, iocs: Dat
         "collection_id", F.lit(3).alias("seq"),
         F.concat(F.lit("## Impact\n\n**Affected Hosts:** "), F.col("hostname"), F.lit("\n\n")).alias("text")))
     if iocs is not None:
-        w = Window.partitionBy("collection_id", "kind").orderBy("value")
-        top = iocs.select("collection_id", "kind", "value").distinct().withColumn("_n", F.row_number().over(w)).where(
-            F.col("_n") <= 20)
-        per_kind = top.groupBy("collection_id", "kind").agg(F.array_sort(F.collect_list(F.struct("_n", "value"))).alias("_v"))
-        kinds = per_kind.groupBy("collection_id").agg(F.array_sort(F.collect_list(F.struct(
-            "kind", F.concat(F.lit("### "), F.col("kind"), F.lit("\n"),
-                             F.array_join(F.transform("_v", lambda x: F.concat(F.lit("- `"), x["value"], F.lit("`\n"))), ""),
-                             F.lit("\n")).alias("t")))).alias("_k"))
-        parts.append(kinds.select("collection_id", F.lit(4).alias("seq"), F.concat(
-            F.lit("## Indicators of Compromise (IOCs)\n\n"), F.array_join(F.transform("_k", lambda x: x["t"]), "")).alias("text")))
+        found = iocs.select("collection_id", "kind", "value").distinct()
+        parts.append(found.select("collection_id").distinct().select("collection_id", F.lit(4).alias("seq"), F.lit(
+            "## Indicators of Compromise (IOCs)\n\n").alias("text")))
+        texts = tl.segment_texts(found, ["collection_id", "kind"], ["value"], F.concat(F.lit("- `"), F.col("value"), F.lit("`\n")))
+        parts.append(texts.select("collection_id", F.lit(4).alias("seq"), F.concat(F.col("kind"), F.format_string(" %08d", "segment")).alias("sub"),
+                                  F.concat(F.lit("### "), F.col("kind"), F.lit("\n"), F.col("_text"), F.lit("\n")).alias("text")))
     tech = anomalies.where(F.col("mitre_technique").isNotNull()).groupBy("collection_id").agg(
         F.array_sort(F.collect_set("mitre_technique")).alias("_t"))
     parts.append(tech.select("collection_id", F.lit(6).alias("seq"), F.concat(
@@ -270,22 +298,21 @@ def incident_report_rows(collections: DataFrame, anomalies: DataFrame, iocs: Dat
         F.lit("\n")).alias("text")))
     parts.append(collections.select("collection_id", F.lit(9).alias("seq"),
                                     F.lit(f"---\n*Confidence Level: {confidence}*\n").alias("text")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    out = None
+    for p in parts:
+        p = p if "sub" in p.columns else p.withColumn("sub", F.lit(""))
+        out = p if out is None else out.unionByName(p)
+    return out.select("collection_id", "seq", "sub", "text")
 
 
 def query_result_markdown(results: DataFrame) -> DataFrame:
     """SNK-8 query result: ``(query_id, query, answer, confidence, evidence array, suggestions array)``
-    -> Markdown text per query (at most 10 evidence items)."""
+    -> Markdown text per query."""
     conf = F.format_string("%.2f", F.col("confidence"))
-    ev = F.array_join(F.transform(F.slice("evidence", 1, 10), lambda e: F.concat(
+    ev = F.array_join(F.transform("evidence", lambda e: F.concat(
         F.lit("**"), e["artifact_type"], F.lit("**"),
         F.when(e["artifact_path"].isNotNull(), F.concat(F.lit(" (`"), e["artifact_path"], F.lit("`)"))).otherwise(F.lit("")),
-        F.lit("\n"), F.when(e["raw_data"].isNotNull(), F.concat(F.lit("```\n"), F.substring(e["raw_data"], 1, 500),
-                                                              F.when(F.length(e["raw_data"]) > 500, F.lit("...")).otherwise(F.lit("")),
-                                                              F.lit("\n```\n"))).otherwise(F.lit("")), F.lit("\n"))), "")
+        F.lit("\n"), F.when(e["raw_data"].isNotNull(), F.concat(F.lit("```\n"), e["raw_data"], F.lit("\n```\n"))).otherwise(F.lit("")), F.lit("\n"))), "")
     sugg = F.array_join(F.transform("suggestions", lambda q: F.concat(F.lit("- "), q, F.lit("\n"))), "")
     md = F.concat(
         F.lit("## Query: "), F.col("query"), F.lit("\n\n**Confidence:** "), conf, F.lit("\n\n### Answer\n\n"),

@@ -31,7 +31,7 @@ def test_chunk_jsonl_and_markdown(spark, tmp_path):
     assert all(set(r) >= {"chunk_id", "content", "relevance_tags", "artifact_type"} for r in recs)
     hosts = spark.createDataFrame([("c1", "h1")], "collection_id string, hostname string")
     md = [r.text for r in w.markdown_export(chunks, hosts, n=1).orderBy("seq").collect()]
-    assert md[0] == "# Forensic export: h1\n\n" and md[1].startswith("## process — ps_output\n\n# Running Processes: All")
+    assert md[0] == "# Forensic export: h1\n\n**Source:** c1\n\n" and md[1].startswith("## process — ps_output\n\n# Running Processes: All")
     assert len(md) == 2
 
 
