@@ -29,6 +29,22 @@ TEMPLATES = {
         "Review these detector findings and rate how likely each is malicious.\n\n{anomalies}\n\nContext:\n{context}"
     ),
     "timeline_review": "Explain what happened in this time window.\n\n{context}\n\nFocus: {query}",
+    "process_review": (
+        "Below is a process listing of one host. Point out processes that do not fit the host's role: odd paths, parents, "
+        "owners or resource use. Give pid, reason and a next step for each.\n\nProcesses:\n{process_data}"
+    ),
+    "network_review": (
+        "Below are a host's sockets. Name connections and listeners that deserve attention, with address, port, owning "
+        "process and the reason.\n\nSockets:\n{network_data}"
+    ),
+    "lateral_movement": (
+        "Look for signs that an intruder moved between hosts: remote logins, shared keys, copied tools, unusual sessions. "
+        "Order what you find by time.\n\nAccounts:\n{user_data}\n\nSockets:\n{network_data}\n\nLogs:\n{context}"
+    ),
+    "persistence": (
+        "Look for ways by which code starts again after a reboot or login: scheduled jobs, services, profile files, keys, "
+        "set-id files. Say what starts, when and as whom.\n\nFiles:\n{file_data}\n\nContext:\n{context}"
+    ),
     "ioc_extraction": "List every indicator of compromise in the text below, one per line as kind:value.\n\n{context}",
 }
 
@@ -88,3 +104,31 @@ def followups(question) -> Column:
         arr = F.array(*[F.lit(s) for s in suggestions])
         out = F.when(cond, arr) if out is None else out.when(cond, arr)
     return out.otherwise(F.array(*[F.lit(s) for s in rules.FOLLOWUP_DEFAULT]))
+
+
+SUMMARY_QUESTION = "overview of the system, incidents and suspicious activity"
+
+
+def incident_prompts(hits: DataFrame, anomalies: DataFrame, text_col: str, source_col: str, type_col: str,
+                     order_cols: list, most: int = 20) -> DataFrame:
+    """PRM-2: one incident-summary prompt per collection.
+
+    ``hits`` are the collection's best chunks for ``SUMMARY_QUESTION``; they are packed into the summary's
+    token budget.  The ``most`` highest ranked anomalies are listed as ``- [severity] title`` lines (a top
+    list: the window's group limit keeps the rest out of the shuffle).
+    """
+    from pyspark.sql import Window
+
+    from ..functions.columns import severity_rank
+    from .retrieval import pack_context
+
+    context = pack_context(hits, ["collection_id"], text_col, source_col, type_col, order_cols, rules.SUMMARY_TOKEN_BUDGET)
+    w = Window.partitionBy("collection_id").orderBy(F.col("_s").desc(), F.col("score").desc(), "ord")
+    first = (anomalies.select("collection_id", "severity", "title", "score", "ord", severity_rank("severity").alias("_s"))
+             .withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most))
+    line = F.concat(F.lit("- ["), F.col("severity"), F.lit("] "), F.col("title"))
+    lists = first.groupBy("collection_id").agg(F.array_sort(F.collect_list(F.struct("_n", line.alias("t")))).alias("_l")).select(
+        "collection_id", F.array_join(F.transform("_l", lambda x: x["t"]), "\n").alias("anomalies"))
+    both = context.select("collection_id", "context").join(lists, "collection_id", "full_outer")
+    return prompt_table(both, "incident_summary", ["collection_id"], analysis_results=F.col("context"),
+                        anomalies=F.coalesce("anomalies", F.lit("none found")), iocs=F.lit("as named in the anomalies"))

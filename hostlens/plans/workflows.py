@@ -120,6 +120,16 @@ def query_prompts(store: DataFrame, questions: DataFrame, embed_queries, budget:
                            query=F.col("question"), context=F.col("context"))
 
 
+def incident_prompts(store: DataFrame, overview_queries: DataFrame, anomalies: DataFrame, k: int = rules.HITS_FOR_CONTEXT) -> DataFrame:
+    """``summary``: incident-summary prompts (PRM-2); ``overview_queries`` is ``collection_id, embedding`` of
+    ``prompts.SUMMARY_QUESTION``."""
+    corpus = store.select("collection_id", F.col("chunk_id").alias("id"), "embedding")
+    hits = ret.knn(corpus, overview_queries.select("collection_id", "embedding"), "collection_id", k=k, id_col="id",
+                   query_cols=["collection_id"])
+    docs = store.select("collection_id", F.col("chunk_id").alias("id"), "content", "source", "artifact_type")
+    return pr.incident_prompts(hits.join(docs, ["collection_id", "id"]), anomalies, "content", "source", "artifact_type", ["rank"])
+
+
 def timeline_view(tables: dict[str, DataFrame], external_csv: DataFrame | None = None, start=None, end=None,
                   max_events: int | None = None) -> DataFrame:
     """``timeline``: external super-timeline where a collection has one, else the

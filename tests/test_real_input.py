@@ -164,3 +164,27 @@ def test_segments_hold_every_row(spark):
     assert sum(b["content"].count("[log]") for b in blocks) == 25
     files = tl.logs_by_file(logs, rows_per_segment=10).collect()
     assert sum(f["content"].count("m") >= 1 for f in files) == 3
+
+
+def test_incident_prompts(spark):
+    from hostlens.operators import prompts as pr
+
+    hits = spark.createDataFrame([("c", 1, 0.9, "text one", "s", "log"), ("d", 1, 0.5, "other", "s", "log")],
+                                 "collection_id string, rank int, score double, content string, source string, kind string")
+    pr_rows = spark.createDataFrame([("c", "f", 1, 5, "u", "/tmp/x | base64 -d")], "collection_id string, source_file string, line_no bigint, "
+                                    "pid bigint, user string, command string")
+    got = {r["collection_id"]: r["prompt"] for r in pr.incident_prompts(
+        hits, det.detect_processes(pr_rows), "content", "source", "kind", ["rank"]).collect()}
+    assert "- [high] Process with potential encoded" in got["c"] and "text one" in got["c"] and "none found" in got["d"]
+    assert len(pr.TEMPLATES) == 9
+
+
+def test_hits_join_on_collection_and_chunk(spark):
+    """Equal chunks of several hosts do not multiply hits."""
+    from hostlens.plans import workflows as wf
+
+    store = spark.createDataFrame([(f"h{i}", "log_1_0", "same text", "s", "log", [1.0, 0.0]) for i in range(5)],
+                                  "collection_id string, chunk_id string, content string, source string, artifact_type string, embedding array<double>")
+    qs = spark.createDataFrame([("h1", 1, 0, "q?")], "collection_id string, query_id int, variant_no int, text string")
+    out = wf.query_prompts(store, qs, lambda q: q.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))).collect()
+    assert len(out) == 1 and out[0]["prompt"].count("same text") == 1
