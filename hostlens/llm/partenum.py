@@ -12,8 +12,9 @@ set with at most ``g`` shares another one with each similar set, so only the
 others give their empty signatures too.
 
 1. Equal sets are one class, named by its least id; only classes are joined.
-2. Sets of a signature are joined to the least of them (not to each other), the
-   components of these candidate links are families.
+2. Sets of a signature are joined: to the least of them if they are many, else
+   to the few before them; then piece counts of a bounded size (``_sketch``) tell
+   most unlike ones.  The components of these candidate links are families.
 3. A family's sets meet in tasks of two bounded blocks each; piece counts bound
    the difference from below, what passes is compared element by element, and a
    task returns the links that connect its sets, not all pairs.
@@ -38,6 +39,7 @@ from .common import LOWER, binary_view, bit_table, hashed_words, may_contain, mi
 from .components import connected_components
 
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 400_000
+FEW = 16  # a signature's sets are joined with each other up to so many
 CELLS = 256
 
 
@@ -138,20 +140,39 @@ def signatures(shingle: np.ndarray, offsets: np.ndarray, percent: int, pieces: i
     return np.concatenate(sigs), np.concatenate(rows)
 
 
+def _sketch(elements: np.ndarray) -> bytes:
+    """Numbers of elements by their leading bits, in about one cell for eight elements."""
+    bits = max(3, min(16, (len(elements) >> 3).bit_length()))
+    cells = np.bincount((elements >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of elements in which two sets differ."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
+    while len(a) > len(b):
+        a = np.minimum(a.reshape(-1, 2).sum(axis=1), 255)
+    while len(b) > len(a):
+        b = np.minimum(b.reshape(-1, 2).sum(axis=1), 255)
+    return int(np.abs(a - b).sum())
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, k1, k2): the size and 128 bits of every row's set."""
+    """(doc_id, n, k1, k2, sketch): the size, 128 bits and cell counts of every row's set."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             shingle, offsets = shingle_sets(*binary_view(batch.column(1)), size)
             k1, k2 = _set_keys(shingle, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(k1), pa.array(k2)], ["doc_id", "n", "k1", "k2"])
+            sketch = pa.array([_sketch(shingle[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(k1), pa.array(k2), sketch],
+                                             ["doc_id", "n", "k1", "k2", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sketch binary")
 
 
 def _candidates(docs: DataFrame, size: int, percent: int, pieces: int) -> DataFrame:
-    """(a, b): each document with the least one of a signature they share.
+    """(a, b): each document with others of a signature: the ones before it among few, the least among many.
 
     Equal sets of a slice go once, and a slice's sharers of a signature are linked there: only their
     least is shuffled, so a group of copies reaches a task with one row a slice."""
@@ -172,14 +193,43 @@ def _candidates(docs: DataFrame, size: int, percent: int, pieces: int) -> DataFr
             lead = np.ones(len(sig), bool)
             lead[1:] = sig[1:] != sig[:-1]
             at = np.flatnonzero(lead)
-            near = np.stack([who[~lead], np.repeat(who[at], np.diff(np.append(at, len(sig))))[~lead]])
-            near = np.unique(near[:, near[0] != near[1]], axis=1)  # linked within the slice
+            many = np.diff(np.append(at, len(sig)))
+            held = np.repeat(many > FEW, many)
+            rest = held & ~lead
+            near = np.unique(np.stack([who[rest], np.repeat(who[at], many)[rest]]), axis=1)  # linked within the slice
+            near = near[:, near[0] != near[1]]
             own = mix64(mix64(near[0].view(np.uint64)) + near[1].view(np.uint64)).view(np.int64)  # a signature of the pair's own
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[lead], own, own])),
-                                              pa.array(np.concatenate([who[lead], near[0], near[1]]))], ["sig", "a"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([sig[~rest], own, own])), pa.array(np.concatenate([who[~rest], near[0], near[1]])),
+                 pa.array(np.concatenate([held[~rest], np.ones(2 * len(own), bool)]))], ["sig", "a", "many"])
+
+    found = docs.mapInArrow(run, "sig bigint, a bigint, many boolean")
+    shared = found.select("sig", "a", F.expr("count(*) over (partition by sig)").alias("c"),
+                          F.expr("bool_or(many) over (partition by sig)").alias("many"),
+                          F.expr("min(a) over (partition by sig)").alias("least")).where("c > 1")
+    shared = shared.select("sig", "a", "least", (F.col("many") | (F.col("c") > FEW)).alias("many"))
+    before = F.expr(f"collect_list(a) over (partition by sig order by a rows between {FEW - 1} preceding and 1 preceding)")
+    shared = shared.select("a", "many", F.when(F.col("many"), F.array("least")).otherwise(before).alias("others"))
+    # a link among many stands for all of theirs: it is not judged by its own two sets
+    return (shared.select("a", "many", F.explode("others").alias("b")).where("a <> b")
+            .groupBy("a", "b").agg(F.bool_or("many").alias("many")))
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sketches leave room for the similarity, and those among many."""
+    def side(c):
+        return sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb, sa, sb = (batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "s_a", "s_b"))
+            ok = [100 * min(m, n) >= percent * max(m, n) and _apart(x, y) * (100 + percent) <= (m + n) * (100 - percent)
+                  for m, n, x, y in zip(na, nb, sa, sb)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    found = docs.mapInArrow(run, "sig bigint, a bigint")
-    return found.select("a", F.expr("min(a) over (partition by sig)").alias("b")).where("a <> b").distinct()
+    both = pairs.where("not many").join(side("a"), "a").join(side("b"), "b")
+    some = both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
+    return some.unionByName(pairs.where("many").select("a", "b"))
 
 
 def _block_links(percent: int):
@@ -227,10 +277,14 @@ def similar_components(df: DataFrame, size: int = 3, percent: int = 90, pieces:
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = saved(_sets(docs, size), "sets")
     classes = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    named = saved(sets.join(saved(classes, "classes"), ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "named")
+    named = saved(sets.join(saved(classes, "classes"), ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "sketch"), "named")
     reps = named.where("doc_id is not null and n > 0").select("doc_id", "rep").distinct()
     near = (_candidates(docs, size, percent, pieces).join(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a")
-            .join(reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+            .join(reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "many")
+            .where("a <> b").groupBy("a", "b").agg(F.bool_or("many").alias("many")))
+    near = saved(near, "near")
+    sketches = named.where("doc_id = rep and n > 0").select("rep", "n", "sketch").distinct()  # an id's rows each with theirs
+    near = _possible(near, sketches, percent)
     families = saved(connected_components(near), "families")
     wanted = families.select(F.xxhash64("node").alias("h"))
     bits = table_bits(families.count())

@@ -74,7 +74,10 @@ def test_near_copies(spark, length):
 def test_blocks_of_a_large_family(spark, monkeypatch):
     """One family over several blocks gives the same components."""
     monkeypatch.setattr(partenum, "BLOCK_SETS", 8)
-    _check(spark, _near_copies(random.Random(5), 2, 60, (60, 80)))
+    docs = _near_copies(random.Random(5), 2, 60, (60, 80))
+    _check(spark, docs)
+    monkeypatch.setattr(partenum, "FEW", 2)  # links among many
+    _check(spark, docs)
 
 
 def test_edge_cases(spark):
