@@ -174,9 +174,15 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     ids, text = F.col(id_col), F.col(text_col)
     order = F.xxhash64(ids.cast("string"), text)
     at = F.pmod(F.xxhash64(text), F.greatest(F.char_length(text) - SEGMENT, F.lit(0)) + 1).cast("int") + 1
-    rows = (df.where(~held_out(ids) & F.col(label_col).isNotNull() & has_letter(text))
-            .select(F.substring(text, at, F.lit(SEGMENT)).alias("piece"), F.col(label_col).cast("string").alias("label"), order.alias("k"))
-            .orderBy("k", "piece", "label").limit(sample_rows).collect())
+    labelled = df.where(~held_out(ids) & F.col(label_col).isNotNull())
+    pieces = labelled.where(has_letter(text)).select(
+        F.substring(text, at, F.lit(SEGMENT)).alias("piece"), F.col(label_col).cast("string").alias("label"), order.alias("k"))
+    # hashes are even, so about four samples lie below this bound: tasks send few rows, however many tasks there are
+    n = labelled.count()
+    low = pieces.where(F.col("k") < -(2**63) + 2**64 * 4 * sample_rows // n) if n > 4 * sample_rows else pieces
+    rows = low.orderBy("k", "piece", "label").limit(sample_rows).collect()
+    if len(rows) < sample_rows and low is not pieces:  # few texts with letters
+        rows = pieces.orderBy("k", "piece", "label").limit(sample_rows).collect()
     rows = [(r["piece"].encode(), r["label"]) for r in rows]
     return fit([t for t, _ in rows], [v for _, v in rows], **how) if rows else None
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hostlens.llm import langid, registry
 
@@ -74,3 +75,17 @@ def test_edge_cases(spark):
     assert langid.train(df.where("lang is null")) is None
     assert {r["lang_pred"] for r in langid.predict(df, None).collect()} == {"und"}
     assert langid.train(df.limit(0)) is None and langid.predict(df.limit(0), net).count() == 0
+
+
+def test_sample_is_the_least_hashes(spark, monkeypatch):
+    """The bound on hashes changes no sample, also where few texts have letters."""
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda texts, labels, **how: seen.append(sorted(zip(texts, labels))))
+    docs = spark.createDataFrame([(i, f"text {i} de" if i % 3 else "12", "de") for i in range(600)], "doc_id bigint, text string, lang string")
+    few = docs.where("doc_id % 100 = 1").unionByName(docs.where("text = '12'"))
+    for df in (docs, few):
+        for rows in (3, 50, 1000):
+            langid.train(df, sample_rows=rows)
+            whole = df.where(~langid.held_out(F.col("doc_id")) & langid.has_letter(F.col("text")))
+            want = whole.select("text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("k")).orderBy("k").limit(rows).collect()
+            assert [t for t, _ in seen.pop()] == sorted(r["text"].encode() for r in want)
