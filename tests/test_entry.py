@@ -19,7 +19,7 @@ def _canon(v):
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0
-    assert df.columns == ["collection_id", "hour", "event_count", "first_event", "content", "tags"]
+    assert df.columns == ["collection_id", "hour", "segment", "event_count", "first_event", "content", "tags"]
 
 
 def test_registry_shapes():
