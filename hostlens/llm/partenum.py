@@ -39,7 +39,7 @@ from .common import LOWER, binary_view, bit_table, hashed_words, may_contain, mi
 from .components import connected_components
 
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 400_000
-FEW = 16  # a signature's sets are joined with each other up to so many
+FEW = 64  # a signature's sets are joined with each other up to so many
 CELLS = 256
 
 
@@ -161,7 +161,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, k1, k2, sketch): the size, 128 bits and cell counts of every row's set."""
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             shingle, offsets = shingle_sets(*binary_view(batch.column(1)), size)
             k1, k2 = _set_keys(shingle, offsets)
             sketch = pa.array([_sketch(shingle[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
@@ -178,7 +178,7 @@ def _candidates(docs: DataFrame, size: int, percent: int, pieces: int) -> DataFr
     least is shuffled, so a group of copies reaches a task with one row a slice."""
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             shingle, offsets = shingle_sets(*binary_view(batch.column(1)), size)
@@ -291,7 +291,7 @@ def similar_components(df: DataFrame, size: int = 3, percent: int = 90, pieces:
     some = docs.where("doc_id is not null").where(may_contain(bit_table(wanted, bits), F.xxhash64("doc_id"), bits))
 
     def elements(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             shingle, offsets = shingle_sets(*binary_view(batch.column(1)), size)
             raw = shingle.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(
