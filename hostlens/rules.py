@@ -112,30 +112,6 @@ CHARS_PER_TOKEN = 4
 HITS_PER_QUERY = 5
 HITS_FOR_CONTEXT = 10
 
-# Follow-up suggestions keyed by words of the question (first group that matches).
-FOLLOWUP_SUGGESTIONS = [
-    (["ssh"], [
-        "Show failed SSH login attempts",
-        "What SSH keys are authorized on the system?",
-        "Are there any unusual SSH configurations?",
-    ]),
-    (["process", "pid"], [
-        "What network connections are associated with this process?",
-        "Show the process tree for suspicious processes",
-        "What files were modified by running processes?",
-    ]),
-    (["network", "connection"], [
-        "What processes are making external connections?",
-        "Show all listening services",
-        "Are there connections to known malicious IPs?",
-    ]),
-]
-FOLLOWUP_DEFAULT = [
-    "What are the most suspicious findings?",
-    "Show timeline of recent file modifications",
-    "What persistence mechanisms might be present?",
-]
-
 # Detector output texts.  ``{name}`` fields are filled from row columns.
 DETECTOR_TEXT = {
     "proc_suspicious_path": {
@@ -143,9 +119,9 @@ DETECTOR_TEXT = {
         "title": "Process running from suspicious location",
         "description": "Process PID {pid} is running from a temporary or suspicious directory",
         "evidence": "PID: {pid}, User: {user}, Command: {command}",
-        "explanation": "Legitimate processes rarely run from /tmp or similar directories",
-        "steps": ["Check if binary exists: ls -la {first_token}", "Check process tree: pstree -p {pid}",
-                  "Check open files: lsof -p {pid}"],
+        "explanation": "Programs are seldom installed where everyone may write",
+        "steps": ["Look at the binary: ls -la {first_token}", "Look at parents and children: pstree -p {pid}",
+                  "Look at what it has open: lsof -p {pid}"],
     },
     "proc_known_suspicious": {
         "id": "proc_{pid}_known_suspicious",
@@ -156,7 +132,7 @@ DETECTOR_TEXT = {
         "id": "proc_{pid}_encoded_cmd",
         "title": "Process with potential encoded/obfuscated command",
         "description": "Command line contains encoding or shell execution patterns",
-        "explanation": "Attackers often encode commands to evade detection",
+        "explanation": "Encoded arguments hide what a command does",
     },
     "net_port": {
         "id": "net_{local_port}_{remote_port}",
@@ -174,7 +150,7 @@ DETECTOR_TEXT = {
         "title": "Non-standard SUID binary: {filename}",
         "description": "SUID binary found at unexpected location: {name}",
         "evidence": "Mode: {mode}, Size: {size}, Owner: {uid}",
-        "steps": ["Check file: ls -la {name}", "Check file type: file {name}", "Check strings: strings {name} | head -50"],
+        "steps": ["Look at the file: ls -la {name}", "Find out its type: file {name}", "Read its texts: strings {name} | head -50"],
     },
     "fs_tmpexec": {
         "id": "fs_tmpexec_{inode}",
@@ -215,8 +191,7 @@ FORMATS = {
     "users_header": "# User Accounts\n\n## Regular Users\n",
     "users_system_header": "\n## System Users with Valid Shells\n",
     "users_no_shell": "  ⚠️ No valid login shell\n",
-    "users_keywords": ("\n\nKeywords: list of users, usernames, user accounts, login accounts, system users, "
-                       "/etc/passwd content"),
+    "users_keywords": "\n\nSearch words: users, accounts, logins, passwd",
     "timeline_header": "# Timeline Events: {hour}\n\n",
     "log_header": "# Log File: {source}\n\n",
     "log_unknown_time": "[Unknown Time] ",
@@ -233,6 +208,30 @@ FORMATS = {
 # End of fixed values.
 # ---------------------------------------------------------------------------
 
+# Follow-up suggestions, in our own words, keyed by words of the question (first group that matches).
+FOLLOWUP_SUGGESTIONS = [
+    (["ssh"], [
+        "Which SSH logins failed, from where and for whom?",
+        "Whose keys may log in, and since when?",
+        "Does the SSH server's configuration differ from the default?",
+    ]),
+    (["process", "pid"], [
+        "Which sockets does this process hold?",
+        "Which process started it, and what did it start itself?",
+        "Which files changed while it ran?",
+    ]),
+    (["network", "connection"], [
+        "Which programs talk to addresses outside?",
+        "Which services wait for connections?",
+        "Do any of the remote addresses appear in the indicators?",
+    ]),
+]
+FOLLOWUP_DEFAULT = [
+    "Which findings have the highest severity?",
+    "Which files changed last?",
+    "What would start again after a reboot?",
+]
+
 # Rows of one text block; a longer group makes several blocks.
 SEGMENT_ROWS = 1000
 

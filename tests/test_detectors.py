@@ -43,7 +43,7 @@ def test_process_rules(spark):
     assert _ids(a) == ["proc_10_suspicious_path", "proc_11_known_suspicious", "proc_12_encoded_cmd"]
     row = a.where(F.col("anomaly_id") == "proc_10_suspicious_path").first()
     assert row.evidence[0].raw_data == "PID: 10, User: root, Command: /tmp/.x/miner --quiet"
-    assert row.investigation_steps[0] == "Check if binary exists: ls -la /tmp/.x/miner"
+    assert row.investigation_steps[0] == "Look at the binary: ls -la /tmp/.x/miner"
 
 
 def test_network_rules(spark):

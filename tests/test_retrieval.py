@@ -47,7 +47,7 @@ def test_chunk_producers(spark):
     users = tp.parse_passwd(lines_df(spark, "root:x:0:0::/root:/bin/bash\nsvc:x:5:5::/s:/bin/false", "passwd"))
     u = ch.user_chunks(users).first()
     assert u.content.startswith("# User Accounts\n\n## Regular Users\n\n## System Users with Valid Shells\n- root")
-    assert u.content.endswith("/etc/passwd content") and u.metadata["user_count"] == "2"
+    assert u.content.endswith("logins, passwd") and u.metadata["user_count"] == "2"
 
 
 def test_iocs(spark):
@@ -67,7 +67,7 @@ def test_sections_prompts_followups(spark):
                   ).first()
     assert r.s == "All good."
     assert list(r.acts) == ["Isolate", "Patch", "Rotate"]
-    assert r.f[0] == "Show failed SSH login attempts"
+    assert r.f[0] == "Which SSH logins failed, from where and for whom?"
     assert r.p == "Q: why ssh? C: ctx U: {unknown}"
 
 
