@@ -214,3 +214,20 @@ def detect_privilege_changes(logs: DataFrame) -> DataFrame:
                     anomaly_type="privilege_escalation", severity="medium", score=0.65,
                     title=F.lit("Switch to root"), description=F.col("message"),
                     source_artifact="logs", artifact_path=F.col("source_file"))
+
+
+def detect_login_bursts(logs: DataFrame, horizon_seconds: int = 86400, min_failures: int = 3) -> DataFrame:
+    """DET-X5 on parsed logs: a login accepted from an address after at least ``min_failures`` failed ones from
+    it within ``horizon_seconds``."""
+    message = F.coalesce("message", F.lit(""))
+    address = F.regexp_extract(message, r"from ([0-9A-Fa-f.:]+)", 1)
+    ev = logs.where(F.col("timestamp").isNotNull() & (address != "")).select(
+        F.struct("collection_id", address.alias("address")).alias("who"), F.struct("source_file", "line_no").alias("place"),
+        "timestamp", message.contains("Failed password").alias("_f"), message.contains("Accepted").alias("_s"))
+    found = failures_before(ev, "who", "timestamp", F.col("_f"), F.col("_s"), horizon_seconds, min_failures, "place")
+    rows = found.select("who.collection_id", "who.address", "place.source_file", "place.line_no", "failures")
+    n = F.col("failures").cast("string")
+    return _anomaly(rows, anomaly_id=F.concat_ws("_", F.lit("log"), F.col("line_no").cast("string"), F.lit("login_burst")),
+                    anomaly_type="unauthorized_access", severity="high", score=0.85, title=F.lit("Login after repeated failures"),
+                    description=F.concat(n, F.lit(" failed logins from "), F.col("address"), F.lit(" before this one")),
+                    source_artifact="logs", artifact_path=F.col("source_file"))

@@ -47,6 +47,7 @@ def all_anomalies(tables: dict[str, DataFrame], threshold: str = "low", with_joi
             en.detect_hidden_processes(tables["connections"], tables["processes"]),
             en.detect_suspicious_cron(tables["logs"]),
             en.detect_privilege_changes(tables["logs"]),
+            en.detect_login_bursts(tables["logs"]),
         ]
     return det.detect_all(tables["processes"], tables["connections"], tables["bodyfile"], tables["users"],
                           extra=extra, threshold=threshold)

@@ -188,3 +188,25 @@ def test_hits_join_on_collection_and_chunk(spark):
     qs = spark.createDataFrame([("h1", 1, 0, "q?")], "collection_id string, query_id int, variant_no int, text string")
     out = wf.query_prompts(store, qs, lambda q: q.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))).collect()
     assert len(out) == 1 and out[0]["prompt"].count("same text") == 1
+
+
+def test_login_bursts_are_anomalies(spark):
+    from hostlens.operators import enrich as en
+    from hostlens.sources import text_parsers as tp
+
+    text = "\n".join([f"Jan  5 10:0{i}:00 h sshd[9]: Failed password for root from {a} port 1 ssh2" for a, k in
+                      (("1.2.3.4", 3), ("5.6.7.8", 2)) for i in range(k)]
+                     + [f"Jan  5 11:00:00 h sshd[9]: Accepted password for root from {a} port 1 ssh2" for a in ("1.2.3.4", "5.6.7.8", "9.9.9.9")])
+    found = en.detect_login_bursts(tp.parse_logs(lines_df(spark, text, "auth.log"), reference_year=2024)).collect()
+    assert [(r["anomaly_type"], r["description"]) for r in found] == [("unauthorized_access", "3 failed logins from 1.2.3.4 before this one")]
+    assert det.detect_all(processes=None, connections=None, extra=[en.detect_login_bursts(
+        tp.parse_logs(lines_df(spark, text, "auth.log"), reference_year=2024))]).count() == 1
+
+
+def test_scores_join_on_the_entity(spark):
+    from hostlens.operators import enrich as en
+
+    pr = spark.createDataFrame([("c", "f", 1, 5, "u", "/tmp/x"), ("c", "f", 2, 6, "v", "/bin/ok")], "collection_id string, source_file string, "
+                               "line_no bigint, pid bigint, user string, command string")
+    got = {r["user"]: (r["anomaly_score"], r["anomaly_flags"]) for r in en.anomaly_scores(pr, det.detect_processes(pr), "user", "username").collect()}
+    assert got == {"u": (0.8, ["suspicious_process"]), "v": (None, None)}
