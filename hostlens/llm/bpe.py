@@ -258,6 +258,23 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", o
     return df.mapInArrow(run, with_field(df.schema, out_col, T.BinaryType()))
 
 
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids",
+               out_col: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one pass, with one Python worker a task."""
+    ranks, key = _shipped(df, ranks_path, pattern)
+
+    def run(batches):
+        codec, tokens = _codec(ranks.value, pattern, key), _tokens(ranks.value, key)
+        for batch in slices(batches, text_col, 2 << 20):
+            flat, offsets = codec.chunked.encode_rows(*binary_view(batch.column(batch.schema.names.index(text_col))))
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+            back = pa.array([b"".join([tokens[i] for i in row]) for row in _id_rows(ids)], pa.binary())
+            yield set_column(set_column(batch, ids_col, ids), out_col, back)
+
+    schema = with_field(with_field(df.schema, ids_col, T.ArrayType(T.IntegerType())), out_col, T.BinaryType())
+    return df.mapInArrow(run, schema)
+
+
 def _id_rows(col: pa.Array):
     """Each row of a list<int> array as a Python list (None for null), row by row."""
     for row in col:

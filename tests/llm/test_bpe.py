@@ -59,7 +59,10 @@ def test_encode_decode_frame(spark, tik):
     for r in rows:
         assert r["ids"] == tik.encode_ordinary(r["text"] or "")
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
+    both = bpe.round_trip(edge_docs(spark), path, P.PATTERN).collect()
+    assert sorted(map(str, both)) == sorted(map(str, rows))
     empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert bpe.round_trip(empty, path, P.PATTERN).count() == 0
     assert bpe.decode(bpe.encode(empty, path, P.PATTERN), path, P.PATTERN).count() == 0
 
 
