@@ -45,6 +45,16 @@ FROM d LEFT JOIN loss ON loss.doc_id = d.doc_id GROUP BY d.doc_id, len(d.w)
 """
 
 
+def op1_lm_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op1_lm_score, by the counts of all words and pairs."""
+    targets = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_score.scores(table(spark, sf_dir, "documents"), targets, word_share=0.0, pair_share=0.0).select(
+        "doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
+OP1_ALL_SQL = OP1_SQL.replace(" HAVING count(*) >= 3e-5 * (SELECT b FROM n)", "").replace(" HAVING count(*) >= 1e-6 * (SELECT count(*) FROM two)", "")
+
+
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "op2")
     token_orc.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
@@ -170,5 +180,5 @@ def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_token_orc, op3_superkmer, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_warc, op8_suffix_array, op9_jaccard_join, op10_piecewise_hash)}
-ORACLE_SQL: dict[str, str] = {"op1_lm_score": OP1_SQL, "op3_superkmer": OP3_SQL, "op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op9_jaccard_join": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op1_lm_score_all, op2_token_orc, op3_superkmer, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_warc, op8_suffix_array, op9_jaccard_join, op10_piecewise_hash)}
+ORACLE_SQL: dict[str, str] = {"op1_lm_score": OP1_SQL, "op1_lm_score_all": OP1_ALL_SQL, "op3_superkmer": OP3_SQL, "op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op9_jaccard_join": OP9_SQL}
