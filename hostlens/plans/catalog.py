@@ -371,6 +371,16 @@ def vector_topk(spark, sf_dir):
                        F.round("distance", 6).alias("distance"), F.round("score", 4).alias("score"))
 
 
+@register("vector_topk_all")
+def vector_topk_all(spark, sf_dir):
+    """RET-3: 5 nearest of all vectors to each vector whose id is divisible by 100."""
+    emb = d.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit(0).alias("scope"))
+    qs = emb.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    hits = ret.knn(emb, qs, "scope", k=rules.HITS_PER_QUERY, id_col="vec_id", query_cols=["scope", "query_id"])
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id",
+                       F.round("distance", 6).alias("distance"), F.round("score", 4).alias("score"))
+
+
 def _doc_hits(spark, sf_dir, k, variants):
     emb, qs = label_queries(spark, sf_dir)
     hits = ret.knn(emb, qs.where(F.col("variant").isin(variants)), "label", k=k, id_col="vec_id",

@@ -624,6 +624,19 @@ SELECT label, CAST(rnk AS BIGINT) AS rank, vec_id, round(distance, 6) AS distanc
 FROM ({_hits_sql(rules.HITS_PER_QUERY, '0')})
 """
 
+VECTOR_TOPK_ALL = f"""
+WITH dist AS (
+  SELECT q.vec_id AS query_id, e.vec_id,
+    list_reduce(list_transform(range(1, len(e.embedding) + 1),
+                               lambda i: (CAST(e.embedding[i] AS DOUBLE) - q.embedding[i]) * (CAST(e.embedding[i] AS DOUBLE) - q.embedding[i])),
+                lambda a, b: a + b) AS distance
+  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rnk FROM dist)
+SELECT query_id, CAST(rnk AS BIGINT) AS rank, vec_id, round(distance, 6) AS distance, round(greatest(0.0, 1 - distance), 4) AS score
+FROM ranked WHERE rnk <= {rules.HITS_PER_QUERY}
+"""
+
 _CTX_HITS = f"""
 SELECT h.*, d.text, d.source, d.lang FROM ({_hits_sql(rules.HITS_FOR_CONTEXT, '0')}) h
 JOIN documents d ON d.doc_id = h.vec_id

@@ -82,3 +82,15 @@ def test_approx_knn_agrees_on_clear_neighbours(spark):
     e = [r.id for r in exact.orderBy("rank").collect()]
     a = [r.id for r in approx.orderBy("rank").collect()]
     assert a[0] == e[0] == 17 and set(a) <= set(r[1] for r in rows)
+
+
+def test_search_of_all_vectors_crosses_labels(spark, tmp_path):
+    """Queries are the rows with ids divisible by 100; a near neighbour under another label is found."""
+    from hostlens.plans import catalog
+
+    rows = [(100, "a", [0.0, 0.0]), (1, "b", [0.1, 0.0]), (2, "a", [3.0, 0.0]), (200, "b", [9.0, 9.0])]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in catalog.QUERIES["vector_topk_all"](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {100: [100, 1, 2, 200], 200: [200, 2, 1, 100]}
