@@ -58,10 +58,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = substring_sa.remove_repeats(docs, window=REPEAT_BYTES).where("n_removed > 0")
     cut = cut.select(F.col("doc_id").alias("cut_id"), F.col("digest").alias("cut_digest"), "kept").dropDuplicates(["cut_id", "cut_digest"])
+    whole = F.udf(lambda kept: bytes(kept).decode(errors="ignore"), "string")  # without the bytes of characters cut in two
+    cut = cut.withColumn("kept", whole("kept"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     both = docs.select(*COLUMNS).join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (digest == F.col("cut_digest")), "left")
-    whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(whole)
+    text = F.coalesce("kept", "text")
     return both.withColumn("text", text).withColumn(
         "n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))).select(*COLUMNS)
 

@@ -130,3 +130,16 @@ def test_empty_and_unlabelled(spark, labels):
     for _, stage in C.STAGES:
         df = saved(stage(spark, df, SF), "test")
     assert df.count() == 0
+
+
+def test_replacement_characters_of_unrepeated_text_stay(spark):
+    """U+FFFD goes only where a repeat took it; halves of cut characters go."""
+    rng = random.Random(9)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    shared = say(60)
+    docs = [(1, f"{say(20)} \ufffd {shared} \ufffd"), (2, f"\ufffd{say(20)} é{shared}"), (3, f"{say(9)} è{shared}"), (4, "\ufffd x"), (None, f"\ufffd{shared}")]
+    rows = [(d, t, "xx", "s", len(t)) for d, t in docs]
+    got = rows_of(C.repeated_substrings(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), SF))
+    assert got == model_repeats(rows)
+    texts = {r[0]: r[1] for r in got}
+    assert texts[1].count("\ufffd") == 2 and texts[2].startswith("\ufffd") and shared not in texts[1]
