@@ -42,21 +42,22 @@ LETTERS, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"[!-&(-/:-
 PLAIN = re.compile(f" ({LETTERS})({MARKS})(?:\n({LETTERS})({MARKS}))?").fullmatch
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 itself, the rest from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = (b for b in range(256) if b not in own)
     return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(others)}}
 
 
-def _encoder(vocabulary: str, key: str) -> ChunkedEncoder:
-    cache = worker_cache("token_orc")
+def chunk_encoder(vocabulary: str, path_key: str, special_as_text: bool = False, most: int = 1_200_000) -> ChunkedEncoder:
+    """The library's ids of whole texts, added tokens and all; ``special_as_text`` takes their strings for ordinary text."""
+    cache, key = worker_cache("token_orc"), (path_key, special_as_text, most)
     if key not in cache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(vocabulary)
-        tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
+        tokenizer.encode_special_tokens = special_as_text
 
         if hasattr(tokenizer.model, "_resize_cache"):
             tokenizer.model._resize_cache(0)  # chunks come once each: the library's own cache only costs time
@@ -65,7 +66,8 @@ def _encoder(vocabulary: str, key: str) -> ChunkedEncoder:
         # the pre-tokens of byte-level words are known
         by_letters = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
                       and spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
-        letter = _byte_letters()
+        added = [] if special_as_text else [t["content"] for t in spec.get("added_tokens", [])]
+        letter = byte_letters()
         words: dict[str, bytes] = {}
         marks: dict[str, bytes] = {}
 
@@ -98,7 +100,7 @@ def _encoder(vocabulary: str, key: str) -> ChunkedEncoder:
             out: list[bytes | None] = []
             for c in chunks:
                 found = None
-                if by_letters and (m := PLAIN(c)):
+                if by_letters and (m := PLAIN(c)) and not any(a in c for a in added):
                     core, after, core2, after2 = m.groups()
                     found = word(" " + core)
                     if after:
@@ -112,7 +114,7 @@ def _encoder(vocabulary: str, key: str) -> ChunkedEncoder:
             return out
 
         cache.clear()
-        cache[key] = ChunkedEncoder(learn, most=1_200_000)
+        cache[key] = ChunkedEncoder(learn, most=most)
     return cache[key]
 
 
@@ -131,7 +133,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
             .select("doc_id", "text", F.spark_partition_id().alias("file_no")))
 
     def run(batches):
-        encoder, start = _encoder(vocabulary.value, key), 0
+        encoder, start = chunk_encoder(vocabulary.value, key), 0
         for part in slices(batches, "text", 3 << 20):
             flat, offsets = encoder.encode_rows(*binary_view(part.column("text")))
             flat = np.insert(flat, offsets[1:], end_id)

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from hostlens.llm import bpe, registry, token_orc
 
 SF = "/root/testdata/sf0.001"
-EDGE = [None, "", " ", "  two  spaces ", "a\n b \nc", " x  y", "<|endoftext|> <|endoftext|>", "it's we'll I'd 's",
+EDGE = [None, "", " ", "  two  spaces ", "a\n b \nc", " x  y", "<|endoftext|> <|endoftext|>", "a <|endoftext|> b  <|endoftext|>c <|endoftext|>\nd", "it's we'll I'd 's",
         "İstanbul 中文 \U0001f600\U0001f600", "a" * 3000, "ab" * 1500 + " x", " " * 700, "\n" * 600 + "z",
         "".join(random.Random(5).choice("eiounthr \n") for _ in range(5000)), "dup text", "dup text"]
 
@@ -27,7 +27,7 @@ def tik():
 
 
 def edge_docs(spark):
-    rows = [(i // 2 if i > 13 else i, t, "x") for i, t in enumerate(EDGE)] + [(None, "no id", "x")]
+    rows = [(i // 2 if i > 14 else i, t, "x") for i, t in enumerate(EDGE)] + [(None, "no id", "x")]
     return spark.createDataFrame(rows, "doc_id bigint, text string, ids string").repartition(3)
 
 
@@ -45,7 +45,7 @@ def test_every_character_beside_spaces(tik):
     texts = [f"a {c} b{c}{c} c{c} .{c}" for c in map(chr, [*range(0x3100), *range(0xFE00, 0x10000)])]
     assert [x.tolist() for x in codec.encode_texts(texts)] == [tik.encode_ordinary(t) for t in texts]
     with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        encoder = token_orc._encoder(f.read(), "test")
+        encoder = token_orc.chunk_encoder(f.read(), "test")
     assert [x.tolist() + [0] for x in encoder.encode(texts)] == _library(texts)
 
 
@@ -81,7 +81,6 @@ def test_op5_on_documents(spark, tik):
 
 def _library(texts):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [0] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
