@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctph, decontaminate, langid, lm_score, partenum, substring_sa, superkmer, token_orc, warc
+from . import bpe, cross_align, ctph, decontaminate, langid, lm_score, partenum, substring_sa, superkmer, token_orc, warc
 from .common import shared_folder, table
 
 
@@ -180,5 +180,12 @@ def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op1_lm_score_all, op2_token_orc, op3_superkmer, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_warc, op8_suffix_array, op9_jaccard_join, op10_piecewise_hash)}
+def op11_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cross_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                              public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op1_lm_score_all, op2_token_orc, op3_superkmer, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_warc, op8_suffix_array, op9_jaccard_join, op10_piecewise_hash, op11_cross_align)}
 ORACLE_SQL: dict[str, str] = {"op1_lm_score": OP1_SQL, "op1_lm_score_all": OP1_ALL_SQL, "op3_superkmer": OP3_SQL, "op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op9_jaccard_join": OP9_SQL}
