@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cross_align, ctph, decontaminate, langid, lm_score, partenum, substring_sa, superkmer, token_orc, warc
+from . import bpe, cross_align, ctph, decontaminate, langid, lm_score, partenum, periodic, substring_sa, superkmer, token_orc, warc
 from .common import shared_folder, table
 
 
@@ -187,5 +187,26 @@ def op11_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op1_lm_score_all, op2_token_orc, op3_superkmer, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_warc, op8_suffix_array, op9_jaccard_join, op10_piecewise_hash, op11_cross_align)}
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``text`` as its words joined by a space; by the hash of the id, some texts repeat themselves from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("bigint").alias("g"))
+    some = docs.where("h % 10 = 0").withColumn("w", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))
+    some = some.withColumn("n", F.size("w").cast("bigint"))
+    some = some.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).otherwise(F.lit(0)))
+    some = some.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    more = F.expr("transform(sequence(0L, n - 1), i -> element_at(w, int(if(i < a, i, a + (i - a) % p) + 1)))")
+    some = some.select("doc_id", F.when(F.col("n") > 0, F.array_join(more, " ")).otherwise(F.lit("")).alias("text"))
+    return docs.where("h is null or h % 10 <> 0").select("doc_id", "text").unionByName(some)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    text = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), *[f"best.{c}" for c in ("start", "length", "period", "exponent_milli")],
+                        F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op1_lm_score_all, op2_token_orc, op3_superkmer, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_warc, op8_suffix_array, op9_jaccard_join, op10_piecewise_hash, op11_cross_align, op12_periodic_runs)}
 ORACLE_SQL: dict[str, str] = {"op1_lm_score": OP1_SQL, "op1_lm_score_all": OP1_ALL_SQL, "op3_superkmer": OP3_SQL, "op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op9_jaccard_join": OP9_SQL}
