@@ -32,8 +32,10 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,8 +75,9 @@ def b_token_bytes(pieces) -> list[bytes]:
             else pieces.id_to_piece(i).replace(SPACE_MARK, " ").encode() for i in range(pieces.get_piece_size())]
 
 
-def _encoders(vocabulary: str, a_key: str, model: bytes, b_key: str):
-    """Chunk encoders of A and B and the byte lengths of their ids; a chunk that does not come back is the id -1."""
+def _encoder(vocabulary: str, a_key: str, model: bytes, b_key: str):
+    """An encoder whose ids of a chunk are A's and then B's, these as ``-2 - id``; a chunk that does not come back
+    is the id -1.  With it, whether chunks are whole rows, and the byte lengths of A's and B's ids."""
     cache = worker_cache("cross_align")
     if (a_key, b_key) not in cache:
         import sentencepiece
@@ -83,24 +86,26 @@ def _encoders(vocabulary: str, a_key: str, model: bytes, b_key: str):
         a_bytes, b_bytes = a_token_bytes(vocabulary), b_token_bytes(pieces)
         # a chunk's pieces are its own only if no piece has a space after another character
         inner = any(SPACE_MARK in pieces.id_to_piece(i).lstrip(SPACE_MARK) for i in range(pieces.get_piece_size()))
+        plain = chunk_encoder(vocabulary, a_key, special_as_text=True, most=0, most_words=200_000)
+        bad = np.array([-1], np.int32).tobytes()
 
-        def checked(chunks: list[str], found: list[bytes], token: list[bytes]) -> list[bytes]:
-            bad = np.array([-1], np.int32).tobytes()
-            return [x if b"".join([token[i] for i in np.frombuffer(x, np.int32).tolist()]) == c.encode() else bad
-                    for c, x in zip(chunks, found)]
-
-        plain = chunk_encoder(vocabulary, a_key, special_as_text=True, most=250_000)
-
-        def learn_a(chunks: list[str]) -> list[bytes]:
-            return checked(chunks, plain.learn(chunks), a_bytes)
-
-        def learn_b(chunks: list[str]) -> list[bytes]:
+        def learn(chunks: list[str]) -> list[bytes]:
+            whole = [c.encode() for c in chunks]
+            a = plain.learn(chunks)
             # chunks begin with the space that the model adds itself
             ids = pieces.encode([c[1:] for c in chunks], num_threads=1) if chunks else []
-            return checked(chunks, [np.array(x, np.int32).tobytes() for x in ids], b_bytes)
+            flat = np.fromiter(chain.from_iterable(ids), np.int32)
+            ends = 4 * np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            raw = np.subtract(-2, flat, dtype=np.int32).tobytes()
+            out = [x + raw[i:j] for x, i, j in zip(a, [0, *ends.tolist()], ends.tolist())]
+            back_a = [b"".join([a_bytes[i] for i in memoryview(x).cast("i")]) for x in a]
+            back_b = [b"".join([b_bytes[i] for i in y]) for y in ids]
+            if back_a != whole or back_b != whole:
+                out = [x if p == q == c else bad for x, p, q, c in zip(out, back_a, back_b, whole)]
+            return out
 
         cache.clear()
-        cache[a_key, b_key] = (ChunkedEncoder(learn_a, most=250_000), ChunkedEncoder(learn_b, most=250_000), inner,
+        cache[a_key, b_key] = (ChunkedEncoder(learn, most=400_000), inner,
                                np.array([len(x) for x in a_bytes]), np.array([len(x) for x in b_bytes]))
     return cache[a_key, b_key]
 
@@ -118,14 +123,29 @@ def _whole_rows(encoder: ChunkedEncoder, raw: np.ndarray, starts: np.ndarray):
     return np.frombuffer(b"".join(found), np.int32), np.concatenate([[0], np.cumsum([len(x) >> 2 for x in found])]).astype(np.int64)
 
 
-def _only(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the rows that are marked; the others become empty."""
-    n = np.diff(offsets)
-    return flat[np.repeat(rows, n)], np.concatenate([[0], np.cumsum(np.where(rows, n, 0))])
+def _sides(flat: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """A's ids, their rows' offsets, B's ids and theirs; rows in which a chunk did not come back are empty."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    bad = np.zeros(len(offsets) - 1, bool)
+    bad[row[flat == -1]] = True
+    out = []
+    for own in ((flat >= 0) & ~bad[row], (flat < -1) & ~bad[row]):
+        out += [flat[own], np.concatenate([[0], np.cumsum(own)])[offsets]]
+    return [out[0], out[1], -2 - out[2], out[3]]
 
 
 # ---- alignment --------------------------------------------------------------------------------------------------------
 
+def _digits(most: int) -> np.ndarray:
+    """Decimal digits of the numbers up to ``most``, a row each, zero bytes in front."""
+    cache = worker_cache("cross_align_digits")
+    if len(cache.get("rows", ())) <= most:
+        number, width = np.arange(2 * most + 1), len(str(2 * most))
+        digit = number[:, None] // 10 ** np.arange(width - 1, -1, -1)
+        cache["rows"] = np.where((digit > 0) | (np.arange(width) == width - 1), digit % 10 + 48, 0).astype(np.uint8)
+    return cache["rows"]
+
+
 class Alignment:
     """Links and groups of rows laid end to end; both sides cover the same bytes in each row."""
 
@@ -167,15 +187,12 @@ class Alignment:
         mark[close] = ord(";")
         last = np.append(self.group_row[1:] != self.group_row[:-1], True)[:many]
         mark[close[last]] = 0  # nothing after a row's last token
-        width = len(str(int(value.max(initial=0))))
-        text = np.zeros((len(value), width + 1), np.uint8)
-        rest = value.copy()
-        for k in range(width - 1, -1, -1):
-            text[:, k] = np.where((rest > 0) | (k == width - 1), rest % 10 + 48, 0)
-            rest //= 10
-        text[:, width] = mark
+        digits = _digits(int(value.max(initial=0)))
+        text = np.empty((len(value), digits.shape[1] + 1), np.uint8)
+        text[:, :-1] = digits[value]
+        text[:, -1] = mark
         shown = text > 0
-        size = np.concatenate([[0], np.cumsum(shown.sum(axis=1))])
+        size = np.concatenate([[0], np.cumsum(np.count_nonzero(shown, axis=1))])
         tokens = np.bincount(self.group_row, weights=n_a + n_b, minlength=self.n_rows).astype(np.int64)
         offsets = size[np.concatenate([[0], np.cumsum(tokens)])]
         data = text[shown].tobytes()
@@ -320,12 +337,12 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                      F.spark_partition_id().alias("part"))
 
-    def encoders():
+    def encoder():
         vocabulary, model = files.value
-        return _encoders(vocabulary, a_key, model, b_key)
+        return _encoder(vocabulary, a_key, model, b_key)
 
     def tokenise(batches):
-        a_enc, b_enc, inner, a_len, b_len = encoders()
+        chunks, whole, a_len, b_len = encoder()
         seen, row = np.zeros(0, np.int64), None
 
         def pairs_row(keys):
@@ -334,17 +351,12 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
                  pa.array([None], pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array(keys))],
                 ["row", "doc_id", "a", "b", "pairs"])
 
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 1 << 20):
             if row is None and part.num_rows:
                 row = part.column("part")[0].as_py() << 40
             raw, starts = _spaced(*binary_view(part.column("text")))
-            a, a_off = a_enc.encode_rows(raw, starts)
-            b, b_off = _whole_rows(b_enc, raw, starts) if inner else b_enc.encode_rows(raw, starts)
-            good = np.ones(part.num_rows, bool)
-            for ids, off in ((a, a_off), (b, b_off)):
-                good[np.searchsorted(off, np.flatnonzero(ids < 0), side="right") - 1] = False
-            (a, a_off), (b, b_off) = _only(a, a_off, good), _only(b, b_off, good)
-            seen = np.union1d(seen, Alignment(a, a_off, b, b_off, a_len, b_len).keys())
+            a, a_off, b, b_off = _sides(*(_whole_rows(chunks, raw, starts) if whole else chunks.encode_rows(raw, starts)))
+            seen = np.union1d(seen, pd.unique(Alignment(a, a_off, b, b_off, a_len, b_len).keys()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row or 0, (row or 0) + part.num_rows)), part.column("doc_id"),
                  pa.ListArray.from_arrays(pa.array(a_off.astype(np.int32)), pa.array(a)),
@@ -368,8 +380,8 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
 
     def aligned(batches):
         """Slices of the written rows and their alignments."""
-        _, _, _, a_len, b_len = encoders()
-        for part in slices(batches, "a", 3 << 20):
+        _, _, a_len, b_len = encoder()
+        for part in slices(batches, "a", 1 << 20):
             sides = []
             for c in ("a", "b"):
                 col = part.column(c)
@@ -388,7 +400,7 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
             for part, links in aligned(batches):
                 if counts is None:
                     counts, number = np.zeros(len(h.keys), np.int64), part.column("part")[0].as_py()
-                keys, which = np.unique(links.keys(), return_inverse=True)
+                which, keys = pd.factorize(links.keys())
                 if not len(keys):
                     continue
                 index = h.index(keys)
@@ -415,7 +427,7 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
         def run(batches):
             h, counts = found.value, counted.value
             for part, links in aligned(batches):
-                keys, which = np.unique(links.keys(), return_inverse=True)
+                which, keys = pd.factorize(links.keys())
                 index = h.index(keys)
                 own = np.where(index >= 0, counts[np.maximum(index, 0)], 0) if len(counts) else np.zeros(len(keys), np.int64)
                 top = (index >= 0) & (own == best.value[keys >> 32])

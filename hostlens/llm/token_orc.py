@@ -49,9 +49,10 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(others)}}
 
 
-def chunk_encoder(vocabulary: str, path_key: str, special_as_text: bool = False, most: int = 1_200_000) -> ChunkedEncoder:
+def chunk_encoder(vocabulary: str, path_key: str, special_as_text: bool = False, most: int = 1_200_000,
+                  most_words: int = MOST_WORDS) -> ChunkedEncoder:
     """The library's ids of whole texts, added tokens and all; ``special_as_text`` takes their strings for ordinary text."""
-    cache, key = worker_cache("token_orc"), (path_key, special_as_text, most)
+    cache, key = worker_cache("token_orc"), (path_key, special_as_text, most, most_words)
     if key not in cache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
@@ -89,13 +90,13 @@ def chunk_encoder(vocabulary: str, path_key: str, special_as_text: bool = False,
         def mark(text: str) -> bytes:
             found = marks.get(text)
             if found is None:
-                if len(marks) > MOST_WORDS:
+                if len(marks) > most_words:
                     marks.clear()
                 found = marks[text] = whole([text])[0]
             return found
 
         def learn(chunks: list[str]) -> list[bytes]:
-            if len(words) > MOST_WORDS:
+            if len(words) > most_words:
                 words.clear()
             out: list[bytes | None] = []
             for c in chunks:
