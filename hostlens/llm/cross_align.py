@@ -51,7 +51,7 @@ FAN = 32  # vectors summed by one task
 SEEN_KEYS = 1 << 20  # distinct pairs a task keeps before it gives them
 SPACE_MARK = "▁"
 
-TOKENS = "row bigint, doc_id bigint, a array<int>, b array<int>, pairs array<bigint>"
+TOKENS = "row bigint, doc_id bigint, a binary, b binary, pairs binary"
 RESULT = ("row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, "
           "count_sum bigint, groups string")
 
@@ -134,6 +134,18 @@ def _sides(flat: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [out[0], out[1], -2 - out[2], out[3]]
 
 
+def _kind(a_len: np.ndarray, b_len: np.ndarray) -> str:
+    """The type of written ids."""
+    return "<u2" if max(len(a_len), len(b_len)) <= 1 << 16 else "<i4"
+
+
+def _blobs(ids: np.ndarray, offsets: np.ndarray, kind: str) -> pa.Array:
+    """Rows of ids as bytes."""
+    data = ids.astype(kind)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * data.itemsize).astype(np.int32).tobytes()),
+                                                                 pa.py_buffer(data.tobytes())])
+
+
 # ---- alignment --------------------------------------------------------------------------------------------------------
 
 def _digits(most: int) -> np.ndarray:
@@ -150,7 +162,7 @@ class Alignment:
     """Links and groups of rows laid end to end; both sides cover the same bytes in each row."""
 
     def __init__(self, a, a_offsets, b, b_offsets, a_len, b_len):
-        self.a, self.b = a, b
+        self.a, self.b, self.a_offsets, self.b_offsets = a, b, a_offsets, b_offsets
         ends_a, ends_b = np.cumsum(a_len[a]), np.cumsum(b_len[b])
         flags = np.zeros(int(ends_a[-1]) + 1 if len(a) else 1, np.uint8)
         flags[ends_a] |= 1
@@ -343,12 +355,12 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
 
     def tokenise(batches):
         chunks, whole, a_len, b_len = encoder()
+        kind = _kind(a_len, b_len)
         seen, row = np.zeros(0, np.int64), None
 
         def pairs_row(keys):
             return pa.RecordBatch.from_arrays(
-                [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.int32())),
-                 pa.array([None], pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array(keys))],
+                [*[pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())], pa.array([keys.astype("<i8").tobytes()], pa.binary())],
                 ["row", "doc_id", "a", "b", "pairs"])
 
         for part in slices(batches, "text", 1 << 20):
@@ -359,9 +371,7 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
             seen = np.union1d(seen, pd.unique(Alignment(a, a_off, b, b_off, a_len, b_len).keys()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row or 0, (row or 0) + part.num_rows)), part.column("doc_id"),
-                 pa.ListArray.from_arrays(pa.array(a_off.astype(np.int32)), pa.array(a)),
-                 pa.ListArray.from_arrays(pa.array(b_off.astype(np.int32)), pa.array(b)),
-                 pa.array([None] * part.num_rows, pa.list_(pa.int64()))], ["row", "doc_id", "a", "b", "pairs"])
+                 _blobs(a, a_off, kind), _blobs(b, b_off, kind), pa.nulls(part.num_rows, pa.binary())], ["row", "doc_id", "a", "b", "pairs"])
             row = (row or 0) + part.num_rows
             if len(seen) > SEEN_KEYS:
                 yield pairs_row(seen)
@@ -371,7 +381,13 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
 
     written = saved(docs.mapInArrow(tokenise, TOKENS), "tokens", compression="zstd")
     rows = written.where("row is not null").select("row", "doc_id", "a", "b", F.spark_partition_id().alias("part"))
-    keys = saved(written.where("pairs is not null").select(F.explode("pairs").alias("key")).distinct(), "pairs")
+
+    def unpacked(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(blob.as_py(), "<i8"))], ["key"])
+
+    keys = saved(written.where("pairs is not null").select("pairs").mapInArrow(unpacked, "key bigint").distinct(), "pairs")
     total = keys.count()
     buckets = max(1, -(-total // BUCKET_KEYS))
     built = saved(perfect_hash_buckets(keys, buckets), "hash")
@@ -381,12 +397,13 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
     def aligned(batches):
         """Slices of the written rows and their alignments."""
         _, _, a_len, b_len = encoder()
-        for part in slices(batches, "a", 1 << 20):
+        kind = _kind(a_len, b_len)
+        for part in slices(batches, "a", 1 << 19):
             sides = []
             for c in ("a", "b"):
-                col = part.column(c)
-                off = col.offsets.to_numpy().astype(np.int64)
-                sides += [col.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]], off - off[0]]
+                raw, off = binary_view(part.column(c))
+                ids = np.frombuffer(raw.tobytes(), kind)
+                sides += [ids.astype(np.int32), off // ids.itemsize]
             yield part, Alignment(*sides, a_len, b_len)
 
     def shard(k: int):
@@ -404,7 +421,7 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
                 if not len(keys):
                     continue
                 index = h.index(keys)
-                once = np.unique(links.link_row * len(keys) + which) % len(keys)  # each pair once a document
+                once = pd.unique(links.link_row * len(keys) + which) % len(keys)  # each pair once a document
                 docs_with = np.bincount(once, minlength=len(keys))
                 counts[index[index >= 0]] += docs_with[index >= 0]
             for block in range(0 if counts is None else -(-len(counts) // BLOCK)):
@@ -435,8 +452,7 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
                 np.add.at(sums, links.link_row, own[which])
                 n_best = np.bincount(links.link_row, weights=top[which], minlength=links.n_rows).astype(np.int64)
                 none = np.zeros(links.n_rows, np.int64)
-                n_a, n_b = (np.diff(part.column(c).offsets.to_numpy()).astype(np.int64) for c in ("a", "b"))
-                first = [n_a, n_b, links.n_groups, links.n_links] if whole else [none] * 4
+                first = [np.diff(links.a_offsets), np.diff(links.b_offsets), links.n_groups, links.n_links] if whole else [none] * 4
                 text = links.groups() if whole else pa.array([""] * links.n_rows, pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *[pa.array(x) for x in (*first, n_best, sums)], text],
                                                  [f.split()[0] for f in RESULT.split(", ")])
