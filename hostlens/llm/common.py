@@ -24,8 +24,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/hostlens-llm/{name}-{uuid.uuid4().hex}"
 
 
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Shuffle files are released as each write ends unless the session says otherwise: what is read again is written."""
+    if df.sparkSession.conf.get(RELEASE, None) is None:
+        df.sparkSession.conf.set(RELEASE, "true")
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

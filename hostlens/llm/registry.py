@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cross_align, ctph, decontaminate, langid, lm_score, partenum, periodic, substring_sa, superkmer, token_orc, warc
+from . import bpe, chat_tree, cross_align, ctph, decontaminate, langid, lm_score, partenum, periodic, substring_sa, superkmer, token_orc, warc
 from .common import shared_folder, table
 
 
@@ -208,5 +208,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op1_lm_score_all, op2_token_orc, op3_superkmer, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_warc, op8_suffix_array, op9_jaccard_join, op10_piecewise_hash, op11_cross_align, op12_periodic_runs)}
+def op13_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_tree.read_back(*chat_tree.format_conversations(rows))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op1_lm_score_all, op2_token_orc, op3_superkmer, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_warc, op8_suffix_array, op9_jaccard_join, op10_piecewise_hash, op11_cross_align, op12_periodic_runs, op13_chat_tree)}
 ORACLE_SQL: dict[str, str] = {"op1_lm_score": OP1_SQL, "op1_lm_score_all": OP1_ALL_SQL, "op3_superkmer": OP3_SQL, "op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op9_jaccard_join": OP9_SQL}
