@@ -38,7 +38,8 @@ SCHEMA = "doc_id bigint, n_tokens bigint, file_no int, file_start bigint, ids ar
 MOST_WORDS = 400_000
 # a space, letters, marks; perhaps a line end and the same again.  Each part is a pre-token of its own: letters up
 # to U+024F are letters in every library's tables, an apostrophe might start a contraction and is left out
-LETTERS, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"[!-&(-/:-@\[-`{-~]*"
+LETTERS, MARK = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"!-&(-/:-@\[-`{-~"
+MARKS = f"[{MARK}]*"
 PLAIN = re.compile(f" ({LETTERS})({MARKS})(?:\n({LETTERS})({MARKS}))?").fullmatch
 
 
@@ -67,7 +68,9 @@ def chunk_encoder(vocabulary: str, path_key: str, special_as_text: bool = False,
         # the pre-tokens of byte-level words are known
         by_letters = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
                       and spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
-        added = [] if special_as_text else [t["content"] for t in spec.get("added_tokens", [])]
+        # added tokens that could stand in a plain chunk: there no mark comes right before a letter
+        added = [] if special_as_text else [t["content"] for t in spec.get("added_tokens", [])
+                                            if not re.search(f"[{MARK}]{LETTERS}", t["content"])]
         letter = byte_letters()
         words: dict[str, bytes] = {}
         marks: dict[str, bytes] = {}
@@ -101,7 +104,7 @@ def chunk_encoder(vocabulary: str, path_key: str, special_as_text: bool = False,
             out: list[bytes | None] = []
             for c in chunks:
                 found = None
-                if by_letters and (m := PLAIN(c)) and not any(a in c for a in added):
+                if by_letters and (m := PLAIN(c)) and not (added and any(a in c for a in added)):
                     core, after, core2, after2 = m.groups()
                     found = word(" " + core)
                     if after:
