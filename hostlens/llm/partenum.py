@@ -12,10 +12,13 @@ set with at most ``g`` shares another one with each similar set, so only the
 others give their empty signatures too.
 
 1. Equal sets are one class, named by its least id; only classes are joined.
-2. Sets of a signature are joined: to the least of them if they are many, else
-   to the few before them; then piece counts of a bounded size (``_sketch``) tell
-   most unlike ones.  The components of these candidate links are families.
-3. A family's sets meet in tasks of two bounded blocks each; piece counts bound
+2. Signatures shared by few sets give lists of these, each list once; its sets are
+   linked to its first, if piece counts of a bounded size (``_sketch``) do not tell
+   them apart.  Sets of a signature that many share are linked to the first of
+   them without such a test.  The components of these links are families.
+3. Sets of a list that lie in different families are paired; pairs that their
+   sketches leave possible join the families.
+4. A family's sets meet in tasks of two bounded blocks each; piece counts bound
    the difference from below, what passes is compared element by element, and a
    task returns the links that connect its sets, not all pairs.
 
@@ -171,11 +174,15 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sketch binary")
 
 
-def _candidates(docs: DataFrame, size: int, percent: int, pieces: int) -> DataFrame:
-    """(a, b): each document with others of a signature: the ones before it among few, the least among many.
+LISTS = "ids array<bigint>, a bigint, b bigint"
 
-    Equal sets of a slice go once, and a slice's sharers of a signature are linked there: only their
-    least is shuffled, so a group of copies reaches a task with one row a slice."""
+
+def _shared_lists(docs: DataFrame, size: int, percent: int, pieces: int) -> DataFrame:
+    """Rows of ``ids``, the documents that share a signature if they are few (each list once a task), and rows
+    ``(a, b)``: each document of a signature of many, and the first of them.
+
+    Equal sets of a slice go once, and a slice's many sharers of a signature are linked there: only their
+    least is shuffled.  Sorted signatures are read as a stream, so that a group of any size needs no room."""
 
     def run(batches):
         for batch in slices(batches, "text", 2 << 20):
@@ -203,20 +210,60 @@ def _candidates(docs: DataFrame, size: int, percent: int, pieces: int) -> DataFr
                 [pa.array(np.concatenate([sig[~rest], own, own])), pa.array(np.concatenate([who[~rest], near[0], near[1]])),
                  pa.array(np.concatenate([held[~rest], np.ones(2 * len(own), bool)]))], ["sig", "a", "many"])
 
+    def batch_of(lists: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        ends = np.cumsum([0, *[x.size for x in lists]])
+        sizes = np.concatenate([[0], *[np.arange(1, len(x) + 1) * x.shape[1] + e for x, e in zip(lists, ends)]]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.int64), *[x.ravel() for x in lists]])
+        n, m = len(sizes) - 1, len(a)
+        ids = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.nulls(m, pa.list_(pa.int64()))])
+        both = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x, pa.int64())]) for x in (a, b)]
+        return pa.RecordBatch.from_arrays([ids, *both], ["ids", "a", "b"])
+
+    def group(batches):
+        sig, who, many = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)  # rows of the signature read last
+        center = None  # the first of it, if it is known to have many
+        for batch in _with_end(batches):
+            if batch is not None:
+                new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+                sig, who, many = np.concatenate([sig, new[0]]), np.concatenate([who, new[1]]), np.concatenate([many, new[2]])
+            if not len(sig):
+                continue
+            at = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            count = np.diff(np.append(at, len(sig)))
+            first = who[at].copy()
+            if center is not None:
+                first[0] = center
+            crowd = (count > FEW) | np.logical_or.reduceat(many, at)
+            crowd[0] |= center is not None
+            # the last signature may go on: kept whole while few, else by its first
+            open_ = batch is not None
+            closed = np.ones(len(at), bool)
+            closed[-1] = not open_ or crowd[-1]
+            use = np.repeat(crowd, count)
+            a, b = who[use], np.repeat(first, count)[use]
+            lists = []
+            for c in np.unique(count[closed & ~crowd]).tolist():
+                if c > 1:
+                    rows = who[at[closed & ~crowd & (count == c)][:, None] + np.arange(c)]
+                    lists.append(np.unique(rows.view(f"V{8 * c}")).view(np.int64).reshape(-1, c))
+            yield batch_of(lists, a[a != b], b[a != b])
+            center = int(first[-1]) if open_ and crowd[-1] else None
+            keep = slice(at[-1], None) if open_ and not crowd[-1] else slice(len(sig), None)
+            if center is not None:  # one row stands for what was read of it
+                keep = slice(len(sig) - 1, None)
+            sig, who, many = sig[keep], who[keep], many[keep]
+
     found = docs.mapInArrow(run, "sig bigint, a bigint, many boolean")
-    shared = found.select("sig", "a", F.expr("count(*) over (partition by sig)").alias("c"),
-                          F.expr("bool_or(many) over (partition by sig)").alias("many"),
-                          F.expr("min(a) over (partition by sig)").alias("least")).where("c > 1")
-    shared = shared.select("sig", "a", "least", (F.col("many") | (F.col("c") > FEW)).alias("many"))
-    before = F.expr(f"collect_list(a) over (partition by sig order by a rows between {FEW - 1} preceding and 1 preceding)")
-    shared = shared.select("a", "many", F.when(F.col("many"), F.array("least")).otherwise(before).alias("others"))
-    # a link among many stands for all of theirs: it is not judged by its own two sets
-    return (shared.select("a", "many", F.explode("others").alias("b")).where("a <> b")
-            .groupBy("a", "b").agg(F.bool_or("many").alias("many")))
+    return found.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(group, LISTS)
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sketches leave room for the similarity, and those among many."""
+    """Pairs (a, b) whose sketches leave room for the similarity."""
     def side(c):
         return sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
 
@@ -227,9 +274,8 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                   for m, n, x, y in zip(na, nb, sa, sb)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.where("not many").join(side("a"), "a").join(side("b"), "b")
-    some = both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
-    return some.unionByName(pairs.where("many").select("a", "b"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def _block_links(percent: int):
@@ -279,13 +325,28 @@ def similar_components(df: DataFrame, size: int = 3, percent: int = 90, pieces:
     classes = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     named = saved(sets.join(saved(classes, "classes"), ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "sketch"), "named")
     reps = named.where("doc_id is not null and n > 0").select("doc_id", "rep").distinct()
-    near = (_candidates(docs, size, percent, pieces).join(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a")
-            .join(reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "many")
-            .where("a <> b").groupBy("a", "b").agg(F.bool_or("many").alias("many")))
-    near = saved(near, "near")
     sketches = named.where("doc_id = rep and n > 0").select("rep", "n", "sketch").distinct()  # an id's rows each with theirs
-    near = _possible(near, sketches, percent)
-    families = saved(connected_components(near), "families")
+    shared = saved(_shared_lists(docs, size, percent, pieces), "lists")
+    member = shared.where("ids is not null").select("ids").distinct().select(F.xxhash64("ids").alias("list"), F.explode("ids").alias("doc_id"))
+    member = saved(member.join(reps, "doc_id").select("list", "rep").distinct(), "list-members")
+    first = member.groupBy("list").agg(F.min("rep").alias("b"))
+    stars = member.join(first, "list").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
+    crowds = shared.where("ids is null").select("a", "b").distinct()
+    for c in ("a", "b"):
+        crowds = crowds.join(reps.select(F.col("doc_id").alias(c), F.col("rep").alias(f"r{c}")), c)
+    crowds = crowds.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b")
+    links = saved(_possible(stars, sketches, percent).unionByName(crowds).distinct(), "links")
+    families = saved(connected_components(links), "families")
+    # sets of a list in different families
+    placed = member.join(families.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("list")
+    placed = saved(placed.join(mixed, "list"), "mixed")
+    pairs = placed.select("list", F.col("rep").alias("a"), F.col("component").alias("x")).join(
+        placed.select("list", F.col("rep").alias("b"), F.col("component").alias("y")), "list").where("x < y").select("a", "b").distinct()
+    more = saved(_possible(pairs, sketches, percent), "more-links")
+    if more.limit(1).count():
+        families = saved(connected_components(links.unionByName(more)), "families")
     wanted = families.select(F.xxhash64("node").alias("h"))
     bits = table_bits(families.count())
     some = docs.where("doc_id is not null").where(may_contain(bit_table(wanted, bits), F.xxhash64("doc_id"), bits))

@@ -80,6 +80,25 @@ def test_blocks_of_a_large_family(spark, monkeypatch):
     _check(spark, docs)
 
 
+@pytest.mark.parametrize("few", [3, 64])
+def test_signatures_over_batch_ends(spark, monkeypatch, few):
+    """A signature's rows read in many batches, by few and by many sets; chains of sets unlike the first."""
+    monkeypatch.setattr(partenum, "FEW", few)
+    rng = random.Random(few)
+    docs = _near_copies(rng, 3, 30, (60, 90)) + _near_copies(rng, 20, 3, (5, 20))
+    words = [f"w{k}" for k in range(60)]
+    for step in range(25):  # a chain: neighbours are similar, its ends are not
+        words[step * 2 % 60] = f"v{step}"
+        docs.append((0, " ".join(words)))
+    docs = [(i, t) for i, (_, t) in enumerate(docs)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        _check(spark, docs)
+        _check(spark, docs, size=5, percent=80, pieces=2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_edge_cases(spark):
     """Nulls, empty texts, short texts, equal sets, rows of one id, case, a long word, other similarity and size."""
     long = "w" * 40000
