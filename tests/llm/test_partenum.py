@@ -99,6 +99,26 @@ def test_signatures_over_batch_ends(spark, monkeypatch, few):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_components(spark, monkeypatch, most):
+    """A path, a star, a cycle, repeated and null edges, by rounds and in one task, against a plain search."""
+    from hostlens.llm import components
+
+    monkeypatch.setattr(components, "ONE_TASK", most)
+    rng = random.Random(4)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(200, 300 + k) for k in range(30)] + [(400 + k, 400 + (k + 1) % 9) for k in range(9)]
+    edges += [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(5, 5), (None, 6), (101, 100)]
+    least = {n: n for e in edges if None not in e and e[0] != e[1] for n in e}
+    for _ in least:
+        for a, b in edges:
+            if a in least and b in least:
+                least[a] = least[b] = min(least[a], least[b])
+    got = components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)).collect()
+    assert {r["node"]: r["component"] for r in got} == least and len(got) == len(least)
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    assert components.connected_components(none).count() == 0
+
+
 def test_edge_cases(spark):
     """Nulls, empty texts, short texts, equal sets, rows of one id, case, a long word, other similarity and size."""
     long = "w" * 40000
