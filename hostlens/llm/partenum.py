@@ -12,12 +12,12 @@ set with at most ``g`` shares another one with each similar set, so only the
 others give their empty signatures too.
 
 1. Equal sets are one class, named by its least id; only classes are joined.
-2. Signatures shared by few sets give lists of these, each list once; its sets are
-   linked to its first, if piece counts of a bounded size (``_sketch``) do not tell
-   them apart.  Sets of a signature that many share are linked to the first of
-   them without such a test.  The components of these links are families.
-3. Sets of a list that lie in different families are paired; pairs that their
-   sketches leave possible join the families.
+2. Sets that share a signature make a list.  A list's sets are linked to its first
+   where piece counts of a bounded size (``_sketch``) do not tell them apart; the
+   components of these links are families.
+3. Sets of a list that lie in different families are compared by their sketches,
+   in pairs if they are few, else in tasks of two bounded blocks each; families that
+   may hold similar sets become one.
 4. A family's sets meet in tasks of two bounded blocks each; piece counts bound
    the difference from below, what passes is compared element by element, and a
    task returns the links that connect its sets, not all pairs.
@@ -174,15 +174,14 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sketch binary")
 
 
-LISTS = "ids array<bigint>, a bigint, b bigint"
+LISTS = "ids array<bigint>, sig bigint, doc_id bigint"
 
 
 def _shared_lists(docs: DataFrame, size: int, percent: int, pieces: int) -> DataFrame:
     """Rows of ``ids``, the documents that share a signature if they are few (each list once a task), and rows
-    ``(a, b)``: each document of a signature of many, and the first of them.
+    ``(sig, doc_id)`` of the signatures of many.
 
-    Equal sets of a slice go once, and a slice's many sharers of a signature are linked there: only their
-    least is shuffled.  Sorted signatures are read as a stream, so that a group of any size needs no room."""
+    Equal sets of a slice go once.  Sorted signatures are read as a stream: a group of any size needs no room."""
 
     def run(batches):
         for batch in slices(batches, "text", 2 << 20):
@@ -194,67 +193,46 @@ def _shared_lists(docs: DataFrame, size: int, percent: int, pieces: int) -> Data
             order = np.lexsort((ids, k2, k1))
             same = np.zeros(len(ids), bool)
             same[order[1:]] = (k1[order[1:]] == k1[order[:-1]]) & (k2[order[1:]] == k2[order[:-1]])
-            sig, who = sig[~same[row]], ids[row[~same[row]]]
-            order = np.lexsort((who, sig))
-            sig, who = sig[order], who[order]
-            lead = np.ones(len(sig), bool)
-            lead[1:] = sig[1:] != sig[:-1]
-            at = np.flatnonzero(lead)
-            many = np.diff(np.append(at, len(sig)))
-            held = np.repeat(many > FEW, many)
-            rest = held & ~lead
-            near = np.unique(np.stack([who[rest], np.repeat(who[at], many)[rest]]), axis=1)  # linked within the slice
-            near = near[:, near[0] != near[1]]
-            own = mix64(mix64(near[0].view(np.uint64)) + near[1].view(np.uint64)).view(np.int64)  # a signature of the pair's own
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([sig[~rest], own, own])), pa.array(np.concatenate([who[~rest], near[0], near[1]])),
-                 pa.array(np.concatenate([held[~rest], np.ones(2 * len(own), bool)]))], ["sig", "a", "many"])
-
-    def batch_of(lists: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            fresh = ~same[row]
+            yield pa.RecordBatch.from_arrays([pa.array(sig[fresh]), pa.array(ids[row[fresh]])], ["sig", "doc_id"])
+
+    def batch_of(lists: list[np.ndarray], sig: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
         ends = np.cumsum([0, *[x.size for x in lists]])
         sizes = np.concatenate([[0], *[np.arange(1, len(x) + 1) * x.shape[1] + e for x, e in zip(lists, ends)]]).astype(np.int32)
         flat = np.concatenate([np.zeros(0, np.int64), *[x.ravel() for x in lists]])
-        n, m = len(sizes) - 1, len(a)
+        n, m = len(sizes) - 1, len(sig)
         ids = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.nulls(m, pa.list_(pa.int64()))])
-        both = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x, pa.int64())]) for x in (a, b)]
-        return pa.RecordBatch.from_arrays([ids, *both], ["ids", "a", "b"])
+        both = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x, pa.int64())]) for x in (sig, who)]
+        return pa.RecordBatch.from_arrays([ids, *both], ["ids", "sig", "doc_id"])
 
     def group(batches):
-        sig, who, many = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)  # rows of the signature read last
-        center = None  # the first of it, if it is known to have many
+        sig, who = np.zeros(0, np.int64), np.zeros(0, np.int64)  # rows of the signature read last
+        crowded = False  # many rows of it were given already
         for batch in _with_end(batches):
             if batch is not None:
-                new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-                sig, who, many = np.concatenate([sig, new[0]]), np.concatenate([who, new[1]]), np.concatenate([many, new[2]])
+                sig, who = (np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for k, x in ((0, sig), (1, who)))
             if not len(sig):
                 continue
             at = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             count = np.diff(np.append(at, len(sig)))
-            first = who[at].copy()
-            if center is not None:
-                first[0] = center
-            crowd = (count > FEW) | np.logical_or.reduceat(many, at)
-            crowd[0] |= center is not None
-            # the last signature may go on: kept whole while few, else by its first
-            open_ = batch is not None
-            closed = np.ones(len(at), bool)
-            closed[-1] = not open_ or crowd[-1]
-            use = np.repeat(crowd, count)
-            a, b = who[use], np.repeat(first, count)[use]
+            crowd = count > FEW
+            crowd[0] |= crowded
+            goes_on = batch is not None  # the last signature may: it is kept while few, else one row of it
+            closed = ~crowd
+            closed[-1] &= not goes_on
             lists = []
-            for c in np.unique(count[closed & ~crowd]).tolist():
+            for c in np.unique(count[closed]).tolist():
                 if c > 1:
-                    rows = who[at[closed & ~crowd & (count == c)][:, None] + np.arange(c)]
+                    rows = who[at[closed & (count == c)][:, None] + np.arange(c)]
                     lists.append(np.unique(rows.view(f"V{8 * c}")).view(np.int64).reshape(-1, c))
-            yield batch_of(lists, a[a != b], b[a != b])
-            center = int(first[-1]) if open_ and crowd[-1] else None
-            keep = slice(at[-1], None) if open_ and not crowd[-1] else slice(len(sig), None)
-            if center is not None:  # one row stands for what was read of it
-                keep = slice(len(sig) - 1, None)
-            sig, who, many = sig[keep], who[keep], many[keep]
+            use = np.repeat(crowd, count)
+            yield batch_of(lists, sig[use], who[use])
+            crowded = bool(goes_on and crowd[-1])
+            keep = slice(len(sig) - 1 if crowded else at[-1] if goes_on else len(sig), None)
+            sig, who = sig[keep], who[keep]
 
-    found = docs.mapInArrow(run, "sig bigint, a bigint, many boolean")
-    return found.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(group, LISTS)
+    found = docs.mapInArrow(run, "sig bigint, doc_id bigint")
+    return found.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(group, LISTS)
 
 
 def _with_end(batches):
@@ -278,6 +256,48 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _crowd_links(percent: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of sets of two blocks (or one) whose sketches leave room for the similarity, as many as join families."""
+        _, one, two = key
+        ids, size, family = (pdf[c].to_numpy() for c in ("rep", "n", "component"))
+        side = (pdf["block"] == two).to_numpy() if one != two else None
+        sketches = [np.frombuffer(x, np.uint8).astype(np.int32) for x in pdf["sketch"]]
+        width = min(len(x) for x in sketches)
+        cells = np.stack([np.minimum(x.reshape(width, -1).sum(axis=1), 255) for x in sketches])
+        root = {f: f for f in set(family.tolist())}
+
+        def find(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        links, whole = [], pdf["sketch"].tolist()
+        for i in range(len(ids)):
+            rest = slice(i + 1, None)
+            ok = (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])) & (family[rest] != family[i])
+            if side is not None:
+                ok &= side[rest] != side[i]
+            ok = np.flatnonzero(ok) + i + 1
+            apart = np.abs(cells[ok] - cells[i]).sum(axis=1)
+            for j in ok[apart * (100 + percent) <= (size[ok] + size[i]) * (100 - percent)].tolist():
+                a, b = find(int(family[i])), find(int(family[j]))
+                if a != b and _apart(whole[i], whole[j]) * (100 + percent) <= (size[i] + size[j]) * (100 - percent):
+                    root[max(a, b)] = min(a, b)
+                    links.append((int(ids[i]), int(ids[j])))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def _dealt(rows: DataFrame, group: str, node: str, blocks: DataFrame) -> DataFrame:
+    """``rows`` of each group dealt into its number of blocks, once for each pair of blocks (``one``, ``two``)."""
+    some = rows.join(blocks, group).withColumn("block", F.pmod(F.xxhash64(node), "blocks"))
+    some = some.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return some.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+
+
 def _block_links(percent: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Links that connect the sets of two blocks (or one), none between those connected already."""
@@ -327,24 +347,30 @@ def similar_components(df: DataFrame, size: int = 3, percent: int = 90, pieces:
     reps = named.where("doc_id is not null and n > 0").select("doc_id", "rep").distinct()
     sketches = named.where("doc_id = rep and n > 0").select("rep", "n", "sketch").distinct()  # an id's rows each with theirs
     shared = saved(_shared_lists(docs, size, percent, pieces), "lists")
-    member = shared.where("ids is not null").select("ids").distinct().select(F.xxhash64("ids").alias("list"), F.explode("ids").alias("doc_id"))
-    member = saved(member.join(reps, "doc_id").select("list", "rep").distinct(), "list-members")
+    few = shared.where("ids is not null").select("ids").distinct().select(F.xxhash64("ids").alias("list"), F.explode("ids").alias("doc_id"), F.lit(False).alias("many"))
+    crowds = saved(shared.where("ids is null").select(F.col("sig").alias("list"), "doc_id").join(reps, "doc_id").select("list", "rep").distinct(), "crowds")
+    # crowds of the same sets: one of them
+    alike = crowds.groupBy("list").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x"))
+    alike = saved(alike.where("c > 1").groupBy("c", "s", "x").agg(F.min("list").alias("list")).select("list"), "alike")
+    member = few.join(reps, "doc_id").select("list", "rep", "many").distinct().unionByName(crowds.join(alike, "list").withColumn("many", F.lit(True)))
+    member = saved(member, "list-members")
     first = member.groupBy("list").agg(F.min("rep").alias("b"))
     stars = member.join(first, "list").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
-    crowds = shared.where("ids is null").select("a", "b").distinct()
-    for c in ("a", "b"):
-        crowds = crowds.join(reps.select(F.col("doc_id").alias(c), F.col("rep").alias(f"r{c}")), c)
-    crowds = crowds.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b")
-    links = saved(_possible(stars, sketches, percent).unionByName(crowds).distinct(), "links")
+    links = saved(_possible(stars, sketches, percent), "links")
     families = saved(connected_components(links), "families")
     # sets of a list in different families
     placed = member.join(families.select(F.col("node").alias("rep"), "component"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("list")
-    placed = saved(placed.join(mixed, "list"), "mixed")
-    pairs = placed.select("list", F.col("rep").alias("a"), F.col("component").alias("x")).join(
-        placed.select("list", F.col("rep").alias("b"), F.col("component").alias("y")), "list").where("x < y").select("a", "b").distinct()
-    more = saved(_possible(pairs, sketches, percent), "more-links")
+    mixed = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x < y")
+    placed = saved(placed.join(mixed.select("list", "c"), "list"), "mixed")
+    some = placed.where("not many")
+    pairs = some.select("list", F.col("rep").alias("a"), F.col("component").alias("x")).join(
+        some.select("list", F.col("rep").alias("b"), F.col("component").alias("y")), "list").where("x < y").select("a", "b").distinct()
+    parts = placed.where("many").select("list", F.ceil(F.col("c") / BLOCK_SETS).alias("blocks")).distinct()
+    dealt = _dealt(placed.where("many").join(sketches, "rep"), "list", "rep", parts)
+    dealt = dealt.select("list", "one", "two", "rep", "n", "sketch", "component", "block")
+    more = _possible(pairs, sketches, percent).unionByName(dealt.groupBy("list", "one", "two").applyInPandas(_crowd_links(percent), "a bigint, b bigint"))
+    more = saved(more.distinct(), "more-links")
     if more.limit(1).count():
         families = saved(connected_components(links.unionByName(more)), "families")
     wanted = families.select(F.xxhash64("node").alias("h"))
@@ -360,9 +386,7 @@ def similar_components(df: DataFrame, size: int = 3, percent: int = 90, pieces:
 
     members = saved(some.mapInArrow(elements, "node bigint, n bigint, elements binary").where("n > 0").join(families, "node"), "members")
     blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).alias("blocks"))
-    dealt = members.join(saved(blocks, "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    dealt = dealt.select("component", "node", "elements", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "block", "elements")
+    dealt = _dealt(members, "component", "node", saved(blocks, "blocks")).select("component", "one", "two", "node", "block", "elements")
     links = dealt.groupBy("component", "one", "two").applyInPandas(_block_links(percent), "a bigint, b bigint")
     # an id whose rows have unequal sets links their classes
     ties = reps.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b")
