@@ -9,12 +9,15 @@ side asks for, before anything is aggregated.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.columns import first_token
 from .detectors import ANOMALY_COLS, EVIDENCE_TYPE
+from .numbering import materialized
 
 
 def binary_paths(processes: DataFrame) -> DataFrame:
@@ -75,6 +78,40 @@ def with_parent(processes: DataFrame) -> DataFrame:
     return processes.join(parents, ["collection_id", "ppid"], "left")
 
 
+def process_ancestry(processes: DataFrame) -> DataFrame:
+    """JOIN-4, all generations: (collection_id, pid, root_pid, depth, path) of every listed pid.
+
+    ``path`` holds the pids from the root to the process, ``depth`` counts its steps.  The root is the first
+    ancestor whose parent is not listed (null, 0, itself or unknown).  Processes on a cycle of parents, or below
+    one, have no root: null root and depth, an empty path.  As in ``with_parent`` the first listing row of a pid
+    stands for it.
+
+    Pointer doubling: each round joins every process to what its pointer knows, so paths double and a chain of
+    any depth takes log2(depth) joins; rounds are written, pairs that are done are not joined again."""
+    first = processes.where("pid is not null").groupBy("collection_id", "pid").agg(
+        F.min_by(F.struct("ppid"), F.struct("source_file", "line_no")).alias("p")).select("collection_id", "pid", F.col("p.ppid").alias("ppid"))
+    listed = first.select("collection_id", F.col("pid").alias("ppid"), F.lit(True).alias("known"))
+    pointers = first.join(listed, ["collection_id", "ppid"], "left")
+    up = F.when(F.col("known") & (F.col("ppid") != F.col("pid")) & (F.col("ppid") != 0), F.col("ppid"))
+    # ``path``: the process, last, after its ancestors below ``up``
+    now = materialized(pointers.select("collection_id", F.col("pid").cast("bigint").alias("pid"), up.cast("bigint").alias("up"),
+                                       F.array(F.col("pid").cast("bigint")).alias("path")), "ancestry")
+    while True:
+        done, open_ = now.where("up is null or up = -1"), now.where("up <> -1")
+        if not open_.limit(1).count():
+            break
+        above = now.select("collection_id", F.col("pid").alias("up"), F.col("up").alias("next"), F.col("path").alias("more"))
+        joined = open_.join(above, ["collection_id", "up"]).select(
+            "collection_id", "pid", F.col("next").alias("up"), F.concat("more", "path").alias("path"))
+        # a pid that comes again is on a cycle or below one: paths double until it does
+        cyclic = (F.size(F.array_distinct("path")) < F.size("path")) | (F.coalesce(F.col("up"), F.lit(0)) == -1)
+        joined = joined.select("collection_id", "pid", F.when(cyclic, F.lit(-1).cast("bigint")).otherwise(F.col("up")).alias("up"),
+                               F.when(cyclic, F.array().cast("array<bigint>")).otherwise(F.col("path")).alias("path"))
+        now = materialized(done.unionByName(joined), "ancestry")
+    root = F.when(F.size("path") > 0, F.element_at("path", 1))
+    return now.select("collection_id", "pid", root.alias("root_pid"), F.when(F.size("path") > 0, F.size("path") - 1).alias("depth"), "path")
+
+
 def hash_mismatches(hashes: DataFrame, bodyfile: DataFrame) -> DataFrame:
     """JOIN-5: hash-list md5 differs from the bodyfile md5 of the same path ('0' skipped)."""
     h = hashes.where(F.col("md5").isNotNull()).select("collection_id", F.col("filepath").alias("name"),
@@ -109,21 +146,29 @@ def failures_before(events: DataFrame, key: str, ts: str, is_failure, is_success
     """DET-X5: success events preceded by >= ``min_failures`` failures of the same
     key within ``horizon_seconds`` (failure time in [t - horizon, t)).
 
-    Windows run per (key, day-slice): every failure is also copied into the
-    next slice, so each window partition holds at most two slices of one key
-    rather than the key's whole history.
+    Time is cut into cells of a minute (or a shorter divisor of the horizon).  Failures are
+    counted per (key, cell), pre-aggregated; the cells that lie wholly within the horizon
+    are summed over these counts, and only the two cells at its ends are compared by time:
+    the success's own, and the one a horizon earlier, whose failures are moved onto it.
+    So no window holds more than the events of one key in two cells.
     """
-    width = horizon_seconds * 1_000_000
+    cell = math.gcd(horizon_seconds, 60)
+    back, size, width = horizon_seconds // cell, cell * 1_000_000, horizon_seconds * 1_000_000
     ev = events.select(F.col(key).alias("_k"), F.col(id_col).alias("_id"),
                        F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"),
                        is_failure.alias("_fail"), is_success.alias("_ok"))
-    ev = ev.where(F.col("_fail") | F.col("_ok")).withColumn("_slice", F.floor(F.col("_t") / width))
-    carried = ev.where(F.col("_fail")).withColumn("_slice", F.col("_slice") + 1).withColumn("_ok", F.lit(False))
-    own = ev.withColumn("_own", F.lit(True))
-    allrows = own.unionByName(carried.withColumn("_own", F.lit(False)))
-    w = Window.partitionBy("_k", "_slice").orderBy("_t").rangeBetween(-width, -1)
-    counted = allrows.withColumn("_n", F.count(F.when(F.col("_fail"), F.lit(1))).over(w))
-    return counted.where(F.col("_own") & F.col("_ok") & (F.col("_n") >= min_failures)).select(
+    ev = ev.where((F.col("_fail") | F.col("_ok")) & F.col("_t").isNotNull()).withColumn("_cell", F.floor(F.col("_t") / size))
+    cells = ev.groupBy("_k", "_cell").agg(F.count(F.when(F.col("_fail"), 1)).alias("_c"), F.max("_ok").alias("_any"))
+    inner = F.lit(0) if back < 2 else F.sum("_c").over(Window.partitionBy("_k").orderBy("_cell").rangeBetween(1 - back, -1))
+    cells = cells.withColumn("_inner", F.coalesce(inner, F.lit(0))).where("_any").select("_k", "_cell", "_inner")
+    moved = ev.where("_fail").select("_k", F.lit(None).cast(ev.schema["_id"].dataType).alias("_id"), (F.col("_t") + width).alias("_t"),
+                                     F.lit(False).alias("_fail"), F.lit(False).alias("_ok"), (F.col("_cell") + back).alias("_cell"), F.lit(True).alias("_old"))
+    near = ev.withColumn("_old", F.lit(False)).unionByName(moved).join(cells, ["_k", "_cell"])
+    w = Window.partitionBy("_k", "_cell").orderBy("_t")
+    last = F.count(F.when(F.col("_fail"), 1)).over(w.rangeBetween(Window.unboundedPreceding, -1))
+    old = F.count(F.when(F.col("_old"), 1)).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    counted = near.withColumn("_n", last + old + F.col("_inner"))
+    return counted.where(F.col("_ok") & (F.col("_n") >= min_failures)).select(
         F.col("_k").alias(key), F.col("_id").alias(id_col), F.col("_n").alias("failures"),
         F.timestamp_micros("_t").alias("ts"))
 

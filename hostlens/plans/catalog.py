@@ -315,6 +315,21 @@ def process_parent(spark, sf_dir):
     return j.select("collection_id", "source_file", "line_no", "pid", "ppid", "parent_command")
 
 
+@register("process_ancestry")
+def process_ancestry(spark, sf_dir):
+    """JOIN-4 over all generations: root, depth and path of each listed pid."""
+    found = en.process_ancestry(processes(spark, sf_dir))
+    return found.select("collection_id", "pid", "root_pid", F.col("depth").cast("bigint").alias("depth"),
+                        F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@register("timeline_range")
+def timeline_range(spark, sf_dir):
+    """FIL-7 on the merged timeline: events of an inclusive time range."""
+    events = tl.filter_range(tl.log_events(event_logs(spark, sf_dir)), "2024-01-02 00:00:00", "2024-01-09 12:00:00")
+    return events.select("collection_id", ts_text("timestamp").alias("timestamp"), "source_file", "line_no", "message")
+
+
 PIVOT_SECONDS = 300
 
 

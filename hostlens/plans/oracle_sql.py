@@ -524,6 +524,21 @@ SELECT p.collection_id, p.source_file, p.line_no, p.pid, p.ppid, par.parent_comm
 FROM p LEFT JOIN par ON p.collection_id = par.collection_id AND p.ppid = par.pid
 """
 
+PROCESS_ANCESTRY = f"""
+WITH RECURSIVE lst AS ({PROC_EXPECTED}),
+one AS (SELECT collection_id, pid, first(ppid ORDER BY source_file, line_no) AS ppid FROM lst WHERE pid IS NOT NULL GROUP BY collection_id, pid),
+up AS (SELECT a.collection_id, a.pid, b.pid AS up
+       FROM one a LEFT JOIN one b ON b.collection_id = a.collection_id AND b.pid = a.ppid AND b.pid <> a.pid AND b.pid <> 0),
+walk AS (
+  SELECT collection_id, pid, up AS next, [pid] AS path FROM up
+  UNION ALL
+  SELECT w.collection_id, w.pid, up.up, list_prepend(up.pid, w.path)
+  FROM walk w JOIN up ON up.collection_id = w.collection_id AND up.pid = w.next WHERE NOT list_contains(w.path, up.pid)
+)
+SELECT up.collection_id, up.pid, w.path[1] AS root_pid, CAST(len(w.path) - 1 AS BIGINT) AS depth, coalesce(array_to_string(w.path, '>'), '') AS path
+FROM up LEFT JOIN walk w ON w.collection_id = up.collection_id AND w.pid = up.pid AND w.next IS NULL
+"""
+
 EVENTS_AROUND_PIVOT = """
 SELECT a.user_id, a.event_id AS pivot_id, b.event_id, epoch_us(b.ts) - epoch_us(a.ts) AS delta_us
 FROM events a JOIN events b ON a.user_id = b.user_id
@@ -795,6 +810,11 @@ FROM b FULL JOIN p USING (collection_id) FULL JOIN c USING (collection_id) FULL
   FULL JOIN l USING (collection_id) FULL JOIN h USING (collection_id)
 """
 
+TIMELINE_RANGE = f"""
+SELECT collection_id, strftime(ts_parsed, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, source_file, line_no, message
+FROM ({LOG_EXPECTED}) WHERE ts_parsed BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-09 12:00:00'
+"""
+
 LOGS_BY_SOURCE = f"""
 WITH g AS (SELECT collection_id, regexp_extract(source_file, '[^/]*$') AS source, source_file, line_no,
              CASE WHEN ts_parsed IS NOT NULL THEN '[' || strftime(ts_parsed, '%Y-%m-%d %H:%M:%S') || '] '

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.columns import iso_text
 from ..operators import timeline as tl
+from ..operators.numbering import numbered
 
 
 def write_timesketch_jsonl(timeline: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -244,9 +245,11 @@ def structured_data(tables: dict[str, DataFrame], limit: int | None = None, comm
 
 def markdown_export(chunks: DataFrame, hostnames: DataFrame, n: int | None = None) -> DataFrame:
     """SNK-4: per collection a header and its chunks (producer order; with ``n`` the first), as ordered rows."""
-    w = Window.partitionBy("collection_id").orderBy("kind_rank", "group_rank", "segment", "ordinal", "chunk_id")
-    body = chunks.withColumn("_n", F.row_number().over(w))
-    body = body if n is None else body.where(F.col("_n") <= n)
+    order = ["kind_rank", "group_rank", "segment", "ordinal", "chunk_id"]
+    if n is None:
+        body = numbered(chunks.select("collection_id", *order, "artifact_type", "source", "content"), ["collection_id"], order, "_n")
+    else:
+        body = chunks.withColumn("_n", F.row_number().over(Window.partitionBy("collection_id").orderBy(*order))).where(F.col("_n") <= n)
     body = body.select("collection_id", F.col("_n").alias("seq"), F.concat(
         F.lit("## "), F.col("artifact_type"), F.lit(" — "), F.col("source"), F.lit("\n\n"), F.col("content"),
         F.lit("\n\n")).alias("text"))
@@ -263,8 +266,8 @@ def incident_report_rows(collections: DataFrame, anomalies: DataFrame, iocs: Dat
     """SNK-8 incident report as ordered rows ``(collection_id, seq, sub, text)``.
 
     ``answers`` (collection_id, summary, actions array) come from the answer
-    post-processing (PRM-3); ``iocs`` (collection_id, kind, value) are listed
-    at most 20 per kind; techniques are the distinct MITRE ids of the anomalies.
+    post-processing (PRM-3); ``iocs`` (collection_id, kind, value) are all
+    listed, in texts of bounded size; techniques are the distinct MITRE ids of the anomalies.
     """
     head = collections.select("collection_id", F.lit(0).alias("seq"), F.concat(
         F.lit("# Incident Report: Forensic Analysis: "), F.coalesce("hostname", F.lit("Unknown Host")),
