@@ -23,6 +23,7 @@ from ..operators import enrich as en
 from ..operators import files
 from ..operators import ioc
 from ..operators import prompts as pr
+from ..operators import pruned_search as ps
 from ..operators import retrieval as ret
 from ..operators import timeline as tl
 from ..session import ensure_engine_conf
@@ -389,9 +390,9 @@ def vector_topk(spark, sf_dir):
 @register("vector_topk_all")
 def vector_topk_all(spark, sf_dir):
     """RET-3: 5 nearest of all vectors to each vector whose id is divisible by 100."""
-    emb = d.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit(0).alias("scope"))
+    emb = d.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     qs = emb.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
-    hits = ret.knn(emb, qs, "scope", k=rules.HITS_PER_QUERY, id_col="vec_id", query_cols=["scope", "query_id"])
+    hits = ps.knn_blocks(emb, qs, k=rules.HITS_PER_QUERY, id_col="vec_id")
     return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id",
                        F.round("distance", 6).alias("distance"), F.round("score", 4).alias("score"))
 
