@@ -164,7 +164,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, k1, k2, sketch): the size, 128 bits and cell counts of every row's set."""
 
     def run(batches):
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             shingle, offsets = shingle_sets(*binary_view(batch.column(1)), size)
             k1, k2 = _set_keys(shingle, offsets)
             sketch = pa.array([_sketch(shingle[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
@@ -184,7 +184,7 @@ def _shared_lists(docs: DataFrame, size: int, percent: int, pieces: int) -> Data
     Equal sets of a slice go once.  Sorted signatures are read as a stream: a group of any size needs no room."""
 
     def run(batches):
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             shingle, offsets = shingle_sets(*binary_view(batch.column(1)), size)
@@ -378,7 +378,7 @@ def similar_components(df: DataFrame, size: int = 3, percent: int = 90, pieces:
     some = docs.where("doc_id is not null").where(may_contain(bit_table(wanted, bits), F.xxhash64("doc_id"), bits))
 
     def elements(batches):
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             shingle, offsets = shingle_sets(*binary_view(batch.column(1)), size)
             raw = shingle.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(
