@@ -1,20 +1,20 @@
 """Cross-entropy difference of two matched word-bigram models.
 
 The background model counts every document, the target model those named in the
-labels; order, smoothing and vocabulary are shared.  The vocabulary holds the
-words with at least ``word_share`` of all words, the rest is one unknown word;
-pairs with at least ``pair_share`` of all adjacent pairs keep counts of their
-own, the others fall back on single words.  Both shares are relative, so the
-models behave alike at every size, and bound what scoring needs: at most
-``1 / word_share`` words and ``1 / pair_share`` pairs, which are broadcast.
-Counting is a partial aggregate per slice of input before the shuffle.
-
-With both shares 0 every word and pair counts and no model is collected: a slice
+labels; order, smoothing and vocabulary are shared.  Every word and pair counts,
+so the models grow with the documents, and no model is collected: a slice
 of documents sends its distinct words and pairs with their numbers to
 buckets of the key space, a bucket adds them up and answers each slice with the
 totals, written as a table; the slice scores its texts with the answers.  A
 slice sends a key once, so a frequent key costs its bucket one number a slice.
-Keys are 63-bit hashes.
+Slices send at most one message a key and bucket, so messages never outnumber the
+rows of a plain aggregate by slice.  Keys are 63-bit hashes.
+
+On request the models are cut: the vocabulary then holds the words with at least
+``word_share`` of all words, the rest is one unknown word; pairs with at least
+``pair_share`` of all adjacent pairs keep counts of their own, the others fall
+back on single words.  This bounds what scoring needs, at most ``1 / word_share``
+words and ``1 / pair_share`` pairs, which are broadcast; it costs the rare words.
 
     p(w)     = (c(w) + 1) / (N + V)
     p(w | v) = (c(v w) + m p(w)) / (c(v .) + m)
@@ -98,9 +98,9 @@ def _collected(counts: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray,
     return kept["k"].to_numpy(np.int64), kept[["b", "t"]].to_numpy(np.int64), int(total[0]), int(total[1])
 
 
-def scores(df: DataFrame, targets: DataFrame, word_share: float = 3e-5, pair_share: float = 1e-6, smoothing: float = 100.0,
+def scores(df: DataFrame, targets: DataFrame, word_share: float = 0.0, pair_share: float = 0.0, smoothing: float = 100.0,
            id_col: str = "doc_id", text_col: str = "text", target_col: str = "doc_id") -> DataFrame:
-    """Losses and score of every row; ``targets`` names the target documents by id.  Shares of 0: nothing is cut."""
+    """Losses and score of every row; ``targets`` names the target documents by id.  Shares above 0 cut the models."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = targets.select(F.col(target_col).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct().withColumn("own", F.lit(True))
@@ -161,7 +161,6 @@ def scores(df: DataFrame, targets: DataFrame, word_share: float = 3e-5, pair_sha
 SLICE_BYTES = 5 << 19  # text of a slice
 BUCKET_BYTES = 4 << 20  # text per bucket of the key space
 ANSWERS = "slice bigint, bucket bigint, counts binary, n_words bigint, b bigint, t bigint"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ONE = np.uint64(1)
 _FIRST = np.uint64(0xA0761D6478BD642F)
 
@@ -229,13 +228,7 @@ def _whole_scores(flagged: DataFrame, smoothing: float) -> DataFrame:
             "n_words": first * int(word.sum()), "b": first * int(total[word, 0].sum()), "t": first * int(total[word, 1].sum())})
 
     sent = docs.groupBy("slice").applyInArrow(send, "slice bigint, bucket bigint, keys binary, counts binary")
-    spark = flagged.sparkSession
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")  # what was sent is not needed once the answers are written
-    try:
-        answers = saved(sent.groupBy("bucket").applyInArrow(answer, ANSWERS), "answers")
-    finally:
-        spark.conf.set(CLEANUP, before)
+    answers = saved(sent.groupBy("bucket").applyInArrow(answer, ANSWERS), "answers")
     known, *n = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "b", "t")]).first()
 
     def score(table, replies):

@@ -24,14 +24,14 @@ WITH d AS (
   FROM documents
 ), tok AS (SELECT doc_id, own, i, w[i] AS w FROM d, unnest(range(1, len(w) + 1)) AS r(i)),
 n AS (SELECT count(*) AS b, count(*) FILTER (own) AS t FROM tok),
-voc AS (SELECT w FROM tok GROUP BY w HAVING count(*) >= 3e-5 * (SELECT b FROM n)),
+voc AS (SELECT w FROM tok GROUP BY w),
 size AS (SELECT count(*) + 1 AS v FROM voc),
 num AS (SELECT doc_id, own, i, coalesce(voc.w, '') AS w FROM tok LEFT JOIN voc USING (w)),
 one AS (
   SELECT w, (count(*) + 1.0::DOUBLE) / (n.b + v) AS pb, (count(*) FILTER (own) + 1.0::DOUBLE) / (n.t + v) AS pt
   FROM num, n, size GROUP BY w, n.b, n.t, v
 ), two AS (SELECT a.doc_id, a.own, a.i, p.w AS v, a.w FROM num a JOIN num p ON p.doc_id = a.doc_id AND p.i = a.i - 1),
-pair AS (SELECT v, w, count(*) AS b, count(*) FILTER (own) AS t FROM two GROUP BY v, w HAVING count(*) >= 1e-6 * (SELECT count(*) FROM two)),
+pair AS (SELECT v, w, count(*) AS b, count(*) FILTER (own) AS t FROM two GROUP BY v, w),
 ctx AS (SELECT v, sum(b) AS b, sum(t) AS t FROM pair GROUP BY v),
 loss AS (
   SELECT num.doc_id,
@@ -45,14 +45,7 @@ FROM d LEFT JOIN loss ON loss.doc_id = d.doc_id GROUP BY d.doc_id, len(d.w)
 """
 
 
-def op1_lm_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op1_lm_score, by the counts of all words and pairs."""
-    targets = table(spark, sf_dir, "labels").where("quality = 1")
-    return lm_score.scores(table(spark, sf_dir, "documents"), targets, word_share=0.0, pair_share=0.0).select(
-        "doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
-
-
-OP1_ALL_SQL = OP1_SQL.replace(" HAVING count(*) >= 3e-5 * (SELECT b FROM n)", "").replace(" HAVING count(*) >= 1e-6 * (SELECT count(*) FROM two)", "")
+op1_lm_score_all, OP1_ALL_SQL = op1_lm_score, OP1_SQL  # the earlier name of the uncut query
 
 
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,9 +111,10 @@ def _resolve(window: int):
 RESULT = "doc_id bigint, tie bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
-def remove_repeats(df: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None,
+                   whole_characters: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, ``kept`` (binary; null: the whole text), and
-    ``digest``, the text's hexadecimal SHA-256."""
+    ``digest``, the text's hexadecimal SHA-256.  With ``whole_characters`` a character of which a byte goes goes whole."""
     spark = df.sparkSession
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
                      F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -131,6 +132,9 @@ def remove_repeats(df: DataFrame, window: int = 400, id_col: str = "doc_id", tex
                 tie = runs.tie_of(hashlib.sha256(own.tobytes()).hexdigest())
                 gone = runs.covered([f["ranges"] for f in found if f["tie"] == tie], window, len(own))
                 if gone.any():
+                    if whole_characters:
+                        character = np.cumsum(own & 0xC0 != 0x80) - 1
+                        gone = (np.bincount(character, weights=gone) > 0)[character]
                     rows.append((doc, tie, int(gone.sum()), len(runs.as_ranges(gone)), own[~gone].tobytes()))
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
