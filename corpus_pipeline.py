@@ -5,10 +5,12 @@ and returns the documents that it keeps, with the columns of ``documents``.  The
 last returns the token ids of what is left.
 
 1. ``language``: documents without a letter, and those whose best language gets
-   under half of the probability, go.
+   under half of the probability, go.  Where no row has a label there is nothing
+   to learn from, and all documents with a letter stay.
 2. ``near_duplicates``: of each group of documents linked by word shingles (five
    words, similarity of at least 0.8) the one of least id stays.  Rows without
-   an id join no group and stay; of rows that share an id one stays.
+   an id join no group and stay; rows that share an id are documents of their own
+   if their texts differ (of a group's, the one of least hash stays, before others).
 3. ``repeated_substrings``: bytes of strings of 200 bytes that occur again
    anywhere go (a passage of 50 words has more); bytes of characters cut in two
    go with them.
@@ -36,30 +38,37 @@ REPEAT_BYTES = 200
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    found = langid.predict(docs, langid.train(docs))
+    network = langid.train(docs)
+    if network is None:
+        return docs.where(langid.has_letter(F.col("text")))
+    found = langid.predict(docs, network)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    groups = saved(partenum.similar_components(docs, size=SHINGLE, percent=PERCENT, pieces=2), "groups")
-    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("least"))
-    odd = saved(ids.where("rows > 1 or doc_id <> least"), "odd")  # not the only row of its group's least id
+    shared = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "shared-ids")
+    # rows of a shared id are known by a negative number of (id, text) each
+    docs = docs.join(shared.withColumn("is_shared", F.lit(True)), "doc_id", "left")
+    own = F.lit(-1).cast("bigint") - F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**63 - 1))
+    docs = docs.select(*COLUMNS, F.when(F.col("is_shared"), own).otherwise(F.col("doc_id")).alias("key"))
+    groups = saved(partenum.similar_components(docs, size=SHINGLE, percent=PERCENT, pieces=2, id_col="key"), "groups")
+    keys = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("rows"), F.min("component_id").alias("least"))
+    odd = saved(keys.where("rows > 1 or key <> least"), "odd")  # not the only row of its group's least key
     # texts that are surely not among them need no shuffle
     bits = table_bits(odd.count())
-    maybe = F.coalesce(may_contain(bit_table(odd.select(F.xxhash64("doc_id").alias("h")), bits), F.xxhash64("doc_id"), bits), F.lit(False))
-    maybe = maybe & F.col("doc_id").isNotNull()
-    some = docs.where(maybe).join(odd.select("doc_id", "least"), "doc_id", "left")
-    some = some.where(F.col("least").isNull() | (F.col("least") == F.col("doc_id"))).select(*COLUMNS)
-    one = some.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
-    return docs.where(~maybe).unionByName(one)
+    maybe = F.coalesce(may_contain(bit_table(odd.select(F.xxhash64("key").alias("h")), bits), F.xxhash64("key"), bits), F.lit(False))
+    maybe = maybe & F.col("key").isNotNull()
+    some = docs.where(maybe).join(odd.select("key", "least"), "key", "left")
+    some = some.where(F.col("least").isNull() | (F.col("least") == F.col("key"))).select("key", *COLUMNS)
+    one = some.groupBy("key").agg(F.min(F.struct("text", "doc_id", "lang", "source", "n_chars")).alias("x")).select("x.*")
+    return docs.where(~maybe).select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring_sa.remove_repeats(docs, window=REPEAT_BYTES).where("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("cut_id"), F.col("digest").alias("cut_digest"), "kept").dropDuplicates(["cut_id", "cut_digest"])
-    whole = F.udf(lambda kept: bytes(kept).decode(errors="ignore"), "string")  # without the bytes of characters cut in two
-    cut = cut.withColumn("kept", whole("kept"))
+    cut = substring_sa.remove_repeats(docs, window=REPEAT_BYTES, whole_characters=True).where("n_removed > 0")
+    cut = cut.select(F.col("doc_id").alias("cut_id"), F.col("digest").alias("cut_digest"), F.col("kept").cast("string").alias("kept"))
+    cut = cut.dropDuplicates(["cut_id", "cut_digest"])
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     both = docs.select(*COLUMNS).join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (digest == F.col("cut_digest")), "left")
     text = F.coalesce("kept", "text")
