@@ -54,7 +54,7 @@ def shingle_sets(raw: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.nda
     shingle = np.full(len(word), np.uint64(size))
     for k in range(size):  # short rows: the words there are, then nothing
         part = np.zeros(len(word), np.uint64)
-        part[:len(word) - k] = word[k:]
+        part[:max(len(word) - k, 0)] = word[k:]
         inside = np.arange(len(word)) + k < first[row + 1]
         shingle = mix64(shingle * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, part, np.uint64(0)))
     keep = np.arange(len(word)) < first[row] + np.maximum(n_words[row] - size + 1, 1)

@@ -57,6 +57,8 @@ def window_runs(grams: np.ndarray, first: np.ndarray, end: np.ndarray, window: i
 def recurs(grams: np.ndarray, at: np.ndarray, least: np.ndarray, cut: np.ndarray, per_window: int) -> np.ndarray:
     """For each run (beginning at ``cut``), whether its minimiser stands at two places or more within it,
     so that the run may hold equal windows itself (periodic text)."""
+    if not len(cut):  # no text is as long as a window
+        return np.zeros(0, bool)
     m = np.zeros(len(grams) + per_window - 1, np.uint64)
     m[at + per_window - 1] = least
     places = np.flatnonzero(grams == sliding_min(m, per_window, np.maximum))

@@ -169,3 +169,12 @@ def test_op9_equals_sql(spark):
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in registry.op9_jaccard_join(spark, "/root/testdata/sf0.001").collect()]
     assert sorted(got) == sorted(con.execute(registry.OP9_SQL).fetchall())
+
+
+def test_batches_shorter_than_a_shingle():
+    """A batch of two words and shingles of five: each row is its whole sequence."""
+    for texts in (["some words"], ["one", "", "two"], [""]):
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        _, offsets = partenum.shingle_sets(raw, starts, 5)
+        assert np.diff(offsets).tolist() == [1 if t else 0 for t in texts]
