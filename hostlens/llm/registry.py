@@ -45,7 +45,12 @@ FROM d LEFT JOIN loss ON loss.doc_id = d.doc_id GROUP BY d.doc_id, len(d.w)
 """
 
 
-op1_lm_score_all, OP1_ALL_SQL = op1_lm_score, OP1_SQL  # the earlier name of the uncut query
+def op1_lm_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier name of the uncut query."""
+    return op1_lm_score(spark, sf_dir)
+
+
+OP1_ALL_SQL = OP1_SQL
 
 
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
