@@ -35,8 +35,8 @@ FLUSH_BYTES = 16 << 20
 TOP = np.uint64(1 << 63)
 
 SCAN = "row bigint, doc_id bigint, tie bigint, digest string, n bigint, mins array<bigint>, starts array<bigint>"
-SHIPPED = "bucket int, blob binary, doc_id bigint, tie bigint, ranges binary"
-MARKS = "doc_id bigint, tie bigint, ranges binary"
+SHIPPED = "bucket int, blob binary, doc_id bigint, tie bigint, span int, ranges binary"
+MARKS = "doc_id bigint, tie bigint, span int, ranges binary"  # span: the length of the marked windows
 
 
 def tie_of(digest: str) -> int:
@@ -139,10 +139,11 @@ def unpack(blob: bytes) -> list[tuple]:
 
 
 def ship(docs: DataFrame, windows: Callable, window: int, per_window: int, found: tuple, buckets: int,
-         later_only: bool) -> DataFrame:
+         later_only: bool, reach: int | None = None) -> DataFrame:
     """Packed runs by bucket, and (bucket null) what equal runs of a slice settle already.
 
-    With ``later_only`` the first of equal runs is not marked for the others' sake; else all are."""
+    With ``later_only`` the first of equal runs is not marked for the others' sake; else all are.  With ``reach``,
+    a longer window, strings go on so that each of a run's places has that many positions, if its row has them."""
     repeated, hot = (docs.sparkSession.sparkContext.broadcast(x) for x in found)  # 2 MB at most each
 
     def run(batches):
@@ -150,12 +151,12 @@ def ship(docs: DataFrame, windows: Callable, window: int, per_window: int, found
         size = 0
 
         def flush():
-            rows = [(b, pack(r), None, None, None) for b, r in sorted(waiting.items())]
+            rows = [(b, pack(r), None, None, None, None) for b, r in sorted(waiting.items())]
             waiting.clear()
             return rows
 
         for batch in slices(batches, "text", 2 << 20):
-            digests, _, (at, row, least, first, grams), content = windows(*binary_view(batch.column(2)))
+            digests, length, (at, row, least, first, grams), content = windows(*binary_view(batch.column(2)))
             ids = [NO_ID if i is None else i for i in batch.column(1).to_pylist()]
             ties = [tie_of(d) for d in digests]
             seen: dict = {}
@@ -171,14 +172,19 @@ def ship(docs: DataFrame, windows: Callable, window: int, per_window: int, found
                 key = sliding_min(grams, per_window)[at]
             cut = _cuts(row, key, at - np.arange(len(at)))
             many = np.diff(np.append(cut, len(at)))
-            local: dict[bytes, list] = {}
-            for a, r, k, m in zip(at[cut].tolist(), row[cut].tolist(), key[cut].view(np.int64).tolist(), many.tolist()):
-                local.setdefault(content(a, a + m - 1 + window), []).append((ids[r], ties[r], a - int(first[r]), m, k))
+            stop = at[cut] + many - 1 + window
+            if reach:
+                stop = np.minimum(stop + reach - window, (first + length)[row[cut]])
+            local: dict[tuple[bytes, int], list] = {}
+            for a, e, r, k, m in zip(at[cut].tolist(), stop.tolist(), row[cut].tolist(), key[cut].view(np.int64).tolist(), many.tolist()):
+                local.setdefault((content(a, e), m), []).append((ids[r], ties[r], a - int(first[r]), m, k))
             rows = []
-            for text, places in local.items():
+            for (text, m), places in local.items():
                 places.sort()
-                for doc, tie, start, m, _ in places[1 if later_only else 0:] if len(places) > 1 else []:
-                    rows.append((None, None, doc, tie, np.array([start, start + m], np.int64).tobytes()))
+                for doc, tie, start, *_ in places[1 if later_only else 0:] if len(places) > 1 else []:
+                    rows.append((None, None, doc, tie, window, np.array([start, start + m], np.int64).tobytes()))
+                    if reach and len(text) >= reach:
+                        rows.append((None, None, doc, tie, reach, np.array([start, start + min(m, len(text) - reach + 1)], np.int64).tobytes()))
                 bucket = int(mix64(np.array([places[0][4]], np.int64).view(np.uint64))[0] % np.uint64(buckets))
                 waiting.setdefault(bucket, []).append((*places[0], len(places) > 1, text))
                 size += len(text)
@@ -191,28 +197,29 @@ def ship(docs: DataFrame, windows: Callable, window: int, per_window: int, found
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 5
-    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["bucket", "blob", "doc_id", "tie", "ranges"])
+    cols = list(zip(*rows)) or [()] * 6
+    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["bucket", "blob", "doc_id", "tie", "span", "ranges"])
 
 
 def marks(shipped: DataFrame, resolve: Callable) -> DataFrame:
-    """(doc_id, tie, ranges) of marked windows: ``resolve(records)`` gives (doc_id, tie, int64 pairs)."""
+    """(doc_id, tie, span, ranges) of marked windows: ``resolve(records)`` gives (doc_id, tie, span, int64 pairs)."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         records = [r for blob in group.column("blob").to_pylist() for r in unpack(blob)]
         found = resolve(records)
         return pa.Table.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
-                                     pa.array([f[2].tobytes() for f in found], pa.binary())], ["doc_id", "tie", "ranges"])
+                                     pa.array([f[2] for f in found], pa.int32()),
+                                     pa.array([f[3].tobytes() for f in found], pa.binary())], ["doc_id", "tie", "span", "ranges"])
 
-    there = shipped.where("bucket is null").select("doc_id", "tie", "ranges")
+    there = shipped.where("bucket is null").select("doc_id", "tie", "span", "ranges")
     return shipped.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(run, MARKS).unionByName(there)
 
 
 def marked_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, text, found) of the documents with marks; ``found`` lists (tie, ranges)."""
+    """(doc_id, text, found) of the documents with marks; ``found`` lists (tie, span, ranges)."""
     found = saved(found, "marks")
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("tie", "ranges")).alias("found"))
+    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("tie", "span", "ranges")).alias("found"))
     wanted = found.select(F.xxhash64("doc_id").alias("h")).distinct()
     bits = table_bits(wanted.count())
     words = bit_table(wanted, bits)

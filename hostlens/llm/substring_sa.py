@@ -5,8 +5,15 @@ well, in this document or another, is removed.  Windows that may be repeated
 travel in strings to the bucket of their minimiser (see ``runs``); there the
 strings of each minimiser are joined to shards of bounded size, a suffix array
 is built by induced sorting, permuted common prefixes are computed, and windows
-whose suffixes share ``window`` bytes with a neighbour are repeated.  Documents
-with equal texts are settled by their digest.
+whose suffixes share ``window`` bytes with a neighbour are repeated.  Strings
+that share neither what stands before their minimiser nor what stands after it
+with any other are left out of the shards: they hold no repeated window.
+Documents with equal texts are settled by their digest.
+
+With ``noted``, a shorter window, the bytes covered by recurring strings of that
+length are counted too (and stay).  One pass finds both: the shorter windows'
+runs are shipped, each string going on for ``window`` bytes from its last place,
+and the permuted common prefixes tell both lengths.
 
 Defined results: null text is the empty text; texts shorter than the window lose
 nothing; every row of equal texts is removed whole, repeated rows included; rows
@@ -28,13 +35,15 @@ from .common import binary_view, mix64, saved, slices
 
 GRAM = 32
 SHARD_BYTES = 4 << 20
+POOL_BYTES = 4 << 20
 SEPARATOR = b"\xff"  # never in UTF-8
 
 
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """63-bit hash of the 32 bytes from each position (of whole grams only), by doubling."""
+def gram_hashes(raw: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """63-bit hash of the ``size`` (a power of two) bytes from each position (of whole grams only), by doubling."""
     h, have = raw.astype(np.uint64) + np.uint64(1), 1
-    for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63):
+    for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63,
+                   0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)[:size.bit_length() - 1]:
         if len(h) <= have:
             return np.zeros(0, np.uint64)
         h = h[:-have] * np.uint64(factor) + h[have:]
@@ -56,51 +65,110 @@ def _windows(window: int):
     return windows
 
 
-def repeated_windows(texts: list[bytes], window: int) -> list[np.ndarray]:
-    """For each of different strings, which of its windows occur again in any of them."""
+def repeated_windows(texts: list[bytes], places: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each string, which of its first ``places`` places begin a substring of each of ``lengths`` that also
+    begins at another such place of any of them.  The strings hold the least length from each of these places."""
     joined = np.frombuffer(SEPARATOR.join(texts) + SEPARATOR, np.uint8)
+    size = np.array([len(t) for t in texts])
+    first = np.cumsum(size + 1) - size - 1
     sa = sais.suffix_array(joined)
-    shared = sais.common_prefixes(joined, sa, window)
-    again = shared[sa] >= window
-    again[:-1] |= again[1:]  # with the one before or the one after
-    flags = np.zeros(len(joined), bool)
-    flags[sa] = again
-    out, at = [], 0
-    for t in texts:
-        out.append(flags[at:at + max(len(t) - window + 1, 0)])
-        at += len(t) + 1
+    shared = sais.common_prefixes(joined, sa, max(lengths))[sa]
+    depth = np.zeros(len(joined) + 1, np.int8)
+    depth[first] = 1
+    np.subtract.at(depth, first + np.array(places), 1)
+    among = np.flatnonzero(np.cumsum(depth)[sa])  # suffixes that begin at such a place
+    sa = sa[among]
+    least = np.zeros(len(sa), np.int64)
+    if len(sa) > 1:  # what it shares with the one before it among these
+        least[1:] = np.minimum.reduceat(shared[:among[-1] + 1], among[:-1] + 1)
+    out = [[] for _ in texts]
+    for length in lengths:
+        again = least >= length
+        again[:-1] |= again[1:]  # with the one before or the one after
+        flags = np.zeros(len(joined), bool)
+        flags[sa] = again
+        for found, at, n, m in zip(out, first.tolist(), size.tolist(), places):
+            found.append(flags[at:at + max(min(m, n - length + 1), 0)])
     return out
 
 
-def _resolve(window: int):
+def may_recur(texts: list[bytes], keys: list[int], window: int) -> np.ndarray:
+    """Whether a string may hold a window that another string of its key, or itself elsewhere, holds too.
+
+    Such windows agree on what stands right before the key's gram or on what stands right after it, for half of
+    the window's other bytes at least."""
+    if window < GRAM + 2:
+        return np.ones(len(texts), bool)
+    joined = np.frombuffer(SEPARATOR.join(texts) + SEPARATOR, np.uint8)
+    size = np.array([len(t) for t in texts])
+    end = np.cumsum(size + 1) - 1
+    text = np.repeat(np.arange(len(texts)), size + 1)
+    key = (np.array(keys, np.int64) & (2**63 - 1)).astype(np.uint64)
+    grams = gram_hashes(joined)
+    at = np.flatnonzero(grams == key[text[:len(grams)]])
+    at = at[at + GRAM <= end[text[at]]]
+    side = 1 << min(((window - GRAM) // 2).bit_length() - 1, 7)
+    about = gram_hashes(joined, side)
+    some = np.zeros(len(texts), bool)
+    for place in (at - side, at + GRAM):
+        who = text[at]
+        inside = (place >= (end - size)[who]) & (place + side <= end[who])
+        who, place = who[inside], place[inside]
+        h = mix64(about[place] ^ mix64(key[who]))
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        some[who[order][1:][same]] = some[who[order][:-1][same]] = True
+    return some
+
+
+def _resolve(window: int, longer: int):
+    lengths = (window,) if longer == window else (window, longer)
+
     def resolve(records: list[tuple]) -> list[tuple]:
-        by_key: dict[int, dict[bytes, dict]] = {}
-        for doc, tie, start, _, key, known, text in records:
-            places = by_key.setdefault(key, {}).setdefault(text, {})
+        by_key: dict[int, dict[tuple[bytes, int], dict]] = {}
+        for doc, tie, start, many, key, known, text in records:
+            places = by_key.setdefault(key, {}).setdefault((text, many), {})
             places[doc, tie, start] = places.get((doc, tie, start), False) or known
-        out, shard, size = [], [], 0
+        out, pool, shard = [], [], []
 
         def finish():
-            for (_, places), flags in zip(shard, repeated_windows([t for t, _ in shard], window)):
-                if flags.any():
-                    pairs = runs.as_ranges(flags)
-                    out.extend((doc, tie, pairs + start) for doc, tie, start in places)
+            for (_, _, places), found in zip(shard, repeated_windows([t for t, _, _ in shard], [m for _, m, _ in shard], lengths)):
+                for length, flags in zip(lengths, found):
+                    if flags.any():
+                        pairs = runs.as_ranges(flags)
+                        out.extend((doc, tie, length, pairs + start) for doc, tie, start in places)
             shard.clear()
 
+        def sift():
+            """Strings of the pool that may hold repeated windows go to shards, those of a key together."""
+            size, last = sum(len(t) for t, _, _ in shard), None
+            for (key, text, many, places), keep in zip(pool, may_recur([t for _, t, _, _ in pool], [k for k, *_ in pool], window).tolist()):
+                if keep:
+                    if size > SHARD_BYTES and key != last:
+                        finish()
+                        size = 0
+                    shard.append((text, many, places))
+                    size += len(text)
+                    last = key
+            pool.clear()
+
+        size = 0
         for key, texts in by_key.items():
-            for text, places in texts.items():
+            for (text, many), places in texts.items():
                 if len(places) > 1:  # equal strings: all their windows are repeated (known ones are marked already)
-                    whole = np.array([[0, len(text) - window + 1]], np.int64)
-                    out += [(doc, tie, whole + start) for doc, tie, start in places]
-            only = next(iter(texts)) if len(texts) == 1 else None
-            grams = gram_hashes(np.frombuffer(only, np.uint8)) if only is not None and len(texts[only]) == 1 else ()
-            if only is None or np.count_nonzero(grams == np.uint64(key & (2**63 - 1))) > 1:
-                # strings settled as a whole stay in the shard, for the others to be found by
-                shard += [(t, list(p) if len(p) == 1 and not any(p.values()) else []) for t, p in texts.items()]
-                size += sum(map(len, texts))
-                if size > SHARD_BYTES:
-                    finish()
-                    size = 0
+                    for length in lengths:
+                        n = min(many, len(text) - length + 1)
+                        if n > 0:
+                            whole = np.array([[0, n]], np.int64)
+                            out += [(doc, tie, length, whole + start) for doc, tie, start in places]
+                # strings settled as a whole stay, for the others to be found by
+                pool.append((key, text, many, list(places) if len(places) == 1 and not any(places.values()) else []))
+                size += len(text)
+            if size > POOL_BYTES:
+                sift()
+                size = 0
+        if pool:
+            sift()
         if shard:
             finish()
         return out
@@ -108,20 +176,23 @@ def _resolve(window: int):
     return resolve
 
 
-RESULT = "doc_id bigint, tie bigint, n_removed bigint, n_spans bigint, kept binary"
+RESULT = "doc_id bigint, tie bigint, n_removed bigint, n_spans bigint, n_noted bigint, kept binary"
 
 
 def remove_repeats(df: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None,
-                   whole_characters: bool = False) -> DataFrame:
+                   whole_characters: bool = False, noted: int | None = None) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, ``kept`` (binary; null: the whole text), and
-    ``digest``, the text's hexadecimal SHA-256.  With ``whole_characters`` a character of which a byte goes goes whole."""
+``digest``, the text's hexadecimal SHA-256; ``n_noted`` counts the bytes in recurring strings of ``noted`` bytes
+    (at most ``window``; by default ``window``).  With ``whole_characters`` a character of which a byte goes goes whole."""
     spark = df.sparkSession
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
                      F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    windows = _windows(window)
-    scanned = runs.scan(docs, windows, window - GRAM + 1)
-    shipped = runs.ship(docs, windows, window, window - GRAM + 1, runs.tables(scanned), buckets, later_only=False)
+    noted = min(noted or window, window)
+    windows = _windows(noted)
+    scanned = runs.scan(docs, windows, noted - GRAM + 1)
+    shipped = runs.ship(docs, windows, noted, noted - GRAM + 1, runs.tables(scanned), buckets, later_only=False,
+                        reach=window if noted < window else None)
 
     def cut(batches):
         for batch in slices(batches, "text", 4 << 20):
@@ -130,24 +201,28 @@ def remove_repeats(df: DataFrame, window: int = 400, id_col: str = "doc_id", tex
             for i, (doc, found) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("found").to_pylist())):
                 own = raw[starts[i]:starts[i + 1]]
                 tie = runs.tie_of(hashlib.sha256(own.tobytes()).hexdigest())
-                gone = runs.covered([f["ranges"] for f in found if f["tie"] == tie], window, len(own))
-                if gone.any():
-                    if whole_characters:
-                        character = np.cumsum(own & 0xC0 != 0x80) - 1
-                        gone = (np.bincount(character, weights=gone) > 0)[character]
-                    rows.append((doc, tie, int(gone.sum()), len(runs.as_ranges(gone)), own[~gone].tobytes()))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                                             ["doc_id", "tie", "n_removed", "n_spans", "kept"])
-
-    texts = runs.marked_texts(docs, runs.marks(shipped, _resolve(window)))
+                some, gone = (runs.covered([f["ranges"] for f in found if f["tie"] == tie and f["span"] == span], span, len(own))
+                              for span in (noted, window))
+                if gone.any() and whole_characters:
+                    character = np.cumsum(own & 0xC0 != 0x80) - 1
+                    gone = (np.bincount(character, weights=gone) > 0)[character]
+                if some.any():
+                    rows.append((doc, tie, int(gone.sum()), len(runs.as_ranges(gone)), int(some.sum()), own[~gone].tobytes() if gone.any() else None))
+            cols = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 5, pa.binary()))],
+                                             ["doc_id", "tie", "n_removed", "n_spans", "n_noted", "kept"])
+
+    texts = runs.marked_texts(docs, runs.marks(shipped, _resolve(noted, window)))
     found = texts.mapInArrow(cut, RESULT).dropDuplicates(["doc_id", "tie"])
-    found = found.select(F.col("doc_id").alias("key"), "tie", "n_removed", "n_spans", "kept")
-    copies = saved(scanned.where(F.col("n") >= window).groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1").select("digest"), "copies")
+    found = found.select(F.col("doc_id").alias("key"), "tie", "n_removed", "n_spans", "n_noted", "kept")
+    copies = saved(scanned.where(F.col("n") >= noted).groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1").select("digest"), "copies")
     base = scanned.select("doc_id", "tie", "digest", F.col("n").alias("n_bytes"), F.coalesce("doc_id", F.lit(runs.NO_ID)).alias("key"))
-    out = base.join(copies.withColumn("whole", F.lit(True)), "digest", "left").join(found, ["key", "tie"], "left")
-    whole, some = F.col("whole").isNotNull(), F.col("n_removed").isNotNull()
-    kept = F.when(whole, F.lit(b"")).when(some, F.col("kept"))
-    return out.select("doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).when(some, F.col("n_removed")).otherwise(F.lit(0)).alias("n_removed"),
-                      F.when(whole, F.lit(1)).when(some, F.col("n_spans")).otherwise(F.lit(0)).cast("bigint").alias("n_spans"),
-                      F.when(whole | some, F.sha2(kept, 256)).otherwise(F.col("digest")).alias("kept_sha256"), kept.alias("kept"), "digest")
+    out = base.join(copies.withColumn("copied", F.lit(True)), "digest", "left").join(found, ["key", "tie"], "left")
+    copied, size = F.col("copied").isNotNull(), F.col("n_bytes")
+    whole = copied & (size >= window)
+    kept = F.when(whole, F.lit(b"")).otherwise(F.col("kept"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return out.select("doc_id", "n_bytes", F.when(whole, size).otherwise(count("n_removed")).alias("n_removed"),
+                      F.when(whole, F.lit(1)).otherwise(count("n_spans")).cast("bigint").alias("n_spans"),
+                      F.when(kept.isNotNull(), F.sha2(kept, 256)).otherwise(F.col("digest")).alias("kept_sha256"), kept.alias("kept"), "digest",
+                      F.when(copied, size).otherwise(count("n_noted")).alias("n_noted"))

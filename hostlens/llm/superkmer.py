@@ -91,14 +91,14 @@ def _resolve(window: int):
         def finish():
             for (_, (doc, tie, start)), flags in zip(shard, later_windows(shard, window)):
                 if flags.any():
-                    out.append((doc, tie, runs.as_ranges(flags) + start))
+                    out.append((doc, tie, window, runs.as_ranges(flags) + start))
             shard.clear()
 
         for texts in by_key.values():
             for text, places in texts.items():
                 places = sorted(places)
                 whole = np.array([[0, text.count(b" ") + 2 - window]], np.int64)
-                out += [(doc, tie, whole + start) for doc, tie, start in places[1:]]  # all windows start earlier too
+                out += [(doc, tie, window, whole + start) for doc, tie, start in places[1:]]  # all windows start earlier too
                 shard.append((text, places[0]))
                 size += len(text)
             if size > SHARD_BYTES:

@@ -89,6 +89,14 @@ def _bytes(spark, docs, window=400, **how):
     assert sorted(map(tuple, got), key=str) == byte_model(docs, window)
 
 
+def _noted(spark, docs, window, noted, **how):
+    """Both lengths of one pass."""
+    got = substring_sa.remove_repeats(_frame(spark, docs), window, noted=noted, **how).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_noted").collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == byte_model(docs, window)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_noted) for r in got), key=str) == sorted((r[:3] for r in byte_model(docs, noted)), key=str)
+
+
 def _words(spark, docs, window=20, **how):
     got = superkmer.remove_later_windows(_frame(spark, docs), window, **how).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == word_model(docs, window)
@@ -117,6 +125,7 @@ EDGE = [(1, None), (2, ""), (3, " \t\n "), (4, "short one"), (5, "x " * 400), (6
 def test_edge_cases(spark):
     """Nulls, empty and short texts, periodic texts, rows of one id, repeated rows, odd white space, clashing columns."""
     _bytes(spark, EDGE)
+    _noted(spark, EDGE, 400, 200)
     _words(spark, EDGE)
     _words(spark, [(i, f"only {i} " + "a b c d e f g h i j k l m n o p q r s t u v") for i in range(30)])
 
@@ -125,6 +134,8 @@ def test_edge_cases(spark):
 def test_random_passages(spark, seed):
     docs = _passages(random.Random(seed), 60)
     _bytes(spark, docs, buckets=5)
+    _noted(spark, docs, 400, 200, buckets=5)
+    _noted(spark, docs, 150, 70)
     _words(spark, docs, buckets=5)
 
 
@@ -133,6 +144,7 @@ def test_frequent_minimisers(spark, monkeypatch):
     monkeypatch.setattr(runs, "HOT_RUNS", 2)
     docs = _passages(random.Random(7), 60)
     _bytes(spark, docs)
+    _noted(spark, docs, 400, 200)
     _words(spark, docs)
 
 
@@ -156,4 +168,16 @@ def test_op3_equals_sql(spark):
 def test_op8_equals_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     got = registry.op8_suffix_array(spark, "/root/testdata/sf0.01").collect()
-    assert sorted(map(tuple, got), key=str) == byte_model(docs, 400)
+    assert sorted((tuple(r)[:5] for r in got), key=str) == byte_model(docs, 400)
+    assert sorted((r.doc_id, r.n_repeated_200) for r in got) == sorted((r[0], r[2]) for r in byte_model(docs, 200))
+
+
+def test_strings_without_common_surroundings_are_left_out():
+    rng = random.Random(5)
+    gram, say = "the gram that is least of all 32", lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    key = int(substring_sa.gram_hashes(np.frombuffer(gram.encode(), np.uint8))[0])
+    side = say(90)
+    texts = [say(90) + gram + say(90), side + gram + say(90), side + gram + say(90), say(10) + gram + side, say(50) + gram + side,
+             say(100) + gram + say(100) + gram + say(20)]
+    assert substring_sa.may_recur([t.encode() for t in texts], [key] * 6, 200).tolist() == [False, True, True, True, True, False]
+    assert not substring_sa.may_recur([t.encode() for t in texts], [1] * 6, 200).any()
