@@ -6,8 +6,8 @@ travel in strings to the bucket of their minimiser (see ``runs``); there the
 strings of each minimiser are joined to shards of bounded size, a suffix array
 is built by induced sorting, permuted common prefixes are computed, and windows
 whose suffixes share ``window`` bytes with a neighbour are repeated.  Strings
-that share neither what stands before their minimiser nor what stands after it
-with any other are left out of the shards: they hold no repeated window.
+that share too little of what stands around their minimiser with any other are
+left out of the shards: they hold no repeated window.
 Documents with equal texts are settled by their digest.
 
 With ``noted``, a shorter window, the bytes covered by recurring strings of that
@@ -39,11 +39,10 @@ POOL_BYTES = 4 << 20
 SEPARATOR = b"\xff"  # never in UTF-8
 
 
-def gram_hashes(raw: np.ndarray, size: int = GRAM) -> np.ndarray:
-    """63-bit hash of the ``size`` (a power of two) bytes from each position (of whole grams only), by doubling."""
+def gram_hashes(raw: np.ndarray) -> np.ndarray:
+    """63-bit hash of the 32 bytes from each position (of whole grams only), by doubling."""
     h, have = raw.astype(np.uint64) + np.uint64(1), 1
-    for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63,
-                   0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)[:size.bit_length() - 1]:
+    for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63):
         if len(h) <= have:
             return np.zeros(0, np.uint64)
         h = h[:-have] * np.uint64(factor) + h[have:]
@@ -92,13 +91,13 @@ def repeated_windows(texts: list[bytes], places: list[int], lengths: tuple[int,
     return out
 
 
-def may_recur(texts: list[bytes], keys: list[int], window: int) -> np.ndarray:
-    """Whether a string may hold a window that another string of its key, or itself elsewhere, holds too.
+def may_recur(texts: list[bytes], keys: list[int], windows: tuple[int, ...]) -> list[np.ndarray]:
+    """For each of ``windows``, whether a string may hold a window that another string of its key, or itself
+    elsewhere, holds too.
 
-    Such windows agree on what stands right before the key's gram or on what stands right after it, for half of
-    the window's other bytes at least."""
-    if window < GRAM + 2:
-        return np.ones(len(texts), bool)
+    A window is the key's gram and ``window - GRAM`` bytes around it.  Cut into grams before and after that one,
+    these make ``n`` whole grams at least, wherever it stands: equal windows agree on ``n + 1`` grams in a row, the
+    key's among them."""
     joined = np.frombuffer(SEPARATOR.join(texts) + SEPARATOR, np.uint8)
     size = np.array([len(t) for t in texts])
     end = np.cumsum(size + 1) - 1
@@ -106,19 +105,25 @@ def may_recur(texts: list[bytes], keys: list[int], window: int) -> np.ndarray:
     key = (np.array(keys, np.int64) & (2**63 - 1)).astype(np.uint64)
     grams = gram_hashes(joined)
     at = np.flatnonzero(grams == key[text[:len(grams)]])
-    at = at[at + GRAM <= end[text[at]]]
-    side = 1 << min(((window - GRAM) // 2).bit_length() - 1, 7)
-    about = gram_hashes(joined, side)
-    some = np.zeros(len(texts), bool)
-    for place in (at - side, at + GRAM):
-        who = text[at]
-        inside = (place >= (end - size)[who]) & (place + side <= end[who])
-        who, place = who[inside], place[inside]
-        h = mix64(about[place] ^ mix64(key[who]))
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        some[who[order][1:][same]] = some[who[order][:-1][same]] = True
-    return some
+    who = text[at]
+    whole = at + GRAM <= end[who]
+    at, who = at[whole], who[whole]
+    out = []
+    for window in windows:
+        n = max(-(-(window - 3 * GRAM + 2) // GRAM), 0)
+        some = np.zeros(len(texts), bool)
+        for back in range(n + 1):
+            first = at - back * GRAM
+            inside = (first >= (end - size)[who]) & (first + (n + 1) * GRAM <= end[who])
+            first, owner = first[inside], who[inside]
+            h = key[owner]
+            for k in range(n + 1):
+                h = mix64(h + grams[first + k * GRAM])
+            order = np.argsort(h, kind="stable")
+            same = h[order][1:] == h[order][:-1]
+            some[owner[order][1:][same]] = some[owner[order][:-1][same]] = True
+        out.append(some)
+    return out
 
 
 def _resolve(window: int, longer: int):
@@ -142,8 +147,11 @@ def _resolve(window: int, longer: int):
         def sift():
             """Strings of the pool that may hold repeated windows go to shards, those of a key together."""
             size, last = sum(len(t) for t, _, _ in shard), None
-            for (key, text, many, places), keep in zip(pool, may_recur([t for _, t, _, _ in pool], [k for k, *_ in pool], window).tolist()):
-                if keep:
+            found = may_recur([t for _, t, _, _ in pool], [k for k, *_ in pool], lengths)
+            for (key, text, many, places), short, long in zip(pool, found[0].tolist(), found[-1].tolist()):
+                if short:
+                    if not long:  # only its shorter windows may recur
+                        text = text[:many - 1 + window]
                     if size > SHARD_BYTES and key != last:
                         finish()
                         size = 0

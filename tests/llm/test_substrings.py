@@ -176,8 +176,20 @@ def test_strings_without_common_surroundings_are_left_out():
     rng = random.Random(5)
     gram, say = "the gram that is least of all 32", lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
     key = int(substring_sa.gram_hashes(np.frombuffer(gram.encode(), np.uint8))[0])
-    side = say(90)
-    texts = [say(90) + gram + say(90), side + gram + say(90), side + gram + say(90), say(10) + gram + side, say(50) + gram + side,
-             say(100) + gram + say(100) + gram + say(20)]
-    assert substring_sa.may_recur([t.encode() for t in texts], [key] * 6, 200).tolist() == [False, True, True, True, True, False]
-    assert not substring_sa.may_recur([t.encode() for t in texts], [1] * 6, 200).any()
+    one, two = say(168), say(168)
+    texts = [say(90) + gram + say(90), one + gram + say(168), one + gram + say(168), say(168) + gram + two, say(70) + gram + two,
+             say(100) + gram + say(100) + gram + say(100), one[70:] + gram + two[:70], one[70:] + gram + two[:70] + say(100)]
+    short, long = substring_sa.may_recur([t.encode() for t in texts], [key] * 8, (200, 400))
+    assert short.tolist() == [False, True, True, True, True, False, True, True] and not long.any()
+    assert not substring_sa.may_recur([t.encode() for t in texts], [1] * 8, (200,))[0].any()
+
+
+@pytest.mark.parametrize("window", [40, 100, 200, 400])
+def test_no_string_with_a_common_window_is_left_out(window):
+    rng = random.Random(window)
+    say = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k)).encode()
+    gram = say(32)
+    key = int(substring_sa.gram_hashes(np.frombuffer(gram, np.uint8))[0])
+    for before in range(window - 31):
+        shared = say(before) + gram + say(window - 32 - before)
+        assert substring_sa.may_recur([say(rng.randrange(50)) + shared + say(9), say(7) + shared], [key] * 2, (window,))[0].all()
