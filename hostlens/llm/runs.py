@@ -176,18 +176,22 @@ def ship(docs: DataFrame, windows: Callable, window: int, per_window: int, found
             if reach:
                 stop = np.minimum(stop + reach - window, (first + length)[row[cut]])
             local: dict[tuple[bytes, int], list] = {}
-            for a, e, r, k, m in zip(at[cut].tolist(), stop.tolist(), row[cut].tolist(), key[cut].view(np.int64).tolist(), many.tolist()):
-                local.setdefault((content(a, e), m), []).append((ids[r], ties[r], a - int(first[r]), m, k))
-            rows = []
+            key = key[cut]
+            dealt = (mix64(key) % np.uint64(buckets)).tolist()
+            begin = (at[cut] - first[row[cut]]).tolist()
+            for a, e, r, k, m, p, b in zip(at[cut].tolist(), stop.tolist(), row[cut].tolist(), key.view(np.int64).tolist(), many.tolist(), begin, dealt):
+                local.setdefault((content(a, e), m), []).append((ids[r], ties[r], p, m, k, b))
+            settled: dict[tuple[int, int, int], list[int]] = {}
             for (text, m), places in local.items():
                 places.sort()
                 for doc, tie, start, *_ in places[1 if later_only else 0:] if len(places) > 1 else []:
-                    rows.append((None, None, doc, tie, window, np.array([start, start + m], np.int64).tobytes()))
+                    settled.setdefault((doc, tie, window), []).extend((start, start + m))
                     if reach and len(text) >= reach:
-                        rows.append((None, None, doc, tie, reach, np.array([start, start + min(m, len(text) - reach + 1)], np.int64).tobytes()))
-                bucket = int(mix64(np.array([places[0][4]], np.int64).view(np.uint64))[0] % np.uint64(buckets))
-                waiting.setdefault(bucket, []).append((*places[0], len(places) > 1, text))
+                        settled.setdefault((doc, tie, reach), []).extend((start, start + min(m, len(text) - reach + 1)))
+                *place, bucket = places[0]
+                waiting.setdefault(bucket, []).append((*place, len(places) > 1, text))
                 size += len(text)
+            rows = [(None, None, *who, np.array(pairs, np.int64).tobytes()) for who, pairs in settled.items()]
             if size > FLUSH_BYTES:
                 rows, size = rows + flush(), 0
             yield _batch(rows)

@@ -64,9 +64,10 @@ def _windows(window: int):
     return windows
 
 
-def repeated_windows(texts: list[bytes], places: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
-    """For each string, which of its first ``places`` places begin a substring of each of ``lengths`` that also
-    begins at another such place of any of them.  The strings hold the least length from each of these places."""
+def repeated_windows(texts: list[bytes], places: list[int], lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per length, stretches (string's number; first place and end) of a string's first ``places`` places where a
+    substring of that length begins that also begins at another such place of any of them.  The strings hold the
+    least length from each of these places."""
     joined = np.frombuffer(SEPARATOR.join(texts) + SEPARATOR, np.uint8)
     size = np.array([len(t) for t in texts])
     first = np.cumsum(size + 1) - size - 1
@@ -80,14 +81,17 @@ def repeated_windows(texts: list[bytes], places: list[int], lengths: tuple[int,
     least = np.zeros(len(sa), np.int64)
     if len(sa) > 1:  # what it shares with the one before it among these
         least[1:] = np.minimum.reduceat(shared[:among[-1] + 1], among[:-1] + 1)
-    out = [[] for _ in texts]
+    left = np.repeat(first + size, size + 1) - np.arange(len(joined))  # bytes of the string from each place on
+    out = []
     for length in lengths:
         again = least >= length
         again[:-1] |= again[1:]  # with the one before or the one after
         flags = np.zeros(len(joined), bool)
         flags[sa] = again
-        for found, at, n, m in zip(out, first.tolist(), size.tolist(), places):
-            found.append(flags[at:at + max(min(m, n - length + 1), 0)])
+        flags &= left >= length
+        pairs = runs.as_ranges(flags)
+        which = np.searchsorted(first, pairs[:, 0], "right") - 1
+        out.append((which, pairs - first[which][:, None]))
     return out
 
 
@@ -134,14 +138,15 @@ def _resolve(window: int, longer: int):
         for doc, tie, start, many, key, known, text in records:
             places = by_key.setdefault(key, {}).setdefault((text, many), {})
             places[doc, tie, start] = places.get((doc, tie, start), False) or known
-        out, pool, shard = [], [], []
+        marks: dict[tuple[int, int, int], list[int]] = {}
+        pool, shard = [], []
 
         def finish():
-            for (_, _, places), found in zip(shard, repeated_windows([t for t, _, _ in shard], [m for _, m, _ in shard], lengths)):
-                for length, flags in zip(lengths, found):
-                    if flags.any():
-                        pairs = runs.as_ranges(flags)
-                        out.extend((doc, tie, length, pairs + start) for doc, tie, start in places)
+            found = repeated_windows([t for t, _, _ in shard], [m for _, m, _ in shard], lengths)
+            for length, (which, pairs) in zip(lengths, found):
+                for i, (a, b) in zip(which.tolist(), pairs.tolist()):
+                    for doc, tie, start in shard[i][2]:
+                        marks.setdefault((doc, tie, length), []).extend((start + a, start + b))
             shard.clear()
 
         def sift():
@@ -166,9 +171,8 @@ def _resolve(window: int, longer: int):
                 if len(places) > 1:  # equal strings: all their windows are repeated (known ones are marked already)
                     for length in lengths:
                         n = min(many, len(text) - length + 1)
-                        if n > 0:
-                            whole = np.array([[0, n]], np.int64)
-                            out += [(doc, tie, length, whole + start) for doc, tie, start in places]
+                        for doc, tie, start in places if n > 0 else ():
+                            marks.setdefault((doc, tie, length), []).extend((start, start + n))
                 # strings settled as a whole stay, for the others to be found by
                 pool.append((key, text, many, list(places) if len(places) == 1 and not any(places.values()) else []))
                 size += len(text)
@@ -179,7 +183,7 @@ def _resolve(window: int, longer: int):
             sift()
         if shard:
             finish()
-        return out
+        return [(*who, np.array(pairs, np.int64)) for who, pairs in marks.items()]
 
     return resolve
 
