@@ -16,7 +16,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -332,17 +332,18 @@ def read_text_lines(spark: SparkSession, path: str, glob: str | None = None,
                     collection_id: str | None = None) -> DataFrame:
     """SRC-3 for large flat files: splittable ``text`` source, one row per line.
 
-    ``line_no`` is an order key inside each file: it is 0 for the first line
-    (so header rules apply) and increases with the line position, but it is
-    not contiguous across input splits.  The per-file minimum is a small
-    aggregate (one row per file) joined back.
+    ``line_no`` is the line's 0-based position in its file, however the file is split: lines
+    are placed within their block (``file_block_start``), and the counts of a file's earlier
+    blocks, one small row each, are added.  Empty files have no lines.
     """
     reader = spark.read.format("text").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = reader.load(path).select(F.col("_metadata.file_path").alias("source_file"),
-                                   F.monotonically_increasing_id().alias("_k"), F.col("value").alias("line"))
-    first = raw.groupBy("source_file").agg(F.min("_k").alias("_k0"))
+    raw = reader.load(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"),
+                                   F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    blocks = raw.groupBy("source_file", "_block").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_many"))
+    earlier = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("source_file", "_block", "_from", F.coalesce(F.sum("_many").over(earlier), F.lit(0)).alias("_before"))
     cid = F.lit(collection_id) if collection_id else F.regexp_extract("source_file", r"/([^/]+)/[^/]*$", 1)
-    return raw.join(first, "source_file").select(cid.alias("collection_id"), "source_file",
-                                                 (F.col("_k") - F.col("_k0")).alias("line_no"), "line")
+    return raw.join(blocks, ["source_file", "_block"]).select(cid.alias("collection_id"), "source_file",
+                                                              (F.col("_at") - F.col("_from") + F.col("_before")).alias("line_no"), "line")

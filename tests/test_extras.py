@@ -116,3 +116,29 @@ def test_streaming_detectors(spark, tmp_path):
     procs = tp.parse_ps_aux(lines_df(spark, PS.replace("/opt/gone", "/tmp/gone"), "ps_aux.txt"))
     a = det.detect_processes(procs).withColumn("detected_at", F.lit(dt.datetime(2024, 1, 1)).cast("timestamp"))
     assert sm.dedup_anomalies(a.unionByName(a)).count() == 1
+
+
+def test_flat_file_lines_are_numbered_over_splits(spark, tmp_path):
+    """Numbers are places in the file, whatever the splits; long lines, empty lines and files, no last newline."""
+    d = tmp_path / "uac-h-linux-20240101000000"
+    d.mkdir()
+    texts = {"a.log": "".join(f"line {i} {'x' * (i % 90)}\n" for i in range(3000)), "b.log": "one\n\n" + "y" * 20000 + "\nlast",
+             "empty.log": "", "c.log": "\n" * 5000}
+    for name, text in texts.items():
+        (d / name).write_text(text)
+    want = sorted((name, i, line) for name, text in texts.items()
+                  for i, line in enumerate(text[:-1].split("\n") if text.endswith("\n") else text.split("\n") if text else []))
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for size in ("3k", "50k"):
+            for k in keys:
+                spark.conf.set(k, size)
+            lines = arc.read_text_lines(spark, str(d), glob="*.log")
+            got = [(r.source_file.rsplit("/", 1)[1], r.line_no, r.line) for r in lines.collect()]
+            assert sorted(got) == want
+            if size == "3k":
+                assert spark.read.text(str(d)).rdd.getNumPartitions() > 20
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
