@@ -1,8 +1,8 @@
 """Rule-based detectors: table rows -> ``anomalies`` rows.
 
-Each table is scanned once: every rule becomes a ``when(condition, struct)``
-candidate, the candidates of a row are filtered and exploded.  No join, no
-shuffle -- detectors run as one narrow stage per table (and unchanged on a
+Each table is scanned once: every rule becomes a ``when(condition, rank)``
+candidate, the ranks of a row are exploded, and the texts are built for matches
+only, and only those that the query asks for.  No join, no shuffle -- detectors run as one narrow stage per table (and unchanged on a
 streaming frame), except the hidden-file rule whose "first 10 per collection"
 is a window group limit.
 
@@ -55,38 +55,46 @@ def _evidence(artifact_type: str, raw: Column | None = None, path: Column | None
 
 def _cand(rule_rank: int, cond: Column, *, anomaly_id, anomaly_type, severity, score, title, description,
           source_artifact, artifact_path=None, timestamp=None, username=None, process_name=None,
-          mitre=None, evidence=None, steps=None) -> Column:
-    return F.when(cond, F.struct(
-        F.lit(rule_rank).alias("rule_rank"),
-        anomaly_id.alias("anomaly_id"),
-        F.lit(anomaly_type).alias("anomaly_type"),
-        F.lit(severity).alias("severity"),
-        F.lit(float(score)).alias("score"),
-        (title if isinstance(title, Column) else F.lit(title)).alias("title"),
-        (description if isinstance(description, Column) else F.lit(description)).alias("description"),
-        F.lit(source_artifact).alias("source_artifact"),
-        (artifact_path if artifact_path is not None else _lit(None)).alias("artifact_path"),
-        (timestamp if timestamp is not None else _lit(None, "timestamp")).alias("timestamp"),
-        (username if username is not None else _lit(None)).alias("username"),
-        (process_name if process_name is not None else _lit(None)).alias("process_name"),
-        _lit(mitre).alias("mitre_technique"),
-        (evidence if evidence is not None else F.array().cast(EVIDENCE_TYPE)).alias("evidence"),
-        (steps if steps is not None else F.array().cast("array<string>")).alias("investigation_steps"),
-    ))
+          mitre=None, evidence=None, steps=None) -> tuple[int, Column, dict[str, Column]]:
+    return rule_rank, cond, {
+        "anomaly_id": anomaly_id,
+        "anomaly_type": F.lit(anomaly_type),
+        "severity": F.lit(severity),
+        "score": F.lit(float(score)),
+        "title": title if isinstance(title, Column) else F.lit(title),
+        "description": description if isinstance(description, Column) else F.lit(description),
+        "source_artifact": F.lit(source_artifact),
+        "artifact_path": artifact_path if artifact_path is not None else _lit(None),
+        "timestamp": timestamp if timestamp is not None else _lit(None, "timestamp"),
+        "username": username if username is not None else _lit(None),
+        "process_name": process_name if process_name is not None else _lit(None),
+        "mitre_technique": _lit(mitre),
+        "evidence": evidence if evidence is not None else F.array().cast(EVIDENCE_TYPE),
+        "investigation_steps": steps if steps is not None else F.array().cast("array<string>"),
+    }
+
+
+def _explode(df: DataFrame, cands: list[tuple[int, Column, dict[str, Column]]], group_rank: int,
+             line_first: bool = True) -> DataFrame:
+    """Keep the matching candidates of each row and emit one anomaly per match."""
+    # a filter over the array would run interpreted: empty ranks are dropped after the explode
+    ranks = F.array(*[F.when(cond, F.lit(rank)) for rank, cond, _ in cands])
+    out = df.select("*", F.explode(ranks).alias("_rule")).where(F.col("_rule").isNotNull())
+    rule = F.col("_rule")
 
+    def of_rule(name: str) -> Column:
+        value = F.when(rule == cands[0][0], cands[0][2][name])
+        for rank, _, fields in cands[1:]:
+            value = value.when(rule == rank, fields[name])
+        return value.alias(name)
 
-def _explode(df: DataFrame, cands: list[Column], group_rank: int, line_first: bool = True) -> DataFrame:
-    """Keep the matching candidates of each row and emit one anomaly per match."""
-    arr = F.filter(F.array(*cands), lambda x: x.isNotNull())
-    out = df.select("collection_id", "source_file", "line_no", F.explode(arr).alias("a"))
-    a = F.col("a")
     if line_first:
         ord_ = F.struct(F.lit(group_rank).alias("g"), F.lit(0).alias("r0"), F.col("source_file").alias("f"),
-                        F.col("line_no").alias("n"), a["rule_rank"].alias("r"))
+                        F.col("line_no").alias("n"), rule.alias("r"))
     else:
-        ord_ = F.struct(F.lit(group_rank).alias("g"), a["rule_rank"].alias("r0"), F.col("source_file").alias("f"),
+        ord_ = F.struct(F.lit(group_rank).alias("g"), rule.alias("r0"), F.col("source_file").alias("f"),
                         F.col("line_no").alias("n"), F.lit(0).alias("r"))
-    return out.select("collection_id", *[a[c].alias(c) for c in ANOMALY_COLS[1:-1]], ord_.alias("ord"))
+    return out.select("collection_id", *[of_rule(c) for c in ANOMALY_COLS[1:-1]], ord_.alias("ord"))
 
 
 def detect_processes(processes: DataFrame) -> DataFrame:
