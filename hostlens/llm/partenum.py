@@ -15,9 +15,12 @@ others give their empty signatures too.
 2. Sets that share a signature make a list.  A list's sets are linked to its first
    where piece counts of a bounded size (``_sketch``) do not tell them apart; the
    components of these links are families.
-3. Sets of a list that lie in different families are compared by their sketches,
-   in pairs if they are few, else in tasks of two bounded blocks each; families that
-   may hold similar sets become one.
+3. Sets of lists of several families are put in one order of elements, rare ones
+   first; similar sets share one of their first ``n - percent * n / 100 + 1``.  Sets
+   of different families that share one meet in tasks of two bounded blocks, in which
+   an element's largest family does not meet itself; where neither the sketches nor
+   what is left of both from that element on rules the similarity out, their families
+   become one.
 4. A family's sets meet in tasks of two bounded blocks each; piece counts bound
    the difference from below, what passes is compared element by element, and a
    task returns the links that connect its sets, not all pairs.
@@ -42,8 +45,10 @@ from .common import LOWER, binary_view, bit_table, hashed_words, may_contain, mi
 from .components import connected_components
 
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 400_000
-FEW = 64  # a signature's sets are joined with each other up to so many
+FEW = 64  # a signature's sets go as one list up to so many
 CELLS = 256
+BUCKET_BITS = 16
+HELD = 1 << 16  # rows of an element that are looked at together
 
 
 def shingle_sets(raw: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,39 +261,152 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _crowd_links(percent: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of sets of two blocks (or one) whose sketches leave room for the similarity, as many as join families."""
-        _, one, two = key
-        ids, size, family = (pdf[c].to_numpy() for c in ("rep", "n", "component"))
-        side = (pdf["block"] == two).to_numpy() if one != two else None
-        sketches = [np.frombuffer(x, np.uint8).astype(np.int32) for x in pdf["sketch"]]
-        width = min(len(x) for x in sketches)
-        cells = np.stack([np.minimum(x.reshape(width, -1).sum(axis=1), 255) for x in sketches])
-        root = {f: f for f in set(family.tolist())}
+def _bucket_counts(docs: DataFrame, size: int) -> np.ndarray:
+    """Numbers of elements of the sets of ``docs`` by their leading bits (a table of fixed size)."""
 
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
+    def run(batches):
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in slices(batches, "text", 1 << 20):
+            shingle, _ = shingle_sets(*binary_view(batch.column(0)), size)
+            total += np.bincount((shingle >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["bucket", "c"])
 
-        links, whole = [], pdf["sketch"].tolist()
-        for i in range(len(ids)):
-            rest = slice(i + 1, None)
-            ok = (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])) & (family[rest] != family[i])
-            if side is not None:
-                ok &= side[rest] != side[i]
-            ok = np.flatnonzero(ok) + i + 1
-            apart = np.abs(cells[ok] - cells[i]).sum(axis=1)
-            for j in ok[apart * (100 + percent) <= (size[ok] + size[i]) * (100 - percent)].tolist():
-                a, b = find(int(family[i])), find(int(family[j]))
-                if a != b and _apart(whole[i], whole[j]) * (100 + percent) <= (size[i] + size[j]) * (100 - percent):
-                    root[max(a, b)] = min(a, b)
-                    links.append((int(ids[i]), int(ids[j])))
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+    found = docs.select("text").mapInArrow(run, "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    out[found["bucket"].to_numpy()] = found["c"].to_numpy()
+    return out
 
-    return run
+
+RARE = "element bigint, rep bigint, n bigint, room bigint, component bigint"
+
+
+def _rare_elements(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """The rarest elements of each set of ``docs`` (doc_id, text, component), enough for similar sets to share one.
+
+    All sets are in one order, by ``counts`` and then by hash; ``room`` is the number of a set's elements from this one on."""
+
+    def run(batches):
+        for batch in slices(batches, "text", 1 << 20):
+            shingle, offsets = shingle_sets(*binary_view(batch.column(1)), size)
+            n = np.diff(offsets)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((counts[(shingle >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], row))  # stable: by hash within a count
+            rank = np.arange(len(row)) - offsets[row]
+            use = rank < (n - (percent * n + 99) // 100 + 1)[row]
+            rank, row, element = rank[use], row[use], shingle[order[use]].view(np.int64)
+            doc, family = (batch.column(k).to_numpy()[row] for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (element, doc, n[row], n[row] - rank, family)],
+                                             ["element", "rep", "n", "room", "component"])
+
+    return docs.mapInArrow(run, RARE)
+
+
+def _mixed_groups(rows: DataFrame) -> DataFrame:
+    """Of ``rows`` those of elements that sets of several families have (long groups are given unseen)."""
+
+    def run(batches):
+        held, crowded = np.zeros((5, 0), np.int64), False  # rows of the element read last; whether many were given already
+        for batch in _with_end(batches):
+            if batch is not None:
+                held = np.concatenate([held, np.stack([batch.column(k).to_numpy() for k in range(5)])], axis=1)
+            if not held.shape[1]:
+                continue
+            at = np.flatnonzero(np.append(True, held[0, 1:] != held[0, :-1]))
+            count = np.diff(np.append(at, held.shape[1]))
+            give = np.minimum.reduceat(held[4], at) != np.maximum.reduceat(held[4], at)
+            give[0] |= crowded
+            left = held.shape[1]
+            if batch is not None:  # the last element may go on
+                crowded = crowded and len(at) == 1 or bool(count[-1] > HELD)
+                left = left - 1 if count[-1] > HELD else at[-1]
+                give[-1] |= crowded
+            use = np.repeat(give, count)
+            use[left:] = False
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[:, use]], ["element", "rep", "n", "room", "component"])
+            held = held[:, left:]
+
+    return rows.repartition("element").sortWithinPartitions("element").mapInArrow(run, RARE)
+
+
+def _meetings(groups: DataFrame) -> DataFrame:
+    """``groups`` dealt into tasks (``one``, ``two``) of two bounded blocks, in which sets of different families meet.
+
+    An element's largest family need not meet itself: its rows go once for each block of the others."""
+    mine = F.xxhash64("rep")
+    per = groups.groupBy("element", "component").agg(
+        F.count("*").alias("c"), F.sum(mine.cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x"), F.sum("room").alias("room"))
+    per = per.groupBy("element").agg(
+        F.sum("c").alias("c"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"), F.sum("room").alias("room"), F.max("c").alias("most"),
+        F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("families")).where("families > 1")
+    # elements of the same sets: the first in the order, where all have most room
+    kept = per.groupBy("c", "s", "x").agg(F.max_by(F.struct("element", "main", "most"), "room").alias("k"))
+    kept = kept.select("k.element", "k.main", F.ceil(F.col("k.most") / BLOCK_SETS).alias("mains"), F.ceil((F.col("c") - F.col("k.most")) / BLOCK_SETS).alias("others"))
+    rows = groups.join(saved(kept, "kept-elements"), "element")
+    main = F.col("component") == F.col("main")
+    rows = rows.withColumn("block", F.when(main, F.lit(-1) - F.pmod(mine, "mains")).otherwise(F.pmod(mine, "others")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(main, F.lit(0).cast("bigint")).otherwise(-F.col("mains")), F.col("others") - 1)))
+    return rows.withColumn("one", F.greatest("block", "other")).withColumn("two", F.least("block", "other")).select(
+        "element", "one", "two", "block", "rep", "n", "room", "component")
+
+
+def _possible_links(ids, size, room, family, whole, side, percent: int) -> list[tuple[int, int]]:
+    """Pairs of sets of two blocks (or one) whose sketches and room leave the similarity open, as many as join families."""
+    sketches = [np.frombuffer(x, np.uint8).astype(np.int32) for x in whole]
+    width = min(len(x) for x in sketches)
+    cells = np.stack([np.minimum(x.reshape(width, -1).sum(axis=1), 255) for x in sketches])
+    root = {f: f for f in family.tolist()}
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    links = []
+    for i in range(len(ids) - 1):
+        rest = slice(i + 1, None)
+        both = size[rest] + size[i]
+        ok = (np.minimum(room[rest], room[i]) * (100 + percent) >= percent * both) & (family[rest] != family[i])
+        if side is not None:
+            ok &= side[rest] != side[i]
+        ok = np.flatnonzero(ok) + i + 1
+        if not len(ok):
+            continue
+        apart = np.abs(cells[ok] - cells[i]).sum(axis=1)
+        for j in ok[apart * (100 + percent) <= (size[ok] + size[i]) * (100 - percent)].tolist():
+            a, b = find(int(family[i])), find(int(family[j]))
+            if a != b and _apart(whole[i], whole[j]) * (100 + percent) <= (size[i] + size[j]) * (100 - percent):
+                root[max(a, b)] = min(a, b)
+                links.append((int(ids[i]), int(ids[j])))
+    return links
+
+
+def _meeting_links(meetings: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of sets that met and may be similar; a task's meetings are read as a stream, one at a time."""
+
+    def run(batches):
+        held = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                held = pa.Table.from_batches(([batch] if held is None else held.to_batches() + [batch])).combine_chunks()
+            if held is None or not len(held):
+                continue
+            element, one, two, block, ids, size, room, family = (held.column(k).to_numpy() for k in range(8))
+            new = (element[1:] != element[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+            at = np.append(np.flatnonzero(np.append(True, new)), len(held))
+            if batch is not None:  # the last meeting may go on
+                at = at[:-1]
+            links, whole = [], held.column(8).slice(0, at[-1]).to_pylist()
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+                side = block[x:y] == two[x] if one[x] != two[x] else None
+                if y > x + 1:
+                    links += _possible_links(ids[x:y], size[x:y], room[x:y], family[x:y], whole[x:y], side, percent)
+            held = held.slice(at[-1])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = meetings.repartition("element", "one", "two").sortWithinPartitions("element", "one", "two")
+    return dealt.select("element", "one", "two", "block", "rep", "n", "room", "component", "sketch").mapInArrow(run, "a bigint, b bigint")
 
 
 def _dealt(rows: DataFrame, group: str, node: str, blocks: DataFrame) -> DataFrame:
@@ -335,6 +453,12 @@ def _block_links(percent: int):
     return run
 
 
+def _listed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of ``ids``, and few others."""
+    bits = table_bits(ids.count())
+    return docs.where("doc_id is not null").where(may_contain(bit_table(ids.select(F.xxhash64("doc_id").alias("h")), bits), F.xxhash64("doc_id"), bits))
+
+
 def similar_components(df: DataFrame, size: int = 3, percent: int = 90, pieces: int = 3, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: components of ``100 * |A n B| >= percent * |A u B|``.
@@ -347,12 +471,12 @@ def similar_components(df: DataFrame, size: int = 3, percent: int = 90, pieces:
     reps = named.where("doc_id is not null and n > 0").select("doc_id", "rep").distinct()
     sketches = named.where("doc_id = rep and n > 0").select("rep", "n", "sketch").distinct()  # an id's rows each with theirs
     shared = saved(_shared_lists(docs, size, percent, pieces), "lists")
-    few = shared.where("ids is not null").select("ids").distinct().select(F.xxhash64("ids").alias("list"), F.explode("ids").alias("doc_id"), F.lit(False).alias("many"))
+    few = shared.where("ids is not null").select("ids").distinct().select(F.xxhash64("ids").alias("list"), F.explode("ids").alias("doc_id"))
     crowds = saved(shared.where("ids is null").select(F.col("sig").alias("list"), "doc_id").join(reps, "doc_id").select("list", "rep").distinct(), "crowds")
     # crowds of the same sets: one of them
     alike = crowds.groupBy("list").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x"))
     alike = saved(alike.where("c > 1").groupBy("c", "s", "x").agg(F.min("list").alias("list")).select("list"), "alike")
-    member = few.join(reps, "doc_id").select("list", "rep", "many").distinct().unionByName(crowds.join(alike, "list").withColumn("many", F.lit(True)))
+    member = few.join(reps, "doc_id").select("list", "rep").distinct().unionByName(crowds.join(alike, "list"))
     member = saved(member, "list-members")
     first = member.groupBy("list").agg(F.min("rep").alias("b"))
     stars = member.join(first, "list").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
@@ -361,21 +485,16 @@ def similar_components(df: DataFrame, size: int = 3, percent: int = 90, pieces:
     # sets of a list in different families
     placed = member.join(families.select(F.col("node").alias("rep"), "component"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x < y")
-    placed = saved(placed.join(mixed.select("list", "c"), "list"), "mixed")
-    some = placed.where("not many")
-    pairs = some.select("list", F.col("rep").alias("a"), F.col("component").alias("x")).join(
-        some.select("list", F.col("rep").alias("b"), F.col("component").alias("y")), "list").where("x < y").select("a", "b").distinct()
-    parts = placed.where("many").select("list", F.ceil(F.col("c") / BLOCK_SETS).alias("blocks")).distinct()
-    dealt = _dealt(placed.where("many").join(sketches, "rep"), "list", "rep", parts)
-    dealt = dealt.select("list", "one", "two", "rep", "n", "sketch", "component", "block")
-    more = _possible(pairs, sketches, percent).unionByName(dealt.groupBy("list", "one", "two").applyInPandas(_crowd_links(percent), "a bigint, b bigint"))
+    mixed = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    mixed = saved(placed.join(mixed.select("list"), "list").select(F.col("rep").alias("doc_id"), "component").distinct(), "mixed")
+    some = _listed(docs, mixed)
+    rare = _rare_elements(some.join(mixed, "doc_id").select("doc_id", "text", "component"), size, percent, _bucket_counts(some, size))
+    meetings = _meetings(saved(_mixed_groups(rare), "mixed-elements"))
+    more = _meeting_links(meetings.join(sketches, ["rep", "n"]), percent)
     more = saved(more.distinct(), "more-links")
     if more.limit(1).count():
         families = saved(connected_components(links.unionByName(more)), "families")
-    wanted = families.select(F.xxhash64("node").alias("h"))
-    bits = table_bits(families.count())
-    some = docs.where("doc_id is not null").where(may_contain(bit_table(wanted, bits), F.xxhash64("doc_id"), bits))
+    some = _listed(docs, families.select(F.col("node").alias("doc_id")))
 
     def elements(batches):
         for batch in slices(batches, "text", 1 << 20):

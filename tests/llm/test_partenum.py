@@ -99,6 +99,96 @@ def test_signatures_over_batch_ends(spark, monkeypatch, few):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def _sharing_a_line(rng, n, length=180):
+    """Unlike documents that hold one common passage."""
+    vocab = ["".join(rng.choice("aeinrst") for _ in range(rng.randint(2, 7))) for _ in range(2000)]
+    line = [rng.choice(vocab) for _ in range(length // 3)]
+    return [" ".join(rng.choice(vocab) for _ in range(length)) + " " + " ".join(line) for _ in range(n)]
+
+
+def test_unlike_sets_of_one_list_make_no_rows_by_the_square(spark, monkeypatch):
+    """Twice as many unlike sets that share signatures: the rows that are dealt to be compared grow no faster."""
+    monkeypatch.setattr(partenum, "FEW", 4)
+    monkeypatch.setattr(partenum, "BLOCK_SETS", 8)
+    made = []
+
+    def counted(call):
+        def run(*args):
+            out = call(*args)
+            made[-1] += out.count()
+            return out
+        return run
+
+    for name in ("_dealt", "_meetings"):
+        monkeypatch.setattr(partenum, name, counted(getattr(partenum, name, None)), raising=False)
+    texts = _sharing_a_line(random.Random(3), 400)
+    for n in (200, 400):
+        made.append(0)
+        df = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id bigint, text string").repartition(4)
+        assert all(r["component_id"] == r["doc_id"] for r in partenum.similar_components(df, 5, 80, 2).collect())
+    assert made[1] <= 2.5 * made[0] + 400
+
+
+def test_crowds_of_unlike_and_nearly_similar_sets(spark, monkeypatch):
+    """Lists of many families, in small blocks and batches: sets that share a line, copies at the limit, chains."""
+    for name, most in (("FEW", 3), ("BLOCK_SETS", 8), ("HELD", 4)):
+        monkeypatch.setattr(partenum, name, most)
+    rng = random.Random(12)
+    texts = _sharing_a_line(rng, 40, 60)
+    for changed in (2, 4, 6):  # of one text, each with about as many words of its own as the limit allows
+        base = texts[0].split()
+        for _ in range(25):
+            w = list(base)
+            for i in rng.sample(range(len(w)), rng.randint(0, changed)):
+                w[i] = f"own{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        _check(spark, list(enumerate(texts)))
+        _check(spark, list(enumerate(texts)), size=5, percent=80, pieces=2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sets_of_different_families_meet_once(spark, monkeypatch):
+    """Every such pair of an element, whatever the blocks; elements of the same sets once, by the first in the order."""
+    monkeypatch.setattr(partenum, "BLOCK_SETS", 8)
+    rng = random.Random(6)
+    rows = [(1, i, 50, 50 - i % 3, 7 if i < 100 else i // 2) for i in range(120)]
+    rows += [(2, *r[1:3], r[3] - 1, r[4]) for r in rows] + [(3, i, 50, 40, i // 9) for i in range(70)] + [(4, i, 50, 45, 5) for i in range(30)]
+    rng.shuffle(rows)
+    dealt = partenum._meetings(spark.createDataFrame(rows, partenum.RARE).repartition(3)).collect()
+    assert {r["element"] for r in dealt} == {1, 3}
+    tasks, met = {}, []
+    for r in dealt:
+        tasks.setdefault((r["element"], r["one"], r["two"]), []).append(r)
+    for (e, one, two), some in tasks.items():
+        met += [(e, *sorted((x["rep"], y["rep"]))) for i, x in enumerate(some) for y in some[:i]
+                if x["component"] != y["component"] and (one == two or x["block"] != y["block"])]
+    wanted = {(x[0], *sorted((x[1], y[1]))) for x in rows for y in rows if x[0] == y[0] != 2 and x[4] != y[4]}
+    assert len(met) == len(set(met)) and set(met) == wanted
+    assert sum(r["element"] == 1 and r["component"] == 7 for r in dealt) == 100 * 3  # 20 others are three blocks
+
+
+@pytest.mark.parametrize("held", [3, 1 << 16])
+def test_mixed_elements_over_batch_ends(spark, monkeypatch, held):
+    monkeypatch.setattr(partenum, "HELD", held)
+    rng = random.Random(held)
+    rows = [(e, rng.randrange(10**6), 9, 9, rng.choice([1, 1, 2]) if e % 3 else 1) for e in range(60) for _ in range(rng.choice([1, 2, 3, 17]))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = sorted(map(tuple, partenum._mixed_groups(spark.createDataFrame(rows, partenum.RARE).repartition(3)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    family = {e: {r[4] for r in rows if r[0] == e} for e in range(60)}
+    wanted = sorted(r for r in rows if len(family[r[0]]) > 1)
+    if held > 17:
+        assert got == wanted
+    else:  # long groups of one family may come too
+        assert len(set(got)) == len(got) and set(wanted) <= set(got) <= set(rows)
+
+
 @pytest.mark.parametrize("most", [0, 2_000_000])
 def test_components(spark, monkeypatch, most):
     """A path, a star, a cycle, repeated and null edges, by rounds and in one task, against a plain search."""
