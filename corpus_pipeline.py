@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens.llm import bpe, decontaminate, langid, partenum, substring_sa
-from hostlens.llm.common import bit_table, may_contain, saved, table, table_bits
+from hostlens.llm.common import bit_table, gathered, may_contain, saved, table, table_bits
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_SCORE = 0.5
@@ -54,7 +54,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(*COLUMNS, F.when(F.col("is_shared"), own).otherwise(F.col("doc_id")).alias("key"))
     groups = saved(partenum.similar_components(docs, size=SHINGLE, percent=PERCENT, pieces=2, id_col="key"), "groups")
     keys = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("rows"), F.min("component_id").alias("least"))
-    odd = saved(keys.where("rows > 1 or key <> least"), "odd")  # not the only row of its group's least key
+    rows = groups.count()
+    odd = saved(gathered(keys.where("rows > 1 or key <> least"), rows), "odd")  # not the only row of its group's least key
     # texts that are surely not among them need no shuffle
     bits = table_bits(odd.count())
     maybe = F.coalesce(may_contain(bit_table(odd.select(F.xxhash64("key").alias("h")), bits), F.xxhash64("key"), bits), F.lit(False))
@@ -62,7 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     some = docs.where(maybe).join(odd.select("key", "least"), "key", "left")
     some = some.where(F.col("least").isNull() | (F.col("least") == F.col("key"))).select("key", *COLUMNS)
     one = some.groupBy("key").agg(F.min(F.struct("text", "doc_id", "lang", "source", "n_chars")).alias("x")).select("x.*")
-    return docs.where(~maybe).select(*COLUMNS).unionByName(one.select(*COLUMNS))
+    return docs.where(~maybe).select(*COLUMNS).unionByName(gathered(one.select(*COLUMNS), rows))
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +73,7 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     both = docs.select(*COLUMNS).join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (digest == F.col("cut_digest")), "left")
     text = F.coalesce("kept", "text")
-    return both.withColumn("text", text).withColumn(
+    return gathered(both, docs.count()).withColumn("text", text).withColumn(
         "n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))).select(*COLUMNS)
 
 
@@ -80,7 +81,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
     leaks = found.select(F.col("doc_id").alias("leak_id"), "text_hash").distinct()
     same = F.col("doc_id").eqNullSafe(F.col("leak_id")) & (F.xxhash64("text") == F.col("text_hash"))
-    return docs.select(*COLUMNS).join(leaks, same, "left_anti")
+    return gathered(docs.select(*COLUMNS).join(leaks, same, "left_anti"), docs.count())
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import gathered, saved
 
 ONE_TASK = 2_000_000
 
@@ -48,13 +48,14 @@ def _in_one_task(pairs: DataFrame) -> DataFrame:
     return pairs.coalesce(1).mapInArrow(run, "node bigint, component bigint")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of an edge; the component is its least node.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
+    """(node, component) for every node of an edge; the component is its least node.  ``rows``: see ``gathered``.
 
     Each round points neighbours at the least of their neighbourhood (large star, then small star) until
     nothing changes.  Minima are pre-aggregated; the joins back stay splittable for skewed nodes.
     """
-    pairs = saved(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct(), "edges")
+    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct()
+    pairs = saved(gathered(pairs, rows), "edges")
     if pairs.count() <= ONE_TASK:
         return _in_one_task(pairs)
     before = None

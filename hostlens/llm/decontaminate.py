@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, may_contain, saved, table_bits
+from .common import bit_table, gathered, may_contain, saved, table_bits
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,7 +70,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     in words) and ``items`` (sorted ids as strings) themselves; and ``text_hash``, the text's xxhash64."""
     spark = docs.sparkSession
     wins, pairs = _windows(items, item_col, item_text_col, window)
-    pairs = saved(pairs, "windows")  # the benchmark's windows: small beside the documents
+    pairs = saved(gathered(pairs, items.count()), "windows")  # the benchmark's windows: small beside the documents
     wins = pairs.select("win").distinct()
     shingles = wins.select("win", F.least(F.size("win"), F.lit(shingle)).alias("size"), F.transform("win", lambda w: F.xxhash64(w)).alias("hs"))
     sizes = sorted(r["size"] for r in shingles.select("size").distinct().collect())  # at most ``shingle`` numbers
@@ -103,7 +103,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
             tokens = tokens.unionByName(p)
         ranked = tokens.join(counts, ["size", "h"], "left").groupBy("win").agg(
             F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "off", "size", "h")).alias("p"))
-        prefix = saved(ranked.where("p.freq > 0").select("win", F.col("p.off").alias("off"), F.col("p.size").alias("size"), F.col("p.h").alias("h")), "prefix")
+        prefix = ranked.where("p.freq > 0").select("win", F.col("p.off").alias("off"), F.col("p.size").alias("size"), F.col("p.h").alias("h"))
+        prefix = saved(gathered(prefix, pairs.count()), "prefix")
     else:
         prefix = spark.createDataFrame([], "win array<string>, off int, size int, h bigint")
 
@@ -113,7 +114,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     near = hit.join(side, ["size", "h"]).where((start >= 0) & (start + F.size("win") <= F.col("n_words")))
     match = (near.where(F.slice("around", start - first + 1, F.size("win")) == F.col("win"))
              .select("row", start.alias("start"), (start + F.size("win")).alias("end"), "win"))
-    match = saved(match, "matches")
+    match = saved(gathered(match, base.count()), "matches")
     spans = match.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("raw"))
     merged = F.aggregate(
         "raw", F.array().cast("array<struct<start:int,end:int>>"),

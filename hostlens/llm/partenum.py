@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, binary_view, bit_table, hashed_words, may_contain, mix64, saved, slices, table_bits
+from .common import LOWER, binary_view, bit_table, gathered, hashed_words, may_contain, mix64, saved, slices, table_bits
 from .components import connected_components
 
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 400_000
@@ -329,7 +329,7 @@ def _mixed_groups(rows: DataFrame) -> DataFrame:
     return rows.repartition("element").sortWithinPartitions("element").mapInArrow(run, RARE)
 
 
-def _meetings(groups: DataFrame) -> DataFrame:
+def _meetings(groups: DataFrame, documents: int | None = None) -> DataFrame:
     """``groups`` dealt into tasks (``one``, ``two``) of two bounded blocks, in which sets of different families meet.
 
     An element's largest family need not meet itself: its rows go once for each block of the others."""
@@ -342,7 +342,7 @@ def _meetings(groups: DataFrame) -> DataFrame:
     # elements of the same sets: the first in the order, where all have most room
     kept = per.groupBy("c", "s", "x").agg(F.max_by(F.struct("element", "main", "most"), "room").alias("k"))
     kept = kept.select("k.element", "k.main", F.ceil(F.col("k.most") / BLOCK_SETS).alias("mains"), F.ceil((F.col("c") - F.col("k.most")) / BLOCK_SETS).alias("others"))
-    rows = groups.join(saved(kept, "kept-elements"), "element")
+    rows = groups.join(saved(gathered(kept, documents), "kept-elements"), "element")
     main = F.col("component") == F.col("main")
     rows = rows.withColumn("block", F.when(main, F.lit(-1) - F.pmod(mine, "mains")).otherwise(F.pmod(mine, "others")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.when(main, F.lit(0).cast("bigint")).otherwise(-F.col("mains")), F.col("others") - 1)))
@@ -466,34 +466,39 @@ def similar_components(df: DataFrame, size: int = 3, percent: int = 90, pieces:
     Fewer ``pieces`` make fewer signatures of fewer elements each, which suits lower similarities."""
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = saved(_sets(docs, size), "sets")
+    rows = sets.count()
+
+    def kept(found: DataFrame, name: str) -> DataFrame:
+        return saved(gathered(found, rows), name)
+
     classes = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    named = saved(sets.join(saved(classes, "classes"), ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "sketch"), "named")
+    named = kept(sets.join(kept(classes, "classes"), ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "sketch"), "named")
     reps = named.where("doc_id is not null and n > 0").select("doc_id", "rep").distinct()
     sketches = named.where("doc_id = rep and n > 0").select("rep", "n", "sketch").distinct()  # an id's rows each with theirs
-    shared = saved(_shared_lists(docs, size, percent, pieces), "lists")
+    shared = kept(_shared_lists(docs, size, percent, pieces), "lists")
     few = shared.where("ids is not null").select("ids").distinct().select(F.xxhash64("ids").alias("list"), F.explode("ids").alias("doc_id"))
-    crowds = saved(shared.where("ids is null").select(F.col("sig").alias("list"), "doc_id").join(reps, "doc_id").select("list", "rep").distinct(), "crowds")
+    crowds = kept(shared.where("ids is null").select(F.col("sig").alias("list"), "doc_id").join(reps, "doc_id").select("list", "rep").distinct(), "crowds")
     # crowds of the same sets: one of them
     alike = crowds.groupBy("list").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x"))
-    alike = saved(alike.where("c > 1").groupBy("c", "s", "x").agg(F.min("list").alias("list")).select("list"), "alike")
+    alike = kept(alike.where("c > 1").groupBy("c", "s", "x").agg(F.min("list").alias("list")).select("list"), "alike")
     member = few.join(reps, "doc_id").select("list", "rep").distinct().unionByName(crowds.join(alike, "list"))
-    member = saved(member, "list-members")
+    member = kept(member, "list-members")
     first = member.groupBy("list").agg(F.min("rep").alias("b"))
     stars = member.join(first, "list").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
-    links = saved(_possible(stars, sketches, percent), "links")
-    families = saved(connected_components(links), "families")
+    links = kept(_possible(stars, sketches, percent), "links")
+    families = saved(connected_components(links, rows=rows), "families")
     # sets of a list in different families
     placed = member.join(families.select(F.col("node").alias("rep"), "component"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    mixed = saved(placed.join(mixed.select("list"), "list").select(F.col("rep").alias("doc_id"), "component").distinct(), "mixed")
+    mixed = kept(placed.join(mixed.select("list"), "list").select(F.col("rep").alias("doc_id"), "component").distinct(), "mixed")
     some = _listed(docs, mixed)
     rare = _rare_elements(some.join(mixed, "doc_id").select("doc_id", "text", "component"), size, percent, _bucket_counts(some, size))
-    meetings = _meetings(saved(_mixed_groups(rare), "mixed-elements"))
+    meetings = _meetings(kept(_mixed_groups(rare), "mixed-elements"), rows)
     more = _meeting_links(meetings.join(sketches, ["rep", "n"]), percent)
-    more = saved(more.distinct(), "more-links")
+    more = kept(more.distinct(), "more-links")
     if more.limit(1).count():
-        families = saved(connected_components(links.unionByName(more)), "families")
+        families = saved(connected_components(links.unionByName(more), rows=rows), "families")
     some = _listed(docs, families.select(F.col("node").alias("doc_id")))
 
     def elements(batches):
@@ -505,11 +510,11 @@ def similar_components(df: DataFrame, size: int = 3, percent: int = 90, pieces:
 
     members = saved(some.mapInArrow(elements, "node bigint, n bigint, elements binary").where("n > 0").join(families, "node"), "members")
     blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).alias("blocks"))
-    dealt = _dealt(members, "component", "node", saved(blocks, "blocks")).select("component", "one", "two", "node", "block", "elements")
+    dealt = _dealt(members, "component", "node", kept(blocks, "blocks")).select("component", "one", "two", "node", "block", "elements")
     links = dealt.groupBy("component", "one", "two").applyInPandas(_block_links(percent), "a bigint, b bigint")
     # an id whose rows have unequal sets links their classes
     ties = reps.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b")
     ties = reps.join(ties.select("doc_id", "b"), "doc_id").select(F.col("rep").alias("a"), "b")
-    found = saved(connected_components(links.unionByName(ties)), "components")
+    found = saved(connected_components(links.unionByName(ties), rows=rows), "components")
     return (named.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))

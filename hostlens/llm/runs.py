@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_view, bit_table, bit_words, in_bits, may_contain, mix64, saved, slices, sliding_min, table_bits
+from .common import binary_view, bit_table, bit_words, gathered, in_bits, may_contain, mix64, saved, slices, sliding_min, table_bits
 
 NO_ID = -(2**63)  # stands for a null id inside the operators
 HOT_RUNS = 2000  # a minimiser with more runs is frequent
@@ -112,8 +112,8 @@ def tables(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
     """Bit tables of repeated minimisers and (None if there are none) of frequent ones."""
     runs = scanned.select("tie", F.explode(F.arrays_zip("mins", "starts")).alias("x")).select(
         F.col("x.mins").alias("h"), F.xxhash64("tie", "x.starts").alias("place"))
-    found = saved(runs.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("n"))
-                  .where("a < b").select("h", "n"), "minimisers")
+    found = runs.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("n")).where("a < b")
+    found = saved(gathered(found.select("h", "n"), scanned.count()), "minimisers")
     hot = found.where(F.col("n") > HOT_RUNS)
     out = []
     for some in (found, hot):
@@ -220,9 +220,9 @@ def marks(shipped: DataFrame, resolve: Callable) -> DataFrame:
     return shipped.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(run, MARKS).unionByName(there)
 
 
-def marked_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, text, found) of the documents with marks; ``found`` lists (tie, span, ranges)."""
-    found = saved(found, "marks")
+def marked_texts(docs: DataFrame, found: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, text, found) of the documents (``rows`` in all) with marks; ``found`` lists (tie, span, ranges)."""
+    found = saved(gathered(found, rows), "marks")
     by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("tie", "span", "ranges")).alias("found"))
     wanted = found.select(F.xxhash64("doc_id").alias("h")).distinct()
     bits = table_bits(wanted.count())

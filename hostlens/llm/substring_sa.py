@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runs, sais
-from .common import binary_view, mix64, saved, slices
+from .common import binary_view, gathered, mix64, saved, slices
 
 GRAM = 32
 SHARD_BYTES = 4 << 20
@@ -224,10 +224,12 @@ def remove_repeats(df: DataFrame, window: int = 400, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 5, pa.binary()))],
                                              ["doc_id", "tie", "n_removed", "n_spans", "n_noted", "kept"])
 
-    texts = runs.marked_texts(docs, runs.marks(shipped, _resolve(noted, window)))
+    rows = scanned.count()
+    texts = runs.marked_texts(docs, runs.marks(shipped, _resolve(noted, window)), rows)
     found = texts.mapInArrow(cut, RESULT).dropDuplicates(["doc_id", "tie"])
     found = found.select(F.col("doc_id").alias("key"), "tie", "n_removed", "n_spans", "n_noted", "kept")
-    copies = saved(scanned.where(F.col("n") >= noted).groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1").select("digest"), "copies")
+    copies = scanned.where(F.col("n") >= noted).groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1").select("digest")
+    copies = saved(gathered(copies, rows), "copies")
     base = scanned.select("doc_id", "tie", "digest", F.col("n").alias("n_bytes"), F.coalesce("doc_id", F.lit(runs.NO_ID)).alias("key"))
     out = base.join(copies.withColumn("copied", F.lit(True)), "digest", "left").join(found, ["key", "tie"], "left")
     copied, size = F.col("copied").isNotNull(), F.col("n_bytes")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runs
-from .common import hashed_words, mix64, saved, slices
+from .common import gathered, hashed_words, mix64, saved, slices
 
 GRAM = 4
 SHARD_BYTES = 8 << 20
@@ -137,12 +137,14 @@ def remove_later_windows(df: DataFrame, window: int = 20, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
                                              ["doc_id", "tie", "n_removed", "kept"])
 
-    texts = runs.marked_texts(docs, runs.marks(shipped, _resolve(window)))
+    rows = scanned.count()
+    texts = runs.marked_texts(docs, runs.marks(shipped, _resolve(window)), rows)
     found = texts.mapInArrow(cut, RESULT).dropDuplicates(["doc_id", "tie"])
     found = found.select(F.col("doc_id").alias("key"), "tie", "n_removed", "kept")
     # of documents with equal words the first keeps what the others lose
-    firsts = saved(scanned.where(F.col("n") >= window).groupBy("digest").agg(
-        F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", F.col("first.row").alias("first")), "firsts")
+    firsts = scanned.where(F.col("n") >= window).groupBy("digest").agg(
+        F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", F.col("first.row").alias("first"))
+    firsts = saved(gathered(firsts, rows), "firsts")
     base = scanned.select("row", "doc_id", "tie", "digest", F.col("n").alias("n_words"), F.coalesce("doc_id", F.lit(runs.NO_ID)).alias("key"))
     out = base.join(firsts, "digest", "left").join(found, ["key", "tie"], "left")
     whole, some = F.coalesce(F.col("first") != F.col("row"), F.lit(False)), F.col("n_removed").isNotNull()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 
@@ -12,6 +13,7 @@ import tiktoken
 import corpus_pipeline as C
 from hostlens.llm import bpe
 from hostlens.llm.common import saved
+from hostlens.session import ensure_checkpoint_dir
 from test_decontaminate import LOW, WORD
 from test_partenum import model as components
 
@@ -144,6 +146,31 @@ def test_empty_and_unlabelled(spark, rows, left):
     assert [r["doc_id"] for r in df.collect()] == left
 
 
+def test_small_tables_of_many_partitions_are_written_to_few_files(spark):
+    """Every file starts processes on a local file system; the result does not depend on their number."""
+    rng = random.Random(5)
+    base = [" ".join(f"w{rng.randrange(900)}" for _ in range(90)) for _ in range(40)]
+    rows = [(i, base[i % 40] + f" end{i}", "xx", "s", 1) for i in range(200)]
+    folder = f"{ensure_checkpoint_dir(spark)}/hostlens-llm"
+    held = {"spark.sql.shuffle.partitions": "37", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    old = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+        near = saved(C.near_duplicates(spark, docs, SF), "test-near")
+        assert rows_of(near) == model_near(rows, spark)
+        cut = saved(C.repeated_substrings(spark, docs, SF), "test-cut")
+        assert rows_of(cut) == sorted(model_repeats(rows), key=key)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {d.rsplit("-", 1)[0]: sum(f.startswith("part-") for f in os.listdir(f"{folder}/{d}")) for d in set(os.listdir(folder)) - old}
+    assert {"classes", "lists", "edges", "minimisers", "marks", "test-near", "test-cut"} <= set(files)
+    assert max(files.values()) <= 2 * spark.sparkContext.defaultParallelism  # 37 before
+
+
 def test_documents_that_share_only_an_id_stay(spark):
     """Shards with clashing ids: unlike texts of one id stay, copies go whatever their ids."""
     rng = random.Random(10)
