@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens.llm import bpe, decontaminate, langid, partenum, substring_sa
-from hostlens.llm.common import bit_table, gathered, may_contain, saved, table, table_bits
+from hostlens.llm.common import gathered, listed, saved, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_SCORE = 0.5
@@ -57,13 +57,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = groups.count()
     odd = saved(gathered(keys.where("rows > 1 or key <> least"), rows), "odd")  # not the only row of its group's least key
     # texts that are surely not among them need no shuffle
-    bits = table_bits(odd.count())
-    maybe = F.coalesce(may_contain(bit_table(odd.select(F.xxhash64("key").alias("h")), bits), F.xxhash64("key"), bits), F.lit(False))
-    maybe = maybe & F.col("key").isNotNull()
-    some = docs.where(maybe).join(odd.select("key", "least"), "key", "left")
+    h = F.when(F.col("key").isNotNull(), F.xxhash64("key"))
+    hashes, n = odd.select(F.xxhash64("key").alias("h")), odd.count()
+    some = listed(docs, h, hashes, n).join(odd.select("key", "least"), "key", "left")
     some = some.where(F.col("least").isNull() | (F.col("least") == F.col("key"))).select("key", *COLUMNS)
     one = some.groupBy("key").agg(F.min(F.struct("text", "doc_id", "lang", "source", "n_chars")).alias("x")).select("x.*")
-    return docs.where(~maybe).select(*COLUMNS).unionByName(gathered(one.select(*COLUMNS), rows))
+    return listed(docs, h, hashes, n, "left_anti").select(*COLUMNS).unionByName(gathered(one.select(*COLUMNS), rows))
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

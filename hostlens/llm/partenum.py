@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, binary_view, bit_table, gathered, hashed_words, may_contain, mix64, saved, slices, table_bits
+from .common import LOWER, binary_view, gathered, hashed_words, listed, mix64, saved, slices
 from .components import connected_components
 
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 400_000
@@ -455,8 +455,7 @@ def _block_links(percent: int):
 
 def _listed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one of ``ids``, and few others."""
-    bits = table_bits(ids.count())
-    return docs.where("doc_id is not null").where(may_contain(bit_table(ids.select(F.xxhash64("doc_id").alias("h")), bits), F.xxhash64("doc_id"), bits))
+    return listed(docs.where("doc_id is not null"), F.xxhash64("doc_id"), ids.select(F.xxhash64("doc_id").alias("h")), ids.count())
 
 
 def similar_components(df: DataFrame, size: int = 3, percent: int = 90, pieces: int = 3, id_col: str = "doc_id",

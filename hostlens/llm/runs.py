@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_view, bit_table, bit_words, gathered, in_bits, may_contain, mix64, saved, slices, sliding_min, table_bits
+from .common import binary_view, bit_words, gathered, in_bits, listed, mix64, saved, slices, sliding_min, table_bits
 
 NO_ID = -(2**63)  # stands for a null id inside the operators
 HOT_RUNS = 2000  # a minimiser with more runs is frequent
@@ -118,7 +118,7 @@ def tables(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
     out = []
     for some in (found, hot):
         n = some.count()
-        out.append(np.array(bit_words(some, table_bits(n)), np.int64).view(np.uint64) if n else None)
+        out.append(bit_words(some, table_bits(n)).view(np.uint64) if n else None)
     return (out[0] if out[0] is not None else np.zeros(1024, np.uint64)), out[1]
 
 
@@ -225,11 +225,8 @@ def marked_texts(docs: DataFrame, found: DataFrame, rows: int) -> DataFrame:
     found = saved(gathered(found, rows), "marks")
     by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("tie", "span", "ranges")).alias("found"))
     wanted = found.select(F.xxhash64("doc_id").alias("h")).distinct()
-    bits = table_bits(wanted.count())
-    words = bit_table(wanted, bits)
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    some = docs.select(key.alias("doc_id"), "text").where(may_contain(words, F.xxhash64(key), bits))
-    return some.join(by_doc, "doc_id")
+    some = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    return listed(some, F.xxhash64("doc_id"), wanted, wanted.count()).join(by_doc, "doc_id")
 
 
 def as_ranges(flags: np.ndarray) -> np.ndarray:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from hostlens.llm import common, partenum, registry
+from hostlens.llm import common, partenum, registry, runs
 
 LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -268,3 +270,31 @@ def test_batches_shorter_than_a_shingle():
         starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         _, offsets = partenum.shingle_sets(raw, starts, 5)
         assert np.diff(offsets).tolist() == [1 if t else 0 for t in texts]
+
+
+def test_bit_tables_do_not_stand_in_plans(spark):
+    """Spark writes a plan's text for every stage and keeps it in the driver; the table is data, of many digits."""
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(5000)] + [(None, "none")], "doc_id bigint, text string")
+    ids = spark.range(0, 5000, 5).withColumnRenamed("id", "doc_id")
+    some = partenum._listed(docs, ids)
+    marks = ids.selectExpr("doc_id", "doc_id as tie", "9 as span", "cast('x' as binary) as ranges")
+    marked = runs.marked_texts(docs, marks, 5001)
+    for df in (some, marked):
+        assert len(df._jdf.queryExecution().toString()) < 20_000  # over 100,000 before
+    found = {r["doc_id"] for r in some.collect()}
+    assert set(range(0, 5000, 5)) <= found and len(found) < 1100
+    assert sorted(r["doc_id"] for r in marked.collect()) == list(range(0, 5000, 5))
+
+
+def test_listed_rows_and_the_rest_are_all_rows(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(3000)] * 2 + [(None, "none"), (None, None)], "doc_id bigint, text string")
+    h = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    hashes = spark.range(0, 3000, 7).select(F.xxhash64("id").alias("h"))
+    some, rest = (common.listed(docs, h, hashes, hashes.count(), how) for how in ("left_semi", "left_anti"))
+    assert some.columns == rest.columns == docs.columns
+    got = [[tuple(r) for r in x.collect()] for x in (some, rest)]
+    assert Counter(got[0] + got[1]) == Counter(tuple(r) for r in docs.collect())
+    assert not {r[0] for r in got[0]} & {r[0] for r in got[1]}
+    assert {(i, f"t{i}") for i in range(0, 3000, 7)} <= set(got[0]) and {(None, "none"), (None, None)} <= set(got[1])
+    none = spark.range(0).select(F.xxhash64("id").alias("h"))
+    assert common.listed(docs, h, none, 0).count() == 0 and common.listed(docs, h, none, 0, "left_anti").count() == docs.count()
