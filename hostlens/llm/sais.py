@@ -2,13 +2,13 @@
 
 ``suffix_array`` classifies suffixes as smaller or larger than their right
 neighbour, sorts the substrings between leftmost-smaller positions by inducing,
-names them, recurses on the names while they repeat, and induces the whole
-order from the sorted leftmost-smaller suffixes.  Inducing works on vectors.
-With a small alphabet a bucket's entries are taken at once (a bucket feeds
-itself only along runs of its own letter).  With a large one (the names of the
-recursion) a stretch of the array is taken as far as nothing induced from it
-lands within it.  Where either would take a few entries at a time, as in long
-runs of one letter, and for short strings, plain loops do the same.
+names them, sorts the suffixes of the names while these repeat, and induces the
+whole order from the sorted leftmost-smaller suffixes.  Inducing works on
+vectors: with a small alphabet a bucket's entries are taken at once (a bucket
+feeds itself only along runs of its own letter); where that would take a few
+entries at a time, as in long runs of one letter, and for short strings, plain
+loops do the same.  With a large alphabet (most names) buckets are too small for
+that; there prefixes of doubled length are ranked until all differ.
 """
 
 from __future__ import annotations
@@ -38,15 +38,16 @@ def _smaller(s: np.ndarray) -> np.ndarray:
 def _sort(s: np.ndarray, letters: int) -> np.ndarray:
     if len(s) < SHORT:
         return np.array(_sort_lists(s.tolist(), letters), np.int64)
-    induce = _induce_buckets if letters <= SMALL_ALPHABET else _induce_stretches
+    if letters > SMALL_ALPHABET:
+        return _sort_by_doubling(s, letters)
     small = _smaller(s)
     left = np.zeros(len(s), bool)
     left[1:] = small[1:] & ~small[:-1]
     places = np.flatnonzero(left)
     bounds = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=letters))])
-    narrow = s.astype(np.uint16) if letters <= 65536 else s  # 16 bits sort by radix
+    narrow = s.astype(np.uint16)  # 16 bits sort by radix
     order = places[np.argsort(narrow[places], kind="stable")]
-    sa = induce(narrow, small, order, bounds)
+    sa = _induce_buckets(narrow, small, order, bounds)
     found = sa[left[sa]]  # leftmost-smaller places in order of their substrings
     names = _names(s, places, found)
     total = int(names.max()) + 1 if len(names) else 0
@@ -55,7 +56,7 @@ def _sort(s: np.ndarray, letters: int) -> np.ndarray:
         order = places[_sort(by_place, total)]
     else:
         order = found
-    return induce(narrow, small, order, bounds)
+    return _induce_buckets(narrow, small, order, bounds)
 
 
 def _names(s: np.ndarray, places: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -146,51 +147,30 @@ def _induce_buckets(s: np.ndarray, small: np.ndarray, order: np.ndarray, bounds:
     return sa
 
 
-def _induce_stretches(s: np.ndarray, small: np.ndarray, order: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The same for many letters."""
-    n = len(s)
-    sa, _ = _place(s, order, bounds)
-    for larger in (True, False):
-        edge = bounds[:-1].copy() if larger else bounds[1:].copy()
-        kind = ~small if larger else small
-        at, width = 0, 4096
-        while at < n:  # places from the left for larger suffixes, from the right for smaller ones
-            stop = min(n, at + width)
-            if width < FEW:
-                for i in range(at, stop):
-                    j = sa[i if larger else n - 1 - i] - 1
-                    if j >= 0 and kind[j]:
-                        c = s[j]
-                        if larger:
-                            sa[edge[c]] = j
-                            edge[c] += 1
-                        else:
-                            edge[c] -= 1
-                            sa[edge[c]] = j
-                at, width = stop, 512
-                continue
-            js = sa[at:stop] if larger else sa[n - stop:n - at][::-1]
-            source = np.flatnonzero(js > 0)
-            js = js[source] - 1
-            keep = kind[js]
-            js, source = js[keep], source[keep] + at
-            if len(js):
-                by, c, count, rank = _deal(s[js])
-                land = np.repeat(edge[c], count) + rank if larger else n - np.repeat(edge[c], count) + rank
-                safe = min(stop, int(land.min()))  # places before it hold all they will hold
-                if safe < stop:
-                    use = source[by] < safe
-                    by, land = by[use], land[use]
-                    count = np.bincount(np.repeat(np.arange(len(c)), count)[use], minlength=len(c))
-                sa[land if larger else n - 1 - land] = js[by]
-                edge[c] += count if larger else -count
-            else:
-                safe = stop
-            width = min(1 << 15, 2 * width) if safe == stop else max(safe - at, FEW // 2)
-            width = width if width < FEW or safe == stop else max(width, 256)
-            at = safe
-    sa[0] = n - 1
-    return sa
+def _sort_by_doubling(s: np.ndarray, letters: int) -> np.ndarray:
+    """The order of the suffixes from ranks of their first letters, then of twice as many each round; only suffixes
+    that share their rank with others are sorted again."""
+    n, bits = len(s), letters.bit_length()
+    key, known = s + 1, 1  # as many letters as go into 63 bits; past the end, zeros
+    while known < n and (known + 1) * bits < 64:
+        key = key << bits
+        key[:n - known] |= s[known:] + 1
+        known += 1
+    order = at = np.argsort(key)
+    key, place, rank = key[order], np.arange(n), np.empty(n, np.int64)
+    while True:
+        first = np.append(True, key[1:] != key[:-1])
+        rank[at] = place[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
+        tied = ~(first & np.append(first[1:], True))
+        at, place = at[tied], place[tied]
+        if not len(at):
+            return order
+        after = at + known
+        key = rank[at] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[place] = at
+        known *= 2
 
 
 def _sort_lists(s: list[int], letters: int) -> list[int]:

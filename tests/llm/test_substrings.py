@@ -43,6 +43,27 @@ def test_suffix_array_of_larger_texts():
         assert sais.suffix_array(np.frombuffer(b, np.uint8)).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
 
 
+def test_suffix_array_of_many_letters():
+    rng = random.Random(6)
+    base = [rng.randrange(5000) for _ in range(3000)]
+    for s in (base + base[100:2900] + base, [7, 3000] * 2000, [3000] * 4000, list(range(4000, 0, -1)), [2**40 + x for x in base] * 2):
+        assert sais.suffix_array(np.array(s, np.int64)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_repeated_passages_are_sorted_in_few_steps(monkeypatch):
+    """Names of passages that recur are many letters in small buckets: vectors of a few entries each cost the most."""
+    steps, deal = [], sais._deal
+    monkeypatch.setattr(sais, "_deal", lambda c: steps.append(len(c)) or deal(c))
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(800)]
+    passages = [" ".join(rng.choice(words) for _ in range(90)) for _ in range(400)]
+    text = "\n".join(passages + [f"{p} more" for p in passages]).encode()
+    sa = sais.suffix_array(np.frombuffer(text, np.uint8))
+    assert len(steps) < 1000  # 1848 before
+    some = sa[:2000].tolist()
+    assert some == sorted(some, key=lambda i: text[i:]) and sorted(sa.tolist()) == list(range(len(text)))
+
+
 def byte_model(docs, window):
     seen = Counter()
     for _, t in docs:
